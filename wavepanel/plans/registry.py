@@ -47,4 +47,4 @@ def _load() -> None:
         importlib.import_module(f"wavepanel.plans.{mod}")
 
 
-QUERY_MODULES = ["q_change", "q_clean", "q_describe", "q_impute", "q_correlate", "q_hypothesis"]
+QUERY_MODULES = ["q_change", "q_clean", "q_describe", "q_impute", "q_correlate", "q_hypothesis", "q_mixed"]
