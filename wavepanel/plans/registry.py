@@ -47,4 +47,5 @@ def _load() -> None:
         importlib.import_module(f"wavepanel.plans.{mod}")
 
 
-QUERY_MODULES = ["q_change", "q_clean", "q_describe", "q_impute", "q_correlate", "q_hypothesis", "q_mixed"]
+QUERY_MODULES = ["q_change", "q_clean", "q_describe", "q_impute", "q_correlate", "q_hypothesis",
+                 "q_mixed", "q_series"]
