@@ -193,38 +193,183 @@ def _arch(buckets: pd.DataFrame, n: int):
 TEST_SCHEMA = ("series long, n long, adf_stat double, adf_p double, adf_lag int, adf_nobs long, "
                "adf_crit_1 double, adf_crit_5 double, adf_crit_10 double, kpss_stat double, kpss_p double, "
                "kpss_lags int, arch_lm double, arch_lm_p double, arch_f double, arch_f_p double, arch_lags int")
+TEST_COLS = [c.split()[0] for c in TEST_SCHEMA.split(", ")]
+
+
+def _dense(pdf: pd.DataFrame, series: str, B: int):
+    """Rows (series, bucket) of one batch -> per-series arrays with suffix
+    sums over buckets: suf[s, b] = sum of bucket rows >= b."""
+    ids, inv = np.unique(pdf[series].to_numpy(), return_inverse=True)
+    b = pdf["b"].to_numpy().astype(int)
+    cols = [c for c in pdf.columns if c not in (series, "b", "n")]
+    vals = pdf[cols].to_numpy(dtype=float)
+    dense = np.zeros((len(ids), B + 2, len(cols)))
+    dense[inv, b, :] = vals
+    suf = np.cumsum(dense[:, ::-1, :], axis=1)[:, ::-1, :]
+    n = np.zeros(len(ids), dtype=int)
+    n[inv] = pdf["n"].to_numpy()
+    return ids, n, {c: i for i, c in enumerate(cols)}, suf
+
+
+def _sym_batch(vec: np.ndarray, col: dict, prefix: str, d: int) -> np.ndarray:
+    g = np.zeros(vec.shape[:-1] + (d, d))
+    for i in range(d):
+        for j in range(i, d):
+            g[..., i, j] = g[..., j, i] = vec[..., col[f"{prefix}_{i}_{j}"]]
+    return g
+
+
+def _ols_batch(g: np.ndarray, idx: list[int]):
+    xx = g[:, idx][:, :, idx]
+    xy = g[:, idx, 0]
+    inv = np.linalg.pinv(xx)
+    beta = np.einsum("sij,sj->si", inv, xy)
+    ssr = g[:, 0, 0] - np.einsum("si,si->s", beta, xy)
+    return beta, np.maximum(ssr, 0.0), inv
+
+
+def _finish_batch(pdf: pd.DataFrame, series: str, L: int, K: int) -> pd.DataFrame:
+    B = max(L + 2, ARCH_MAX_LAGS + 1)
+    ids, n, col, suf = _dense(pdf, series, B)
+    S_ = len(ids)
+    out = {c: np.full(S_, np.nan) for c in TEST_COLS}
+    out["series"], out["n"] = ids, n
+    ok = n >= MIN_SERIES
+    rows_at = suf[:, :, col["rows"]]
+    # ADF: AIC over 0..maxlag lagged differences on the common sample, then refit
+    maxlag = np.array([min(adf_max_lag(int(v)), L) for v in n])
+    start = np.clip(maxlag + 1, 0, B)
+    zsum = suf[np.arange(S_), start]
+    g = _sym_batch(zsum, col, "z", L + 3)
+    m = rows_at[np.arange(S_), start]
+    best_aic = np.full(S_, np.inf)
+    best_lag = np.zeros(S_, dtype=int)
+    for lag in range(0, L + 1):
+        use = ok & (lag <= maxlag)
+        if not use.any():
+            continue
+        idx = [1, 2] + list(range(3, 3 + lag))
+        _, ssr, _ = _ols_batch(g[use], idx)
+        mm = m[use]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            aic = mm * (math.log(2 * math.pi) + np.log(ssr / mm) + 1) + 2 * len(idx)
+        aic = np.where(ssr > 0, aic, np.inf)
+        cur = best_aic[use]
+        better = aic < cur - 1e-12
+        sel = np.where(use)[0][better]
+        best_aic[sel] = aic[better]
+        best_lag[sel] = lag
+    for lag in np.unique(best_lag[ok & np.isfinite(best_aic)]):
+        sel = np.where(ok & np.isfinite(best_aic) & (best_lag == lag))[0]
+        st = np.clip(lag + 1, 0, B)
+        g2 = _sym_batch(suf[sel, st], col, "z", L + 3)
+        m2 = rows_at[sel, st]
+        idx = [2] + list(range(3, 3 + lag)) + [1]
+        beta, ssr, inv = _ols_batch(g2, idx)
+        dof = m2 - len(idx)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stat = beta[:, 0] / np.sqrt(ssr / dof * inv[:, 0, 0])
+        good = (dof > 0) & (ssr > 0)
+        for k, s_i in enumerate(sel):
+            if not good[k]:
+                continue
+            t = float(stat[k])
+            if t > ADF_TAU_MAX:
+                p = 1.0
+            elif t < ADF_TAU_MIN:
+                p = 0.0
+            else:
+                coef = ADF_SMALLP if t <= ADF_TAU_STAR else ADF_LARGEP
+                p = S.norm_cdf(sum(c * t ** i for i, c in enumerate(coef)))
+            T = float(m2[k])
+            out["adf_stat"][s_i], out["adf_p"][s_i], out["adf_lag"][s_i], out["adf_nobs"][s_i] = t, p, lag, T
+            for key, name in (("1%", "adf_crit_1"), ("5%", "adf_crit_5"), ("10%", "adf_crit_10")):
+                out[name][s_i] = sum(c / T ** i for i, c in enumerate(ADF_CRIT[key]))
+    # KPSS with the automatic bandwidth
+    ac = suf[:, 0, [col[f"ac_{j}"] for j in range(K + 1)]]
+    cum2 = suf[:, 0, col["cum2"]]
+    for s_i in np.where(ok)[0]:
+        nn = int(n[s_i])
+        covlags = int(nn ** (2.0 / 9.0))
+        if covlags > K:
+            continue
+        a = ac[s_i]
+        s0 = a[0] / nn + np.sum(a[1:covlags + 1]) / (nn / 2.0)
+        s1 = np.sum(np.arange(1, covlags + 1) * a[1:covlags + 1]) / (nn / 2.0)
+        gamma = 1.1447 * ((s1 / s0) ** 2) ** (1.0 / 3.0) if s0 else 0.0
+        lags = min(int(gamma * nn ** (1.0 / 3.0)), nn - 1)
+        if lags > K:
+            continue
+        i = np.arange(1, lags + 1)
+        s_hat = (a[0] + 2 * np.sum(a[1:lags + 1] * (1 - i / (lags + 1.0)))) / nn
+        stat = cum2[s_i] / (nn * nn) / s_hat
+        out["kpss_stat"][s_i], out["kpss_p"][s_i] = stat, float(np.interp(stat, KPSS_CRIT, KPSS_P))
+        out["kpss_lags"][s_i] = lags
+    # ARCH LM on the squared demeaned series
+    nl_all = np.minimum(ARCH_MAX_LAGS, n // 5)
+    for nl in np.unique(nl_all[ok]):
+        if nl < 1:
+            continue
+        sel = np.where(ok & (nl_all == nl))[0]
+        gh = _sym_batch(suf[sel, nl], col, "h", ARCH_MAX_LAGS + 2)
+        mm = rows_at[sel, nl]
+        _, ssr, _ = _ols_batch(gh, [1] + list(range(2, 2 + nl)))
+        ybar = gh[:, 0, 1] / mm
+        tss = gh[:, 0, 0] - mm * ybar * ybar
+        for k, s_i in enumerate(sel):
+            if tss[k] <= 0:
+                continue
+            r2 = 1 - ssr[k] / tss[k]
+            lm = mm[k] * r2
+            dof = mm[k] - nl - 1
+            f = (r2 / nl) / ((1 - r2) / dof) if dof > 0 and r2 < 1 else np.nan
+            out["arch_lm"][s_i], out["arch_lm_p"][s_i] = lm, S.chi2_sf(lm, nl)
+            out["arch_f"][s_i] = f
+            out["arch_f_p"][s_i] = S.f_sf(f, nl, dof) if np.isfinite(f) else np.nan
+            out["arch_lags"][s_i] = nl
+    res = pd.DataFrame(out)[TEST_COLS]
+    for c in ("adf_lag", "kpss_lags", "arch_lags"):
+        res[c] = res[c].astype("Int32")
+    res["adf_nobs"] = res["adf_nobs"].astype("Int64")
+    return res
 
 
 def series_tests(df: DataFrame, series: str, order: list[str], value: str, max_lag: int = 12,
-                 max_autocov: int = 24) -> DataFrame:
+                 max_autocov: int = 16) -> DataFrame:
     """ADF (constant, AIC lag choice, MacKinnon p), KPSS (level, automatic
     bandwidth, p interpolated and clamped to [0.01, 0.10]) and Engle's ARCH
     LM / F test on the demeaned series, one row per series (TST7-TST9).
     Series shorter than 10 values get null statistics (TST11). ``max_lag``
-    caps the ADF lag search (the rule's own cap is 11 for 67-point series).
+    caps the ADF lag search (the rule's own cap is 11 for 67-point series);
+    KPSS is null when its bandwidth would exceed ``max_autocov``.
+
+    Finishing: the bucket rows are hash-partitioned by series and sorted, then
+    ``mapInPandas`` solves the small regressions of every series in an Arrow
+    batch at once; a series cut by a batch boundary is carried to the next
+    batch, so memory is bounded by the batch size.
     """
     L, K = max_lag, max_autocov
     grams = gram_buckets(prepared(df, series, order, value, L, K), series, L, K)
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        sid = int(pdf[series].iloc[0])
-        n = int(pdf["n"].iloc[0])
-        out = dict(series=sid, n=n)
-        if n >= MIN_SERIES:
-            adf = _adf(pdf, n, L)
-            if adf:
-                out.update(adf_stat=adf[0], adf_p=adf[1], adf_lag=adf[2], adf_nobs=adf[3],
-                           adf_crit_1=adf[4]["1%"], adf_crit_5=adf[4]["5%"], adf_crit_10=adf[4]["10%"])
-            kp = _kpss(pdf.sum(), n, K)
-            if kp:
-                out.update(kpss_stat=kp[0], kpss_p=kp[1], kpss_lags=kp[2])
-            ar = _arch(pdf, n)
-            if ar:
-                out.update(arch_lm=ar[0], arch_lm_p=ar[1], arch_f=ar[2], arch_f_p=ar[3], arch_lags=ar[4])
-        cols = [c.split()[0] for c in TEST_SCHEMA.split(", ")]
-        return pd.DataFrame([{c: out.get(c) for c in cols}])
-
-    return grams.groupBy(series).applyInPandas(finish, TEST_SCHEMA)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = grams.repartition(parts, series).sortWithinPartitions(series, "b")
+
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            last = pdf[series].iloc[-1]
+            tail = pdf[series] == last
+            carry = pdf[tail]
+            done = pdf[~tail]
+            if not done.empty:
+                yield _finish_batch(done, series, L, K)
+        if carry is not None and not carry.empty:
+            yield _finish_batch(carry, series, L, K)
+
+    return ordered.mapInPandas(run, TEST_SCHEMA)
 
 
 def autocorrelation(df: DataFrame, series: str, order: list[str], value: str, nlags: int = 10) -> DataFrame:
