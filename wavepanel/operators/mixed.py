@@ -136,32 +136,34 @@ class _Patterns:
     n_i: np.ndarray      # (J,) group sizes
 
 
-def _assemble(rows, P: int, q: int) -> _Patterns:
-    J = len(rows)
-    c = np.zeros(J)
+def _assemble(pdf, P: int, q: int) -> _Patterns:
+    """Pattern table (pandas, fetched through Arrow) -> numpy arrays."""
+    J = len(pdf)
+    c = pdf["c"].to_numpy(dtype=float)
+    n_i = pdf["n_i"].to_numpy(dtype=float)
     ztz = np.zeros((J, q, q))
+    ztz[:, 0, 0] = n_i
+    if q == 2:
+        ztz[:, 0, 1] = ztz[:, 1, 0] = pdf["sv"].to_numpy(dtype=float)
+        ztz[:, 1, 1] = pdf["svv"].to_numpy(dtype=float)
+    iu = [(k, m) for k in range(P) for m in range(k, P)]
+
+    def sym(prefix):
+        vals = pdf[[f"{prefix}_{k}_{m}" for k, m in iu]].to_numpy(dtype=float)
+        out = np.zeros((J, P, P))
+        ks, ms = np.array([k for k, _ in iu]), np.array([m for _, m in iu])
+        out[:, ks, ms] = vals
+        out[:, ms, ks] = vals
+        return out
+
     s = np.zeros((J, q, q, P, P))
-    xx = np.zeros((P, P))
-    n_i = np.zeros(J)
-    for j, r in enumerate(rows):
-        c[j] = r["c"]
-        n_i[j] = r["n_i"]
-        ztz[j, 0, 0] = r["n_i"]
-        if q == 2:
-            ztz[j, 0, 1] = ztz[j, 1, 0] = r["sv"]
-            ztz[j, 1, 1] = r["svv"]
-        for k in range(P):
-            for m in range(k, P):
-                xx[k, m] += r[f"xx_{k}_{m}"]
-                s[j, 0, 0, k, m] = s[j, 0, 0, m, k] = r[f"s00_{k}_{m}"]
-                if q == 2:
-                    s[j, 1, 1, k, m] = s[j, 1, 1, m, k] = r[f"s11_{k}_{m}"]
-        if q == 2:
-            for k in range(P):
-                for m in range(P):
-                    s[j, 0, 1, k, m] = r[f"s01_{k}_{m}"]
-                    s[j, 1, 0, m, k] = r[f"s01_{k}_{m}"]
-    xx = np.triu(xx) + np.triu(xx, 1).T
+    s[:, 0, 0] = sym("s00")
+    if q == 2:
+        s[:, 1, 1] = sym("s11")
+        full = pdf[[f"s01_{k}_{m}" for k in range(P) for m in range(P)]].to_numpy(dtype=float).reshape(J, P, P)
+        s[:, 0, 1] = full
+        s[:, 1, 0] = np.transpose(full, (0, 2, 1))
+    xx = sym("xx").sum(axis=0)
     return _Patterns(c, ztz, s, xx, n_i)
 
 
@@ -180,10 +182,17 @@ def _profile(gam: np.ndarray, pat: _Patterns, p: int):
     """Return (-2 REML loglik, beta, s2, cov_beta_unscaled, xwx) at G."""
     q = gam.shape[0]
     M = np.eye(q)[None, :, :] + pat.ztz @ gam[None, :, :]
-    sign, logdet = np.linalg.slogdet(M)
-    if np.any(sign <= 0):
+    if q == 1:
+        det = M[:, 0, 0]
+        minv = (1.0 / det)[:, None, None]
+    else:                                   # closed-form 2 x 2 determinant and inverse
+        det = M[:, 0, 0] * M[:, 1, 1] - M[:, 0, 1] * M[:, 1, 0]
+        minv = np.stack([np.stack([M[:, 1, 1], -M[:, 0, 1]], -1),
+                         np.stack([-M[:, 1, 0], M[:, 0, 0]], -1)], -2) / det[:, None, None]
+    if np.any(det <= 0):
         return np.inf, None, None, None, None
-    Cm = gam[None, :, :] @ np.linalg.inv(M)                       # (J, q, q)
+    logdet = np.log(det)
+    Cm = gam[None, :, :] @ minv                                   # (J, q, q)
     P = pat.xx.shape[0]
     corr = (Cm.reshape(-1) @ pat.s.reshape(-1, P * P)).reshape(P, P)
     G = pat.xx - corr
@@ -302,16 +311,13 @@ def fit_lmm(df: DataFrame, outcome: str, entity: str, fixed: list[str] | None =
     P = p + 1
     rows = _rows(base, outcome, design, entity, slope, model, fixed, factors)
     ent = entity_stats(rows, P, q)
-    pats = pattern_stats(ent, P, q).limit(max_patterns + 1).collect()
+    pats = pattern_stats(ent, P, q).limit(max_patterns + 1).toPandas()
     if len(pats) > max_patterns:
         raise ValueError("too many distinct visit patterns for the compressed fit; "
                          "coarsen the slope variable or raise max_patterns")
-    by_model: dict[str, list] = {}
-    for r in pats:
-        by_model.setdefault(r["__model"], []).append(r)
     fits = {}
-    for m, rs in sorted(by_model.items()):
-        pat = _assemble(rs, P, q)
+    for m, rs in sorted(pats.groupby("__model"), key=lambda t: t[0]):
+        pat = _assemble(rs.reset_index(drop=True), P, q)
         fit = _fit_patterns(pat, p, q)
         fit.update(n_obs=int(np.sum(pat.c * pat.n_i)), n_groups=int(np.sum(pat.c)),
                    min_group=int(pat.n_i.min()), max_group=int(pat.n_i.max()),
