@@ -18,20 +18,32 @@ DOWN = -1   # decline = negative change
 
 
 def visit_changes(df: DataFrame, entity: str, order: list[str], stage: str,
-                  measures: dict[str, tuple[str, int]]) -> DataFrame:
+                  measures: dict[str, tuple[str, int]], chunk_width: float | None = None) -> DataFrame:
     """Long change-event table.
 
     ``measures`` maps measure column -> (category, direction); direction
     ``DOWN`` flags a change < 0, ``UP`` a change > 0.
     Returns (entity, <order...>, last_stage, measure, category, change, flagged).
+
+    With ``chunk_width`` (in units of ``order[0]``) the lags run per
+    (entity, order-range chunk) with the chunk boundaries repaired from
+    per-chunk last rows, and the last stage is a ``max_by`` aggregate joined
+    back, so no task holds a whole entity (identical results).
     """
-    w = Window.partitionBy(entity).orderBy(*order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     names = list(measures)
-    wide = df.select(
-        entity, *order,
-        F.last(stage).over(whole).alias("last_stage"),
-        *[(F.col(m) - F.lag(m).over(w)).alias(m) for m in names])
+    if chunk_width:
+        from wavepanel.operators.segments import chunked_lag
+        lagged = chunked_lag(df.select(entity, *order, *names), entity, order, names, chunk_width)
+        last = df.groupBy(entity).agg(F.max_by(stage, F.struct(*[F.col(o) for o in order])).alias("last_stage"))
+        wide = lagged.join(last, entity).select(
+            entity, *order, "last_stage", *[(F.col(m) - F.col(f"__lag_{m}")).alias(m) for m in names])
+    else:
+        w = Window.partitionBy(entity).orderBy(*order)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        wide = df.select(
+            entity, *order,
+            F.last(stage).over(whole).alias("last_stage"),
+            *[(F.col(m) - F.lag(m).over(w)).alias(m) for m in names])
     long = wide.unpivot([entity, *order, "last_stage"], names, "measure", "change")
     cat = F.create_map(*[x for m in names for x in (F.lit(m), F.lit(measures[m][0]))])
     sign = F.create_map(*[x for m in names for x in (F.lit(m), F.lit(measures[m][1]))])

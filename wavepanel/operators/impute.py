@@ -72,14 +72,24 @@ def _knn_value(cands: Column, pos: Column, n_obs: Column, k: int, n_order: int)
     return F.when(n0 > 0, mean0).otherwise(F.try_divide(num, den))
 
 
+def _candidates(df, entity, order, variables, k, chunk_width):
+    if chunk_width:
+        from wavepanel.operators.segments import chunked_neighbours
+        return chunked_neighbours(df, entity, order, variables, k, chunk_width)
+    return _with_candidates(df, entity, order, variables, k)
+
+
 def knn_impute(df: DataFrame, entity: str, order: list[str], variables: list[str], k: int = 4,
-               suffix: str = "_imputed", filled_suffix: str | None = "_filled") -> DataFrame:
+               suffix: str = "_imputed", filled_suffix: str | None = "_filled",
+               chunk_width: float | None = None) -> DataFrame:
     """Adds ``{v}_imputed`` (and ``{v}_filled``) for each variable (IMP1, PRJ20).
 
     ``order[0]`` is the numeric position used for distances; the remaining
-    order columns only break ties.
+    order columns only break ties. With ``chunk_width`` the candidate windows
+    run per (entity, order-range chunk) with boundary halos, so an entity of
+    any size is split across tasks (identical results).
     """
-    cand = _with_candidates(df, entity, order, variables, k)
+    cand = _candidates(df, entity, order, variables, k, chunk_width)
     pos = F.col(order[0]).cast("double")
     out = []
     for v in variables:
@@ -97,12 +107,12 @@ def knn_impute(df: DataFrame, entity: str, order: list[str], variables: list[str
 
 
 def k_sweep(df: DataFrame, entity: str, order: list[str], variables: list[str],
-            ks: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
+            ks: tuple[int, ...] = (2, 3, 4, 5), chunk_width: float | None = None) -> DataFrame:
     """Imputed values of originally missing cells for several k from one
     candidate pass, summarised per (variable, k): count, mean, std, median
     (IMP2, AGG22)."""
     k_max = max(ks)
-    cand = _with_candidates(df, entity, order, variables, k_max)
+    cand = _candidates(df, entity, order, variables, k_max, chunk_width)
     pos = F.col(order[0]).cast("double")
     cells = []
     for v in variables:

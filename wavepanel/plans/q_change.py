@@ -78,3 +78,15 @@ SELECT stage, count(DISTINCT entity_id) AS n_entities FROM panel GROUP BY stage
 """, panel=ORDERS_PANEL_SQL))
 def q_entities_per_stage(spark, sf_dir):
     return entities_per_stage(orders_panel(spark, sf_dir), "entity_id", "stage")
+
+
+@register("decline_rates_chunked", DECLINE_SQL)
+def q_decline_chunked(spark, sf_dir):
+    """The flagship with every per-entity window split into order-range chunks
+    (60-day chunks for visit numbering, 3-visit chunks for the lags): the plan
+    a hot entity needs. Same oracle as ``decline_rates``."""
+    p = orders_panel(spark, sf_dir, chunk_days=60)
+    kept = keep_entities(p, "entity_id", ["m1", "m2"], min_obs=2, method="join")
+    kept = kept.withColumn("m_avg", pair_mean("m1", "m2"))
+    changes = visit_changes(kept, "entity_id", ["visit"], "stage", CHANGE_MEASURES, chunk_width=3)
+    return decline_rates(changes)

@@ -92,3 +92,21 @@ FROM (""" + "\nUNION ALL ".join(f"SELECT '{v}' AS variable, {v} AS value, {v}_fi
 def q_imputation_counts(spark, sf):
     p = orders_panel(spark, sf).select("entity_id", "visit", "order_key", *VARS)
     return imputation_counts(knn_impute(p, "entity_id", ORDER, VARS, k=4), VARS)
+
+
+@register("knn_impute_chunked", _impute_sql(4))
+def q_knn_impute_chunked(spark, sf):
+    """kNN imputation with candidate windows per (entity, 3-visit chunk) and
+    boundary halos: the hot-entity plan, same oracle as ``knn_impute``."""
+    p = orders_panel(spark, sf, chunk_days=60).select("entity_id", "visit", "order_key", *VARS)
+    return knn_impute(p, "entity_id", ORDER, VARS, k=4, chunk_width=3)
+
+
+@register("knn_k_sweep_chunked", with_cte("""
+SELECT variable, CAST(k AS INTEGER) AS k, count(*) AS n_imputed, round(avg(v), 6) AS mean,
+       round(stddev_samp(v), 6) AS std, round(median(v), 6) AS median
+FROM val GROUP BY variable, k""", panel=ORDERS_PANEL_SQL, **_chosen_sql(KS)))
+def q_knn_k_sweep_chunked(spark, sf):
+    p = orders_panel(spark, sf, chunk_days=60).select("entity_id", "visit", "order_key", *VARS)
+    out = k_sweep(p, "entity_id", ORDER, VARS, tuple(KS), chunk_width=2)
+    return out.select("variable", "k", "n_imputed", *[F.round(c, 6).alias(c) for c in ["mean", "std", "median"]])
