@@ -47,3 +47,24 @@ def test_chunked_row_number(spark):
     plain = df.withColumn("rn", F.row_number().over(Window.partitionBy("e").orderBy("t", "k")))
     chunked = chunked_row_number(df, "e", ["t", "k"], "t", 16, name="rn")
     assert rows(chunked, "e", "t", "k", "rn") == rows(plain, "e", "t", "k", "rn")
+
+
+def test_chunked_series_tests_equal_single_window(spark):
+    import math
+    from pyspark.sql import functions as F
+    from tests.conftest import SF_SMALL
+    from wavepanel.operators.series import series_tests
+    from wavepanel.sources.testdata import event_series
+    ev = event_series(spark, SF_SMALL).withColumn("t_us", F.unix_micros(F.col("t").cast("timestamp")))
+    plain = {r.series: r for r in series_tests(ev, "series_id", ["t_us", "event_id"], "value").collect()}
+    chunked = {r.series: r for r in series_tests(ev, "series_id", ["t_us", "event_id"], "value",
+                                                 chunk_width=86_400_000_000 / 4).collect()}
+    assert plain.keys() == chunked.keys()
+    for sid, a in plain.items():
+        b = chunked[sid]
+        for f in a.__fields__:
+            x, y = a[f], b[f]
+            if x is None or y is None:
+                assert x is None and y is None, (sid, f)
+            else:
+                assert math.isclose(x, y, rel_tol=1e-8, abs_tol=1e-10), (sid, f, x, y)

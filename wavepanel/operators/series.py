@@ -59,8 +59,14 @@ def _lags(col: str, w, k: int, prefix: str):
     return [F.lag(col, j).over(w).alias(f"{prefix}{j}") for j in range(1, k + 1)]
 
 
-def prepared(df: DataFrame, series: str, order: list[str], value: str, L: int, K: int) -> DataFrame:
-    """Step 1: one window per series (WIN4, WIN5)."""
+def prepared(df: DataFrame, series: str, order: list[str], value: str, L: int, K: int,
+             chunk_width: float | None = None) -> DataFrame:
+    """Step 1: one window per series (WIN4, WIN5). With ``chunk_width``
+    (units of the numeric ``order[0]``) the same columns come from windows per
+    (series, order-range chunk) repaired across chunk boundaries, so a series
+    holding a large share of the rows is split over many tasks."""
+    if chunk_width:
+        return _prepared_chunked(df, series, order, value, L, K, chunk_width)
     w = Window.partitionBy(series).orderBy(*order)
     whole = Window.partitionBy(series)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -77,6 +83,36 @@ def prepared(df: DataFrame, series: str, order: list[str], value: str, L: int, K
                      *_lags("dx", w, L, "dl"), *_lags("r", w, K, "rl"), *_lags("a", w, ARCH_MAX_LAGS, "al"))
 
 
+def _prepared_chunked(df, series, order, value, L, K, width):
+    from wavepanel.operators.segments import CHUNK, chunked_neighbours, chunked_row_number, with_chunk
+    kx = max(L + 1, K, ARCH_MAX_LAGS)
+    base = df.select(series, *order, F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    numbered = chunked_row_number(base, series, order, order[0], width, name="__rn")
+    nb = chunked_neighbours(numbered, series, order, ["x"], kx, width)
+    # per-series count and mean, and the running sum of x, from chunk sums
+    sums = with_chunk(base, order[0], width).groupBy(series, CHUNK).agg(
+        F.count(F.lit(1)).alias("__c"), F.sum("x").alias("__s"))
+    ws = Window.partitionBy(series)
+    before = Window.partitionBy(series).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(series, CHUNK, F.sum("__c").over(ws).alias("n"), (F.sum("__s").over(ws) / F.sum("__c").over(ws))
+                       .alias("mu"), F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__off"))
+    wc = Window.partitionBy(series, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = nb.join(sums, [series, CHUNK]).withColumn("__cumx", F.sum("x").over(wc) + F.col("__off"))
+    cur = F.struct(F.col(order[0]).cast("double").alias("p"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    prev = F.reverse(F.array_sort(F.filter(F.col("__cand_x"), lambda c: c.dropFields("x") < cur)))
+    j = j.withColumn("__prev", prev)
+    xl = [F.try_element_at(F.col("__prev"), F.lit(i))["x"] for i in range(1, kx + 1)]
+    pos = (F.col("__rn") - 1).alias("pos")
+    out = j.select(series, pos, "n", "x", "mu", "__cumx", *[c.alias(f"__xl{i}") for i, c in enumerate(xl, 1)])
+    r = F.col("x") - F.col("mu")
+    return out.select(
+        series, "pos", "n", "x", F.col("__xl1").alias("xl"), (F.col("x") - F.col("__xl1")).alias("dx"),
+        r.alias("r"), (r * r).alias("a"), (F.col("__cumx") - (F.col("pos") + 1) * F.col("mu")).alias("cum"),
+        *[(F.col(f"__xl{j_}") - F.col(f"__xl{j_ + 1}")).alias(f"dl{j_}") for j_ in range(1, L + 1)],
+        *[(F.col(f"__xl{j_}") - F.col("mu")).alias(f"rl{j_}") for j_ in range(1, K + 1)],
+        *[((F.col(f"__xl{j_}") - F.col("mu")) ** 2).alias(f"al{j_}") for j_ in range(1, ARCH_MAX_LAGS + 1)])
+
+
 def gram_buckets(prep: DataFrame, series: str, L: int, K: int) -> DataFrame:
     """Step 2: cross products per (series, position bucket)."""
     B = max(L + 2, ARCH_MAX_LAGS + 1)
@@ -335,7 +371,7 @@ def _finish_batch(pdf: pd.DataFrame, series: str, L: int, K: int) -> pd.DataFram
 
 
 def series_tests(df: DataFrame, series: str, order: list[str], value: str, max_lag: int = 12,
-                 max_autocov: int = 16) -> DataFrame:
+                 max_autocov: int = 16, chunk_width: float | None = None) -> DataFrame:
     """ADF (constant, AIC lag choice, MacKinnon p), KPSS (level, automatic
     bandwidth, p interpolated and clamped to [0.01, 0.10]) and Engle's ARCH
     LM / F test on the demeaned series, one row per series (TST7-TST9).
@@ -349,7 +385,7 @@ def series_tests(df: DataFrame, series: str, order: list[str], value: str, max_l
     batch, so memory is bounded by the batch size.
     """
     L, K = max_lag, max_autocov
-    grams = gram_buckets(prepared(df, series, order, value, L, K), series, L, K)
+    grams = gram_buckets(prepared(df, series, order, value, L, K, chunk_width), series, L, K)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = grams.repartition(parts, series).sortWithinPartitions(series, "b")
 
@@ -372,10 +408,11 @@ def series_tests(df: DataFrame, series: str, order: list[str], value: str, max_l
     return ordered.mapInPandas(run, TEST_SCHEMA)
 
 
-def autocorrelation(df: DataFrame, series: str, order: list[str], value: str, nlags: int = 10) -> DataFrame:
+def autocorrelation(df: DataFrame, series: str, order: list[str], value: str, nlags: int = 10,
+                    chunk_width: float | None = None) -> DataFrame:
     """ACF per series and lag, lags 1..nlags (WIN7): sum r_t r_{t-k} / sum r_t^2
     with r the series-demeaned values. Pure Spark: one window, one aggregate."""
-    prep = prepared(df, series, order, value, 0, nlags)
+    prep = prepared(df, series, order, value, 0, nlags, chunk_width)
     sums = prep.groupBy(series).agg(*[
         F.sum(F.col("r") * (F.coalesce(F.col(f"rl{j}"), F.lit(0.0)) if j else F.col("r"))).alias(f"ac_{j}")
         for j in range(nlags + 1)])

@@ -49,3 +49,24 @@ def q_series_points(spark, sf):
     out = SR.series_points(event_series(spark, sf), "series_id", ORDER, "value", bucket=10)
     return out.select("series_id", F.col("block").cast("bigint").alias("block"),
                       F.col("first_pos").cast("bigint").alias("first_pos"), F.round("value", 6).alias("value"), "n")
+
+
+# The hot-series plan: every per-series window split into one-day chunks of the
+# event time (microseconds), boundaries repaired from chunk summaries.
+DAY_US = 86_400_000_000
+
+
+def _timed(spark, sf):
+    return event_series(spark, sf).withColumn("t_us", F.unix_micros(F.col("t").cast("timestamp")))
+
+
+@register("series_acf_chunked", _acf_sql())
+def q_series_acf_chunked(spark, sf):
+    out = SR.autocorrelation(_timed(spark, sf), "series_id", ["t_us", "event_id"], "value", NLAGS,
+                             chunk_width=DAY_US)
+    return out.select("series_id", "lag", F.round("acf", 6).alias("acf"))
+
+
+@register("series_tests_chunked")
+def q_series_tests_chunked(spark, sf):
+    return SR.series_tests(_timed(spark, sf), "series_id", ["t_us", "event_id"], "value", chunk_width=DAY_US)
