@@ -99,3 +99,13 @@ def test_batched_models_match_separate_fits(spark):
     single = M.fit_lmm(df, "y", "e", fixed=["v", "x"], factors={"g": "a"}, slope=None)
     assert np.allclose(res.fits["one"]["beta"], single.fits["model"]["beta"], atol=1e-7)
     assert np.allclose(res.fits["two"]["beta"], 2 * single.fits["model"]["beta"], atol=1e-6)
+
+
+@pytest.mark.parametrize("slope", [None, "v"])
+def test_distributed_fallback_matches_pattern_fit(spark, slope):
+    df = _synthetic(spark)
+    compressed = M.fit_lmm(df, "y", "e", fixed=["v", "x"], factors={"g": "a"}, slope=slope).fits["model"]
+    dist = M.fit_lmm(df, "y", "e", fixed=["v", "x"], factors={"g": "a"}, slope=slope, max_patterns=0).fits["model"]
+    assert dist["converged"]
+    assert math.isclose(dist["m2ll"], compressed["m2ll"], rel_tol=1e-9)
+    assert np.allclose(dist["beta"], compressed["beta"], atol=1e-4)

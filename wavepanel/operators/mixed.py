@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from wavepanel.functions import special as S
 from wavepanel.operators.derive import stars
+from wavepanel.session import cut_lineage
 
 _LOG2PI = math.log(2 * math.pi)
 
@@ -273,6 +274,102 @@ def _fit_patterns(pat: _Patterns, p: int, q: int):
     return dict(theta=theta, gamma=gam, m2ll=m2ll, beta=beta, s2=s2, cov=inv * s2, converged=bool(conv))
 
 
+# --------------------------------------------------------------------------
+# fallback: the same likelihood evaluated on the distributed entity table
+# --------------------------------------------------------------------------
+
+def _entity_terms(ent: DataFrame, cand: DataFrame, P: int, q: int) -> DataFrame:
+    """Per candidate G: sum of log|M_i| and of A_i' G M_i^-1 A_i over entities
+    (closed-form 1x1 / 2x2 algebra, one aggregate for all candidates)."""
+    j = ent.crossJoin(F.broadcast(cand))          # candidate table: a few dozen rows by construction
+    n = F.col("n_i").cast("double")
+    g00 = F.col("g00")
+    if q == 1:
+        det = 1 + n * g00
+        c = {(0, 0): g00 / det}
+    else:
+        sv, svv, g01, g11 = F.col("sv"), F.col("svv"), F.col("g01"), F.col("g11")
+        m00, m01 = 1 + n * g00 + sv * g01, n * g01 + sv * g11
+        m10, m11 = sv * g00 + svv * g01, 1 + sv * g01 + svv * g11
+        det = m00 * m11 - m01 * m10
+        i00, i01, i10, i11 = m11 / det, -m01 / det, -m10 / det, m00 / det
+        c = {(0, 0): g00 * i00 + g01 * i10, (0, 1): g00 * i01 + g01 * i11,
+             (1, 0): g01 * i00 + g11 * i10, (1, 1): g01 * i01 + g11 * i11}
+    aggs = [F.sum(F.log(det)).alias("logdet"), F.min(det).alias("mindet")]
+    for k in range(P):
+        for m in range(k, P):
+            term = F.lit(0.0)
+            for (a, b), cab in c.items():
+                term = term + cab * F.col(f"a{a}_{k}") * F.col(f"a{b}_{m}")
+            aggs.append(F.sum(term).alias(f"t_{k}_{m}"))
+    return j.groupBy("cid").agg(*aggs)
+
+
+def _fit_distributed(ent: DataFrame, P: int, q: int, p: int, n_obs: int, xx: np.ndarray,
+                     max_rounds: int = 60) -> dict:
+    """Pattern search over the Cholesky parameters; each round evaluates the
+    whole neighbourhood of the current point in one Spark job."""
+    spark = ent.sparkSession
+    dim = 1 if q == 1 else 3
+
+    def evaluate(thetas):
+        gams = [_gamma(np.asarray(t, dtype=float), q) for t in thetas]
+        rows = [(i, float(g[0, 0]), float(g[0, 1]) if q == 2 else 0.0, float(g[1, 1]) if q == 2 else 0.0)
+                for i, g in enumerate(gams)]
+        cand = spark.createDataFrame(rows, "cid int, g00 double, g01 double, g11 double")
+        res = {r["cid"]: r for r in _entity_terms(ent, cand, P, q).collect()}
+        out = []
+        for i, g in enumerate(gams):
+            r = res[i]
+            if r["mindet"] is None or r["mindet"] <= 0:
+                out.append((np.inf, None, None, None))
+                continue
+            corr = np.zeros((P, P))
+            for k in range(P):
+                for m in range(k, P):
+                    corr[k, m] = corr[m, k] = r[f"t_{k}_{m}"]
+            G = xx - corr
+            xwx, xwy, ywy = G[:p, :p], G[:p, p], G[p, p]
+            try:
+                inv = np.linalg.inv(xwx)
+            except np.linalg.LinAlgError:
+                out.append((np.inf, None, None, None))
+                continue
+            beta = inv @ xwy
+            r2 = float(ywy - beta @ xwy)
+            dof = n_obs - p
+            sld, ld = np.linalg.slogdet(xwx)
+            if r2 <= 0 or dof <= 0 or sld <= 0:
+                out.append((np.inf, None, None, None))
+                continue
+            s2 = r2 / dof
+            out.append((float(r["logdet"]) + ld + dof * (math.log(s2) + _LOG2PI + 1.0), beta, s2, inv))
+        return out
+
+    theta = np.array([1.0] if q == 1 else [1.0, 0.0, 0.1])
+    best = evaluate([theta])[0]
+    step, converged = 0.5, False
+    for _ in range(max_rounds):
+        moves = []
+        for d in range(dim):
+            for sgn in (1, -1):
+                t = theta.copy()
+                t[d] += sgn * step
+                moves.append(t)
+        vals = evaluate(moves)
+        i = int(np.argmin([v[0] for v in vals]))
+        if vals[i][0] < best[0] - 1e-10:
+            theta, best = moves[i], vals[i]
+        else:
+            step /= 2
+            if step < 1e-6:
+                converged = True
+                break
+    m2ll, beta, s2, inv = best
+    return dict(theta=theta, gamma=_gamma(theta, q), m2ll=m2ll, beta=beta, s2=s2, cov=inv * s2,
+                converged=converged)
+
+
 # --------------------------------------------------------------------------
 # public API
 # --------------------------------------------------------------------------
@@ -313,8 +410,10 @@ def fit_lmm(df: DataFrame, outcome: str, entity: str, fixed: list[str] | None =
     ent = entity_stats(rows, P, q)
     pats = pattern_stats(ent, P, q).limit(max_patterns + 1).toPandas()
     if len(pats) > max_patterns:
-        raise ValueError("too many distinct visit patterns for the compressed fit; "
-                         "coarsen the slope variable or raise max_patterns")
+        # too many distinct visit patterns to finish on the driver: keep the
+        # per-entity table distributed (checkpointed into the shared folder,
+        # it is scanned once per optimisation round) and evaluate there
+        return _fit_lmm_distributed(cut_lineage(ent), design.terms, P, q, df.sparkSession)
     fits = {}
     for m, rs in sorted(pats.groupby("__model"), key=lambda t: t[0]):
         pat = _assemble(rs.reset_index(drop=True), P, q)
@@ -338,6 +437,34 @@ def fit_lmm(df: DataFrame, outcome: str, entity: str, fixed: list[str] | None =
                      _fit_table(spark, fits), fits, design.terms, ent, q)
 
 
+def _fit_lmm_distributed(ent: DataFrame, terms: list[str], P: int, q: int, spark) -> LmmResult:
+    p = P - 1
+    stats = ent.groupBy("__model").agg(
+        F.sum("n_i").alias("n_obs"), F.count(F.lit(1)).alias("n_groups"), F.min("n_i").alias("min_group"),
+        F.max("n_i").alias("max_group"),
+        *[F.sum(f"xx_{k}_{m}").alias(f"xx_{k}_{m}") for k in range(P) for m in range(k, P)]).collect()
+    fits = {}
+    for r in sorted(stats, key=lambda r: r["__model"]):
+        m = r["__model"]
+        xx = np.zeros((P, P))
+        for k in range(P):
+            for mm in range(k, P):
+                xx[k, mm] = xx[mm, k] = r[f"xx_{k}_{mm}"]
+        n_obs = int(r["n_obs"])
+        fit = _fit_distributed(ent.filter(F.col("__model") == F.lit(m)), P, q, p, n_obs, xx)
+        fit.update(n_obs=n_obs, n_groups=int(r["n_groups"]), min_group=int(r["min_group"]),
+                   max_group=int(r["max_group"]), mean_group=n_obs / int(r["n_groups"]))
+        mean_x = xx[0, :p] / n_obs
+        cov_x = xx[:p, :p] / n_obs - np.outer(mean_x, mean_x)
+        var_fixed = float(fit["beta"] @ cov_x @ fit["beta"])
+        re_var = float(fit["gamma"][0, 0] * fit["s2"])
+        tot = var_fixed + re_var + fit["s2"]
+        fit.update(r2_marginal=var_fixed / tot, r2_conditional=(var_fixed + re_var) / tot)
+        fits[m] = fit
+    return LmmResult(_coef_table(spark, fits, terms), _variance_table(spark, fits, q),
+                     _fit_table(spark, fits), fits, terms, ent, q)
+
+
 def _coef_table(spark, fits, terms) -> DataFrame:
     rows = []
     for m, f in fits.items():
