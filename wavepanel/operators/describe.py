@@ -150,10 +150,10 @@ def quantile_shift(before: DataFrame, after: DataFrame, cols: list[str], probs,
     """Distribution statistics of two versions of the same columns side by
     side, with percent change rounded to ``digits``; change from 0 is null
     (AGG18)."""
-    stats = ["mean", "std", "min", *[f"p{int(round(p * 100)):02d}" for p in probs], "max"]
+    stats = ["count", "mean", "std", "min", *[f"p{int(round(p * 100)):02d}" for p in probs], "max"]
 
     def longform(df, tag):
-        d = describe(df, cols, probs)
+        d = describe(df, cols, probs).withColumn("count", F.col("n").cast("double"))
         return d.unpivot(["variable"], stats, "statistic", tag)
 
     a, b = longform(before, "original"), longform(after, "imputed")

@@ -306,9 +306,10 @@ def _entity_terms(ent: DataFrame, cand: DataFrame, P: int, q: int) -> DataFrame:
 
 
 def _fit_distributed(ent: DataFrame, P: int, q: int, p: int, n_obs: int, xx: np.ndarray,
-                     max_rounds: int = 60) -> dict:
-    """Pattern search over the Cholesky parameters; each round evaluates the
-    whole neighbourhood of the current point in one Spark job."""
+                     max_rounds: int = 30) -> dict:
+    """Minimise -2 REML loglik over the Cholesky parameters with every
+    likelihood evaluation running on the distributed entity table, many
+    candidate covariances per Spark job."""
     spark = ent.sparkSession
     dim = 1 if q == 1 else 3
 
@@ -346,25 +347,42 @@ def _fit_distributed(ent: DataFrame, P: int, q: int, p: int, n_obs: int, xx: np.
             out.append((float(r["logdet"]) + ld + dof * (math.log(s2) + _LOG2PI + 1.0), beta, s2, inv))
         return out
 
+    # Batched Newton: one job evaluates a finite-difference stencil (gradient
+    # and Hessian of -2 loglik in the Cholesky parameters), the next a batch of
+    # step lengths along the Newton (or steepest-descent) direction.
     theta = np.array([1.0] if q == 1 else [1.0, 0.0, 0.1])
     best = evaluate([theta])[0]
-    step, converged = 0.5, False
+    converged, h = False, 1e-4
     for _ in range(max_rounds):
-        moves = []
-        for d in range(dim):
-            for sgn in (1, -1):
-                t = theta.copy()
-                t[d] += sgn * step
-                moves.append(t)
-        vals = evaluate(moves)
-        i = int(np.argmin([v[0] for v in vals]))
-        if vals[i][0] < best[0] - 1e-10:
-            theta, best = moves[i], vals[i]
-        else:
-            step /= 2
-            if step < 1e-6:
-                converged = True
+        eye = np.eye(dim)
+        pts = [theta + h * eye[i] for i in range(dim)] + [theta - h * eye[i] for i in range(dim)]
+        pairs = [(i, j) for i in range(dim) for j in range(i + 1, dim)]
+        pts += [theta + h * (eye[i] + eye[j]) for i, j in pairs]
+        vals = [v[0] for v in evaluate(pts)]
+        f0 = best[0]
+        fp, fm = vals[:dim], vals[dim:2 * dim]
+        grad = np.array([(fp[i] - fm[i]) / (2 * h) for i in range(dim)])
+        hess = np.diag([(fp[i] - 2 * f0 + fm[i]) / h ** 2 for i in range(dim)])
+        for (i, j), fij in zip(pairs, vals[2 * dim:]):
+            hess[i, j] = hess[j, i] = (fij - fp[i] - fp[j] + f0) / h ** 2
+        if not np.all(np.isfinite(grad)) or not np.all(np.isfinite(hess)):
+            break
+        try:
+            eig = np.linalg.eigvalsh(hess)
+            direction = -np.linalg.solve(hess, grad) if eig.min() > 0 else -grad / max(np.linalg.norm(grad), 1e-12)
+        except np.linalg.LinAlgError:
+            direction = -grad / max(np.linalg.norm(grad), 1e-12)
+        alphas = [1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 2.0]
+        trial = evaluate([theta + a * direction for a in alphas])
+        i = int(np.argmin([t[0] for t in trial]))
+        if trial[i][0] < f0 - 1e-12:
+            theta, best = theta + alphas[i] * direction, trial[i]
+            if f0 - best[0] < 1e-10 * max(1.0, abs(f0)):
+                converged = True          # the objective no longer moves (also on a flat boundary)
                 break
+        else:
+            converged = bool(np.linalg.norm(grad) < 1e-3 * max(1.0, abs(f0)) ** 0.5)
+            break
     m2ll, beta, s2, inv = best
     return dict(theta=theta, gamma=_gamma(theta, q), m2ll=m2ll, beta=beta, s2=s2, cov=inv * s2,
                 converged=converged)

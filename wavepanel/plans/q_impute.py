@@ -110,3 +110,39 @@ def q_knn_k_sweep_chunked(spark, sf):
     p = orders_panel(spark, sf, chunk_days=60).select("entity_id", "visit", "order_key", *VARS)
     out = k_sweep(p, "entity_id", ORDER, VARS, tuple(KS), chunk_width=2)
     return out.select("variable", "k", "n_imputed", *[F.round(c, 6).alias(c) for c in ["mean", "std", "median"]])
+
+
+SHIFT_PROBS = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
+
+
+def _shift_sql():
+    stats = [("count", "CAST(count(value) AS DOUBLE)"), ("mean", "avg(value)"), ("std", "stddev_samp(value)"),
+             ("min", "min(value)")]
+    stats += [(f"p{int(round(p * 100)):02d}", f"quantile_cont(value, {p})") for p in SHIFT_PROBS]
+    stats.append(("max", "max(value)"))
+    parts = []
+    for name, expr in stats:
+        parts.append(f"SELECT o.variable, '{name}' AS statistic, o.v AS original, i.v AS imputed FROM "
+                     f"(SELECT variable, {expr} AS v FROM observed GROUP BY variable) o JOIN "
+                     f"(SELECT variable, {expr} AS v FROM imputed GROUP BY variable) i ON o.variable = i.variable")
+    body = ("SELECT variable, statistic, round(original, 6) AS original, round(imputed, 6) AS imputed, "
+            "CASE WHEN original <> 0 THEN round_even((imputed - original) / original * 100, 2) END AS pct_change "
+            "FROM (" + "\nUNION ALL ".join(parts) + ")")
+    return with_cte(body, imp="(" + _impute_sql(4) + ")",
+                    observed="\nUNION ALL ".join(f"SELECT '{v}' AS variable, {v} AS value FROM imp WHERE {v} IS NOT NULL"
+                                                 for v in VARS),
+                    imputed="\nUNION ALL ".join(f"SELECT '{v}' AS variable, {v}_filled AS value FROM imp "
+                                                f"WHERE {v} IS NULL AND {v}_filled IS NOT NULL" for v in VARS))
+
+
+@register("distribution_shift", _shift_sql())
+def q_distribution_shift(spark, sf):
+    """AGG17/AGG18: observed vs imputed distribution at 5..95% with percent change."""
+    from wavepanel.operators.describe import quantile_shift
+    p = orders_panel(spark, sf).select("entity_id", "visit", "order_key", *VARS)
+    imp = knn_impute(p, "entity_id", ORDER, VARS, k=4)
+    observed = imp.select(*VARS)
+    imputed = imp.select(*[F.when(F.col(v).isNull(), F.col(f"{v}_filled")).alias(v) for v in VARS])
+    out = quantile_shift(observed, imputed, VARS, SHIFT_PROBS)
+    return out.select("variable", "statistic", F.round("original", 6).alias("original"),
+                      F.round("imputed", 6).alias("imputed"), "pct_change")

@@ -123,3 +123,12 @@ def q_lmm_counts(spark, sf):
     return e.agg(F.sum("n_i").alias("n_obs"), F.count(F.lit(1)).alias("n_groups"),
                  F.min("n_i").alias("min_group"), F.max("n_i").alias("max_group"),
                  F.round(F.sum(F.col("n_i") * F.col("n_i")) / F.sum("n_i"), 6).alias("mean_group"))
+
+
+@register("lmm_slope_distributed")
+def q_lmm_distributed(spark, sf):
+    """MOD1 through the distributed-likelihood path (forced with
+    max_patterns=0): the plan used when visit patterns are unbounded."""
+    res = M.fit_lmm(_stage_panel(spark, sf), "m_avg", "entity_id", fixed=["visit", "age"],
+                    factors={"stage": "5-LOW", "status": "mode"}, slope="visit", max_patterns=0)
+    return res.coefficients
