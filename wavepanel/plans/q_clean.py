@@ -86,8 +86,8 @@ AUDIT_RANGES = {"m1": (0, 12), "x1": (1, 50), "x2": (1, 5), "visit": (0, 22)}
 def _audit_cells():
     parts = []
     for c, (lo, hi) in AUDIT_RANGES.items():
-        parts.append(f"SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS value, {float(lo)} AS lo, "
-                     f"{float(hi)} AS hi FROM panel WHERE {c} IS NOT NULL")
+        parts.append(f"SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS value, CAST({float(lo)} AS DOUBLE) AS lo, "
+                     f"CAST({float(hi)} AS DOUBLE) AS hi FROM panel WHERE {c} IS NOT NULL")
     return "\nUNION ALL ".join(parts)
 
 

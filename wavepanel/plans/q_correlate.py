@@ -20,7 +20,7 @@ def _corr_sql(cols, src="np", flags=False):
     for a, b in itertools.combinations(cols, 2):
         xa = f"CAST({a} IS NULL AS DOUBLE)" if flags else a
         xb = f"CAST({b} IS NULL AS DOUBLE)" if flags else b
-        n = "count(*)" if flags else f"count_if({a} IS NOT NULL AND {b} IS NOT NULL)"
+        n = "count(*)" if flags else f"CAST(count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS BIGINT)"
         parts.append(f"SELECT '{a}' AS var1, '{b}' AS var2, round(corr({xa}, {xb}), 6) AS r, {n} AS n FROM {src}")
     return "\nUNION ALL ".join(parts)
 

@@ -19,7 +19,8 @@ SELECT entity_id, visit,
   CASE stage_code WHEN 1 THEN 'first' WHEN 2 THEN 'second' WHEN 3 THEN 'third' WHEN 4 THEN 'fourth'
                   WHEN 8 THEN 'first' END AS label,
   CASE WHEN stage_code IN (1, 8) THEN 'A' ELSE 'B' END AS kind,
-  CASE stage WHEN '5-LOW' THEN 1 WHEN '4-NOT SPECIFIED' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '2-HIGH' THEN 4 END AS stage_ord,
+  CAST(CASE stage WHEN '5-LOW' THEN 1 WHEN '4-NOT SPECIFIED' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '2-HIGH' THEN 4 END
+       AS BIGINT) AS stage_ord,
   CASE WHEN stage IN ('5-LOW', '4-NOT SPECIFIED', '3-MEDIUM', '2-HIGH') THEN stage END AS stage_ordered
 FROM panel WHERE stage_code IN (1, 2, 3, 4, 8)""", **P))
 def q_stage_coding(spark, sf):

@@ -112,10 +112,10 @@ def q_retention(spark, sf):
 
 
 @register("null_summary", with_cte("""
-SELECT 'm1' AS variable, count_if(m1 IS NULL) AS n_null, count(*) AS n_rows FROM panel
-UNION ALL SELECT 'm2', count_if(m2 IS NULL), count(*) FROM panel
-UNION ALL SELECT 'e1', count_if(e1 IS NULL), count(*) FROM panel
-UNION ALL SELECT 'stage', count_if(stage IS NULL), count(*) FROM panel""", **P))
+SELECT 'm1' AS variable, CAST(count_if(m1 IS NULL) AS BIGINT) AS n_null, count(*) AS n_rows FROM panel
+UNION ALL SELECT 'm2', CAST(count_if(m2 IS NULL) AS BIGINT), count(*) FROM panel
+UNION ALL SELECT 'e1', CAST(count_if(e1 IS NULL) AS BIGINT), count(*) FROM panel
+UNION ALL SELECT 'stage', CAST(count_if(stage IS NULL) AS BIGINT), count(*) FROM panel""", **P))
 def q_null_summary(spark, sf):
     return D.null_summary(orders_panel(spark, sf), ["m1", "m2", "e1", "stage"])
 
@@ -221,7 +221,8 @@ def q_categorical_profile(spark, sf):
 
 
 @register("contingency", with_cte("""
-SELECT stage, count_if(m1 IS NOT NULL) AS "0", count_if(m1 IS NULL) AS "1" FROM panel GROUP BY stage""", **P))
+SELECT stage, CAST(count_if(m1 IS NOT NULL) AS BIGINT) AS "0", CAST(count_if(m1 IS NULL) AS BIGINT) AS "1"
+FROM panel GROUP BY stage""", **P))
 def q_contingency(spark, sf):
     p = orders_panel(spark, sf).withColumn("missing_m1", F.col("m1").isNull().cast("int"))
     return D.contingency(p, "stage", "missing_m1", [0, 1])

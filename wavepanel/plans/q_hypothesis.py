@@ -52,7 +52,7 @@ def _chi_sql():
     return with_cte("""
 SELECT variable, round(chi2, 6) AS chi2, dof, n, round(exp(-chi2 / 2) * (1 + chi2 / 2), 6) AS p FROM (
   SELECT o.variable, sum(power(o.o - r.rt * c.ct / t.t, 2) / (r.rt * c.ct / t.t)) AS chi2,
-         CAST((t.r - 1) * (t.c - 1) AS BIGINT) AS dof, t.t AS n
+         CAST((t.r - 1) * (t.c - 1) AS BIGINT) AS dof, CAST(t.t AS BIGINT) AS n
   FROM obs o JOIN rt r ON o.variable = r.variable AND o.stage = r.stage
              JOIN ct c ON o.variable = c.variable AND o.missing = c.missing
              JOIN tot t ON o.variable = t.variable
@@ -75,7 +75,8 @@ def q_chi2(spark, sf):
 SELECT f.variable, f.q1, f.q3, f.lower, f.upper, coalesce(c.n_candidates, 0) AS n_candidates,
        coalesce(c.n_outliers, 0) AS n_outliers
 FROM fences f LEFT JOIN (
-  SELECT i.variable, count(*) AS n_candidates, count_if(i.value < f.lower OR i.value > f.upper) AS n_outliers
+  SELECT i.variable, count(*) AS n_candidates,
+         CAST(count_if(i.value < f.lower OR i.value > f.upper) AS BIGINT) AS n_outliers
   FROM imputed i JOIN fences f ON i.variable = f.variable GROUP BY i.variable) c ON f.variable = c.variable""",
     imp="(" + _impute_sql(4) + ")",
     observed="\nUNION ALL ".join(f"SELECT '{v}' AS variable, {v} AS value FROM imp WHERE {v} IS NOT NULL" for v in VARS),

@@ -84,8 +84,9 @@ def q_knn_k_sweep(spark, sf):
 
 
 @register("imputation_counts", with_cte("""
-SELECT variable, count_if(value IS NULL) AS n_missing,
-       count_if(value IS NULL AND filled IS NOT NULL) AS n_imputed, count_if(filled IS NULL) AS n_remaining
+SELECT variable, CAST(count_if(value IS NULL) AS BIGINT) AS n_missing,
+       CAST(count_if(value IS NULL AND filled IS NOT NULL) AS BIGINT) AS n_imputed,
+       CAST(count_if(filled IS NULL) AS BIGINT) AS n_remaining
 FROM (""" + "\nUNION ALL ".join(f"SELECT '{v}' AS variable, {v} AS value, {v}_filled AS filled FROM imp"
                                for v in VARS) + ") GROUP BY variable",
     imp="(" + _impute_sql(4) + ")"))

@@ -51,7 +51,7 @@ def _qq_sql():
     probs = [(i - 0.5) / QQ_POINTS for i in range(1, QQ_POINTS + 1)]
     parts = []
     for p in probs:
-        parts.append(f"SELECT variable, {p!r} AS p, {S.norm_ppf(p)!r} AS theoretical, "
+        parts.append(f"SELECT variable, CAST({p!r} AS DOUBLE) AS p, CAST({S.norm_ppf(p)!r} AS DOUBLE) AS theoretical, "
                      f"quantile_cont(value, {p!r}) AS sample, avg(value) AS mu, stddev_samp(value) AS sd "
                      f"FROM cells GROUP BY variable")
     return with_cte("SELECT variable, p, round(theoretical, 6) AS theoretical, round(sample, 6) AS sample, "
@@ -69,7 +69,7 @@ def q_qq(spark, sf):
 SELECT q.stage, q.variable, q.n, q.q1, q.median, q.q3,
        min(CASE WHEN c.value >= q.q1 - 1.5 * (q.q3 - q.q1) THEN c.value END) AS whisker_lo,
        max(CASE WHEN c.value <= q.q3 + 1.5 * (q.q3 - q.q1) THEN c.value END) AS whisker_hi,
-       count_if(c.value < q.q1 - 1.5 * (q.q3 - q.q1) OR c.value > q.q3 + 1.5 * (q.q3 - q.q1)) AS n_outliers
+       CAST(count_if(c.value < q.q1 - 1.5 * (q.q3 - q.q1) OR c.value > q.q3 + 1.5 * (q.q3 - q.q1)) AS BIGINT) AS n_outliers
 FROM cells c JOIN q ON c.stage = q.stage AND c.variable = q.variable
 GROUP BY q.stage, q.variable, q.n, q.q1, q.median, q.q3""", **P, cells=_cells(["m1", "x1"], ids="stage"),
     q="""SELECT stage, variable, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
@@ -90,7 +90,7 @@ TRI = ["m1", "m2", "e1", "x1"]
 
 @register("corr_lower_triangle", with_cte("\nUNION ALL ".join(
     f"SELECT '{b}' AS var1, '{a}' AS var2, round(corr({a}, {b}), 6) AS r, "
-    f"count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM panel"
+    f"CAST(count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS BIGINT) AS n FROM panel"
     for a, b in itertools.combinations(TRI, 2)), **P))
 def q_lower(spark, sf):
     full = corr_long(orders_panel(spark, sf), TRI, full=True)
