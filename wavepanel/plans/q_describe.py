@@ -226,3 +226,21 @@ FROM panel GROUP BY stage""", **P))
 def q_contingency(spark, sf):
     p = orders_panel(spark, sf).withColumn("missing_m1", F.col("m1").isNull().cast("int"))
     return D.contingency(p, "stage", "missing_m1", [0, 1])
+
+
+@register("metric_report", with_cte("""
+SELECT 'group_sizes' AS section, variable, metric, value FROM (
+  SELECT variable, 'n_levels' AS metric, CAST(n_levels AS DOUBLE) AS value FROM gs
+  UNION ALL SELECT variable, 'min_size', CAST(min_size AS DOUBLE) FROM gs
+  UNION ALL SELECT variable, 'max_size', CAST(max_size AS DOUBLE) FROM gs
+  UNION ALL SELECT variable, 'ratio', ratio FROM gs)""", **P, gs="""
+SELECT variable, count(*) AS n_levels, min(n) AS min_size, max(n) AS max_size, round(max(n) / min(n), 6) AS ratio
+FROM (SELECT variable, value, count(*) AS n FROM (
+        SELECT 'stage' AS variable, stage AS value FROM panel
+        UNION ALL SELECT 'status', status FROM panel) WHERE value IS NOT NULL
+      GROUP BY variable, value) GROUP BY variable"""))
+def q_metric_report(spark, sf):
+    """SNK2: results as one long (section, variable, metric, value) table."""
+    from wavepanel.sources.io import metric_table
+    gs = D.group_sizes(orders_panel(spark, sf), ["stage", "status"])
+    return metric_table("group_sizes", gs, "variable", ["n_levels", "min_size", "max_size", "ratio"])
