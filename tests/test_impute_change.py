@@ -1,6 +1,5 @@
 """kNN imputation, change events, entity selection: hand-made cases."""
 
-from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from wavepanel.operators.change import DOWN, UP, decline_rates, last_stage, visit_changes

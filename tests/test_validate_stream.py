@@ -1,8 +1,6 @@
 """Check registry and streaming ingestion."""
 
-import tempfile
 
-from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL, none_safe, rows
 from wavepanel.plans.validate import validate
