@@ -244,3 +244,20 @@ def q_metric_report(spark, sf):
     from wavepanel.sources.io import metric_table
     gs = D.group_sizes(orders_panel(spark, sf), ["stage", "status"])
     return metric_table("group_sizes", gs, "variable", ["n_levels", "min_size", "max_size", "ratio"])
+
+
+@register("domain_means_by_stage", with_cte("""
+SELECT stage, round(avg(d1), 6) AS d1, round(avg(d2), 6) AS d2 FROM (
+  SELECT stage,
+    CASE WHEN (CASE WHEN e1 IS NULL THEN 0 ELSE 1 END + CASE WHEN e2 IS NULL THEN 0 ELSE 1 END) > 0
+         THEN (coalesce(e1, 0) + coalesce(e2, 0))
+              / (CASE WHEN e1 IS NULL THEN 0 ELSE 1 END + CASE WHEN e2 IS NULL THEN 0 ELSE 1 END) END AS d1,
+    CASE WHEN (CASE WHEN e3 IS NULL THEN 0 ELSE 1 END + CASE WHEN m1 IS NULL THEN 0 ELSE 1 END) > 0
+         THEN (coalesce(e3, 0) + coalesce(m1, 0))
+              / (CASE WHEN e3 IS NULL THEN 0 ELSE 1 END + CASE WHEN m1 IS NULL THEN 0 ELSE 1 END) END AS d2
+  FROM panel) GROUP BY stage""", **P))
+def q_domain_means(spark, sf):
+    """AGG16 (with PRJ16): null-skipping composite scores, then their means per stage."""
+    from wavepanel.operators.derive import row_mean
+    p = orders_panel(spark, sf).select("stage", row_mean(["e1", "e2"]).alias("d1"), row_mean(["e3", "m1"]).alias("d2"))
+    return p.groupBy("stage").agg(F.round(F.avg("d1"), 6).alias("d1"), F.round(F.avg("d2"), 6).alias("d2"))
