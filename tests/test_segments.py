@@ -68,3 +68,15 @@ def test_chunked_series_tests_equal_single_window(spark):
                 assert x is None and y is None, (sid, f)
             else:
                 assert math.isclose(x, y, rel_tol=1e-8, abs_tol=1e-10), (sid, f, x, y)
+
+
+def test_auto_chunk_width(spark):
+    from wavepanel.operators.segments import auto_chunk_width
+    df = _panel(spark)
+    assert auto_chunk_width(df, "e", "t") is None                   # no key above the default budget
+    w = auto_chunk_width(df, "e", "t", target_rows=300)             # entity 0 has 1500 rows over t in [0, ~3000]
+    assert w is not None and 300 < w < 1000
+    from wavepanel.operators.impute import knn_impute
+    plain = knn_impute(df, "e", ["t", "k"], ["x"], k=3)
+    auto = knn_impute(df, "e", ["t", "k"], ["x"], k=3, chunk_width=w)
+    assert rows(auto, "e", "t", "k", "x_imputed") == rows(plain, "e", "t", "k", "x_imputed")

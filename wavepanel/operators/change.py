@@ -31,6 +31,9 @@ def visit_changes(df: DataFrame, entity: str, order: list[str], stage: str,
     back, so no task holds a whole entity (identical results).
     """
     names = list(measures)
+    if chunk_width == "auto":
+        from wavepanel.operators.segments import resolve_width
+        chunk_width = resolve_width(df, entity, order[0], chunk_width)
     if chunk_width:
         from wavepanel.operators.segments import chunked_lag
         lagged = chunked_lag(df.select(entity, *order, *names), entity, order, names, chunk_width)

@@ -73,6 +73,9 @@ def _knn_value(cands: Column, pos: Column, n_obs: Column, k: int, n_order: int)
 
 
 def _candidates(df, entity, order, variables, k, chunk_width):
+    if chunk_width == "auto":
+        from wavepanel.operators.segments import resolve_width
+        chunk_width = resolve_width(df, entity, order[0], chunk_width)
     if chunk_width:
         from wavepanel.operators.segments import chunked_neighbours
         return chunked_neighbours(df, entity, order, variables, k, chunk_width)

@@ -29,6 +29,31 @@ from pyspark.sql import functions as F
 CHUNK = "__chunk"
 
 
+HOT_ROWS = 2_000_000      # rows one task should hold for one key before the key is chunked
+
+
+def auto_chunk_width(df: DataFrame, key: str, order_col: str, target_rows: int = HOT_ROWS) -> float | None:
+    """None when no key holds more than ``target_rows`` rows (the plain
+    per-key window is then fine); otherwise a chunk width (in units of
+    ``order_col``) giving the largest key chunks of about ``target_rows``.
+    One partial aggregate per key, then a max over keys: no key is collected."""
+    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"),
+                              (F.max(F.col(order_col).cast("double")) - F.min(F.col(order_col).cast("double")))
+                              .alias("span"))
+    top = per.orderBy(F.col("n").desc()).select("n", "span").first()
+    if top is None or top["n"] <= target_rows:
+        return None
+    span = top["span"] or 0.0
+    return max(span * target_rows / top["n"], 1e-9)
+
+
+def resolve_width(df: DataFrame, key: str, order_col: str, width) -> float | None:
+    """``width`` may be None (plain window), a number, or ``"auto"``."""
+    if width == "auto":
+        return auto_chunk_width(df, key, order_col)
+    return width
+
+
 def with_chunk(df: DataFrame, order_col: str, width: float) -> DataFrame:
     return df.withColumn(CHUNK, F.floor(F.col(order_col).cast("double") / float(width)).cast("long"))
 

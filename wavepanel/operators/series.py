@@ -65,6 +65,9 @@ def prepared(df: DataFrame, series: str, order: list[str], value: str, L: int, K
     (units of the numeric ``order[0]``) the same columns come from windows per
     (series, order-range chunk) repaired across chunk boundaries, so a series
     holding a large share of the rows is split over many tasks."""
+    if chunk_width == "auto":
+        from wavepanel.operators.segments import resolve_width
+        chunk_width = resolve_width(df, series, order[0], chunk_width)
     if chunk_width:
         return _prepared_chunked(df, series, order, value, L, K, chunk_width)
     w = Window.partitionBy(series).orderBy(*order)

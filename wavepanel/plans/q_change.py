@@ -15,11 +15,15 @@ CHANGE_MEASURES = {"m_avg": ("down", DOWN), "e1": ("up", UP), "e2": ("up", UP),
 
 def decline_slice(spark, sf_dir):
     """Flagship: panel -> keep entities with >=2 values in both measures ->
-    adjacent-visit changes -> last stage -> decline rates (grouping sets)."""
-    p = orders_panel(spark, sf_dir)
+    adjacent-visit changes -> last stage -> decline rates (grouping sets).
+
+    Skew-aware: one small aggregate checks the largest customer; only if it
+    exceeds the per-task row budget are the visit numbering and the lags
+    switched to their chunked forms (``decline_rates_chunked`` forces them)."""
+    p = orders_panel(spark, sf_dir, chunk_days="auto")
     kept = keep_entities(p, "entity_id", ["m1", "m2"], min_obs=2, method="window")
     kept = kept.withColumn("m_avg", pair_mean("m1", "m2"))
-    changes = visit_changes(kept, "entity_id", ["visit"], "stage", CHANGE_MEASURES)
+    changes = visit_changes(kept, "entity_id", ["visit"], "stage", CHANGE_MEASURES, chunk_width="auto")
     return decline_rates(changes)
 
 

@@ -56,6 +56,11 @@ def orders_panel(spark: SparkSession, sf_dir: str, chunk_days: int | None = None
         "o_orderkey", F.col("o_custkey").alias("entity_id"), "o_orderdate", "o_orderpriority",
         "o_orderstatus", "o_totalprice")
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    if chunk_days == "auto":
+        from wavepanel.operators.segments import auto_chunk_width
+        day = o.select("entity_id", F.datediff(F.col("o_orderdate").cast("date"),
+                                               F.lit("1970-01-01").cast("date")).alias("__day"))
+        chunk_days = auto_chunk_width(day, "entity_id", "__day")
     if chunk_days:
         from wavepanel.operators.segments import chunked_row_number
         o = o.withColumn("__day", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")))
