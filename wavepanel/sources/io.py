@@ -34,12 +34,15 @@ def strip_visit_suffix(names: list[str], visit: int) -> list[str]:
     return out
 
 
-def list_files(spark: SparkSession, path: str) -> list[str]:
-    """File names directly under ``path`` (any Hadoop-supported file system)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(hpath) if s.isFile())
+def list_files(spark: SparkSession, path: str, ext: str = "") -> list[str]:
+    """File names directly under ``path`` on any file system Spark reads,
+    through the ``binaryFile`` source; only the ``path`` column is selected,
+    so file contents are pruned from the scan."""
+    reader = spark.read.format("binaryFile")
+    if ext:
+        reader = reader.option("pathGlobFilter", f"*{ext}")
+    rows = reader.load(path).select("path").collect()
+    return sorted({r["path"].rstrip("/").rsplit("/", 1)[-1] for r in rows})
 
 
 def visit_files(names: list[str], pattern: str = r"timestamp_(\d+)", ext: str = ".tsv",
@@ -65,7 +68,7 @@ def read_panel(spark: SparkSession, path: str, pattern: str = r"timestamp_(\d+)"
     Every cell is read as text; after the union, missing codes are nulled in
     all columns and columns whose values all parse become doubles.
     """
-    files = visit_files(list_files(spark, path), pattern, ext, exclude)
+    files = visit_files(list_files(spark, path, ext), pattern, ext, exclude)
     if not files:
         raise ValueError(f"no visit files under {path}")
     frames = []
