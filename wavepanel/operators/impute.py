@@ -52,13 +52,18 @@ def _with_candidates(df: DataFrame, entity: str, order: list[str], variables: li
     return base.select("*", *cols).drop(*[f"__it_{v}" for v in variables])
 
 
-def _knn_value(cands: Column, pos: Column, n_obs: Column, k: int, n_order: int) -> Column:
-    """Distance-weighted mean of the k nearest candidates (see module doc)."""
+def _sorted_candidates(cands: Column, pos: Column, n_order: int) -> Column:
+    """Candidates keyed by (distance, position, tie-breaks) and sorted once."""
     present = F.filter(cands, lambda c: c.isNotNull())
     keyed = F.transform(present, lambda c: F.struct(
         F.abs(c["p"] - pos).alias("d"), c["p"].alias("p"),
         *[c[f"o{i}"].alias(f"o{i}") for i in range(n_order)], c["x"].alias("x")))
-    chosen = F.slice(F.array_sort(keyed), F.lit(1), F.least(F.lit(k), n_obs.cast("int")))
+    return F.array_sort(keyed)
+
+
+def _knn_value(ranked: Column, n_obs: Column, k: int) -> Column:
+    """Distance-weighted mean of the k nearest of the sorted candidates (see module doc)."""
+    chosen = F.slice(ranked, F.lit(1), F.least(F.lit(k), n_obs.cast("int")))
     at_zero = F.filter(chosen, lambda c: c["d"] == 0)
     n0 = F.size(at_zero)
     mean0 = F.try_divide(F.aggregate(at_zero, F.lit(0.0), lambda acc, c: acc + c["x"]), n0)
@@ -94,11 +99,13 @@ def knn_impute(df: DataFrame, entity: str, order: list[str], variables: list[str
     """
     cand = _candidates(df, entity, order, variables, k, chunk_width)
     pos = F.col(order[0]).cast("double")
+    cand = cand.select("*", *[F.when(F.col(v).isNull(), _sorted_candidates(F.col(f"__cand_{v}"), pos, len(order)))
+                              .alias(f"__rank_{v}") for v in variables])        # only missing cells need it
     out = []
     for v in variables:
         n_obs = F.col(f"__nobs_{v}")
         touched = (F.col("__nrows") >= 2) & (n_obs >= 1) & (n_obs < F.col("__nrows"))
-        value = F.bround(_knn_value(F.col(f"__cand_{v}"), pos, n_obs, k, len(order)), 0)
+        value = F.bround(_knn_value(F.col(f"__rank_{v}"), n_obs, k), 0)
         imputed = F.when(touched, F.when(F.col(v).isNull(), value).otherwise(F.bround(F.col(v).cast("double"), 0))) \
                    .otherwise(F.col(v).cast("double"))
         out.append(imputed.alias(f"{v}{suffix}"))
@@ -117,12 +124,17 @@ def k_sweep(df: DataFrame, entity: str, order: list[str], variables: list[str],
     k_max = max(ks)
     cand = _candidates(df, entity, order, variables, k_max, chunk_width)
     pos = F.col(order[0]).cast("double")
+    # only missing cells are summarised; sort each one's candidates once for all k
+    cand = cand.filter(F.greatest(*[F.col(v).isNull() for v in variables]) if len(variables) > 1
+                       else F.col(variables[0]).isNull())
+    cand = cand.select("*", *[_sorted_candidates(F.col(f"__cand_{v}"), pos, len(order)).alias(f"__rank_{v}")
+                              for v in variables])
     cells = []
     for v in variables:
         n_obs = F.col(f"__nobs_{v}")
         touched = (F.col("__nrows") >= 2) & (n_obs >= 1) & F.col(v).isNull()
         for k in ks:
-            val = F.bround(_knn_value(F.col(f"__cand_{v}"), pos, n_obs, k, len(order)), 0)
+            val = F.bround(_knn_value(F.col(f"__rank_{v}"), n_obs, k), 0)
             cells.append(F.struct(F.lit(v).alias("variable"), F.lit(k).alias("k"),
                                   F.when(touched, val).alias("value")))
     long = cand.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter(F.col("value").isNotNull())
