@@ -1,9 +1,9 @@
 """Derived columns (PRJ8-PRJ27): labels, transforms, composites, scores.
 
 All are column expressions; the few that need a whole-column statistic
-(z-score, reflect-log, stage weights) compute it as a one-row or
-one-row-per-level aggregate and attach it with a broadcast join, since that
-side's size is bounded by construction.
+(z-score, reflect-log, stage weights) compute it as an aggregate and join it
+back: one-row aggregates are broadcast (bounded by construction), per-group
+tables are left to AQE's measured-size join choice.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavepanel.catalog import SIGNIFICANCE_LEVELS
-from wavepanel.operators.sizing import bounded
+from wavepanel.operators.sizing import bounded, broadcast_if_small
 
 
 def _c(x: str | Column) -> Column:
@@ -155,11 +155,12 @@ def finite(col: str | Column) -> Column:
 
 
 def inverse_frequency(df: DataFrame, col: str, out: str = "weight") -> DataFrame:
-    """Row weight n / n_level (PRJ25). The per-level table has one row per
-    level, so it is broadcast."""
+    """Row weight n / n_level (PRJ25). The total is one row (broadcast); the
+    per-level table grows with the column's cardinality, so its join is left
+    to AQE, which broadcasts it only when its measured size is small."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("__n_level"))
-    total = df.agg(F.count(F.lit(1)).alias("__n_total"))
-    w = bounded(counts.crossJoin(total).select(col, (F.col("__n_total") / F.col("__n_level")).alias(out)))
+    total = bounded(df.agg(F.count(F.lit(1)).alias("__n_total")))
+    w = broadcast_if_small(counts.crossJoin(total).select(col, (F.col("__n_total") / F.col("__n_level")).alias(out)))
     return df.join(w, col, "left")
 
 
