@@ -295,12 +295,16 @@ def _entity_terms(ent: DataFrame, cand: DataFrame, P: int, q: int) -> DataFrame:
         i00, i01, i10, i11 = m11 / det, -m01 / det, -m10 / det, m00 / det
         c = {(0, 0): g00 * i00 + g01 * i10, (0, 1): g00 * i01 + g01 * i11,
              (1, 0): g01 * i00 + g11 * i10, (1, 1): g01 * i01 + g11 * i11}
-    aggs = [F.sum(F.log(det)).alias("logdet"), F.min(det).alias("mindet")]
+    # per-entity 2x2 (or 1x1) terms in their own projection, so the sums below
+    # are plain products and the generated code stays small
+    acols = [f"a{a}_{k}" for a in range(q) for k in range(P)]
+    j = j.select("cid", *acols, det.alias("__det"), *[cab.alias(f"__c{a}{b}") for (a, b), cab in c.items()])
+    aggs = [F.sum(F.log("__det")).alias("logdet"), F.min("__det").alias("mindet")]
     for k in range(P):
         for m in range(k, P):
             term = F.lit(0.0)
-            for (a, b), cab in c.items():
-                term = term + cab * F.col(f"a{a}_{k}") * F.col(f"a{b}_{m}")
+            for (a, b) in c:
+                term = term + F.col(f"__c{a}{b}") * F.col(f"a{a}_{k}") * F.col(f"a{b}_{m}")
             aggs.append(F.sum(term).alias(f"t_{k}_{m}"))
     return j.groupBy("cid").agg(*aggs)
 
@@ -376,8 +380,9 @@ def _fit_distributed(ent: DataFrame, P: int, q: int, p: int, n_obs: int, xx: np.
         trial = evaluate([theta + a * direction for a in alphas])
         i = int(np.argmin([t[0] for t in trial]))
         if trial[i][0] < f0 - 1e-12:
+            step = alphas[i] * float(np.linalg.norm(direction))
             theta, best = theta + alphas[i] * direction, trial[i]
-            if f0 - best[0] < 1e-10 * max(1.0, abs(f0)):
+            if f0 - best[0] < 1e-10 * max(1.0, abs(f0)) or (step < 1e-7 and f0 - best[0] < 1e-7):
                 converged = True          # the objective no longer moves (also on a flat boundary)
                 break
         else:
