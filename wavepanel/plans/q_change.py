@@ -20,10 +20,22 @@ def decline_slice(spark, sf_dir):
     Skew-aware: one small aggregate checks the largest customer; only if it
     exceeds the per-task row budget are the visit numbering and the lags
     switched to their chunked forms (``decline_rates_chunked`` forces them)."""
-    p = orders_panel(spark, sf_dir, chunk_days="auto")
-    kept = keep_entities(p, "entity_id", ["m1", "m2"], min_obs=2, method="window")
+    from pyspark.sql import functions as F
+
+    from wavepanel.operators.segments import HOT_ROWS, auto_chunk_width
+    from wavepanel.sources.testdata import table
+    # one check on the source: the panel never has more rows per entity than orders
+    days = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("entity_id"),
+        F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).alias("__day"))
+    chunk_days = auto_chunk_width(days, "entity_id", "__day")
+    p = orders_panel(spark, sf_dir, chunk_days=chunk_days)
+    hot = chunk_days is not None
+    kept = keep_entities(p, "entity_id", ["m1", "m2"], min_obs=2, method="join" if hot else "window")
     kept = kept.withColumn("m_avg", pair_mean("m1", "m2"))
-    changes = visit_changes(kept, "entity_id", ["visit"], "stage", CHANGE_MEASURES, chunk_width="auto")
+    # visits are consecutive integers per entity, so HOT_ROWS visits hold at most HOT_ROWS rows
+    changes = visit_changes(kept, "entity_id", ["visit"], "stage", CHANGE_MEASURES,
+                            chunk_width=float(HOT_ROWS) if hot else None)
     return decline_rates(changes)
 
 
