@@ -68,7 +68,7 @@ def test_residual_codes_top_columns(spark):
 
 
 @pytest.mark.parametrize("visit,names,expect", [
-    (1, ["TOTIDE11", "SWANID"], ["TOTIDE1", "SWANID"]),
+    (1, ["TOTIDE11", "PID"], ["TOTIDE1", "PID"]),
     (1, ["TOTIDE1", "VISIT"], ["TOTIDE", "VISIT"]),
     (10, ["X10", "AGE10"], ["X", "AGE"]),
     (0, ["X10", "Y"], ["X1", "Y"]),
@@ -83,24 +83,24 @@ def test_strip_visit_suffix_collision():
 
 
 def test_visit_files_filters():
-    names = ["demo_timestamp_0.tsv", "demo_timestamp_10.tsv", "notes.tsv", "swan_cross_sectional.tsv",
+    names = ["demo_timestamp_0.tsv", "demo_timestamp_10.tsv", "notes.tsv", "cohort_cross_sectional.tsv",
              "demo_timestamp_3.csv"]
     assert visit_files(names) == [("demo_timestamp_0.tsv", 0), ("demo_timestamp_10.tsv", 10)]
 
 
 def test_read_panel_multi_file(spark, tmp_path):
-    (tmp_path / "demo_timestamp_0.tsv").write_text("SWANID\tVISIT\tTOTIDE10\tSTATUS0\n1\t0\t5\t2\n2\t0\t-9\t \n")
-    (tmp_path / "demo_timestamp_1.tsv").write_text("SWANID\tVISIT\tTOTIDE11\tSTATUS1\tNEW1\n1\t1\t7\t3\tabc\n")
-    (tmp_path / "demo_timestamp_10.tsv").write_text("SWANID\tVISIT\tTOTIDE110\tSTATUS10\n1\t10\t-1\t4\n")
-    (tmp_path / "swan_cross_sectional.tsv").write_text("SWANID\tDEGREE\n1\t3\n2\t-8\n")
+    (tmp_path / "demo_timestamp_0.tsv").write_text("PID\tVISIT\tTOTIDE10\tSTATUS0\n1\t0\t5\t2\n2\t0\t-9\t \n")
+    (tmp_path / "demo_timestamp_1.tsv").write_text("PID\tVISIT\tTOTIDE11\tSTATUS1\tNEW1\n1\t1\t7\t3\tabc\n")
+    (tmp_path / "demo_timestamp_10.tsv").write_text("PID\tVISIT\tTOTIDE110\tSTATUS10\n1\t10\t-1\t4\n")
+    (tmp_path / "cohort_cross_sectional.tsv").write_text("PID\tDEGREE\n1\t3\n2\t-8\n")
     (tmp_path / "readme.txt").write_text("x")
     df = read_panel(spark, str(tmp_path))
-    assert set(df.columns) == {"SWANID", "VISIT", "TOTIDE1", "STATUS", "NEW", "source_visit"}
-    got = {(r.SWANID, r.VISIT): (r.TOTIDE1, r.STATUS) for r in df.collect()}
+    assert set(df.columns) == {"PID", "VISIT", "TOTIDE1", "STATUS", "NEW", "source_visit"}
+    got = {(r.PID, r.VISIT): (r.TOTIDE1, r.STATUS) for r in df.collect()}
     assert got == {(1.0, 0.0): (5.0, 2.0), (2.0, 0.0): (None, None), (1.0, 1.0): (7.0, 3.0), (1.0, 10.0): (None, 4.0)}
     assert dict(df.dtypes)["NEW"] == "string"
-    dim = read_table(spark, str(tmp_path / "swan_cross_sectional.tsv"), sep="\t")
-    assert rows(dim, "SWANID", "DEGREE") == [(1.0, 3.0), (2.0, None)]
+    dim = read_table(spark, str(tmp_path / "cohort_cross_sectional.tsv"), sep="\t")
+    assert rows(dim, "PID", "DEGREE") == [(1.0, 3.0), (2.0, None)]
 
 
 def test_row_mean_and_pair_mean(spark):
