@@ -169,3 +169,13 @@ def test_acf_matches_numpy(spark):
     for k in (1, 2, 3):
         assert math.isclose(got[k].acf, np.dot(r[k:], r[:-k]) / np.dot(r, r), rel_tol=1e-9)
     assert math.isclose(got[1].pacf, got[1].acf)
+
+
+def test_exact_quantiles_only_for_bounded_groups(spark):
+    from wavepanel.operators.describe import exact_quantiles_ok, quantile
+    df = spark.createDataFrame([(float(i),) for i in range(1000)], "x double")
+    assert exact_quantiles_ok(df, "x")
+    assert not exact_quantiles_ok(df, "x", limit=50)
+    exact = df.agg(quantile("x", 0.5, True).alias("m")).first().m
+    approx = df.agg(quantile("x", 0.5, False).alias("m")).first().m
+    assert exact == 499.5 and abs(approx - 499.5) <= 1

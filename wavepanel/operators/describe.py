@@ -15,6 +15,32 @@ from wavepanel.catalog import BALANCE_RATIO
 from wavepanel.operators.sizing import bounded
 
 
+# Exact quantiles keep every distinct value of a group in one aggregation
+# buffer; they are used only when an approximate distinct count proves each
+# group small. Above the bound, a fixed-size sketch (percentile_approx) is used.
+EXACT_DISTINCT_LIMIT = 1_000_000
+APPROX_ACCURACY = 100_000
+
+
+def exact_quantiles_ok(df: DataFrame, value: str, by: list[str] | None = None,
+                       limit: int = EXACT_DISTINCT_LIMIT) -> bool:
+    """True when every group holds at most ``limit`` distinct values (one
+    partial aggregate of HyperLogLog sketches; the driver gets one number)."""
+    d = F.approx_count_distinct(value).alias("d")
+    per = df.groupBy(*by).agg(d) if by else df.agg(d)
+    top = per.agg(F.max("d")).first()[0]
+    return top is None or top <= limit
+
+
+def quantile(value: str, probs, exact: bool):
+    """Exact (linear interpolation) or sketch quantile(s) of ``value``."""
+    if exact:
+        arg = F.array(*[F.lit(float(p)) for p in probs]) if isinstance(probs, (list, tuple)) else F.lit(float(probs))
+        return F.percentile(value, arg)
+    return F.percentile_approx(value, list(probs) if isinstance(probs, (list, tuple)) else float(probs),
+                               APPROX_ACCURACY)
+
+
 def long_values(df: DataFrame, cols: list[str], ids: list[str] | None = None,
                 name: str = "variable", value: str = "value", cast: str | None = "double") -> DataFrame:
     """Wide -> long (RSH1) keeping ``ids``; values cast to one type."""
@@ -90,9 +116,10 @@ def group_stats(df: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
     """count, mean, std, median, min, max per group x measure (AGG10)."""
     long = long_values(df, measures, ids=by, name="measure")
     v = F.col("value")
+    exact = exact_quantiles_ok(long, "value", [*by, "measure"])
     return long.groupBy(*by, "measure").agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+        quantile("value", 0.5, exact).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
 def mean_se(long: DataFrame, by: list[str], value: str = "value", z: float = 1.96) -> DataFrame:
@@ -108,8 +135,9 @@ def mean_se(long: DataFrame, by: list[str], value: str = "value", z: float = 1.9
 
 def mean_median_count(df: DataFrame, by: str, col: str, digits: int = 3) -> DataFrame:
     """Rounded mean, median and count per group (AGG12)."""
+    exact = exact_quantiles_ok(df, col, [by])
     return df.groupBy(by).agg(F.bround(F.avg(col), digits).alias("mean"),
-                              F.bround(F.median(col), digits).alias("median"),
+                              F.bround(quantile(col, 0.5, exact), digits).alias("median"),
                               F.count(col).alias("n"))
 
 
@@ -128,9 +156,10 @@ def describe(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), by: list[s
              accuracy: int | None = None) -> DataFrame:
     """count/mean/std/min/quantiles/max per variable (AGG17, AGG18, PLT3).
 
-    Quantiles are exact with linear interpolation (pandas' default) unless
-    ``accuracy`` is given, which switches to ``percentile_approx`` with a
-    bounded sketch for very high-cardinality columns.
+    Quantiles are exact with linear interpolation (pandas' default) when
+    every variable's distinct count is within ``EXACT_DISTINCT_LIMIT``;
+    otherwise, or when ``accuracy`` is given, ``percentile_approx`` with a
+    bounded sketch.
     """
     by = by or []
     long = long_values(df, cols, ids=by)
@@ -138,7 +167,7 @@ def describe(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), by: list[s
     if accuracy:
         q = F.percentile_approx(v, list(probs), accuracy)
     else:
-        q = F.percentile(v, F.array(*[F.lit(float(p)) for p in probs]))
+        q = quantile("value", list(probs), exact_quantiles_ok(long, "value", [*by, "variable"]))
     out = long.groupBy(*by, "variable").agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), q.alias("__q"), F.max(v).alias("max"))

@@ -19,7 +19,7 @@ from wavepanel.functions import special as S
 from wavepanel.functions import udfs as U
 from wavepanel.functions.formulas import ANDERSON_P, DAGOSTINO, DAGOSTINO_TEMPS, SHAPIRO_COEF, SHAPIRO_Z, \
     apply_steps
-from wavepanel.operators.describe import long_values
+from wavepanel.operators.describe import exact_quantiles_ok, long_values, quantile
 from wavepanel.operators.sizing import bounded
 
 
@@ -29,8 +29,10 @@ def numeric_profile(df: DataFrame, cols: list[str], min_n: int = 8) -> DataFrame
     below ``min_n`` values, TST11)."""
     long = long_values(df, cols).filter(F.col("value").isNotNull())
     v = F.col("value")
+    exact = exact_quantiles_ok(long, "value", ["variable"])
     prof = long.groupBy("variable").agg(
-        F.count(v).cast("double").alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"),
+        F.count(v).cast("double").alias("n"), F.avg(v).alias("mean"),
+        quantile("value", 0.5, exact).alias("median"),
         F.stddev_samp(v).alias("std"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"))
     out = apply_steps(prof, DAGOSTINO).drop(*DAGOSTINO_TEMPS)
     guard = F.col("n") >= min_n
@@ -167,7 +169,8 @@ def iqr_outliers(reference: DataFrame, candidate: DataFrame, cols: list[str], k:
     values, per variable (TST10). Quartiles are exact (linear interpolation);
     the per-variable fences are one small broadcast table."""
     ref = long_values(reference, cols).filter(F.col("value").isNotNull())
-    q = ref.groupBy("variable").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    exact = exact_quantiles_ok(ref, "value", ["variable"])
+    q = ref.groupBy("variable").agg(quantile("value", [0.25, 0.75], exact).alias("q"))
     fences = q.select("variable", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     fences = fences.select("*", (F.col("q1") - k * iqr).alias("lower"), (F.col("q3") + k * iqr).alias("upper"))
