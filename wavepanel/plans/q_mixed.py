@@ -132,3 +132,25 @@ def q_lmm_distributed(spark, sf):
     res = M.fit_lmm(_stage_panel(spark, sf), "m_avg", "entity_id", fixed=["visit", "age"],
                     factors={"stage": "5-LOW", "status": "mode"}, slope="visit", max_patterns=0)
     return res.coefficients
+
+
+def _residuals(spark, sf):
+    p = _stage_panel(spark, sf).dropna(subset=["m_avg", "visit", "age", "stage", "status"])
+    return M.marginal_residuals(p, _slope_fit(spark, sf), "model", "m_avg")
+
+
+@register("lmm_residual_normality")
+def q_lmm_residual_normality(spark, sf):
+    """Model diagnostics (TST3, TST4 on residuals, SRT6 sample cap): Shapiro-Wilk
+    and Anderson-Darling of the marginal residuals on a reproducible 5000-row
+    hash sample."""
+    from wavepanel.operators.hypothesis import anderson_darling, capped_sample, shapiro_wilk
+    sample = capped_sample(_residuals(spark, sf), ["residual"], ["entity_id", "visit"])
+    return shapiro_wilk(sample).join(anderson_darling(sample).drop("n"), "variable")
+
+
+@register("lmm_residual_bins")
+def q_lmm_residual_bins(spark, sf):
+    """PLT6 / WIN8: residual vs fitted as a 2-D binned density."""
+    from wavepanel.operators.plotdata import binned_2d
+    return binned_2d(_residuals(spark, sf), "fitted", "residual", 0.25, 0.5)
