@@ -126,7 +126,7 @@ def chi2_independence(df: DataFrame, row: str, cols: list[str]) -> DataFrame:
     return stat.withColumn("p", U.chi2_sf(F.col("chi2"), F.col("dof").cast("double")))
 
 
-def little_mcar(df: DataFrame, cols: list[str]) -> DataFrame:
+def little_mcar(df: DataFrame, cols: list[str], max_patterns: int = 100_000) -> DataFrame:
     """Little's MCAR test (TST6).
 
     Per missingness pattern (bit mask of the null columns, at most 2^p
@@ -139,7 +139,9 @@ def little_mcar(df: DataFrame, cols: list[str]) -> DataFrame:
     x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     mask = sum((F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(cols)), F.lit(0))
     pats = x.withColumn("__mask", mask).groupBy("__mask").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols]).collect()
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols]).limit(max_patterns + 1).collect()
+    if len(pats) > max_patterns:
+        raise ValueError(f"more than {max_patterns} missingness patterns; test fewer columns at once")
     aggs = [F.avg(c).alias(f"mu_{i}") for i, c in enumerate(cols)]
     aggs += [F.covar_samp(a, b).alias(f"cv_{i}_{j}")
              for (i, a), (j, b) in itertools.combinations_with_replacement(enumerate(cols), 2)]
