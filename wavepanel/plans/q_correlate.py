@@ -21,7 +21,7 @@ def _corr_sql(cols, src="np", flags=False):
         xa = f"CAST({a} IS NULL AS DOUBLE)" if flags else a
         xb = f"CAST({b} IS NULL AS DOUBLE)" if flags else b
         n = "count(*)" if flags else f"CAST(count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS BIGINT)"
-        parts.append(f"SELECT '{a}' AS var1, '{b}' AS var2, round(corr({xa}, {xb}), 6) AS r, {n} AS n FROM {src}")
+        parts.append(f"SELECT '{a}' AS var1, '{b}' AS var2, round(corr({xa}, {xb}), 6) + 0.0 AS r, {n} AS n FROM {src}")
     return "\nUNION ALL ".join(parts)
 
 
@@ -64,8 +64,8 @@ SHIFT_COLS = ["m1", "m2", "visit"]
 
 
 @register("corr_shift", with_cte("""
-SELECT a.var1, a.var2, round_even(a.r, 3) AS original, round_even(b.r, 3) AS imputed,
-       round(round_even(b.r, 3) - round_even(a.r, 3), 3) AS change,
+SELECT a.var1, a.var2, round_even(a.r, 3) + 0.0 AS original, round_even(b.r, 3) + 0.0 AS imputed,
+       round(round_even(b.r, 3) - round_even(a.r, 3), 3) + 0.0 AS change,
        CASE WHEN abs(round(round_even(b.r, 3) - round_even(a.r, 3), 3)) < 0.1 THEN 'preserved'
             WHEN abs(round(round_even(b.r, 3) - round_even(a.r, 3), 3)) < 0.2 THEN 'moderate'
             ELSE 'substantial' END AS verdict

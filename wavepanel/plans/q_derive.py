@@ -54,8 +54,8 @@ def q_transforms(spark, sf):
 
 
 @register("zscores", with_cte("""
-SELECT entity_id, visit, round((e1 - avg(e1) OVER ()) / stddev_samp(e1) OVER (), 6) AS e1_z,
-       round((x1 - avg(x1) OVER ()) / stddev_samp(x1) OVER (), 6) AS x1_z
+SELECT entity_id, visit, round((e1 - avg(e1) OVER ()) / stddev_samp(e1) OVER (), 6) + 0.0 AS e1_z,
+       round((x1 - avg(x1) OVER ()) / stddev_samp(x1) OVER (), 6) + 0.0 AS x1_z
 FROM panel""", **P))
 def q_zscores(spark, sf):
     """PRJ17 whole-column z-scores (ddof 1)."""

@@ -26,7 +26,7 @@ def _profile_sql():
     body = sql_steps(moments, DAGOSTINO)
     return with_cte(f"""
 SELECT variable, CAST(n AS BIGINT) AS n, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std,
-       round(g1, 6) AS skewness, round(g2, 6) AS kurtosis,
+       round(g1, 6) + 0.0 AS skewness, round(g2, 6) + 0.0 AS kurtosis,
        round(CASE WHEN n >= 8 THEN k2 END, 0) AS k2, round(CASE WHEN n >= 8 THEN k2_p END, 6) AS k2_p
 FROM ({body})""", panel=ORDERS_PANEL_SQL)
 

@@ -127,7 +127,7 @@ def _shift_sql():
                      f"(SELECT variable, {expr} AS v FROM observed GROUP BY variable) o JOIN "
                      f"(SELECT variable, {expr} AS v FROM imputed GROUP BY variable) i ON o.variable = i.variable")
     body = ("SELECT variable, statistic, round(original, 6) AS original, round(imputed, 6) AS imputed, "
-            "CASE WHEN original <> 0 THEN round_even((imputed - original) / original * 100, 2) END AS pct_change "
+            "CASE WHEN original <> 0 THEN round_even((imputed - original) / original * 100, 2) + 0.0 END AS pct_change "
             "FROM (" + "\nUNION ALL ".join(parts) + ")")
     return with_cte(body, imp="(" + _impute_sql(4) + ")",
                     observed="\nUNION ALL ".join(f"SELECT '{v}' AS variable, {v} AS value FROM imp WHERE {v} IS NOT NULL"

@@ -55,7 +55,7 @@ def _qq_sql():
                      f"quantile_cont(value, {p!r}) AS sample, avg(value) AS mu, stddev_samp(value) AS sd "
                      f"FROM cells GROUP BY variable")
     return with_cte("SELECT variable, p, round(theoretical, 6) AS theoretical, round(sample, 6) AS sample, "
-                    "round((sample - mu) / sd, 6) AS standardized FROM (" + "\nUNION ALL ".join(parts) + ")",
+                    "round((sample - mu) / sd, 6) + 0.0 AS standardized FROM (" + "\nUNION ALL ".join(parts) + ")",
                     **P, cells=_cells(HIST_COLS))
 
 
@@ -89,7 +89,7 @@ TRI = ["m1", "m2", "e1", "x1"]
 
 
 @register("corr_lower_triangle", with_cte("\nUNION ALL ".join(
-    f"SELECT '{b}' AS var1, '{a}' AS var2, round(corr({a}, {b}), 6) AS r, "
+    f"SELECT '{b}' AS var1, '{a}' AS var2, round(corr({a}, {b}), 6) + 0.0 AS r, "
     f"CAST(count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS BIGINT) AS n FROM panel"
     for a, b in itertools.combinations(TRI, 2)), **P))
 def q_lower(spark, sf):

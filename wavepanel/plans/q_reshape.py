@@ -83,10 +83,10 @@ def q_hash_sample(spark, sf):
 
 @register("coef_rank", with_cte("""
 SELECT var1, var2, r, CAST(row_number() OVER (ORDER BY abs(r) DESC, var1, var2) AS BIGINT) AS rank FROM (
-  SELECT 'm1' AS var1, 'e1' AS var2, round(corr(m1, e1), 6) AS r FROM panel
-  UNION ALL SELECT 'm1', 'x1', round(corr(m1, x1), 6) FROM panel
-  UNION ALL SELECT 'e1', 'x1', round(corr(e1, x1), 6) FROM panel
-  UNION ALL SELECT 'm2', 'age', round(corr(m2, age), 6) FROM panel)""", **P))
+  SELECT 'm1' AS var1, 'e1' AS var2, round(corr(m1, e1), 6) + 0.0 AS r FROM panel
+  UNION ALL SELECT 'm1', 'x1', round(corr(m1, x1), 6) + 0.0 FROM panel
+  UNION ALL SELECT 'e1', 'x1', round(corr(e1, x1), 6) + 0.0 FROM panel
+  UNION ALL SELECT 'm2', 'age', round(corr(m2, age), 6) + 0.0 FROM panel)""", **P))
 def q_coef_rank(spark, sf):
     from pyspark.sql import Window
     from wavepanel.operators.correlate import corr_long
@@ -102,7 +102,7 @@ MOM = {"g1": ["e1", "e2"], "g2": ["e3", "m1"]}
 
 @register("stage_matrix_z", with_cte("""
 SELECT stage, grp, round(intensity, 6) AS intensity,
-       round(CASE WHEN sd > 0 THEN (intensity - mu) / sd ELSE 0.0 END, 6) AS intensity_z
+       round(CASE WHEN sd > 0 THEN (intensity - mu) / sd ELSE 0.0 END, 6) + 0.0 AS intensity_z
 FROM (SELECT *, avg(intensity) OVER (PARTITION BY grp) AS mu, stddev_samp(intensity) OVER (PARTITION BY grp) AS sd
       FROM (SELECT stage, grp, avg(m) AS intensity FROM (
               SELECT stage, CASE WHEN measure IN ('e1', 'e2') THEN 'g1' ELSE 'g2' END AS grp, measure, avg(value) AS m

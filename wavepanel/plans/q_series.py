@@ -22,7 +22,7 @@ def q_series_tests(spark, sf):
 def _acf_sql():
     lags = ", ".join(f"lag(r, {j}) OVER (PARTITION BY series_id ORDER BY t, event_id) AS l{j}"
                      for j in range(1, NLAGS + 1))
-    parts = "\nUNION ALL ".join(f"SELECT series_id, {j} AS lag, round(sum(r * coalesce(l{j}, 0)) / sum(r * r), 6) AS acf "
+    parts = "\nUNION ALL ".join(f"SELECT series_id, {j} AS lag, round(sum(r * coalesce(l{j}, 0)) / sum(r * r), 6) + 0.0 AS acf "
                                 f"FROM lagged GROUP BY series_id" for j in range(1, NLAGS + 1))
     return with_cte(parts, ev=EVENT_SERIES_SQL,
                     s="SELECT series_id, t, event_id, value - avg(value) OVER (PARTITION BY series_id) AS r FROM ev",
