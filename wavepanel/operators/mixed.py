@@ -414,13 +414,17 @@ class LmmResult:
 
 def fit_lmm(df: DataFrame, outcome: str, entity: str, fixed: list[str] | None = None,
             factors: dict[str, object] | None = None, slope: str | None = None,
-            model: str | None = None, max_patterns: int = 200_000) -> LmmResult:
+            model: str | None = None, max_patterns: int = 50_000) -> LmmResult:
     """Fit one LMM per value of ``model`` (or a single model) by REML.
 
     ``fixed``: numeric covariates; ``factors``: {column: reference level or
     'mode'/'first'}; ``slope``: column of the random slope (None = random
     intercept only). Rows with a null in any used column are dropped
     (listwise, PRJ21).
+
+    ``max_patterns`` bounds the pattern table brought to the driver (about
+    4(p+1)^2 doubles per pattern, ~100 MB at the default); beyond it the
+    likelihood is evaluated on the distributed per-entity table instead.
     """
     fixed = list(fixed or [])
     need = [outcome, *fixed, *list((factors or {}).keys())] + ([slope] if slope else [])
