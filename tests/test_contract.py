@@ -65,13 +65,3 @@ def test_partition_count_invariance(spark, name):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     cols = sorted(one[0].asDict()) if one else []
     assert _canon(one, cols) == _canon(seven, cols)
-
-
-def test_registered_names_follow_the_naming_rules():
-    import os
-    import re as _re
-    for name in entry.queries():
-        assert "pipeline" not in name and not _re.match(r"op\d+_", name), name
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    for dirpath, dirnames, _ in os.walk(root):
-        assert "llm" not in dirnames, dirpath
