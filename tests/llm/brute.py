@@ -40,3 +40,109 @@ def top_k(vectors, k, scale):
         scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    import re
+
+    import xxhash
+    words = re.findall("[^ \t-\r]+", "".join(c.lower() if c.isascii() else c for c in text))
+    if not words:
+        return 0
+    parts = [" ".join(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def linked(values, radius):
+    """Component of each value (the index of its first member), by all pairs."""
+    root = list(range(len(values)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, a in enumerate(values):
+        for j in range(i):
+            if (a ^ values[j]).bit_count() <= radius:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(values))]
+
+
+PII = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def base_pii(text):
+    """[(kind, start, end)] of the four base kinds."""
+    import re
+    out = []
+    for kind, pattern in PII:
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card" and not (16 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def iban_ok(text):
+    plain = text.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def leak_words(text):
+    import re
+    return re.findall(r"\w+", text.lower())
+
+
+def leaks(docs, items, min_words=13, share=0.8, least=5):
+    """{(doc, item): (agree, words)} by trying every shift of every item."""
+    out = {}
+    for d, text in docs:
+        doc = leak_words(text or "")
+        for i, body in items:
+            item = leak_words(body or "")
+            if len(item) < least:
+                continue
+            best = (0, 0)
+            for shift in range(-len(item) + 1, len(doc)):
+                lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+                agree = [doc[k + shift] == item[k] for k in range(lo, hi)]
+                n_agree = sum(agree)
+                # the longest stretch with the share, by all stretches
+                if n_agree >= least:
+                    for a in range(len(agree)):
+                        for b in range(len(agree), a, -1):
+                            got = sum(agree[a:b])
+                            if got >= share * (b - a) - 1e-9:
+                                x, y = a, b
+                                while x < y and not agree[x]:
+                                    x += 1
+                                while y > x and not agree[y - 1]:
+                                    y -= 1
+                                if y - x >= min_words or got >= share * len(item):
+                                    best = max(best, (got, y - x))
+                                break
+            if best[0]:
+                out[d, i] = best
+    return out

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavepanel.llm import bpe, sharding, token_counts, token_files, topk
+from wavepanel.llm import bpe, decontaminate, licenses, pii, sharding, simhash, token_counts, token_files, topk, toxicity
 from wavepanel.llm.common import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -39,10 +39,18 @@ def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), 16)
 
@@ -52,8 +60,22 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.id_checksums(token_files.read_token_files(spark, path))
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_bitsliced_topk, op2_trie_bpe, op4_token_counts, op6_jump_shards, op7_token_files)}
+    return {f.__name__: f for f in (op1_bitsliced_topk, op2_trie_bpe, op3_pii, op4_token_counts, op5_simhash, op6_jump_shards,
+                                      op7_token_files, op8_benchmark_leaks, op9_toxicity, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
