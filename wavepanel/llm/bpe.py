@@ -23,14 +23,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from wavepanel.llm.common import bound_arrow_batches, byte_slices, text_or_empty
+from wavepanel.llm.common import WordCache, bound_arrow_batches, byte_slices, text_or_empty
 
 #: The words of a byte-level pre-tokenizer.
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Characters on which the installed regex module and the tokenizers library agree about letters, digits and
 #: white space (tests try every one); texts with others are split by the library itself.
 UNSURE = regex.compile(r"[^\x00-ԩ‐-⁤、-ヿ一-龥가-힣]")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SLICE_BYTES = 4 << 20
 NEVER = 1 << 60
 
@@ -85,7 +85,7 @@ class TrieBpe:
             if len(b) > 1:
                 ends.setdefault(b[-2:], set()).add(len(b))
         self.lengths = {end: sorted(n, reverse=True) for end, n in ends.items()}
-        self.cache: dict[str, bytes] = {}
+        self.cache = WordCache(CACHE_WORDS)
         self._library = None
 
     # -- which tokens may stand side by side --------------------------------
@@ -173,35 +173,30 @@ class TrieBpe:
             self._library = Tokenizer.from_file(self.path).pre_tokenizer
         return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
 
-    def pieces(self, text: str) -> list[str | int]:
-        """Words of a text, with the ids of added tokens where they stand."""
+    def pieces(self, text: str) -> list[str]:
+        """Words of a text, with added tokens where they stand (no word has their
+        mixture of marks and letters)."""
         if not self.extra_pattern or not self.extra_pattern.search(text):
             return self.split(text)
-        out: list[str | int] = []
+        out: list[str] = []
         at = 0
         for m in self.extra_pattern.finditer(text):
             out += self.split(text[at:m.start()])
-            out.append(self.extra[m.group()])
+            out.append(m.group())
             at = m.end()
         return out + self.split(text[at:])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) for t in texts]
-        cache = self.cache
-        fresh = {w for words in split for w in words if w not in cache}
-        if fresh:
-            if len(cache) + len(fresh) > CACHE_WORDS:
-                fresh |= cache.keys() & {w for words in split for w in words}
-                cache.clear()
-            special = {w for w in fresh if isinstance(w, int)}
-            raw = {w: w.encode() for w in fresh - special}
-            done = self.encode_words(raw.values())
-            cache.update((w, done[b].tobytes()) for w, b in raw.items())
-            cache.update((w, w.to_bytes(4, "little")) for w in special)
-        get = cache.__getitem__
+        get = self.cache.take(set().union(*split), self._words).__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        raw = [w.encode() for w in words]
+        done = self.encode_words(raw)
+        return [self.extra[w].to_bytes(4, "little") if w in self.extra else done[b].tobytes() for w, b in zip(words, raw)]
+
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded ids; broken sequences become U+FFFD."""
         raw = b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))

@@ -7,7 +7,8 @@ own columns, so extra input columns with clashing names never meet theirs.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,34 @@ def byte_slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+class WordCache:
+    """Values of the words used last, in two generations of bounded size. What a
+    slice of texts needs is handed out as a dictionary of its own, small enough
+    to be looked up quickly for every word."""
+
+    def __init__(self, size: int, longest: int = 64):
+        self.size, self.longest = size, longest
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def take(self, words: Collection, make: Callable[[list], list]) -> dict[Any, Any]:
+        """The value of each word; ``make`` gives those of unknown words (never None)."""
+        new, old, out, fresh = self.new, self.old, {}, []
+        for w in words:
+            value = new.get(w)
+            if value is None:
+                value = old.pop(w, None)
+                if value is None:
+                    fresh.append(w)
+                    continue
+                new[w] = value
+            out[w] = value
+        for w, value in zip(fresh, make(fresh)) if fresh else ():
+            out[w] = value
+            if len(w) <= self.longest:
+                new[w] = value
+        if len(new) > self.size:
+            self.new, self.old = {}, new
+        return out

@@ -16,12 +16,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wavepanel.llm.common import bound_arrow_batches, byte_slices, text_or_empty
+from wavepanel.llm.common import WordCache, bound_arrow_batches, byte_slices, text_or_empty
 
 SPACE = "▁"
 SEGMENT = re.compile(" *[^ ]+| +$")
-CACHE_SEGMENTS = 400_000
-LONG_SEGMENT = 64
+CACHE_SEGMENTS = 250_000
 SLICE_BYTES = 4 << 20
 
 
@@ -36,10 +35,9 @@ class PieceCounter:
         probe = "ﬁ  Å\ta "
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces) and \
             self.model.normalize(probe) == SPACE + probe.replace(" ", SPACE)
-        self.cache: dict[str, int] = {}
-        if self.cuts:
-            #: a lone space at the end of a text
-            self.cache[""] = len(self.model.encode("a ")) - len(self.model.encode("a"))
+        self.cache = WordCache(CACHE_SEGMENTS)
+        #: tokens of a lone space at the end of a text
+        self.lone_space = len(self.model.encode("a ")) - len(self.model.encode("a"))
 
     def segments(self, text: str) -> list[str]:
         """Segments without the space that the model puts before each."""
@@ -55,21 +53,12 @@ class PieceCounter:
         if not self.cuts:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
         split = [self.segments(t) for t in texts]
-        cache = self.cache
-        fresh = list({s for segments in split for s in segments if s not in cache})
-        if fresh:
-            if len(cache) + len(fresh) > CACHE_SEGMENTS:
-                lone = cache[""]
-                cache.clear()
-                cache[""] = lone
-                fresh = list({s for segments in split for s in segments if s})
-            cache.update(zip(fresh, map(len, self.model.encode(fresh, num_threads=1))))
-        get = cache.__getitem__
-        out = [sum(map(get, segments)) for segments in split]
-        for s in fresh:
-            if len(s) > LONG_SEGMENT:
-                del cache[s]
-        return out
+        get = self.cache.take(set().union(*split), self._lengths).__getitem__
+        return [sum(map(get, segments)) for segments in split]
+
+    def _lengths(self, segments: list[str]) -> list[int]:
+        counts = [len(x) for x in self.model.encode(segments, num_threads=1)]
+        return [n if s else self.lone_space for s, n in zip(segments, counts)]
 
 
 _LOADED: dict[str, PieceCounter] = {}
