@@ -11,11 +11,15 @@ counts and the packed tokens.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +27,19 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from wavepanel.llm import pfor
-from wavepanel.llm.common import bound_arrow_batches, byte_slices, shared_path, text_or_empty
+from wavepanel.llm.common import WordCache, bound_arrow_batches, byte_slices, shared_path, text_or_empty
 
 #: A file is closed once it has so many ids; a longer document has a file of its own.
 FILE_IDS = 1 << 20
-CACHE_SEGMENTS = 500_000
-LONG_SEGMENT = 64
-SLICE_BYTES = 4 << 20
+CACHE_PARTS = 400_000
+SLICE_BYTES = 8 << 20
+LETTERS_AT_ONCE = 1000
+#: Latin letters, but for the one whose lower case is not a single letter.
+LATIN = "A-Za-zÀ-ÖØ-öø-įıĲ-ɏ"
+LETTERS = re.compile(f"[{LATIN}]+")
+#: ASCII marks other than apostrophes, around something that begins and ends in a Latin letter or an ASCII digit.
+MARKS = r"[!-&(-/:-@\[-`{-~]*"
+WRAPPED = f"(?s)^(?P<before>{MARKS})(?P<word>[0-9{LATIN}](?:.*[0-9{LATIN}])?)(?P<after>{MARKS})$"
 
 FILES = T.StructType([
     T.StructField("range_no", T.LongType()), T.StructField("file_no", T.LongType()),
@@ -40,9 +50,15 @@ FILES = T.StructType([
 
 
 class WordEncoder:
-    """Encodes texts with a vocabulary that drops white space: the text is cut
-    at ASCII white space, each distinct segment is encoded once by the library,
-    and a text's ids are those of its segments in order."""
+    """Encodes texts with a lower-casing vocabulary that drops white space and
+    whose words end in a marked token.
+
+    Texts are cut at ASCII white space, and ASCII marks around a segment's letters
+    apart from these, as the library's own word splitting does; Arrow's kernels
+    do it for many texts at once. Each distinct part is encoded once, and a
+    text's ids are those of its parts in order. Unknown runs of Latin letters go
+    to the library as one text of many words, whose ids are cut behind the
+    tokens that end a word."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,29 +67,78 @@ class WordEncoder:
         # as of the stored settings, no padding or truncation takes place here
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.cuts = self._ids(["a b\t\nc 'd e"])[0] == b"".join(self._ids(["a", "b", "c", "'d", "e"]))
-        self.cache: dict[bytes, bytes] = {}
+        probe = ["a", "b", "c", "'d", "e", "(", "éa", ").", "x0"]
+        self.cuts = self._ids(["a b\t\nc 'd e (ÉA). X0"])[0] == b"".join(self._ids(probe))
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = "|".join(re.escape(x) for x in added) or "[^\\s\\S]"
+        self.cache = WordCache(CACHE_PARTS)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of runs of letters, many in a call."""
+        out: list[bytes] = []
+        for at in range(0, len(words), LETTERS_AT_ONCE):
+            some = words[at:at + LETTERS_AT_ONCE]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some):
+                raw, stops = ids.tobytes(), (4 * stops).tolist()
+                out += [raw[a:b] for a, b in zip([0, *stops], stops)]
+            else:
+                out += self._ids(some)
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _make_parts(self, words: list[str]) -> list[bytes]:
+        plain = [w for w in words if LETTERS.fullmatch(w)]
+        known = dict(zip(plain, self._letters(plain)))
+        other = [w for w in words if w not in known]
+        known.update(zip(other, self._ids(other)))
+        return [known[w] for w in words]
+
+    def _parts(self, segments: pa.Array) -> list[pa.Array]:
+        """What stands before, in and after the letters of each segment, to be
+        encoded apart; a segment not of that form is whole in the middle."""
+        found = pc.extract_regex(segments, WRAPPED)
+        whole = pc.or_(pc.is_null(found), pc.match_substring_regex(segments, self.added))
+        empty = pa.scalar("", segments.type)
+        before, word, after = (found.field(i) for i in range(3))
+        return [pc.if_else(whole, empty, before), pc.if_else(whole, segments, pc.utf8_lower(word)),
+                pc.if_else(whole, empty, after)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
         if not self.cuts:
-            return self._ids(texts)
-        cache = self.cache
-        split = [t.encode().split() for t in texts]
-        fresh = list({s for segments in split for s in segments if s not in cache})
-        if fresh:
-            if len(cache) + len(fresh) > CACHE_SEGMENTS:
-                cache.clear()
-                fresh = list({s for segments in split for s in segments})
-            cache.update(zip(fresh, self._ids([s.decode() for s in fresh])))
-        get = cache.__getitem__
-        out = [b"".join(map(get, segments)) for segments in split]
-        for s in fresh:
-            if len(s) > LONG_SEGMENT:
-                del cache[s]
-        return out
+            each = [np.frombuffer(x, "<u4") for x in self._ids(texts.to_pylist())]
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.array([len(x) for x in each], np.int64)
+        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        n_words = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        columns = self._parts(coded.dictionary)
+        parts = pa.concat_arrays(columns).dictionary_encode()
+        known = parts.dictionary.to_pylist()
+        values = self.cache.take(known, self._make_parts)
+        raw = [values[p] for p in known]
+        ids = np.frombuffer(b"".join(raw), "<u4")
+        sizes = np.array([len(x) for x in raw], np.int64) // 4
+        firsts = np.cumsum(sizes) - sizes
+        # each word's three parts in order, then each part's ids
+        by_segment = parts.indices.to_numpy().reshape(3, -1).T
+        order = by_segment[coded.indices.to_numpy()].reshape(-1)
+        order = order[sizes[order] > 0]
+        length = sizes[order]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        out = ids[np.repeat(firsts[order] - (ends - length), length) + np.arange(total)]
+        per_segment = sizes[by_segment].sum(axis=1)
+        before = np.concatenate(([0], np.cumsum(per_segment[coded.indices.to_numpy()])))
+        edges = np.concatenate(([0], np.cumsum(n_words)))
+        return out, np.diff(before[edges])
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -85,6 +150,25 @@ def loaded(path: str) -> WordEncoder:
     return _LOADED[path]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The two columns of the batches, put together and cut by bytes of text."""
+    held: list[pa.RecordBatch] = []
+
+    def cut() -> Iterator[tuple[pa.Array, pa.Array]]:
+        keys, texts = (pa.concat_arrays([b.column(i) for b in held]) for i in range(2))
+        for a, b in byte_slices(pc.binary_length(texts).to_pylist(), limit):
+            yield keys.slice(a, b - a), texts.slice(a, b - a)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= limit:
+            yield from cut()
+            held = []
+    if held:
+        yield from cut()
+
+
 def write_token_files(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text: str = "text",
                       path: str | None = None) -> str:
     """Encode every text (null: empty), append ``end_id`` to each, and write the
@@ -99,29 +183,30 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, range_no = loaded(vocabulary), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
         file_no, ids, counts, parts, total = 0, [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(parts), "<u4")
+            tokens = np.concatenate(parts)
             return pa.RecordBatch.from_arrays([
                 pa.array([range_no], pa.int64()), pa.array([file_no], pa.int64()), pa.array([len(ids)], pa.int64()),
                 pa.array([len(tokens)], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
                 pa.array([pfor.encode(np.array(counts, "<u4"))], pa.binary()),
                 pa.array([pfor.encode(tokens)], pa.binary())], names=FILES.fieldNames())
 
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in byte_slices([len(t) for t in texts], SLICE_BYTES):
-                for key, doc in zip(keys[a:b], encoder.encode(texts[a:b])):
-                    n = len(doc) // 4 + 1
-                    if ids and total + n > FILE_IDS:
-                        yield closed()
-                        file_no, ids, counts, parts, total = file_no + 1, [], [], [], 0
-                    ids.append(key)
-                    counts.append(n)
-                    parts += (doc, end)
-                    total += n
+        for keys, texts in _slices(batches, SLICE_BYTES):
+            tokens, sizes = encoder.encode(texts)
+            # the end id goes behind each document
+            ends = np.cumsum(sizes)
+            tokens = np.insert(tokens, ends, end_id).astype("<u4")
+            at = 0
+            for key, n in zip(keys.to_pylist(), (sizes + 1).tolist()):
+                if ids and total + n > FILE_IDS:
+                    yield closed()
+                    file_no, ids, counts, parts, total = file_no + 1, [], [], [], 0
+                ids.append(key)
+                counts.append(n)
+                parts.append(tokens[at:at + n])
+                at, total = at + n, total + n
         if ids:
             yield closed()
 
