@@ -112,13 +112,13 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits is 0 to 3")
     half, odd = divmod(max_bits, 2)
-    emitted = _balls(prints, half, bool(odd))
-    # dealt by variant first: a variant is rarely seen twice, so nothing is gained by counting before the shuffle
-    groups = emitted.repartition("variant").groupBy("variant") \
-        .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b")
-    groups = write_shared(groups, "variants")
-    pairs = groups.filter("n = 2").filter(_apart("a", "b") <= max_bits).select("a", "b").distinct()
-    crowd = emitted.join(groups.filter("n > 2").select("variant"), "variant", "left_semi").select("fp").distinct()
+    # one shuffle finds the groups and their members: a variant is rarely seen twice, so the rows left are few
+    same = W.partitionBy("variant")
+    met = _balls(prints, half, bool(odd)).select("variant", "fp", F.count(F.lit(1)).over(same).alias("n"),
+                                                 F.min("fp").over(same).alias("a"), F.max("fp").over(same).alias("b"))
+    met = write_shared(met.filter("n > 1 AND a <> b"), "variants")
+    pairs = met.filter("n = 2 AND fp = a").filter(_apart("a", "b") <= max_bits).select("a", "b").distinct()
+    crowd = met.filter("n > 2").select("fp").distinct()
     wide = _flips(list(range(BITS)), half + odd)
     step = F.explode(F.array(*[F.struct(F.lit(f).cast("long").alias("flip"), F.lit(n).alias("bits")) for f, n in wide]))
     near = crowd.select("fp", step.alias("s")).select(
