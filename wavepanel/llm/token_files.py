@@ -44,6 +44,7 @@ WRAPPED = f"(?s)^(?P<before>{MARKS})(?P<word>[0-9{LATIN}](?:.*[0-9{LATIN}])?)(?P
 FILES = T.StructType([
     T.StructField("range_no", T.LongType()), T.StructField("file_no", T.LongType()),
     T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()),
+    T.StructField("tokens_before", T.LongType()),          # of the same range
     T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("doc_tokens", T.BinaryType()),
     T.StructField("tokens", T.BinaryType()),
 ])
@@ -183,13 +184,13 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, range_no = loaded(vocabulary), TaskContext.get().partitionId()
-        file_no, ids, counts, parts, total = 0, [], [], [], 0
+        file_no, before, ids, counts, parts, total = 0, 0, [], [], [], 0
 
         def closed() -> pa.RecordBatch:
             tokens = np.concatenate(parts)
             return pa.RecordBatch.from_arrays([
                 pa.array([range_no], pa.int64()), pa.array([file_no], pa.int64()), pa.array([len(ids)], pa.int64()),
-                pa.array([len(tokens)], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+                pa.array([len(tokens)], pa.int64()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
                 pa.array([pfor.encode(np.array(counts, "<u4"))], pa.binary()),
                 pa.array([pfor.encode(tokens)], pa.binary())], names=FILES.fieldNames())
 
@@ -202,7 +203,7 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, id_col: str =
             for key, n in zip(keys.to_pylist(), (sizes + 1).tolist()):
                 if ids and total + n > FILE_IDS:
                     yield closed()
-                    file_no, ids, counts, parts, total = file_no + 1, [], [], [], 0
+                    file_no, before, ids, counts, parts, total = file_no + 1, before + total, [], [], [], 0
                 ids.append(key)
                 counts.append(n)
                 parts.append(tokens[at:at + n])
@@ -218,18 +219,15 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per document: ``doc_id``, ``start`` (ids of all documents before
     it), ``n_tokens`` (with the end id), ``ids`` (u32 little-endian).
 
-    File starts come from the small columns alone: running sums within a range,
-    and over the ranges, of which there are as many as writing tasks."""
+    A file knows what stands before it in its range; the running sum over the
+    ranges needs one row for each writing task and is broadcast."""
     bound_arrow_batches(spark)
     files = spark.read.schema(FILES).parquet(path)
-    sizes = files.select("range_no", "file_no", "n_tokens")
-    ranges = sizes.groupBy("range_no").agg(F.sum("n_tokens").alias("n")).select(
-        "range_no", F.coalesce(F.sum("n").over(W.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)),
-                               F.lit(0)).alias("_range_start"))
-    in_range = W.partitionBy("range_no").orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.withColumn("_file_start", F.coalesce(F.sum("n_tokens").over(in_range), F.lit(0))).join(ranges, "range_no")
-    starts = starts.select("range_no", "file_no", (F.col("_file_start") + F.col("_range_start")).alias("_start"))
-    located = files.join(starts, ["range_no", "file_no"]).select("_start", "doc_ids", "doc_tokens", "tokens")
+    earlier = W.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
+    ranges = files.groupBy("range_no").agg(F.sum("n_tokens").alias("n")).select(
+        "range_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_range_start"))
+    located = files.join(F.broadcast(ranges), "range_no").select(
+        (F.col("_range_start") + F.col("tokens_before")).alias("_start"), "doc_ids", "doc_tokens", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
