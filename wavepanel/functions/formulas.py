@@ -68,11 +68,12 @@ ANDERSON_P = [
 # mn = m_n and mn1 = m_{n-1} (expected normal order statistics).
 SHAPIRO_COEF = [
     ("_u", "1 / sqrt(n)"),
-    ("a_n", "mn / sqrt(mm) + 0.221157 * _u - 0.147981 * power(_u, 2) - 2.071190 * power(_u, 3)"
-            " + 4.434685 * power(_u, 4) - 2.706056 * power(_u, 5)"),
+    ("a_n", "CASE WHEN n = 3 THEN sqrt(0.5) ELSE mn / sqrt(mm) + 0.221157 * _u - 0.147981 * power(_u, 2)"
+            " - 2.071190 * power(_u, 3) + 4.434685 * power(_u, 4) - 2.706056 * power(_u, 5) END"),
     ("a_n1", "mn1 / sqrt(mm) + 0.042981 * _u - 0.293762 * power(_u, 2) - 1.752461 * power(_u, 3)"
              " + 5.682633 * power(_u, 4) - 3.582633 * power(_u, 5)"),
-    ("phi", """CASE WHEN n > 5 THEN (mm - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * a_n * a_n - 2 * a_n1 * a_n1)
+    ("phi", """CASE WHEN n <= 3 THEN 1.0
+                    WHEN n > 5 THEN (mm - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * a_n * a_n - 2 * a_n1 * a_n1)
                     ELSE (mm - 2 * mn * mn) / (1 - 2 * a_n * a_n) END"""),
 ]
 

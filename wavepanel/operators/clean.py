@@ -147,7 +147,8 @@ def clip_audit(df: DataFrame, ranges: dict[str, tuple[float, float]], max_listed
     names = [n for n in ranges if n in df.columns]
 
     def num(n):
-        return F.col(n).cast("double")
+        # text columns are read as clip_ranges reads them: what is no number is null
+        return parse_number(F.col(n)) if isinstance(df.schema[n].dataType, T.StringType) else F.col(n).cast("double")
 
     cells = df.select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("variable"), num(n).alias("value"),

@@ -9,6 +9,7 @@ the handful of result rows by small Arrow-batched helpers.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -34,11 +35,11 @@ def numeric_profile(df: DataFrame, cols: list[str], min_n: int = 8) -> DataFrame
         F.count(v).cast("double").alias("n"), F.avg(v).alias("mean"),
         quantile("value", 0.5, exact).alias("median"),
         F.stddev_samp(v).alias("std"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"))
+    # below min_n the formulas see a null n, so none of their divisions is reached
+    prof = prof.withColumn("__n", F.col("n")).withColumn("n", F.when(F.col("n") >= min_n, F.col("n")))
     out = apply_steps(prof, DAGOSTINO).drop(*DAGOSTINO_TEMPS)
-    guard = F.col("n") >= min_n
-    return out.select("variable", F.col("n").cast("bigint").alias("n"), "mean", "median", "std",
-                      F.col("g1").alias("skewness"), F.col("g2").alias("kurtosis"),
-                      F.when(guard, F.col("k2")).alias("k2"), F.when(guard, F.col("k2_p")).alias("k2_p"))
+    return out.select("variable", F.col("__n").cast("bigint").alias("n"), "mean", "median", "std",
+                      F.col("g1").alias("skewness"), F.col("g2").alias("kurtosis"), "k2", "k2_p")
 
 
 def capped_sample(df: DataFrame, cols: list[str], key: list[str], cap: int = SHAPIRO_MAX_N,
@@ -73,6 +74,9 @@ def shapiro_wilk(sample: DataFrame, by: str = "variable", value: str = "value")
         F.max_by("m", "i").alias("mn"),
         F.sum(F.when(F.col("i") == F.col("n") - 1, F.col("m"))).alias("mn1"),
         F.avg("x").alias("mean"))
+    # fewer than three values have no statistic: null sums keep the formulas from dividing by zero
+    enough = F.col("n") >= 3
+    stats = stats.withColumns({c: F.when(enough, F.col(c)) for c in ("mm", "mn", "mn1")})
     coef = apply_steps(stats, SHAPIRO_COEF)
     j = ranked.drop("n").join(coef, by)
     i, n = F.col("i"), F.col("n")
@@ -81,10 +85,12 @@ def shapiro_wilk(sample: DataFrame, by: str = "variable", value: str = "value")
           .otherwise(F.col("m") / F.sqrt(F.col("phi"))))
     sums = j.groupBy(by, "n").agg(F.sum(a * F.col("x")).alias("ax"),
                                   F.sum((F.col("x") - F.col("mean")) ** 2).alias("sst"))
-    res = sums.withColumn("w", F.when(F.col("sst") > 0, F.least(F.lit(1.0), F.col("ax") ** 2 / F.col("sst"))))
+    res = sums.withColumn("w", F.when((F.col("sst") > 0) & (F.col("n") >= 3), F.least(F.lit(1.0), F.try_divide(F.col("ax") ** 2, F.col("sst")))))
     res = apply_steps(res, SHAPIRO_Z)
+    # three values: the distribution of W is known exactly
+    three = F.greatest(F.lit(0.0), 6.0 / math.pi * (F.asin(F.sqrt("w")) - math.asin(math.sqrt(0.75))))
     return res.select(by, F.col("n").cast("bigint").alias("n"), "w",
-                      F.when(F.col("n") >= 3, U.norm_sf(F.col("sw_z"))).alias("sw_p"))
+                      F.when(F.col("n") == 3, three).when(F.col("n") > 3, U.norm_sf(F.col("sw_z"))).alias("sw_p"))
 
 
 def anderson_darling(sample: DataFrame, by: str = "variable", value: str = "value") -> DataFrame:
@@ -94,7 +100,7 @@ def anderson_darling(sample: DataFrame, by: str = "variable", value: str = "valu
     z = sample.select(by, F.col(value).alias("x"),
                       F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(whole).alias("n"),
                       F.avg(value).over(whole).alias("mu"), F.stddev_samp(value).over(whole).alias("sd"))
-    z = z.withColumn("z", (F.col("x") - F.col("mu")) / F.col("sd"))
+    z = z.withColumn("z", F.try_divide(F.col("x") - F.col("mu"), F.col("sd")))       # null for a constant column
     i, n = F.col("i"), F.col("n")
     term = (2 * i - 1) * U.norm_logcdf(F.col("z")) + (2 * n + 1 - 2 * i) * U.norm_logcdf(-F.col("z"))
     agg = z.groupBy(by).agg(F.first("n").cast("double").alias("n"), F.sum(term).alias("s"))
@@ -106,8 +112,9 @@ def anderson_darling(sample: DataFrame, by: str = "variable", value: str = "valu
 def chi2_independence(df: DataFrame, row: str, cols: list[str]) -> DataFrame:
     """Pearson chi-square of ``row`` x (is-null of each column) per column
     (TST5). No continuity correction except for 1 degree of freedom (Yates),
-    as in the common contingency-test convention."""
-    cells = long_values(df.select(row, *cols), cols, ids=[row]).select(
+    as in the common contingency-test convention. Rows without a ``row`` level
+    take no part."""
+    cells = long_values(df.filter(F.col(row).isNotNull()).select(row, *cols), cols, ids=[row]).select(
         row, "variable", F.col("value").isNull().cast("int").alias("missing"))
     obs = cells.groupBy("variable", row, "missing").agg(F.count(F.lit(1)).alias("o"))
     rt = obs.groupBy("variable", row).agg(F.sum("o").alias("rt"))
@@ -120,7 +127,7 @@ def chi2_independence(df: DataFrame, row: str, cols: list[str]) -> DataFrame:
     dof = (F.col("r") - 1) * (F.col("c") - 1)
     diff = F.when(dof == 1, F.greatest(F.abs(F.col("o") - F.col("e")) - 0.5, F.lit(0.0))) \
             .otherwise(F.abs(F.col("o") - F.col("e")))
-    stat = full.groupBy("variable", "r", "c", "t").agg(F.sum(diff * diff / F.col("e")).alias("chi2"))
+    stat = full.groupBy("variable", "r", "c", "t").agg(F.sum(F.try_divide(diff * diff, F.col("e"))).alias("chi2"))
     stat = stat.select("variable", "chi2", ((F.col("r") - 1) * (F.col("c") - 1)).cast("bigint").alias("dof"),
                        F.col("t").alias("n"))
     return stat.withColumn("p", U.chi2_sf(F.col("chi2"), F.col("dof").cast("double")))

@@ -81,7 +81,9 @@ def prepared(df: DataFrame, series: str, order: list[str], value: str, L: int, K
                      F.lag("x", 1).over(w).alias("xl"))
     s1 = s1.withColumn("dx", F.col("x") - F.col("xl")).withColumn("r", F.col("x") - F.col("mu")) \
            .withColumn("a", F.col("r") * F.col("r"))
-    return s1.select(series, "pos", "n", "x", "xl", "dx", "r", "a",
+    # the level enters the regressions less its mean: with a constant fitted the results are the same, and the sums of
+    # products keep their digits
+    return s1.select(series, "pos", "n", "x", (F.col("xl") - F.col("mu")).alias("xl"), "dx", "r", "a",
                      F.sum("r").over(run).alias("cum"),
                      *_lags("dx", w, L, "dl"), *_lags("r", w, K, "rl"), *_lags("a", w, ARCH_MAX_LAGS, "al"))
 
@@ -97,20 +99,23 @@ def _prepared_chunked(df, series, order, value, L, K, width):
         F.count(F.lit(1)).alias("__c"), F.sum("x").alias("__s"))
     ws = Window.partitionBy(series)
     before = Window.partitionBy(series).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(series, CHUNK, F.sum("__c").over(ws).alias("n"), (F.sum("__s").over(ws) / F.sum("__c").over(ws))
-                       .alias("mu"), F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__off"))
+    sums = sums.select(series, CHUNK, "__c", "__s", F.sum("__c").over(ws).alias("n"),
+                       (F.sum("__s").over(ws) / F.sum("__c").over(ws)).alias("mu"))
+    sums = sums.select(series, CHUNK, "n", "mu", F.coalesce(F.sum(F.col("__s") - F.col("__c") * F.col("mu")).over(before),
+                                                            F.lit(0.0)).alias("__off"))
     wc = Window.partitionBy(series, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = nb.join(sums, [series, CHUNK]).withColumn("__cumx", F.sum("x").over(wc) + F.col("__off"))
+    j = nb.join(sums, [series, CHUNK])
+    j = j.withColumn("__cum", F.sum(F.col("x") - F.col("mu")).over(wc) + F.col("__off"))
     cur = F.struct(F.col(order[0]).cast("double").alias("p"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
     prev = F.reverse(F.array_sort(F.filter(F.col("__cand_x"), lambda c: c.dropFields("x") < cur)))
     j = j.withColumn("__prev", prev)
     xl = [F.try_element_at(F.col("__prev"), F.lit(i))["x"] for i in range(1, kx + 1)]
     pos = (F.col("__rn") - 1).alias("pos")
-    out = j.select(series, pos, "n", "x", "mu", "__cumx", *[c.alias(f"__xl{i}") for i, c in enumerate(xl, 1)])
+    out = j.select(series, pos, "n", "x", "mu", "__cum", *[c.alias(f"__xl{i}") for i, c in enumerate(xl, 1)])
     r = F.col("x") - F.col("mu")
     return out.select(
-        series, "pos", "n", "x", F.col("__xl1").alias("xl"), (F.col("x") - F.col("__xl1")).alias("dx"),
-        r.alias("r"), (r * r).alias("a"), (F.col("__cumx") - (F.col("pos") + 1) * F.col("mu")).alias("cum"),
+        series, "pos", "n", "x", (F.col("__xl1") - F.col("mu")).alias("xl"), (F.col("x") - F.col("__xl1")).alias("dx"),
+        r.alias("r"), (r * r).alias("a"), F.col("__cum").alias("cum"),
         *[(F.col(f"__xl{j_}") - F.col(f"__xl{j_ + 1}")).alias(f"dl{j_}") for j_ in range(1, L + 1)],
         *[(F.col(f"__xl{j_}") - F.col("mu")).alias(f"rl{j_}") for j_ in range(1, K + 1)],
         *[((F.col(f"__xl{j_}") - F.col("mu")) ** 2).alias(f"al{j_}") for j_ in range(1, ARCH_MAX_LAGS + 1)])
@@ -373,20 +378,39 @@ def _finish_batch(pdf: pd.DataFrame, series: str, L: int, K: int) -> pd.DataFram
     return res
 
 
-def series_tests(df: DataFrame, series: str, order: list[str], value: str, max_lag: int = 12,
-                 max_autocov: int = 16, chunk_width: float | None = None) -> DataFrame:
+def longest_series(df: DataFrame, series: str, value: str) -> int:
+    """Values of the longest series (one partial aggregate)."""
+    n = df.filter(F.col(value).isNotNull()).groupBy(series).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return n or 0
+
+
+def kpss_most_lags(n: int) -> int:
+    """The automatic bandwidth of a series of ``n`` values unless its long-run
+    variance all but vanishes, and the lags that it is worked out from."""
+    covlags = int(n ** (2.0 / 9.0))
+    return max(covlags, math.ceil(1.1447 * covlags ** (2.0 / 3.0) * n ** (1.0 / 3.0)), 1)
+
+
+def series_tests(df: DataFrame, series: str, order: list[str], value: str, max_lag: int | None = None,
+                 max_autocov: int | None = None, chunk_width: float | None = None) -> DataFrame:
     """ADF (constant, AIC lag choice, MacKinnon p), KPSS (level, automatic
     bandwidth, p interpolated and clamped to [0.01, 0.10]) and Engle's ARCH
     LM / F test on the demeaned series, one row per series (TST7-TST9).
-    Series shorter than 10 values get null statistics (TST11). ``max_lag``
-    caps the ADF lag search (the rule's own cap is 11 for 67-point series);
-    KPSS is null when its bandwidth would exceed ``max_autocov``.
+    Series shorter than 10 values get null statistics (TST11). The lags that
+    are gathered follow from the longest series, so that each series has its
+    own full lag search and bandwidth; ``max_lag`` and ``max_autocov`` set
+    them by hand. KPSS is null only where the bandwidth rule runs off to more
+    lags than that, when the long-run variance it divides by is almost zero.
 
     Finishing: the bucket rows are hash-partitioned by series and sorted, then
     ``mapInPandas`` solves the small regressions of every series in an Arrow
     batch at once; a series cut by a batch boundary is carried to the next
     batch, so memory is bounded by the batch size.
     """
+    if max_lag is None or max_autocov is None:
+        n = longest_series(df, series, value)
+        max_lag = adf_max_lag(n) if max_lag is None else max_lag
+        max_autocov = kpss_most_lags(n) if max_autocov is None else max_autocov
     L, K = max_lag, max_autocov
     grams = gram_buckets(prepared(df, series, order, value, L, K, chunk_width), series, L, K)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -408,7 +432,8 @@ def series_tests(df: DataFrame, series: str, order: list[str], value: str, max_l
         if carry is not None and not carry.empty:
             yield _finish_batch(carry, series, L, K)
 
-    return ordered.mapInPandas(run, TEST_SCHEMA)
+    kind = df.schema[series].dataType.simpleString()
+    return ordered.mapInPandas(run, TEST_SCHEMA.replace("series long", f"series {kind}", 1))
 
 
 def autocorrelation(df: DataFrame, series: str, order: list[str], value: str, nlags: int = 10,
@@ -443,6 +468,8 @@ def acf_pacf(df: DataFrame, series: str, order: list[str], value: str, nlags: in
         F.sum(F.col("r") * (F.coalesce(F.col(f"rl{j}"), F.lit(0.0)) if j else F.col("r"))).alias(f"ac_{j}")
         for j in range(nlags + 1)])
 
+    kind = df.schema[series].dataType.simpleString()
+
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, r in pdf.iterrows():
@@ -457,8 +484,8 @@ def acf_pacf(df: DataFrame, series: str, order: list[str], value: str, nlags: in
                     den = 1 - phi_prev @ rho[1:k]
                     pk = num / den if den else np.nan
                     phi = np.append(phi_prev - pk * phi_prev[::-1], pk)
-                rows.append((int(r[series]), k, float(rho[k]), float(phi[-1])))
+                rows.append((r[series], k, float(rho[k]), float(phi[-1])))
                 phi_prev = phi
         return pd.DataFrame(rows, columns=["series", "lag", "acf", "pacf"])
 
-    return sums.groupBy(series).applyInPandas(finish, "series long, lag int, acf double, pacf double")
+    return sums.groupBy(series).applyInPandas(finish, f"series {kind}, lag int, acf double, pacf double")

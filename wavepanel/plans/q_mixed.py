@@ -20,26 +20,15 @@ def _stage_panel(spark, sf):
     return p.withColumn("m_avg", pair_mean("m1", "m2")).withColumn("composite", row_mean(["e1", "e2", "e3"]))
 
 
-_FITS: dict = {}
-
-
-def _memo(key, build):
-    # Several registered queries report different tables of the same fit;
-    # fit once per session and input directory.
-    if key not in _FITS:
-        _FITS[key] = build()
-    return _FITS[key]
-
-
 def _slope_fit(spark, sf):
-    return _memo(("slope", spark.sparkContext.applicationId, sf), lambda: M.fit_lmm(
+    return M.fit_lmm(
         _stage_panel(spark, sf), "m_avg", "entity_id", fixed=["visit", "age"],
-        factors={"stage": "5-LOW", "status": "mode"}, slope="visit"))
+        factors={"stage": "5-LOW", "status": "mode"}, slope="visit")
 
 
 def _intercept_fit(spark, sf):
-    return _memo(("intercept", spark.sparkContext.applicationId, sf), lambda: M.fit_lmm(
-        _stage_panel(spark, sf), "composite", "entity_id", fixed=["visit", "x1"], factors={"stage": "first"}))
+    return M.fit_lmm(
+        _stage_panel(spark, sf), "composite", "entity_id", fixed=["visit", "x1"], factors={"stage": "first"})
 
 
 @register("lmm_slope_coefficients")

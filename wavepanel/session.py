@@ -1,11 +1,13 @@
 """Session construction and lineage cutting.
 
-On a cluster the shared checkpoint folder comes from ``spark.checkpoint.dir``;
-we only fall back to a scratch folder when the session has none (local tests).
+The shared checkpoint folder comes from ``spark.checkpoint.dir``. A session
+without one gets a scratch folder only if it runs in a single process; on a
+cluster that would be the driver's own disk, so there it is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +45,7 @@ def build_session(master: str | None = None, partitions: int | None = None,
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's shared checkpoint folder, creating a scratch one
-    only when none is configured (single-machine tests)."""
+    only when none is configured and the session is a single process."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -52,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="wavepanel-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
