@@ -171,11 +171,14 @@ def test_acf_matches_numpy(spark):
     assert math.isclose(got[1].pacf, got[1].acf)
 
 
-def test_exact_quantiles_only_for_bounded_groups(spark):
-    from wavepanel.operators.describe import exact_quantiles_ok, quantile
-    df = spark.createDataFrame([(float(i),) for i in range(1000)], "x double")
-    assert exact_quantiles_ok(df, "x")
-    assert not exact_quantiles_ok(df, "x", limit=50)
-    exact = df.agg(quantile("x", 0.5, True).alias("m")).first().m
-    approx = df.agg(quantile("x", 0.5, False).alias("m")).first().m
-    assert exact == 499.5 and abs(approx - 499.5) <= 1
+def test_exact_quantiles_equal_numpy_in_every_group(spark):
+    from wavepanel.operators.describe import exact_quantiles
+    rng = np.random.default_rng(8)
+    groups = {"many": rng.normal(size=3001), "ties": rng.integers(0, 4, 500).astype(float), "one": np.array([7.0]),
+              None: np.array([1.0, 2.0, 3.0, 10.0])}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("many", None), ("empty", None)]
+    probs = [0.0, 0.25, 0.333, 0.5, 0.75, 1.0]
+    got = {r.g: r.q for r in exact_quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", probs).collect()}
+    assert got.keys() == groups.keys()
+    for g, x in groups.items():
+        assert np.allclose(got[g], np.quantile(x, probs), rtol=1e-12, atol=1e-12)

@@ -15,30 +15,41 @@ from wavepanel.catalog import BALANCE_RATIO
 from wavepanel.operators.sizing import bounded
 
 
-# Exact quantiles keep every distinct value of a group in one aggregation
-# buffer; they are used only when an approximate distinct count proves each
-# group small. Above the bound, a fixed-size sketch (percentile_approx) is used.
-EXACT_DISTINCT_LIMIT = 1_000_000
-APPROX_ACCURACY = 100_000
-
-
-def exact_quantiles_ok(df: DataFrame, value: str, by: list[str] | None = None,
-                       limit: int = EXACT_DISTINCT_LIMIT) -> bool:
-    """True when every group holds at most ``limit`` distinct values (one
-    partial aggregate of HyperLogLog sketches; the driver gets one number)."""
-    d = F.approx_count_distinct(value).alias("d")
-    per = df.groupBy(*by).agg(d) if by else df.agg(d)
-    top = per.agg(F.max("d")).first()[0]
-    return top is None or top <= limit
-
-
-def quantile(value: str, probs, exact: bool):
-    """Exact (linear interpolation) or sketch quantile(s) of ``value``."""
-    if exact:
-        arg = F.array(*[F.lit(float(p)) for p in probs]) if isinstance(probs, (list, tuple)) else F.lit(float(probs))
-        return F.percentile(value, arg)
-    return F.percentile_approx(value, list(probs) if isinstance(probs, (list, tuple)) else float(probs),
-                               APPROX_ACCURACY)
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs, name: str = "q") -> DataFrame:
+    """Exact quantiles with linear interpolation per group, one definition at
+    every size: (by, array of the quantiles). Values are counted first (partial
+    aggregate), the counts run up in value order, and the values at the two
+    places around each quantile are picked. No buffer holds a group: the window
+    works over a group's distinct values on sorted, spillable rows."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    group = Window.partitionBy(*by)
+    placed = counts.select(*by, "__v", "__c", F.sum("__c").over(group.orderBy("__v")).alias("__end"),
+                           F.sum("__c").over(group).alias("__n"))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("__n") - 1)).alias("at"))
+                       for i, p in enumerate(probs)])
+
+    def here(place):
+        return (place >= F.col("__end") - F.col("__c")) & (place < F.col("__end"))
+
+    held = F.filter(places, lambda s: here(F.floor(s["at"])) | here(F.ceil(s["at"])))
+    hits = placed.select(*by, "__v", "__c", "__end", F.explode(held).alias("s"))
+    at, lo, hi = F.col("s.at"), F.floor("s.at"), F.ceil("s.at")
+    ends = hits.groupBy(*by, F.col("s.i").alias("__i")).agg(
+        F.max(F.when(here(lo), F.col("__v"))).alias("__a"), F.max(F.when(here(hi), F.col("__v"))).alias("__b"),
+        F.max(at).alias("__at"))
+    lo, hi = F.floor("__at"), F.ceil("__at")
+    q = F.when(lo == hi, F.col("__a")).otherwise((hi - F.col("__at")) * F.col("__a") + (F.col("__at") - lo) * F.col("__b"))
+    # one entry for each of probs
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("__i", q.alias("q")))), lambda s: s["q"])
+    return ends.groupBy(*by).agg(listed.alias(name))
+
+
+def add_quantiles(stats: DataFrame, df: DataFrame, by: list[str], value: str, probs, name: str = "__q") -> DataFrame:
+    """``stats`` (one row per group of ``df``) with the array of its exact quantiles; null for a group without values."""
+    q = exact_quantiles(df, by, value, probs, name)
+    q = q.select(*[F.col(b).alias(f"__k{i}") for i, b in enumerate(by)], name)
+    same = [F.col(b).eqNullSafe(F.col(f"__k{i}")) for i, b in enumerate(by)]
+    return stats.join(q, same, "left").drop(*[f"__k{i}" for i in range(len(by))])
 
 
 def long_values(df: DataFrame, cols: list[str], ids: list[str] | None = None,
@@ -116,10 +127,10 @@ def group_stats(df: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
     """count, mean, std, median, min, max per group x measure (AGG10)."""
     long = long_values(df, measures, ids=by, name="measure")
     v = F.col("value")
-    exact = exact_quantiles_ok(long, "value", [*by, "measure"])
-    return long.groupBy(*by, "measure").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        quantile("value", 0.5, exact).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    out = long.groupBy(*by, "measure").agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    out = add_quantiles(out, long, [*by, "measure"], "value", [0.5])
+    return out.select(*by, "measure", "n", "mean", "std", F.col("__q")[0].alias("median"), "min", "max")
 
 
 def mean_se(long: DataFrame, by: list[str], value: str = "value", z: float = 1.96) -> DataFrame:
@@ -135,10 +146,8 @@ def mean_se(long: DataFrame, by: list[str], value: str = "value", z: float = 1.9
 
 def mean_median_count(df: DataFrame, by: str, col: str, digits: int = 3) -> DataFrame:
     """Rounded mean, median and count per group (AGG12)."""
-    exact = exact_quantiles_ok(df, col, [by])
-    return df.groupBy(by).agg(F.bround(F.avg(col), digits).alias("mean"),
-                              F.bround(quantile(col, 0.5, exact), digits).alias("median"),
-                              F.count(col).alias("n"))
+    out = df.groupBy(by).agg(F.bround(F.avg(col), digits).alias("mean"), F.count(col).alias("n"))
+    return add_quantiles(out, df, [by], col, [0.5]).select(by, "mean", F.bround(F.col("__q")[0], digits).alias("median"), "n")
 
 
 def mean_of_means(df: DataFrame, stage: str, groups: dict[str, list[str]]) -> DataFrame:
@@ -152,25 +161,16 @@ def mean_of_means(df: DataFrame, stage: str, groups: dict[str, list[str]]) -> Da
                                          F.floor(F.avg("n")).alias("sample_size"))
 
 
-def describe(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), by: list[str] | None = None,
-             accuracy: int | None = None) -> DataFrame:
+def describe(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), by: list[str] | None = None) -> DataFrame:
     """count/mean/std/min/quantiles/max per variable (AGG17, AGG18, PLT3).
-
-    Quantiles are exact with linear interpolation (pandas' default) when
-    every variable's distinct count is within ``EXACT_DISTINCT_LIMIT``;
-    otherwise, or when ``accuracy`` is given, ``percentile_approx`` with a
-    bounded sketch.
-    """
+    Quantiles are exact with linear interpolation (pandas' default)."""
     by = by or []
     long = long_values(df, cols, ids=by)
     v = F.col("value")
-    if accuracy:
-        q = F.percentile_approx(v, list(probs), accuracy)
-    else:
-        q = quantile("value", list(probs), exact_quantiles_ok(long, "value", [*by, "variable"]))
     out = long.groupBy(*by, "variable").agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), q.alias("__q"), F.max(v).alias("max"))
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    out = add_quantiles(out, long, [*by, "variable"], "value", list(probs))
     qcols = [F.col("__q")[i].alias(f"p{int(round(p * 100)):02d}") for i, p in enumerate(probs)]
     return out.select(*by, "variable", "n", "mean", "std", "min", *qcols, "max")
 

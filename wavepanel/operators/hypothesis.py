@@ -20,7 +20,7 @@ from wavepanel.functions import special as S
 from wavepanel.functions import udfs as U
 from wavepanel.functions.formulas import ANDERSON_P, DAGOSTINO, DAGOSTINO_TEMPS, SHAPIRO_COEF, SHAPIRO_Z, \
     apply_steps
-from wavepanel.operators.describe import exact_quantiles_ok, long_values, quantile
+from wavepanel.operators.describe import add_quantiles, exact_quantiles, long_values
 from wavepanel.operators.sizing import bounded
 
 
@@ -30,11 +30,10 @@ def numeric_profile(df: DataFrame, cols: list[str], min_n: int = 8) -> DataFrame
     below ``min_n`` values, TST11)."""
     long = long_values(df, cols).filter(F.col("value").isNotNull())
     v = F.col("value")
-    exact = exact_quantiles_ok(long, "value", ["variable"])
     prof = long.groupBy("variable").agg(
         F.count(v).cast("double").alias("n"), F.avg(v).alias("mean"),
-        quantile("value", 0.5, exact).alias("median"),
         F.stddev_samp(v).alias("std"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"))
+    prof = add_quantiles(prof, long, ["variable"], "value", [0.5]).withColumn("median", F.col("__q")[0])
     # below min_n the formulas see a null n, so none of their divisions is reached
     prof = prof.withColumn("__n", F.col("n")).withColumn("n", F.when(F.col("n") >= min_n, F.col("n")))
     out = apply_steps(prof, DAGOSTINO).drop(*DAGOSTINO_TEMPS)
@@ -90,7 +89,7 @@ def shapiro_wilk(sample: DataFrame, by: str = "variable", value: str = "value")
     # three values: the distribution of W is known exactly
     three = F.greatest(F.lit(0.0), 6.0 / math.pi * (F.asin(F.sqrt("w")) - math.asin(math.sqrt(0.75))))
     return res.select(by, F.col("n").cast("bigint").alias("n"), "w",
-                      F.when(F.col("n") == 3, three).when(F.col("n") > 3, U.norm_sf(F.col("sw_z"))).alias("sw_p"))
+                      F.when((F.col("n") == 3) & F.col("w").isNotNull(), three).when(F.col("n") > 3, U.norm_sf(F.col("sw_z"))).alias("sw_p"))
 
 
 def anderson_darling(sample: DataFrame, by: str = "variable", value: str = "value") -> DataFrame:
@@ -178,8 +177,7 @@ def iqr_outliers(reference: DataFrame, candidate: DataFrame, cols: list[str], k:
     values, per variable (TST10). Quartiles are exact (linear interpolation);
     the per-variable fences are one small broadcast table."""
     ref = long_values(reference, cols).filter(F.col("value").isNotNull())
-    exact = exact_quantiles_ok(ref, "value", ["variable"])
-    q = ref.groupBy("variable").agg(quantile("value", [0.25, 0.75], exact).alias("q"))
+    q = exact_quantiles(ref, ["variable"], "value", [0.25, 0.75])
     fences = q.select("variable", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     fences = fences.select("*", (F.col("q1") - k * iqr).alias("lower"), (F.col("q3") + k * iqr).alias("upper"))

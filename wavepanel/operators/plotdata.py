@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavepanel.functions import special as S
-from wavepanel.operators.describe import exact_quantiles_ok, long_values, quantile
+from wavepanel.operators.describe import add_quantiles, long_values
 from wavepanel.operators.derive import stars
 from wavepanel.operators.sizing import bounded
 
@@ -55,10 +55,8 @@ def qq_points(df: DataFrame, cols: list[str], points: int = 99) -> DataFrame:
     probs = [(i - 0.5) / points for i in range(1, points + 1)]
     theo = [S.norm_ppf(p) for p in probs]
     long = long_values(df, cols).filter(F.col("value").isNotNull())
-    exact = exact_quantiles_ok(long, "value", ["variable"])
-    q = long.groupBy("variable").agg(
-        quantile("value", probs, exact).alias("q"),
-        F.avg("value").alias("mu"), F.stddev_samp("value").alias("sd"))
+    q = long.groupBy("variable").agg(F.avg("value").alias("mu"), F.stddev_samp("value").alias("sd"))
+    q = add_quantiles(q, long, ["variable"], "value", probs, "q")
     grid = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("p"),
                         F.array(*[F.lit(t) for t in theo]).alias("theoretical"), F.col("q").alias("sample"))
     return (q.select("variable", "mu", "sd", F.explode(grid).alias("z"))
@@ -72,9 +70,7 @@ def box_stats(df: DataFrame, cols: list[str], by: list[str] | None = None, whisk
     by = by or []
     long = long_values(df, cols, ids=by).filter(F.col("value").isNotNull())
     keys = [*by, "variable"]
-    exact = exact_quantiles_ok(long, "value", keys)
-    q = long.groupBy(*keys).agg(quantile("value", [0.25, 0.5, 0.75], exact).alias("q"),
-                                F.count(F.lit(1)).alias("n"))
+    q = add_quantiles(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), long, keys, "value", [0.25, 0.5, 0.75], "q")
     q = q.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     fences = q.select("*", (F.col("q1") - whisker * iqr).alias("__lo"), (F.col("q3") + whisker * iqr).alias("__hi"))
