@@ -31,7 +31,7 @@ MIN_WORDS, MIN_SHARE, MIN_ITEM = 13, 0.8, 5
 #: bitmap lets more chance hits through to the join and loses none.
 FILTER_BITS = (24, 27)
 SALTS = 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 GOLDEN = 0x9E3779B97F4A7C15
 #: ASCII other than letters, digits and the underscore separates words, and so do these marks.
 SEPARATORS = bytes(c if chr(c).isalnum() or c == 0x5F or c >= 0x80 else 0x20 for c in range(256))

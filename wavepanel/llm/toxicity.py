@@ -34,7 +34,7 @@ START_BIAS = -7.0
 #: Fewest training documents that have a feature.
 LEAST_DOCS = 3
 BEGINNINGS = (4, 5, 6)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 LIMIT = 30.0
 #: Sentences end at . ! ? and line ends; other ASCII marks separate words.
 BREAKS = bytes(0x0A if c in b".!?\n" else c if chr(c).isalnum() or c == 0x5F or c >= 0x80 else 0x20 for c in range(256))
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     if n_toxic in (0, n):
         return Model(START_BIAS, {})
     counted = _document_features(sample).groupBy("feature").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_DOCS)
-    names = sorted(r.feature for r in counted.select("feature").collect())        # bounded by the sample
+    names = sorted(counted.select("feature").toArrow()["feature"].to_pylist())        # bounded by the sample
     bags = write_shared(_bags(sample, {f: i for i, f in enumerate(names)}).repartition(TRAIN_PARTS), "toxicity-bags") \
         .coalesce(TRAIN_PARTS)
     weights, bias = np.zeros(len(names)), START_BIAS
