@@ -48,6 +48,14 @@ def test_blocks_do_not_change_the_result(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == brute.top_k(vectors, 20, 64)
 
 
+def test_sql_gives_the_same_rows():
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF_SMALL}/embeddings.parquet')")
+    vectors = con.execute("SELECT vec_id, embedding FROM embeddings").fetchall()
+    assert sorted(con.execute(queries.oracle_sql()["op1_bitsliced_topk"]).fetchall()) == brute.top_k(vectors, 20, 64)
+
+
 def test_jump_hash_equals_the_plain_form():
     keys = np.random.default_rng(1).integers(-2**63, 2**63 - 1, 3000)
     for shards in (1, 2, 16, 17, 1000):
