@@ -54,14 +54,12 @@ def test_reml_matches_dense_gls_and_is_optimal(spark, slope):
 
 
 def test_no_entity_variance_equals_ols(spark):
-    p = orders_panel(spark, SF_SMALL).withColumn("y", (F.col("m1") + F.col("m2")) / 2)
-    res = M.fit_lmm(p, "y", "entity_id", fixed=["visit"], factors=None, slope=None)
-    fit = res.fits["model"]
-    pdf = p.select("y", "visit").dropna().toPandas()
-    X = np.column_stack([np.ones(len(pdf)), pdf.visit.astype(float)])
-    b, *_ = np.linalg.lstsq(X, pdf.y.to_numpy(), rcond=None)
-    if fit["gamma"][0, 0] < 1e-8:
-        assert np.allclose(fit["beta"], b, atol=1e-6)
+    # entities whose residuals cancel: the intercept variance is at its boundary, zero
+    rows = [(e, float(v), 1.0 + 2.0 * v + (1.0 if (v + e) % 2 else -1.0)) for e in range(30) for v in range(4)]
+    fit = M.fit_lmm(spark.createDataFrame(rows, "e long, v double, y double"), "y", "e", fixed=["v"]).fits["model"]
+    x = np.array([[1.0, r[1]] for r in rows])
+    b, *_ = np.linalg.lstsq(x, np.array([r[2] for r in rows]), rcond=None)
+    assert fit["gamma"][0, 0] < 1e-4 and np.allclose(fit["beta"], b, atol=1e-6)
 
 
 def test_single_visit_entities_and_counts(spark):
@@ -109,3 +107,59 @@ def test_distributed_fallback_matches_pattern_fit(spark, slope):
     assert dist["converged"]
     assert math.isclose(dist["m2ll"], compressed["m2ll"], rel_tol=1e-9)
     assert np.allclose(dist["beta"], compressed["beta"], atol=1e-4)
+
+
+def test_balanced_groups_have_the_anova_estimates(spark):
+    """Balanced one-way layout: REML is (MSB - MSW) / m and MSW, the standard error sqrt(MSB / n)."""
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=(40, 6)) + rng.normal(0, 2, size=(40, 1)) + 7
+    df = spark.createDataFrame([(g, float(v)) for g in range(40) for v in y[g]], "g long, y double")
+    res = M.fit_lmm(df, "y", "g")
+    msb = 6 * y.mean(1).var(ddof=1)
+    msw = ((y - y.mean(1, keepdims=True)) ** 2).sum() / (40 * 5)
+    parts = {r.component: r.value for r in res.variance.collect()}
+    assert parts["Scale"] == pytest.approx(msw, rel=1e-6) and parts["Group Var"] == pytest.approx((msb - msw) / 6, rel=1e-6)
+    c = res.coefficients.first()
+    assert c.coef == pytest.approx(y.mean(), rel=1e-10) and c.se == pytest.approx(math.sqrt(msb / 240), rel=1e-6)
+
+
+@pytest.mark.parametrize("slope", [None, "v"])
+@pytest.mark.parametrize("max_patterns", [0, 20_000])
+def test_far_off_columns_change_nothing(spark, slope, max_patterns):
+    df = _synthetic(spark)
+    near = M.fit_lmm(df, "y", "e", fixed=["v", "x"], factors={"g": "a"}, slope=slope)
+    far_df = df.withColumns({"v": F.col("v") + 2e5, "y": F.col("y") + 1e7, "x": F.col("x") - 3e6})
+    far = M.fit_lmm(far_df, "y", "e", fixed=["v", "x"], factors={"g": "a"}, slope=slope, max_patterns=max_patterns)
+    a, b = near.fits["model"], far.fits["model"]
+    assert b["converged"] and math.isclose(a["s2"], b["s2"], rel_tol=1e-6)
+    assert np.allclose(a["beta"][1:], b["beta"][1:], rtol=1e-5)
+    u = {r.entity: (r.u0, r.u1) for r in near.blup().collect()}
+    for r in far.blup().collect():
+        # the same line, its intercept taken 2e5 visits away
+        assert math.isclose(r.u0 + 2e5 * r.u1, u[r.entity][0], rel_tol=1e-4, abs_tol=1e-4)
+        assert math.isclose(r.u1, u[r.entity][1], rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_a_level_missing_from_one_model(spark):
+    df = _synthetic(spark)
+    both = df.withColumn("m", F.lit("all")).unionByName(df.filter("g = 'a'").withColumn("m", F.lit("only a")))
+    both = both.unionByName(df.limit(2).withColumn("m", F.lit("tiny")))
+    res = M.fit_lmm(both, "y", "e", fixed=["v", "x"], factors={"g": "a"}, model="m")
+    one = M.fit_lmm(df.filter("g = 'a'"), "y", "e", fixed=["v", "x"])
+    got = {(r.model, r.term): r.coef for r in res.coefficients.collect()}
+    want = {r.term: r.coef for r in one.coefficients.collect()}
+    assert got["only a", "g[T.b]"] is None and got["all", "g[T.b]"] is not None
+    assert all(got["only a", t] == pytest.approx(want[t], abs=1e-5) for t in want)
+    stats = {r.model: r for r in res.fit_stats.collect()}
+    assert stats["all"].converged and stats["only a"].converged
+    assert not stats["tiny"].converged and stats["tiny"].scale is None and stats["tiny"].n_obs == 2
+    assert res.blup().filter("model = 'tiny' AND u0 IS NOT NULL").count() == 0
+
+
+def test_no_rows_and_text_numbers(spark):
+    df = _synthetic(spark)
+    assert M.fit_lmm(df.limit(0), "y", "e", fixed=["v"], factors={"g": "mode"}).coefficients.count() == 0
+    text = df.withColumn("y", F.col("y").cast("string")).unionByName(
+        spark.createDataFrame([(1, 0.0, 0.0, "a", "junk")], "e long, v double, x double, g string, y string"))
+    a = M.fit_lmm(text, "y", "e", fixed=["v"]).fits["model"]
+    assert np.allclose(a["beta"], M.fit_lmm(df, "y", "e", fixed=["v"]).fits["model"]["beta"], atol=1e-8)

@@ -29,6 +29,21 @@ def parse_number(c: Column) -> Column:
     return F.when(c.rlike(NUMBER_RE), F.trim(c).try_cast("double"))
 
 
+def number(df: DataFrame, col: str) -> Column:
+    """A column as double: text that is no plain number, and NaN, become null (PRJ4)."""
+    dt = df.schema[col].dataType
+    if isinstance(dt, T.StringType):
+        return parse_number(F.col(col))
+    x = F.col(col).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def as_numbers(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``df`` with its text columns among ``cols`` read as numbers (PRJ4)."""
+    text = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
+    return df.withColumns({c: number(df, c) for c in text}) if text else df
+
+
 def _null_code_expr(name: str, dt, codes, strings) -> Column:
     c = F.col(name)
     codes_d = [float(x) for x in codes]

@@ -16,8 +16,19 @@ summed together:
 1. ``groupBy(entity)``: Z'Z entries, A_i rows and [X y]'[X y] sums
    (partial aggregation: a hot entity is combined map-side);
 2. ``groupBy(pattern)``: sums of the outer products of A_i rows;
-3. on the driver, maximise the REML likelihood over the Cholesky factor of G
-   (1 or 3 parameters) on that small table; b and s2 are profiled out.
+3. minimise the REML criterion over the Cholesky factor of G (1 or 3
+   parameters) by batched Newton steps; b and s2 are profiled out. All models
+   of a batch move in step, a batch of candidate covariances each. The sums a
+   candidate needs come from the pattern table on the driver, or, where there
+   are too many patterns, from one Spark job on the entity table: the search
+   is the same.
+
+Covariates, outcome and the slope variable are centred before anything is
+summed (sums of squares of far-off values lose their digits); coefficients,
+covariances and random effects are given for the columns as they came.
+Columns that other columns determine (such as a level that a model lacks) are
+left out of that model: their coefficient is null. A model that cannot be
+fitted is a row with ``converged = false`` and nulls.
 
 BLUPs are a column expression on the per-entity table of step 1.
 """
@@ -28,11 +39,14 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavepanel.functions import special as S
+from wavepanel.operators.clean import as_numbers
 from wavepanel.operators.derive import stars
+from wavepanel.operators.sizing import bounded
 from wavepanel.session import cut_lineage
 
 _LOG2PI = math.log(2 * math.pi)
@@ -63,9 +77,13 @@ def factor_level_counts(df: DataFrame, cols: list[str], max_levels: int = 1000)
 class Design:
     terms: list[str]
     exprs: list[Column]
+    centres: np.ndarray      # subtracted from each column of [X y]
+    slope_centre: float = 0.0
+    slope_scale: float = 1.0
 
 
-def build_design(df: DataFrame, fixed: list[str], factors: dict[str, object] | None) -> Design:
+def build_design(df: DataFrame, fixed: list[str], factors: dict[str, object] | None, outcome: str | None = None,
+                 slope: str | None = None) -> Design:
     """Intercept, treatment-coded factors (reference level omitted; MOD2,
     PRJ18) and numeric covariates, in that order. A factor's reference may be
     a level, ``'mode'`` (most frequent, smallest on ties; AGG19) or
@@ -74,33 +92,41 @@ def build_design(df: DataFrame, fixed: list[str], factors: dict[str, object] | N
     counts = factor_level_counts(df, list((factors or {}).keys()))
     for col, ref in (factors or {}).items():
         levels = [lv for lv, _ in counts[col]]
-        if ref == "mode":
+        if ref == "mode" and levels:
             ref = min(counts[col], key=lambda t: (-t[1], t[0]))[0]
-        elif ref == "first" or ref is None:
+        elif (ref == "first" or ref is None) and levels:
             ref = levels[0]
         for lv in levels:
             if lv == str(ref):
                 continue
             terms.append(f"{col}[T.{lv}]")
             exprs.append(F.when(F.col(col).cast("string") == F.lit(lv), 1.0).otherwise(0.0))
+    n_coded = len(terms)
+    numeric = [*fixed, *([outcome] if outcome else [])]
     for c in fixed:
         terms.append(c)
         exprs.append(F.col(c).cast("double"))
-    return Design(terms, exprs)
+    aggs = [F.avg(F.col(c).cast("double")) for c in numeric]
+    if slope:
+        aggs += [F.avg(F.col(slope).cast("double")), F.stddev_pop(F.col(slope).cast("double"))]
+    row = [v if v is not None else 0.0 for v in df.agg(*aggs).first()] if aggs else []
+    centres = np.array([0.0] * n_coded + row[:len(numeric)])
+    if not slope:
+        return Design(terms, exprs, centres)
+    # a whole number, so that whole visit numbers stay exact and entities with the same visits share a pattern
+    return Design(terms, exprs, centres, float(round(row[-2])), row[-1] if row[-1] > 0 else 1.0)
 
 
 # --------------------------------------------------------------------------
 # distributed sufficient statistics
 # --------------------------------------------------------------------------
 
-def _rows(df, outcome, design, entity, slope, model, fixed, factors):
-    need = [outcome, entity, *(fixed or []), *list((factors or {}).keys())] + ([slope] if slope else [])
-    clean = df.dropna(subset=list(dict.fromkeys(need)))
-    cols = [(F.col(model) if model else F.lit("model")).alias("__model"), F.col(entity).alias("__entity"),
-            (F.col(slope).cast("double") if slope else F.lit(0.0)).alias("__v")]
-    cols += [e.alias(f"__x{k}") for k, e in enumerate(design.exprs)]
-    cols.append(F.col(outcome).cast("double").alias(f"__x{len(design.exprs)}"))
-    return clean.select(*cols)
+def _rows(base, outcome, design, entity, slope, model):
+    cols = [(F.col(model).cast("string") if model else F.lit("model")).alias("__model"), F.col(entity).alias("__entity"),
+            (F.col(slope).cast("double") - design.slope_centre if slope else F.lit(0.0)).alias("__v")]
+    exprs = [*design.exprs, F.col(outcome).cast("double")]
+    cols += [(e - float(c) if c else e).alias(f"__x{k}") for k, (e, c) in enumerate(zip(exprs, design.centres))]
+    return base.select(*cols)
 
 
 def entity_stats(rows: DataFrame, P: int, q: int) -> DataFrame:
@@ -169,228 +195,188 @@ def _assemble(pdf, P: int, q: int) -> _Patterns:
 
 
 # --------------------------------------------------------------------------
-# REML on the pattern table (driver, small arrays)
+# REML criterion from sums, and its minimum
 # --------------------------------------------------------------------------
 
-def _gamma(theta: np.ndarray, q: int) -> np.ndarray:
+def _gamma(theta: np.ndarray, q: int, scale: float = 1.0) -> np.ndarray:
+    """G = L L'; ``scale`` is the spread of the slope variable, which makes the parameters alike in size."""
     if q == 1:
         return np.array([[theta[0] ** 2]])
-    L = np.array([[theta[0], 0.0], [theta[1], theta[2]]])
+    L = np.array([[theta[0], 0.0], [theta[1] / scale, theta[2] / scale]])
     return L @ L.T
 
 
-def _profile(gam: np.ndarray, pat: _Patterns, p: int):
-    """Return (-2 REML loglik, beta, s2, cov_beta_unscaled, xwx) at G."""
-    q = gam.shape[0]
-    M = np.eye(q)[None, :, :] + pat.ztz @ gam[None, :, :]
-    if q == 1:
-        det = M[:, 0, 0]
-        minv = (1.0 / det)[:, None, None]
-    else:                                   # closed-form 2 x 2 determinant and inverse
-        det = M[:, 0, 0] * M[:, 1, 1] - M[:, 0, 1] * M[:, 1, 0]
-        minv = np.stack([np.stack([M[:, 1, 1], -M[:, 0, 1]], -1),
-                         np.stack([-M[:, 1, 0], M[:, 0, 0]], -1)], -2) / det[:, None, None]
-    if np.any(det <= 0):
-        return np.inf, None, None, None, None
-    logdet = np.log(det)
-    Cm = gam[None, :, :] @ minv                                   # (J, q, q)
-    P = pat.xx.shape[0]
-    corr = (Cm.reshape(-1) @ pat.s.reshape(-1, P * P)).reshape(P, P)
-    G = pat.xx - corr
-    xwx, xwy, ywy = G[:p, :p], G[:p, p], G[p, p]
-    try:
-        inv = np.linalg.inv(xwx)
-    except np.linalg.LinAlgError:
-        return np.inf, None, None, None, None
-    beta = inv @ xwy
-    r2 = float(ywy - beta @ xwy)
-    n = float(np.sum(pat.c * pat.n_i))
-    dof = n - p
-    if r2 <= 0 or dof <= 0:
-        return np.inf, None, None, None, None
-    s2 = r2 / dof
-    sld, ld_x = np.linalg.slogdet(xwx)
-    if sld <= 0:
-        return np.inf, None, None, None, None
-    m2ll = float(np.sum(pat.c * logdet)) + ld_x + dof * (math.log(s2) + _LOG2PI + 1.0)
-    return m2ll, beta, s2, inv, xwx
-
-
-def _nelder_mead(f, x0, step=0.5, tol=1e-10, max_iter=4000):
-    n = len(x0)
-    pts = [np.array(x0, dtype=float)]
-    for i in range(n):
-        x = np.array(x0, dtype=float)
-        x[i] += step
-        pts.append(x)
-    vals = [f(x) for x in pts]
-    it = 0
-    for it in range(max_iter):
-        order = np.argsort(vals)
-        pts = [pts[i] for i in order]
-        vals = [vals[i] for i in order]
-        if abs(vals[-1] - vals[0]) <= tol * (abs(vals[0]) + tol) and \
-                max(np.max(np.abs(p - pts[0])) for p in pts[1:]) < 1e-7:
-            return pts[0], vals[0], True, it
-        cen = np.mean(pts[:-1], axis=0)
-        xr = cen + (cen - pts[-1])
-        fr = f(xr)
-        if fr < vals[0]:
-            xe = cen + 2 * (cen - pts[-1])
-            fe = f(xe)
-            pts[-1], vals[-1] = (xe, fe) if fe < fr else (xr, fr)
-        elif fr < vals[-2]:
-            pts[-1], vals[-1] = xr, fr
-        else:
-            xc = cen + 0.5 * (pts[-1] - cen) if fr >= vals[-1] else cen + 0.5 * (xr - cen)
-            fc = f(xc)
-            if fc < min(fr, vals[-1]):
-                pts[-1], vals[-1] = xc, fc
-            else:
-                for i in range(1, len(pts)):
-                    pts[i] = pts[0] + 0.5 * (pts[i] - pts[0])
-                    vals[i] = f(pts[i])
-    order = np.argsort(vals)
-    return pts[order[0]], vals[order[0]], False, it
-
-
-def _fit_patterns(pat: _Patterns, p: int, q: int):
-    def obj(theta):
-        val = _profile(_gamma(theta, q), pat, p)[0]
-        return val if np.isfinite(val) else 1e300
-
-    starts = [[1.0], [0.1]] if q == 1 else [[1.0, 0.0, 0.1], [0.2, 0.0, 0.02]]
-    best = None
-    for s0 in starts:
-        th, val, conv, _ = _nelder_mead(obj, s0)
-        if best is None or val < best[1]:
-            best = (th, val, conv)
-    # restart from the best optimum with a small simplex (guards against a
-    # collapsed simplex near the variance boundary)
-    th, val, conv2, _ = _nelder_mead(obj, best[0], step=0.05)
-    theta, val, conv = (th, val, best[2] and conv2) if val <= best[1] else best
-    gam = _gamma(theta, q)
-    m2ll, beta, s2, inv, _ = _profile(gam, pat, p)
-    return dict(theta=theta, gamma=gam, m2ll=m2ll, beta=beta, s2=s2, cov=inv * s2, converged=bool(conv))
-
-
-# --------------------------------------------------------------------------
-# fallback: the same likelihood evaluated on the distributed entity table
-# --------------------------------------------------------------------------
-
-def _entity_terms(ent: DataFrame, cand: DataFrame, P: int, q: int) -> DataFrame:
-    """Per candidate G: sum of log|M_i| and of A_i' G M_i^-1 A_i over entities
-    (closed-form 1x1 / 2x2 algebra, one aggregate for all candidates)."""
-    j = ent.crossJoin(F.broadcast(cand))          # candidate table: a few dozen rows by construction
-    n = F.col("n_i").cast("double")
-    g00 = F.col("g00")
-    if q == 1:
-        det = 1 + n * g00
-        c = {(0, 0): g00 / det}
-    else:
-        sv, svv, g01, g11 = F.col("sv"), F.col("svv"), F.col("g01"), F.col("g11")
-        m00, m01 = 1 + n * g00 + sv * g01, n * g01 + sv * g11
-        m10, m11 = sv * g00 + svv * g01, 1 + sv * g01 + svv * g11
-        det = m00 * m11 - m01 * m10
-        i00, i01, i10, i11 = m11 / det, -m01 / det, -m10 / det, m00 / det
-        c = {(0, 0): g00 * i00 + g01 * i10, (0, 1): g00 * i01 + g01 * i11,
-             (1, 0): g01 * i00 + g11 * i10, (1, 1): g01 * i01 + g11 * i11}
-    # per-entity 2x2 (or 1x1) terms in their own projection, so the sums below
-    # are plain products and the generated code stays small
-    acols = [f"a{a}_{k}" for a in range(q) for k in range(P)]
-    j = j.select("cid", *acols, det.alias("__det"), *[cab.alias(f"__c{a}{b}") for (a, b), cab in c.items()])
-    aggs = [F.sum(F.log("__det")).alias("logdet"), F.min("__det").alias("mindet")]
-    for k in range(P):
-        for m in range(k, P):
-            term = F.lit(0.0)
-            for (a, b) in c:
-                term = term + F.col(f"__c{a}{b}") * F.col(f"a{a}_{k}") * F.col(f"a{b}_{m}")
-            aggs.append(F.sum(term).alias(f"t_{k}_{m}"))
-    return j.groupBy("cid").agg(*aggs)
-
-
-def _fit_distributed(ent: DataFrame, P: int, q: int, p: int, n_obs: int, xx: np.ndarray,
-                     max_rounds: int = 30) -> dict:
-    """Minimise -2 REML loglik over the Cholesky parameters with every
-    likelihood evaluation running on the distributed entity table, many
-    candidate covariances per Spark job."""
-    spark = ent.sparkSession
-    dim = 1 if q == 1 else 3
-
-    def evaluate(thetas):
-        gams = [_gamma(np.asarray(t, dtype=float), q) for t in thetas]
-        rows = [(i, float(g[0, 0]), float(g[0, 1]) if q == 2 else 0.0, float(g[1, 1]) if q == 2 else 0.0)
-                for i, g in enumerate(gams)]
-        cand = spark.createDataFrame(rows, "cid int, g00 double, g01 double, g11 double")
-        res = {r["cid"]: r for r in _entity_terms(ent, cand, P, q).collect()}
-        out = []
-        for i, g in enumerate(gams):
-            r = res[i]
-            if r["mindet"] is None or r["mindet"] <= 0:
-                out.append((np.inf, None, None, None))
-                continue
-            corr = np.zeros((P, P))
-            for k in range(P):
-                for m in range(k, P):
-                    corr[k, m] = corr[m, k] = r[f"t_{k}_{m}"]
-            G = xx - corr
-            xwx, xwy, ywy = G[:p, :p], G[:p, p], G[p, p]
-            try:
-                inv = np.linalg.inv(xwx)
-            except np.linalg.LinAlgError:
-                out.append((np.inf, None, None, None))
-                continue
-            beta = inv @ xwy
-            r2 = float(ywy - beta @ xwy)
-            dof = n_obs - p
-            sld, ld = np.linalg.slogdet(xwx)
-            if r2 <= 0 or dof <= 0 or sld <= 0:
-                out.append((np.inf, None, None, None))
-                continue
-            s2 = r2 / dof
-            out.append((float(r["logdet"]) + ld + dof * (math.log(s2) + _LOG2PI + 1.0), beta, s2, inv))
-        return out
-
-    # Batched Newton: one job evaluates a finite-difference stencil (gradient
-    # and Hessian of -2 loglik in the Cholesky parameters), the next a batch of
-    # step lengths along the Newton (or steepest-descent) direction.
-    theta = np.array([1.0] if q == 1 else [1.0, 0.0, 0.1])
-    best = evaluate([theta])[0]
-    converged, h = False, 1e-4
+def _cholesky_parameters(gam: np.ndarray) -> np.ndarray:
+    """theta with ``_gamma(theta) = gam`` (also for a singular G)."""
+    l00 = math.sqrt(max(gam[0, 0], 0.0))
+    if len(gam) == 1:
+        return np.array([l00])
+    l10 = gam[0, 1] / l00 if l00 > 0 else 0.0
+    return np.array([l00, l10, math.sqrt(max(gam[1, 1] - l10 ** 2, 0.0))])
+
+
+def _weights(gam: np.ndarray, n, sv, svv):
+    """|M_i| and the entries of G M_i^-1 for arrays of Z'Z entries."""
+    if len(gam) == 1:
+        det = 1.0 + n * gam[0, 0]
+        return det, [[gam[0, 0] / det]]
+    g00, g01, g11 = gam[0, 0], gam[0, 1], gam[1, 1]
+    m00, m01 = 1 + n * g00 + sv * g01, n * g01 + sv * g11
+    m10, m11 = sv * g00 + svv * g01, 1 + sv * g01 + svv * g11
+    det = m00 * m11 - m01 * m10
+    return det, [[(g00 * m11 - g01 * m10) / det, (g01 * m00 - g00 * m01) / det],
+                 [(g01 * m11 - g11 * m10) / det, (g11 * m00 - g01 * m01) / det]]
+
+
+def _pattern_sums(pat: _Patterns, gam: np.ndarray):
+    """Sum of log|M_i|, smallest |M_i| and sum of A_i' G M_i^-1 A_i, from the pattern table."""
+    q = len(gam)
+    sv, svv = (pat.ztz[:, 0, 1], pat.ztz[:, 1, 1]) if q == 2 else (0.0, 0.0)
+    det, w = _weights(gam, pat.n_i, sv, svv)
+    if det.min() <= 0:
+        return 0.0, float(det.min()), None
+    t = sum(np.tensordot(w[a][b], pat.s[:, a, b], axes=1) for a in range(q) for b in range(q))
+    return float(pat.c @ np.log(det)), float(det.min()), t
+
+
+def _entity_sums(ent: DataFrame, asked: dict[str, list[np.ndarray]], P: int, q: int) -> dict:
+    """The same sums for the candidates of every model from the entity table:
+    one partial sum a task and candidate, added up by Spark."""
+    upper = np.triu_indices(P)
+
+    def partial(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for m, part in pdf.groupby("__model"):
+                A = [part[[f"a{a}_{k}" for k in range(P)]].to_numpy(dtype=float) for a in range(q)]
+                n, sv, svv = (part[c].to_numpy(dtype=float) for c in ("n_i", "sv", "svv"))
+                for i, gam in enumerate(asked.get(m, ())):
+                    det, w = _weights(gam, n, sv, svv)
+                    low = float(det.min())
+                    log = float(np.log(det).sum()) if low > 0 else 0.0
+                    t = sum((A[a] * w[a][b][:, None]).T @ A[b] for a in range(q) for b in range(q))[upper]
+                    old = sums.get((m, i))
+                    sums[m, i] = (log, low, t) if old is None else (old[0] + log, min(old[1], low), old[2] + t)
+        if sums:
+            yield pd.DataFrame([(m, i, log, low, t.tolist()) for (m, i), (log, low, t) in sums.items()],
+                               columns=["model", "cid", "logdet", "mindet", "t"])
+
+    cols = ["__model", "n_i", "sv", "svv", *[f"a{a}_{k}" for a in range(q) for k in range(P)]]
+    parts = ent.filter(F.col("__model").isin(list(asked))).select(*cols).mapInPandas(
+        partial, "model string, cid int, logdet double, mindet double, t array<double>")
+    rows = parts.groupBy("model", "cid").agg(
+        F.sum("logdet").alias("logdet"), F.min("mindet").alias("mindet"),
+        *[F.sum(F.col("t")[j]).alias(f"t{j}") for j in range(len(upper[0]))]).collect()
+    out = {}
+    for r in rows:
+        t = np.zeros((P, P))
+        t[upper] = [r[f"t{j}"] for j in range(len(upper[0]))]
+        out[r["model"], r["cid"]] = (r["logdet"], r["mindet"], t + np.triu(t, 1).T)
+    return out
+
+
+def _independent(xtx: np.ndarray, tol: float = 1e-9) -> list[int]:
+    """Columns, first to last, that the ones before them do not determine."""
+    d = np.sqrt(np.diag(xtx))
+    keep: list[int] = []
+    for k in range(len(xtx)):
+        if not d[k] > 0:
+            continue
+        b = xtx[keep, k] / (d[keep] * d[k])
+        a = xtx[np.ix_(keep, keep)] / np.outer(d[keep], d[keep])
+        if not keep or 1.0 - b @ np.linalg.solve(a, b) > tol:
+            keep.append(k)
+    return keep
+
+
+def _profile(sums, xx: np.ndarray, keep: list[int], n_obs: int):
+    """(-2 REML loglik, beta, s2, inverse of X'W^-1 X) over the kept columns."""
+    failed = (math.inf, None, None, None)
+    logdet, low, t = sums
+    p = len(keep)
+    if low is None or not low > 0 or n_obs <= p:
+        return failed
+    idx = [*keep, len(xx) - 1]
+    g = (xx - t)[np.ix_(idx, idx)]
+    d = np.sqrt(np.maximum(np.diag(g)[:p], 0.0))
+    if not (d > 0).all():
+        return failed
+    xwx, xwy = g[:p, :p] / np.outer(d, d), g[:p, p] / d
+    if not np.isfinite(xwx).all() or np.linalg.cond(xwx) > 1e12:
+        return failed
+    low_tri = np.linalg.cholesky((xwx + xwx.T) / 2)
+    half = np.linalg.solve(low_tri, xwy)
+    r2 = float(g[p, p] - half @ half)
+    if not r2 > 0:
+        return failed
+    s2 = r2 / (n_obs - p)
+    root = np.linalg.solve(low_tri, np.eye(p))
+    inv = root.T @ root / np.outer(d, d)
+    beta = (root.T @ half) / d
+    ld = 2 * float(np.log(np.diag(low_tri)).sum() + np.log(d).sum())
+    return logdet + ld + (n_obs - p) * (math.log(s2) + _LOG2PI + 1.0), beta, s2, inv
+
+
+def _search(q: int, max_rounds: int = 40, h: float = 1e-4):
+    """Newton steps on the criterion: yields lists of parameters, is sent their
+    profiles, returns (parameters, profile, converged). A batch of differences
+    gives gradient and Hessian, the next a batch of step lengths. The direction
+    uses the sizes of the Hessian's eigenvalues, so it always leads down."""
+    sizes = (0.05, 0.3, 1.0, 3.0, 10.0)
+    starts = [np.array([a]) for a in sizes] if q == 1 else [np.array([a, 0.0, b * a]) for a in sizes for b in (0.1, 0.5, 1.0)]
+    got = yield starts
+    at = min(range(len(got)), key=lambda i: got[i][0])
+    theta, best = starts[at], got[at]
+    eye = np.eye(len(theta))
+    pairs = [(i, j) for i in range(len(theta)) for j in range(i + 1, len(theta))]
     for _ in range(max_rounds):
-        eye = np.eye(dim)
-        pts = [theta + h * eye[i] for i in range(dim)] + [theta - h * eye[i] for i in range(dim)]
-        pairs = [(i, j) for i in range(dim) for j in range(i + 1, dim)]
-        pts += [theta + h * (eye[i] + eye[j]) for i, j in pairs]
-        vals = [v[0] for v in evaluate(pts)]
-        f0 = best[0]
-        fp, fm = vals[:dim], vals[dim:2 * dim]
-        grad = np.array([(fp[i] - fm[i]) / (2 * h) for i in range(dim)])
-        hess = np.diag([(fp[i] - 2 * f0 + fm[i]) / h ** 2 for i in range(dim)])
-        for (i, j), fij in zip(pairs, vals[2 * dim:]):
-            hess[i, j] = hess[j, i] = (fij - fp[i] - fp[j] + f0) / h ** 2
-        if not np.all(np.isfinite(grad)) or not np.all(np.isfinite(hess)):
-            break
-        try:
-            eig = np.linalg.eigvalsh(hess)
-            direction = -np.linalg.solve(hess, grad) if eig.min() > 0 else -grad / max(np.linalg.norm(grad), 1e-12)
-        except np.linalg.LinAlgError:
-            direction = -grad / max(np.linalg.norm(grad), 1e-12)
-        alphas = [1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 2.0]
-        trial = evaluate([theta + a * direction for a in alphas])
-        i = int(np.argmin([t[0] for t in trial]))
-        if trial[i][0] < f0 - 1e-12:
-            step = alphas[i] * float(np.linalg.norm(direction))
-            theta, best = theta + alphas[i] * direction, trial[i]
-            if f0 - best[0] < 1e-10 * max(1.0, abs(f0)) or (step < 1e-7 and f0 - best[0] < 1e-7):
-                converged = True          # the objective no longer moves (also on a flat boundary)
-                break
-        else:
-            converged = bool(np.linalg.norm(grad) < 1e-3 * max(1.0, abs(f0)) ** 0.5)
-            break
-    m2ll, beta, s2, inv = best
-    return dict(theta=theta, gamma=_gamma(theta, q), m2ll=m2ll, beta=beta, s2=s2, cov=inv * s2,
-                converged=converged)
+        if not math.isfinite(best[0]):
+            return theta, best, False
+        got = yield [theta + s * h * e for s in (1, -1) for e in eye] + [theta + h * (eye[i] + eye[j]) for i, j in pairs]
+        vals = np.array([g[0] for g in got])
+        up, down, both = vals[:len(eye)], vals[len(eye):2 * len(eye)], vals[2 * len(eye):]
+        if not np.isfinite(vals).all():
+            return theta, best, False
+        grad = (up - down) / (2 * h)
+        hess = np.diag((up - 2 * best[0] + down) / h ** 2)
+        for (i, j), f in zip(pairs, both):
+            hess[i, j] = hess[j, i] = (f - up[i] - up[j] + best[0]) / h ** 2
+        eig, vec = np.linalg.eigh(hess)
+        size = np.maximum(np.abs(eig), 1e-3 * max(1.0, np.abs(eig).max()))
+        step = -vec @ ((vec.T @ grad) / size)
+        step *= min(1.0, 2.0 * max(1.0, np.linalg.norm(theta)) / max(np.linalg.norm(step), 1e-300))
+        lengths = (1.0, 2.0, 4.0, 0.5, 0.25, 0.1, 0.03, 0.01)
+        got = yield [theta + a * step for a in lengths]
+        at = min(range(len(got)), key=lambda i: got[i][0])
+        gain = best[0] - got[at][0]
+        if gain > 0:
+            theta, best = theta + lengths[at] * step, got[at]
+        if gain < 1e-9:
+            # nothing left to gain; a steep place without a way down is no minimum
+            return theta, best, bool(abs(grad @ step) < 1e-5)
+    return theta, best, False
+
+
+def _fit_all(models: dict, q: int, scale: float, sums_of) -> dict:
+    """Run the searches of all models in step. ``models``: name -> (xx, kept
+    columns, rows); ``sums_of`` maps name -> candidate covariances to the sums
+    of each (name, place)."""
+    searches = {m: _search(q) for m in models}
+    asked = {m: next(s) for m, s in searches.items()}
+    found = {}
+    while asked:
+        gams = {m: [_gamma(t, q, scale) for t in thetas] for m, thetas in asked.items()}
+        sums = sums_of(gams)
+        turn = {}
+        for m in asked:
+            xx, keep, n_obs = models[m]
+            try:
+                turn[m] = searches[m].send([_profile(sums[m, i], xx, keep, n_obs) for i in range(len(gams[m]))])
+            except StopIteration as end:
+                theta, best, converged = end.value
+                found[m] = (_gamma(theta, q, scale), best, converged)
+        asked = turn
+    return found
 
 
 # --------------------------------------------------------------------------
@@ -408,97 +394,107 @@ class LmmResult:
     q: int = 1
 
     def blup(self) -> DataFrame:
-        """Per (model, entity) predicted random effects (u0[, u1])."""
+        """Per (model, entity) predicted random effects (u0[, u1]); null for a model without a fit."""
         return blups(self.entity_table, self.fits, len(self.terms), self.q)
 
 
 def fit_lmm(df: DataFrame, outcome: str, entity: str, fixed: list[str] | None = None,
             factors: dict[str, object] | None = None, slope: str | None = None,
-            model: str | None = None, max_patterns: int = 50_000) -> LmmResult:
+            model: str | None = None, max_patterns: int = 20_000) -> LmmResult:
     """Fit one LMM per value of ``model`` (or a single model) by REML.
 
     ``fixed``: numeric covariates; ``factors``: {column: reference level or
     'mode'/'first'}; ``slope``: column of the random slope (None = random
-    intercept only). Rows with a null in any used column are dropped
-    (listwise, PRJ21).
+    intercept only). Text in a numeric column is read as a number, null where
+    it is none; rows with a null in any used column are dropped (listwise,
+    PRJ21).
 
     ``max_patterns`` bounds the pattern table brought to the driver (about
-    4(p+1)^2 doubles per pattern, ~100 MB at the default); beyond it the
-    likelihood is evaluated on the distributed per-entity table instead.
+    4(p+1)^2 doubles a pattern); beyond it each batch of candidates is summed
+    over the distributed per-entity table instead, with the same search.
     """
     fixed = list(fixed or [])
-    need = [outcome, *fixed, *list((factors or {}).keys())] + ([slope] if slope else [])
-    base = df.dropna(subset=list(dict.fromkeys(need)))
-    design = build_design(base, fixed, factors)
-    q = 2 if slope else 1
-    p = len(design.terms)
+    numeric = list(dict.fromkeys([outcome, *fixed, *([slope] if slope else [])]))
+    need = [*numeric, entity, *list((factors or {}).keys()), *([model] if model else [])]
+    base = as_numbers(df, numeric).dropna(subset=list(dict.fromkeys(need)))
+    design = build_design(base, fixed, factors, outcome, slope)
+    q, p = 2 if slope else 1, len(design.terms)
     P = p + 1
-    rows = _rows(base, outcome, design, entity, slope, model, fixed, factors)
-    ent = entity_stats(rows, P, q)
+    ent = entity_stats(_rows(base, outcome, design, entity, slope, model), P, q)
     pats = pattern_stats(ent, P, q).limit(max_patterns + 1).toPandas()
     if len(pats) > max_patterns:
-        # too many distinct visit patterns to finish on the driver: keep the
-        # per-entity table distributed (checkpointed into the shared folder,
-        # it is scanned once per optimisation round) and evaluate there
-        return _fit_lmm_distributed(cut_lineage(ent), design.terms, P, q, df.sparkSession)
-    fits = {}
-    for m, rs in sorted(pats.groupby("__model"), key=lambda t: t[0]):
-        pat = _assemble(rs.reset_index(drop=True), P, q)
-        fit = _fit_patterns(pat, p, q)
-        fit.update(n_obs=int(np.sum(pat.c * pat.n_i)), n_groups=int(np.sum(pat.c)),
-                   min_group=int(pat.n_i.min()), max_group=int(pat.n_i.max()),
-                   mean_group=float(np.sum(pat.c * pat.n_i) / np.sum(pat.c)))
-        # marginal / conditional R^2: var(X b) from the Gram matrix (ddof 0);
-        # only the random-intercept variance enters the random part (MOD6)
-        n = fit["n_obs"]
-        xx = pat.xx[:p, :p]
-        mean_x = xx[0, :] / n                              # column 0 is the intercept
-        cov_x = xx / n - np.outer(mean_x, mean_x)
-        var_fixed = float(fit["beta"] @ cov_x @ fit["beta"])
-        re_var = float(fit["gamma"][0, 0] * fit["s2"])
-        tot = var_fixed + re_var + fit["s2"]
-        fit.update(r2_marginal=var_fixed / tot, r2_conditional=(var_fixed + re_var) / tot)
-        fits[m] = fit
+        # the table is read once a batch, so it is kept in the shared folder
+        ent = cut_lineage(ent)
+        total = _totals(ent, P)
+        found = _fit_all({m: t[:3] for m, t in total.items()}, q, design.slope_scale,
+                         lambda asked: _entity_sums(ent, asked, P, q))
+    else:
+        tables = {m: _assemble(rs.reset_index(drop=True), P, q) for m, rs in pats.groupby("__model")}
+        total = {m: (t.xx, _independent(t.xx[:p, :p]), int(t.c @ t.n_i), int(t.c.sum()), int(t.n_i.min()), int(t.n_i.max()))
+                 for m, t in sorted(tables.items())}
+        found = _fit_all({m: t[:3] for m, t in total.items()}, q, design.slope_scale,
+                         lambda asked: {(m, i): _pattern_sums(tables[m], g) for m, gs in asked.items() for i, g in enumerate(gs)})
+    fits = {m: _finish(found[m], t, design, q) for m, t in sorted(total.items())}
     spark = df.sparkSession
     return LmmResult(_coef_table(spark, fits, design.terms), _variance_table(spark, fits, q),
                      _fit_table(spark, fits), fits, design.terms, ent, q)
 
 
-def _fit_lmm_distributed(ent: DataFrame, terms: list[str], P: int, q: int, spark) -> LmmResult:
-    p = P - 1
-    stats = ent.groupBy("__model").agg(
-        F.sum("n_i").alias("n_obs"), F.count(F.lit(1)).alias("n_groups"), F.min("n_i").alias("min_group"),
-        F.max("n_i").alias("max_group"),
-        *[F.sum(f"xx_{k}_{m}").alias(f"xx_{k}_{m}") for k in range(P) for m in range(k, P)]).collect()
-    fits = {}
-    for r in sorted(stats, key=lambda r: r["__model"]):
-        m = r["__model"]
+def _totals(ent: DataFrame, P: int) -> dict:
+    """Per model: cross-product of [X y], independent columns, rows, entities, smallest and largest entity."""
+    upper = np.triu_indices(P)
+    rows = ent.groupBy("__model").agg(
+        F.sum("n_i").alias("n_obs"), F.count(F.lit(1)).alias("n_groups"), F.min("n_i").alias("lo"), F.max("n_i").alias("hi"),
+        *[F.sum(f"xx_{k}_{m}").alias(f"xx_{k}_{m}") for k, m in zip(*upper)]).collect()
+    out = {}
+    for r in rows:
         xx = np.zeros((P, P))
-        for k in range(P):
-            for mm in range(k, P):
-                xx[k, mm] = xx[mm, k] = r[f"xx_{k}_{mm}"]
-        n_obs = int(r["n_obs"])
-        fit = _fit_distributed(ent.filter(F.col("__model") == F.lit(m)), P, q, p, n_obs, xx)
-        fit.update(n_obs=n_obs, n_groups=int(r["n_groups"]), min_group=int(r["min_group"]),
-                   max_group=int(r["max_group"]), mean_group=n_obs / int(r["n_groups"]))
-        mean_x = xx[0, :p] / n_obs
-        cov_x = xx[:p, :p] / n_obs - np.outer(mean_x, mean_x)
-        var_fixed = float(fit["beta"] @ cov_x @ fit["beta"])
-        re_var = float(fit["gamma"][0, 0] * fit["s2"])
-        tot = var_fixed + re_var + fit["s2"]
-        fit.update(r2_marginal=var_fixed / tot, r2_conditional=(var_fixed + re_var) / tot)
-        fits[m] = fit
-    return LmmResult(_coef_table(spark, fits, terms), _variance_table(spark, fits, q),
-                     _fit_table(spark, fits), fits, terms, ent, q)
+        xx[upper] = [r[f"xx_{k}_{m}"] for k, m in zip(*upper)]
+        xx = xx + np.triu(xx, 1).T
+        out[r["__model"]] = (xx, _independent(xx[:-1, :-1]), int(r["n_obs"]), int(r["n_groups"]), int(r["lo"]), int(r["hi"]))
+    return out
+
+
+def _finish(found, total, design: Design, q: int) -> dict:
+    """Estimates for the columns as they came, from those of the centred ones."""
+    gam_c, (m2ll, beta_k, s2, inv), converged = found
+    xx, keep, n, groups, lo, hi = total
+    p = len(design.terms)
+    fit = dict(n_obs=n, n_groups=groups, min_group=lo, max_group=hi, mean_group=n / groups, kept=keep, converged=converged,
+               m2ll=None, beta=None, beta_centred=None, s2=None, cov=None, gamma=None, gamma_centred=None, theta=None,
+               slope_centre=design.slope_centre, r2_marginal=None, r2_conditional=None)
+    if beta_k is None:
+        return fit
+    centred, cov_c = np.zeros(p), np.zeros((p, p))
+    centred[keep] = beta_k
+    cov_c[np.ix_(keep, keep)] = inv * s2
+    # intercept of the columns as they came: the outcome's centre less what the covariates' centres add
+    back = np.eye(p)
+    back[0, 1:] = -design.centres[1:p]
+    beta = back @ centred
+    beta[0] += design.centres[p]
+    # u0 + u1 (v - c) = (u0 - c u1) + u1 v
+    shift = np.array([[1.0]]) if q == 1 else np.array([[1.0, -design.slope_centre], [0.0, 1.0]])
+    gam = shift @ gam_c @ shift.T
+    # var(X b) with ddof 0; only the random-intercept variance enters the random part (MOD6)
+    mean_x = xx[0, :p] / n
+    spread = xx[:p, :p] / n - np.outer(mean_x, mean_x)
+    var_fixed, re_var = float(centred @ spread @ centred), float(gam[0, 0] * s2)
+    tot = var_fixed + re_var + s2
+    fit.update(m2ll=m2ll, beta=beta, beta_centred=centred, s2=s2, cov=back @ cov_c @ back.T, gamma=gam, gamma_centred=gam_c,
+               theta=_cholesky_parameters(gam), r2_marginal=var_fixed / tot, r2_conditional=(var_fixed + re_var) / tot)
+    return fit
 
 
 def _coef_table(spark, fits, terms) -> DataFrame:
     rows = []
     for m, f in fits.items():
-        se = np.sqrt(np.diag(f["cov"]))
-        dof = f["n_obs"] - len(terms)
         for k, t in enumerate(terms):
-            b, s = float(f["beta"][k]), float(se[k])
+            if f["beta"] is None or k not in f["kept"]:
+                rows.append((m, t, *[None] * 7))
+                continue
+            b, s = float(f["beta"][k]), math.sqrt(max(float(f["cov"][k, k]), 0.0))
+            dof = f["n_obs"] - len(f["kept"])
             z = b / s if s > 0 else None
             p = 2 * S.norm_sf(abs(z)) if z is not None else None
             pt = S.t_two_sided(z, dof) if z is not None and dof > 0 else None
@@ -511,19 +507,17 @@ def _coef_table(spark, fits, terms) -> DataFrame:
 def _variance_table(spark, fits, q) -> DataFrame:
     rows = []
     for m, f in fits.items():
-        cov_re = f["gamma"] * f["s2"]
-        rows.append((m, "Group Var", float(cov_re[0, 0])))
-        if q == 2:
-            rows.append((m, "Group x Slope Cov", float(cov_re[0, 1])))
-            rows.append((m, "Slope Var", float(cov_re[1, 1])))
-        rows.append((m, "Scale", float(f["s2"])))
+        cov = f["gamma"] * f["s2"] if f["gamma"] is not None else None
+        at = {"Group Var": (0, 0)} | ({"Group x Slope Cov": (0, 1), "Slope Var": (1, 1)} if q == 2 else {})
+        rows += [(m, name, float(cov[ij]) if cov is not None else None) for name, ij in at.items()]
+        rows.append((m, "Scale", f["s2"]))
     return spark.createDataFrame(rows, "model string, component string, value double")
 
 
 def _fit_table(spark, fits) -> DataFrame:
-    rows = [(m, f["n_obs"], f["n_groups"], f["min_group"], f["max_group"], float(f["mean_group"]),
-             float(f["s2"]), float(-0.5 * f["m2ll"]), bool(f["converged"]), float(f["r2_marginal"]),
-             float(f["r2_conditional"])) for m, f in fits.items()]
+    rows = [(m, f["n_obs"], f["n_groups"], f["min_group"], f["max_group"], float(f["mean_group"]), f["s2"],
+             -0.5 * f["m2ll"] if f["m2ll"] is not None else None, bool(f["converged"]), f["r2_marginal"],
+             f["r2_conditional"]) for m, f in fits.items()]
     return spark.createDataFrame(rows, "model string, n_obs bigint, n_groups bigint, min_group bigint, "
                                        "max_group bigint, mean_group double, scale double, reml_llf double, "
                                        "converged boolean, r2_marginal double, r2_conditional double")
@@ -531,36 +525,36 @@ def _fit_table(spark, fits) -> DataFrame:
 
 def blups(ent: DataFrame, fits: dict, p: int, q: int) -> DataFrame:
     """u_i = G M_i^-1 Z_i'(y_i - X_i b) as a column expression per entity
-    (q <= 2, closed-form inverse)."""
-    out = None
-    for m, f in fits.items():
-        b, g = f["beta"], f["gamma"]
-        e = ent.filter(F.col("__model") == F.lit(m))
-        r0 = F.col(f"a0_{p}") - sum((F.col(f"a0_{k}") * float(b[k]) for k in range(p)), F.lit(0.0))
-        if q == 1:
-            u0 = F.lit(float(g[0, 0])) * r0 / (1 + F.col("n_i") * float(g[0, 0]))
-            sel = e.select("__model", "__entity", u0.alias("u0"), F.lit(0.0).alias("u1"))
-        else:
-            r1 = F.col(f"a1_{p}") - sum((F.col(f"a1_{k}") * float(b[k]) for k in range(p)), F.lit(0.0))
-            n, sv, svv = F.col("n_i"), F.col("sv"), F.col("svv")
-            g00, g01, g11 = float(g[0, 0]), float(g[0, 1]), float(g[1, 1])
-            m00 = 1 + n * g00 + sv * g01
-            m01 = n * g01 + sv * g11
-            m10 = sv * g00 + svv * g01
-            m11 = 1 + sv * g01 + svv * g11
-            det = m00 * m11 - m01 * m10
-            i00, i01, i10, i11 = m11 / det, -m01 / det, -m10 / det, m00 / det
-            c00, c01 = g00 * i00 + g01 * i10, g00 * i01 + g01 * i11
-            c10, c11 = g01 * i00 + g11 * i10, g01 * i01 + g11 * i11
-            sel = e.select("__model", "__entity", (c00 * r0 + c01 * r1).alias("u0"), (c10 * r0 + c11 * r1).alias("u1"))
-        out = sel if out is None else out.unionByName(sel)
-    return out.withColumnRenamed("__model", "model").withColumnRenamed("__entity", "entity")
-
-
-def predict_fixed(df: DataFrame, result: LmmResult, model: str, design_df: DataFrame | None = None,
-                  fixed: list[str] | None = None, factors: dict | None = None) -> Column:
-    """X b as a column expression for one fitted model (MOD7)."""
+    (q <= 2, closed-form inverse), on the centred sums of the entity table.
+    The estimates come from a table of one row a model."""
+    fitted = [(m, [float(b) for b in f["beta_centred"]], *[float(f["gamma_centred"][ij]) for ij in ((0, 0), (0, -1), (-1, -1))],
+               f["slope_centre"]) for m, f in fits.items() if f["beta"] is not None]
+    params = ent.sparkSession.createDataFrame(
+        fitted, "__m string, __b array<double>, __g00 double, __g01 double, __g11 double, __c double")
+    e = ent.join(bounded(params), F.col("__model") == F.col("__m"), "left")
+
+    def residual(a):
+        return F.col(f"a{a}_{p}") - sum((F.col(f"a{a}_{k}") * F.col("__b")[k] for k in range(p)), F.lit(0.0))
+
+    n, sv, svv, g00 = F.col("n_i"), F.col("sv"), F.col("svv"), F.col("__g00")
+    if q == 1:
+        u0, u1 = g00 * residual(0) / (1 + n * g00), F.lit(0.0)
+    else:
+        g01, g11 = F.col("__g01"), F.col("__g11")
+        r0, r1 = residual(0), residual(1)
+        m00, m01 = 1 + n * g00 + sv * g01, n * g01 + sv * g11
+        m10, m11 = sv * g00 + svv * g01, 1 + sv * g01 + svv * g11
+        det = m00 * m11 - m01 * m10
+        u1 = ((g01 * m11 - g11 * m10) * r0 + (g11 * m00 - g01 * m01) * r1) / det
+        u0 = ((g00 * m11 - g01 * m10) * r0 + (g01 * m00 - g00 * m01) * r1) / det - F.col("__c") * u1
+    return e.select(F.col("__model").alias("model"), F.col("__entity").alias("entity"), u0.alias("u0"), u1.alias("u1"))
+
+
+def predict_fixed(result: LmmResult, model: str) -> Column:
+    """X b as a column expression for one fitted model (MOD7); null for a model without a fit."""
     beta = result.fits[model]["beta"]
+    if beta is None:
+        return F.lit(None).cast("double")
     expr = F.lit(0.0)
     for k, t in enumerate(result.terms):
         if t == "Intercept":
@@ -581,8 +575,9 @@ def fit_errors(df: DataFrame, result: LmmResult, model: str, outcome: str, entit
     u = result.blup().filter(F.col("model") == model).select(F.col("entity").alias(entity), "u0", "u1")
     cols = [outcome, *[t for t in result.terms if t != "Intercept" and "[T." not in t]]
     cols += [t.split("[T.", 1)[0] for t in result.terms if "[T." in t]
-    base = df.dropna(subset=list(dict.fromkeys(cols + ([slope] if slope else []))))
-    fitted = predict_fixed(base, result, model) + F.col("u0") + (F.col("u1") * F.col(slope) if slope else F.lit(0.0))
+    cols = list(dict.fromkeys(cols + ([slope] if slope else [])))
+    base = as_numbers(df, [c for c in cols if c in (outcome, slope, *result.terms)]).dropna(subset=cols)
+    fitted = predict_fixed(result, model) + F.col("u0") + (F.col("u1") * F.col(slope) if slope else F.lit(0.0))
     j = base.join(u, entity, "inner").withColumn("__res", F.col(outcome) - fitted)
     return j.agg(F.sqrt(F.avg(F.col("__res") ** 2)).alias("rmse"), F.avg(F.abs("__res")).alias("mae"),
                  F.count(F.lit(1)).alias("n")).select(F.lit(model).alias("model"), "*")
@@ -590,7 +585,7 @@ def fit_errors(df: DataFrame, result: LmmResult, model: str, outcome: str, entit
 
 def marginal_residuals(df: DataFrame, result: LmmResult, model: str, outcome: str) -> DataFrame:
     """Fixed-effects prediction and marginal residual per row (MOD7)."""
-    pred = predict_fixed(df, result, model)
+    pred = predict_fixed(result, model)
     return df.select("*", pred.alias("fitted"), (F.col(outcome) - pred).alias("residual"))
 
 
