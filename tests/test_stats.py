@@ -102,6 +102,8 @@ def test_normality_tests_sanity(spark):
     assert sw["normal"].w > 0.99 and sw["normal"].sw_p > 0.01
     assert sw["skewed"].w < 0.9 and sw["skewed"].sw_p < 1e-6
     assert ad["normal"].ad_p > 0.01 and ad["skewed"].ad_p < 1e-6
+    for r in H.normality_verdict(sample).collect():
+        assert r.verdict == ("normal" if r.variable == "normal" else "not normal")
     prof = {r.variable: r for r in H.numeric_profile(df.select(
         F.when(F.col("grp") == "normal", F.col("x")).alias("n"),
         F.when(F.col("grp") == "skewed", F.col("x")).alias("s")), ["n", "s"]).collect()}
@@ -182,3 +184,57 @@ def test_exact_quantiles_equal_numpy_in_every_group(spark):
     assert got.keys() == groups.keys()
     for g, x in groups.items():
         assert np.allclose(got[g], np.quantile(x, probs), rtol=1e-12, atol=1e-12)
+
+def test_array_normal_functions():
+    x = np.concatenate([np.linspace(-9, 9, 4001), [-37.0, 0.0, 3.0, 37.0]])
+    tail, log = S.upper_tail(x)
+    assert np.allclose(tail, [S.norm_sf(v) for v in x], rtol=1e-11, atol=0)
+    assert np.allclose(log, [S.norm_logcdf(-v) for v in x], rtol=1e-10, atol=1e-16)
+    p = np.concatenate([10.0 ** -np.arange(1, 15), np.linspace(0.001, 0.999, 999)])
+    assert np.allclose(S.normal_quantile(p), [S.norm_ppf(v) for v in p], rtol=1e-9, atol=1e-12)
+
+
+def plain_shapiro(x):
+    """W with a weight for each rank."""
+    x, n = np.sort(x), len(x)
+    m = np.array([S.norm_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    mm, u = m @ m, 1 / math.sqrt(n)
+    a = m.copy()
+    end = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, m[-1] / math.sqrt(mm)], u)
+    if n > 5:
+        second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / math.sqrt(mm)], u)
+        a /= math.sqrt((mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * end ** 2 - 2 * second ** 2))
+        a[-2], a[1] = second, -second
+    else:
+        a /= math.sqrt((mm - 2 * m[-1] ** 2) / (1 - 2 * end ** 2))
+    a[-1], a[0] = end, -end
+    return (a @ x) ** 2 / ((x - x.mean()) ** 2).sum()
+
+
+def plain_anderson(x):
+    x, n = np.sort(x), len(x)
+    z = (x - x.mean()) / x.std(ddof=1)
+    i = np.arange(1, n + 1)
+    lower, upper = (np.array([S.norm_logcdf(s * v) for v in z]) for s in (1, -1))
+    return -n - ((2 * i - 1) * lower + (2 * n + 1 - 2 * i) * upper).sum() / n
+
+
+def test_normality_tests_use_every_row(spark, monkeypatch):
+    """Published example (eleven weights: W = 0.7888, p = 0.0067), ties, one value holding most
+    rows, more rows than 5,000; runs of ranks kept short so that values span several."""
+    monkeypatch.setattr("wavepanel.functions.udfs.RANKS_AT_ONCE", 700)
+    rng = np.random.default_rng(8)
+    data = {"weights": [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], "four": [1, 2, 2, 9], "five": [1, 5, 3, 2, 9],
+            "ties": list(rng.integers(0, 6, 900)), "long": list(rng.normal(size=7000) + 1e6),
+            "hot": [0.5] * 4000 + list(rng.normal(size=2500))}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("four", None), ("four", math.nan)],
+                               "variable string, value double").repartition(5)
+    sw = {r.variable: r for r in H.shapiro_wilk(df).collect()}
+    ad = {r.variable: r for r in H.anderson_darling(df).collect()}
+    for k, vs in data.items():
+        x = np.array(vs, dtype=float)
+        assert sw[k].n == ad[k].n == len(x)
+        assert math.isclose(sw[k].w, plain_shapiro(x), rel_tol=1e-7), k
+        assert math.isclose(ad[k].a2, plain_anderson(x), rel_tol=1e-6, abs_tol=1e-7), k
+    assert abs(sw["weights"].w - 0.78881) < 1e-5 and abs(sw["weights"].sw_p - 0.006704) < 1e-6
+    assert H.shapiro_wilk(df.limit(0)).count() == 0 == H.anderson_darling(df.limit(0)).count()

@@ -52,9 +52,40 @@ def norm_ppf(p: float) -> float:
     return x
 
 
-norm_cdf_vec = np.vectorize(norm_cdf, otypes=[float])
-norm_ppf_vec = np.vectorize(norm_ppf, otypes=[float])
-norm_logcdf_vec = np.vectorize(norm_logcdf, otypes=[float])
+def upper_tail(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(Z > x) and its logarithm for an array: the power series of the normal
+    integral near zero, the continued fraction of Mills' ratio far out, both
+    carried to double precision."""
+    x = np.asarray(x, dtype=float)
+    a = np.abs(x)
+    near = a < 3.0
+    dens = np.exp(-0.5 * a * a) / _SQRT2PI
+    t = np.where(near, a, 0.0)
+    term, total = t.copy(), t.copy()
+    for k in range(1, 60):
+        term = term * t * t / (2 * k + 1)
+        total += term
+    t = np.where(near, 3.0, a)
+    frac = t.copy()
+    for k in range(100, 0, -1):
+        frac = t + k / frac
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tail = np.where(near, 0.5 - dens * total, dens / frac)
+        log = np.where(near, np.log(np.maximum(tail, 1e-300)), -0.5 * a * a - math.log(_SQRT2PI) - np.log(frac))
+    return np.where(x >= 0, tail, 1.0 - tail), np.where(x >= 0, log, np.log1p(-tail))
+
+
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    """Inverse normal CDF of an array with 0 < p < 1: Halley steps in the nearer
+    tail, from the rational start of Abramowitz & Stegun 26.2.23 (4.5e-4 off)."""
+    p = np.asarray(p, dtype=float)
+    small = np.minimum(p, 1.0 - p)
+    t = np.sqrt(-2.0 * np.log(small))
+    x = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1.0 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t ** 3)
+    for _ in range(3):
+        u = (upper_tail(x)[0] - small) * _SQRT2PI * np.exp(0.5 * x * x)
+        x = x + u / (1.0 - 0.5 * x * u)
+    return np.where(p < 0.5, -x, x)
 
 
 def gammainc_upper(a: float, x: float) -> float:
@@ -163,12 +194,3 @@ def f_sf(f: float, d1: float, d2: float) -> float:
         return 1.0
     x = d2 / (d2 + d1 * f)
     return betainc(d2 / 2.0, d1 / 2.0, x)
-
-
-def interp_clamped(x: float, xs: list[float], ys: list[float]) -> float:
-    """Linear interpolation on an increasing grid, clamped at the ends."""
-    if x <= xs[0]:
-        return ys[0]
-    if x >= xs[-1]:
-        return ys[-1]
-    return float(np.interp(x, xs, ys))

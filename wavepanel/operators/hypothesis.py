@@ -15,13 +15,18 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavepanel.catalog import SHAPIRO_MAX_N
+from wavepanel.catalog import ALPHA, SHAPIRO_MAX_N
 from wavepanel.functions import special as S
 from wavepanel.functions import udfs as U
 from wavepanel.functions.formulas import ANDERSON_P, DAGOSTINO, DAGOSTINO_TEMPS, SHAPIRO_COEF, SHAPIRO_Z, \
     apply_steps
+from wavepanel.operators.derive import threshold_label
 from wavepanel.operators.describe import add_quantiles, exact_quantiles, long_values
 from wavepanel.operators.sizing import bounded
+from wavepanel.session import cut_lineage
+
+#: Ranges into which the distinct values of a variable are cut for ranking.
+RANK_RANGES = 256
 
 
 def numeric_profile(df: DataFrame, cols: list[str], min_n: int = 8) -> DataFrame:
@@ -59,53 +64,78 @@ def capped_sample(df: DataFrame, cols: list[str], key: list[str], cap: int = SHA
     return out.drop("__h")
 
 
-def shapiro_wilk(sample: DataFrame, by: str = "variable", value: str = "value") -> DataFrame:
-    """Shapiro-Wilk W and p per group (TST3), Royston's approximation.
-    ``sample`` is a capped sample (<= 5000 rows per group), so the rank
-    window per group is bounded."""
-    w = Window.partitionBy(by).orderBy(value)
-    whole = Window.partitionBy(by)
-    ranked = sample.select(by, F.col(value).alias("x"), F.row_number().over(w).alias("i"),
-                           F.count(F.lit(1)).over(whole).alias("n"))
-    ranked = ranked.withColumn("m", U.norm_ppf((F.col("i") - 0.375) / (F.col("n") + 0.25)))
-    stats = ranked.groupBy(by).agg(
-        F.first("n").cast("double").alias("n"), F.sum(F.col("m") * F.col("m")).alias("mm"),
-        F.max_by("m", "i").alias("mn"),
-        F.sum(F.when(F.col("i") == F.col("n") - 1, F.col("m"))).alias("mn1"),
-        F.avg("x").alias("mean"))
+def _ranked(long: DataFrame, by: str, value: str) -> DataFrame:
+    """Distinct values of each group with their ranks: by, x, c (rows of that
+    value), last (rank of the last of them), n, mean, sst (squares about the
+    mean). All rows take part; nulls and NaN do not. Values are counted first
+    and cut into ranges, so ranking a group is spread over many tasks; the
+    groups (variables) are few."""
+    v = F.col(value).cast("double")
+    counts = cut_lineage(long.filter(v.isNotNull() & ~F.isnan(v)).groupBy(F.col(by).alias("__by"), v.alias("x"))
+                             .agg(F.count(F.lit(1)).alias("c")))
+    whole = counts.groupBy("__by").agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("x")).alias("__s"),
+        F.percentile_approx("x", [i / RANK_RANGES for i in range(1, RANK_RANGES)]).alias("__cuts"))
+    # written down, as an approximate percentile may differ when computed again
+    whole = cut_lineage(whole.select("__by", "n", (F.col("__s") / F.col("n")).alias("mean"), "__cuts"))
+    part = F.size(F.filter("__cuts", lambda cut: cut < F.col("x")))
+    d = F.col("x") - F.col("mean")
+    rows = counts.join(bounded(whole), "__by").select("__by", "x", "c", "n", "mean", part.alias("__part"), (F.col("c") * d * d).alias("__ss"))
+    parts = rows.groupBy("__by", "__part").agg(F.sum("c").alias("__pc"), F.sum("__ss").alias("__pss"))
+    group = Window.partitionBy("__by")
+    before = parts.select("__by", "__part", F.sum("__pss").over(group).alias("sst"),
+                          (F.sum("__pc").over(group.orderBy("__part")) - F.col("__pc")).alias("__before"))
+    inner = Window.partitionBy("__by", "__part").orderBy("x")
+    out = rows.join(bounded(before), ["__by", "__part"])
+    return out.select(F.col("__by").alias(by), "x", "c", "n", "mean", "sst",
+                      (F.col("__before") + F.sum("c").over(inner)).alias("last"))
+
+
+def shapiro_wilk(long: DataFrame, by: str = "variable", value: str = "value") -> DataFrame:
+    """Shapiro-Wilk W and p per group (TST3), Royston's approximation, over all
+    rows of ``long``; null for fewer than three values or equal values. (The
+    approximation of p was made for up to 5,000 values.) Rows of one value
+    have neighbouring ranks, so each adds the sum of its ranks' weights."""
+    ranked = _ranked(long, by, value)
+    first, x, n = F.col("last") - F.col("c") + 1, F.col("x"), F.col("n")
+    # one value can hold most rows: its ranks are summed in runs
+    runs = ranked.select("*", first.alias("__first"), F.explode(F.sequence(first, F.col("last"), F.lit(U.RANKS_AT_ONCE))).alias("__from"))
+    runs = runs.withColumn("__s", U.order_sums(F.col("__from"), F.least(F.lit(U.RANKS_AT_ONCE), F.col("last") - F.col("__from") + 1), n))
+    mn = U.order_sums(F.col("__n"), F.lit(1), F.col("__n"))["m"]
+    mn1 = U.order_sums(F.greatest(F.col("__n") - 1, F.lit(1)), F.lit(1), F.col("__n"))["m"]
+    stats = runs.groupBy(by).agg(
+        F.max("n").alias("__n"), F.max("sst").alias("sst"), F.sum("__s.mm").alias("mm"),
+        F.sum(F.col("__s.m") * (x - F.col("mean"))).alias("mx"),
+        F.min("x").alias("x1"), F.min(F.when(F.col("last") >= 2, x)).alias("x2"),
+        F.max(F.when(F.col("__first") <= n - 1, x)).alias("xn1"), F.max("x").alias("xn"))
+    stats = stats.withColumns({"mn": mn, "mn1": mn1, "n": F.col("__n").cast("double")})
     # fewer than three values have no statistic: null sums keep the formulas from dividing by zero
-    enough = F.col("n") >= 3
-    stats = stats.withColumns({c: F.when(enough, F.col(c)) for c in ("mm", "mn", "mn1")})
-    coef = apply_steps(stats, SHAPIRO_COEF)
-    j = ranked.drop("n").join(coef, by)
-    i, n = F.col("i"), F.col("n")
-    a = (F.when(i == n, F.col("a_n")).when((i == n - 1) & (n > 5), F.col("a_n1"))
-          .when(i == 1, -F.col("a_n")).when((i == 2) & (n > 5), -F.col("a_n1"))
-          .otherwise(F.col("m") / F.sqrt(F.col("phi"))))
-    sums = j.groupBy(by, "n").agg(F.sum(a * F.col("x")).alias("ax"),
-                                  F.sum((F.col("x") - F.col("mean")) ** 2).alias("sst"))
-    res = sums.withColumn("w", F.when((F.col("sst") > 0) & (F.col("n") >= 3), F.least(F.lit(1.0), F.try_divide(F.col("ax") ** 2, F.col("sst")))))
+    enough = (F.col("n") >= 3) & (F.col("sst") > 0)
+    stats = apply_steps(stats.withColumns({c: F.when(enough, F.col(c)) for c in ("mm", "mn", "mn1")}), SHAPIRO_COEF)
+    outer, second = F.col("xn") - F.col("x1"), F.when(F.col("n") > 5, F.col("xn1") - F.col("x2")).otherwise(0.0)
+    inner = F.when(F.col("n") > 3, (F.col("mx") - F.col("mn") * outer - F.col("mn1") * second) / F.sqrt(F.when(F.col("phi") > 0, F.col("phi"))))
+    ax = F.coalesce(inner, F.lit(0.0)) + F.col("a_n") * outer + F.col("a_n1") * second
+    res = stats.withColumn("w", F.when(enough, F.least(F.lit(1.0), F.try_divide(ax * ax, F.col("sst")))))
     res = apply_steps(res, SHAPIRO_Z)
     # three values: the distribution of W is known exactly
     three = F.greatest(F.lit(0.0), 6.0 / math.pi * (F.asin(F.sqrt("w")) - math.asin(math.sqrt(0.75))))
-    return res.select(by, F.col("n").cast("bigint").alias("n"), "w",
+    return res.select(by, F.col("__n").alias("n"), "w",
                       F.when((F.col("n") == 3) & F.col("w").isNotNull(), three).when(F.col("n") > 3, U.norm_sf(F.col("sw_z"))).alias("sw_p"))
 
 
-def anderson_darling(sample: DataFrame, by: str = "variable", value: str = "value") -> DataFrame:
-    """Anderson-Darling normality test on standardised values (TST4)."""
-    whole = Window.partitionBy(by)
-    w = Window.partitionBy(by).orderBy(value)
-    z = sample.select(by, F.col(value).alias("x"),
-                      F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(whole).alias("n"),
-                      F.avg(value).over(whole).alias("mu"), F.stddev_samp(value).over(whole).alias("sd"))
-    z = z.withColumn("z", F.try_divide(F.col("x") - F.col("mu"), F.col("sd")))       # null for a constant column
-    i, n = F.col("i"), F.col("n")
-    term = (2 * i - 1) * U.norm_logcdf(F.col("z")) + (2 * n + 1 - 2 * i) * U.norm_logcdf(-F.col("z"))
-    agg = z.groupBy(by).agg(F.first("n").cast("double").alias("n"), F.sum(term).alias("s"))
-    out = agg.withColumn("a2", -F.col("n") - F.col("s") / F.col("n"))
-    out = apply_steps(out, ANDERSON_P)
-    return out.select(by, F.col("n").cast("bigint").alias("n"), "a2", "ad_p")
+def anderson_darling(long: DataFrame, by: str = "variable", value: str = "value") -> DataFrame:
+    """Anderson-Darling normality test on standardised values (TST4), over all
+    rows of ``long``; null for equal values. A value with ranks s+1 .. e adds
+    (e^2 - s^2) log F(z) + ((n-s)^2 - (n-e)^2) log(1 - F(z))."""
+    ranked = _ranked(long, by, value)
+    n, e = F.col("n").cast("double"), F.col("last").cast("double")
+    s, c = e - F.col("c"), F.col("c").cast("double")
+    sd = F.sqrt(F.try_divide(F.col("sst"), n - 1))
+    z = ranked.withColumn("z", F.try_divide(F.col("x") - F.col("mean"), sd))       # null for a constant column
+    term = c * (e + s) * U.log_upper_tail(-F.col("z")) + c * (2 * n - s - e) * U.log_upper_tail(F.col("z"))
+    agg = z.groupBy(by).agg(F.max("n").alias("__n"), F.sum(term / n).alias("s"))
+    out = apply_steps(agg.withColumn("n", F.col("__n").cast("double")).withColumn("a2", -F.col("n") - F.col("s")), ANDERSON_P)
+    return out.select(by, F.col("__n").alias("n"), "a2", "ad_p")
 
 
 def chi2_independence(df: DataFrame, row: str, cols: list[str]) -> DataFrame:
@@ -132,6 +162,18 @@ def chi2_independence(df: DataFrame, row: str, cols: list[str]) -> DataFrame:
     return stat.withColumn("p", U.chi2_sf(F.col("chi2"), F.col("dof").cast("double")))
 
 
+def association_verdict(tests: DataFrame, p: str = "p") -> DataFrame:
+    """``tests`` with the decision on association of missingness (PRJ27): p below 0.05."""
+    return tests.withColumn("verdict", threshold_label(p, [ALPHA], ["associated", "not associated"]))
+
+
+def normality_verdict(long: DataFrame, by: str = "variable", value: str = "value") -> DataFrame:
+    """Both normality tests and the decision (PRJ27): not normal if both p are below 0.05."""
+    both = shapiro_wilk(long, by, value).join(anderson_darling(long, by, value).drop("n"), by)
+    return both.withColumn("verdict", F.when((F.col("sw_p") < ALPHA) & (F.col("ad_p") < ALPHA), "not normal")
+                                       .when(F.col("sw_p").isNotNull() | F.col("ad_p").isNotNull(), "normal"))
+
+
 def little_mcar(df: DataFrame, cols: list[str], max_patterns: int = 100_000) -> DataFrame:
     """Little's MCAR test (TST6).
 
@@ -140,7 +182,7 @@ def little_mcar(df: DataFrame, cols: list[str], max_patterns: int = 100_000) ->
     aggregate; global means and pairwise-complete covariances are one more
     aggregate. The p x p solves per pattern run on the driver over those
     small tables: d2 = sum_j n_j (mu_j - mu)' S_j^-1 (mu_j - mu),
-    df = sum_j p_j - p.
+    df = sum_j p_j - p. ``verdict``: missing completely at random if p is above 0.05.
     """
     x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     mask = sum((F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(cols)), F.lit(0))
@@ -169,7 +211,8 @@ def little_mcar(df: DataFrame, cols: list[str], max_patterns: int = 100_000) ->
     dof = pj - p
     pval = S.chi2_sf(d2, dof) if dof > 0 else None
     return df.sparkSession.createDataFrame(
-        [(float(d2), int(dof), pval, len(pats))], "d2 double, dof bigint, p double, n_patterns bigint")
+        [(float(d2), int(dof), pval, len(pats))], "d2 double, dof bigint, p double, n_patterns bigint").withColumn(
+        "verdict", F.when(F.col("p") > ALPHA, "MCAR").when(F.col("p").isNotNull(), "not MCAR"))
 
 
 def iqr_outliers(reference: DataFrame, candidate: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:

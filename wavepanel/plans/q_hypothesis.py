@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wavepanel.functions.formulas import DAGOSTINO, sql_steps
 from wavepanel.operators import hypothesis as H
+from wavepanel.operators.describe import long_values
 from wavepanel.operators.impute import knn_impute
 from wavepanel.plans.q_impute import ORDER, VARS, _impute_sql
 from wavepanel.plans.registry import register
@@ -101,14 +102,19 @@ NORMALITY_COLS = ["m1", "e1", "x1"]
 
 @register("shapiro_wilk")
 def q_shapiro(spark, sf):
-    p = orders_panel(spark, sf)
-    return H.shapiro_wilk(H.capped_sample(p, NORMALITY_COLS, ["entity_id", "visit"]))
+    return H.shapiro_wilk(long_values(orders_panel(spark, sf), NORMALITY_COLS))
 
 
 @register("anderson_darling")
 def q_anderson(spark, sf):
-    p = orders_panel(spark, sf)
-    return H.anderson_darling(H.capped_sample(p, NORMALITY_COLS, ["entity_id", "visit"]))
+    return H.anderson_darling(long_values(orders_panel(spark, sf), NORMALITY_COLS))
+
+
+@register("missing_association", f"SELECT variable, dof, n, CASE WHEN p < 0.05 THEN 'associated' ELSE 'not associated' END AS verdict FROM ({_chi_sql()})")
+def q_missing_association(spark, sf):
+    """PRJ27: is missingness associated with the stage."""
+    tests = H.chi2_independence(orders_panel(spark, sf), "stage", CHI_COLS)
+    return H.association_verdict(tests).select("variable", "dof", "n", "verdict")
 
 
 @register("little_mcar")

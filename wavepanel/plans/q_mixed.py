@@ -130,12 +130,10 @@ def _residuals(spark, sf):
 
 @register("lmm_residual_normality")
 def q_lmm_residual_normality(spark, sf):
-    """Model diagnostics (TST3, TST4 on residuals, SRT6 sample cap): Shapiro-Wilk
-    and Anderson-Darling of the marginal residuals on a reproducible 5000-row
-    hash sample."""
-    from wavepanel.operators.hypothesis import anderson_darling, capped_sample, shapiro_wilk
-    sample = capped_sample(_residuals(spark, sf), ["residual"], ["entity_id", "visit"])
-    return shapiro_wilk(sample).join(anderson_darling(sample).drop("n"), "variable")
+    """Model diagnostics (TST3, TST4, PRJ27): Shapiro-Wilk and Anderson-Darling
+    of all marginal residuals, and the decision."""
+    from wavepanel.operators.hypothesis import normality_verdict
+    return normality_verdict(long_values(_residuals(spark, sf), ["residual"]))
 
 
 @register("lmm_residual_bins")

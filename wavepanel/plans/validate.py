@@ -27,8 +27,7 @@ def _distributions(df, variables, **kw):
     out = {}
     if num:
         out["numeric"] = H.numeric_profile(df, num)
-        key = kw.get("key") or num[:1]
-        out["shapiro"] = H.shapiro_wilk(H.capped_sample(df, num, key))
+        out["shapiro"] = H.shapiro_wilk(D.long_values(df, num))
     if cat:
         out["categorical"] = D.categorical_profile(df, cat)
     return out
