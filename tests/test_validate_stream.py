@@ -3,6 +3,7 @@
 
 
 from tests.conftest import SF_SMALL, none_safe, rows
+from wavepanel.operators.reshape import observation_order
 from wavepanel.plans.validate import validate
 from wavepanel.sources.testdata import event_series, orders_panel
 from wavepanel.streaming.ingest import ingest
@@ -19,6 +20,27 @@ def test_validate_runs_named_checks_and_reports_unknown(spark):
     ev = event_series(spark, SF_SMALL)
     st = validate(ev, ["value"], ["stationarity"], series="series_id", order=["t", "event_id"])
     assert st["stationarity.value"].count() == ev.select("series_id").distinct().count()
+    assert not [c for c in st["stationarity.value"].columns if c.startswith("arch_")]
+
+
+def test_validate_reads_text_as_numbers(spark):
+    df = spark.createDataFrame([(str(float(i)), float(i * i % 7), "x") for i in range(30)] + [("junk", 3.0, " ")], "a string, b double, c string")
+    res = validate(df, ["a", "b"], ["multicollinearity"])
+    r = res["multicollinearity.correlation"].first()
+    assert r.n == 30 and r.r is not None
+    vif = [v.vif for v in res["multicollinearity.vif"].collect()]
+    assert len(vif) == 2 and vif == sorted(vif, reverse=True)
+    levels = validate(df, ["c"], ["distributions"])["distributions.categorical"].collect()
+    assert [(v.value, v.n) for v in levels] == [("x", 30)]
+
+
+def test_observation_order_of_one_large_entity(spark):
+    df = spark.range(5000).selectExpr("IF(id % 3 = 0, 7, id % 11) AS e", "id AS t").repartition(6)
+    got = [(r.e, r.t) for r in observation_order(df, ["e", "t"]).orderBy("obs").collect()]
+    assert got == sorted(got) and len(got) == 5000
+    places = observation_order(df, ["e", "t"])
+    assert places.selectExpr("min(obs)", "max(obs)", "count(DISTINCT obs)").first() == (0, 4999, 5000)
+    assert observation_order(df.limit(0), ["e", "t"]).count() == 0
 
 
 def test_streaming_ingest_cleans_and_resumes(spark, tmp_path):

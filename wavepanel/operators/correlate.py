@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavepanel.catalog import CORR_CHANGE_CUTS, HIGH_CORRELATION, NETWORK_MIN_ABS_R, NETWORK_STRENGTH_CUTS, VIF_HIGH
+from wavepanel.operators.clean import as_numbers
 from wavepanel.operators.derive import finite, threshold_label
 
 
@@ -34,6 +35,7 @@ def corr_long(df: DataFrame, cols: list[str], full: bool = False) -> DataFrame:
     ordered pairs including the diagonal. ``r`` is null where undefined
     (fewer than 2 complete pairs or a constant column).
     """
+    df = as_numbers(df, cols)
     pairs = _pairs(cols, full)
     uniq = list(dict.fromkeys(tuple(sorted((a, b), key=cols.index)) for a, b in pairs))
     aggs = []
@@ -91,7 +93,7 @@ def corr_edges(corr: DataFrame, min_abs: float = NETWORK_MIN_ABS_R) -> DataFrame
 def gram(df: DataFrame, cols: list[str], center: bool = False) -> tuple[np.ndarray, int]:
     """X'X over rows complete in ``cols`` (one aggregate, p(p+1)/2 sums),
     returned to the driver as a p x p array with the row count."""
-    x = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in cols]).dropna()
+    x = as_numbers(df, cols).select(*[finite(F.col(c).cast("double")).alias(c) for c in cols]).dropna()
     if center:
         mu = x.agg(*[F.avg(c).alias(c) for c in cols]).first()
         x = x.select(*[(F.col(c) - F.lit(mu[c])).alias(c) for c in cols])
@@ -107,7 +109,7 @@ def gram(df: DataFrame, cols: list[str], center: bool = False) -> tuple[np.ndarr
 
 
 def vif(df: DataFrame, cols: list[str], intercept: bool = False) -> DataFrame:
-    """Variance inflation factors on complete rows (COR6).
+    """Variance inflation factors on complete rows (COR6), largest first (SRT4).
 
     Without an intercept (the reference's form) the auxiliary regressions
     use uncentred R^2, so VIF_j = (X'X)_jj * ((X'X)^-1)_jj. With an
@@ -123,6 +125,7 @@ def vif(df: DataFrame, cols: list[str], intercept: bool = False) -> DataFrame:
         if v is not None and not np.isfinite(v):
             v = None
         rows.append((c, v, bool(v is not None and v > VIF_HIGH), bool(singular), n))
+    rows.sort(key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))
     schema = T.StructType([T.StructField("variable", T.StringType()), T.StructField("vif", T.DoubleType()),
                            T.StructField("high", T.BooleanType()), T.StructField("singular", T.BooleanType()),
                            T.StructField("n", T.LongType())])

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavepanel.catalog import BALANCE_RATIO
+from wavepanel.operators.clean import as_numbers
+from wavepanel.operators.derive import trimmed_nonblank
 from wavepanel.operators.sizing import bounded
 
 
@@ -54,8 +56,10 @@ def add_quantiles(stats: DataFrame, df: DataFrame, by: list[str], value: str, pr
 
 def long_values(df: DataFrame, cols: list[str], ids: list[str] | None = None,
                 name: str = "variable", value: str = "value", cast: str | None = "double") -> DataFrame:
-    """Wide -> long (RSH1) keeping ``ids``; values cast to one type."""
+    """Wide -> long (RSH1) keeping ``ids``; values cast to one type. Text that
+    is to be a number and is none becomes null (PRJ4)."""
     ids = ids or []
+    df = as_numbers(df, cols) if cast == "double" else df
     vals = [F.col(c).cast(cast).alias(c) if cast else F.col(c) for c in cols]
     return df.select(*ids, *vals).unpivot(ids, cols, name, value)
 
@@ -204,8 +208,9 @@ def mode_value(df: DataFrame, col: str, by: list[str] | None = None) -> DataFram
 
 def categorical_profile(df: DataFrame, cols: list[str], top: int = 3) -> DataFrame:
     """Per categorical variable: count and proportion of each level, and the
-    level's rank; ranks <= ``top`` are the top levels (AGG20, PLT8)."""
-    cells = long_values(df, cols, cast="string").filter(F.col("value").isNotNull())
+    level's rank; ranks <= ``top`` are the top levels (AGG20, PLT8). Levels are
+    trimmed, and blanks are no level (PRJ22)."""
+    cells = long_values(df, cols, cast="string").withColumn("value", trimmed_nonblank("value")).filter(F.col("value").isNotNull())
     counts = cells.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("variable").agg(F.sum("n").alias("__t"))
     w = Window.partitionBy("variable").orderBy(F.col("n").desc(), F.col("value").asc())

@@ -96,7 +96,10 @@ def shapiro_wilk(long: DataFrame, by: str = "variable", value: str = "value") ->
     rows of ``long``; null for fewer than three values or equal values. (The
     approximation of p was made for up to 5,000 values.) Rows of one value
     have neighbouring ranks, so each adds the sum of its ranks' weights."""
-    ranked = _ranked(long, by, value)
+    return _shapiro(_ranked(long, by, value), by)
+
+
+def _shapiro(ranked: DataFrame, by: str) -> DataFrame:
     first, x, n = F.col("last") - F.col("c") + 1, F.col("x"), F.col("n")
     # one value can hold most rows: its ranks are summed in runs
     runs = ranked.select("*", first.alias("__first"), F.explode(F.sequence(first, F.col("last"), F.lit(U.RANKS_AT_ONCE))).alias("__from"))
@@ -127,7 +130,10 @@ def anderson_darling(long: DataFrame, by: str = "variable", value: str = "value"
     """Anderson-Darling normality test on standardised values (TST4), over all
     rows of ``long``; null for equal values. A value with ranks s+1 .. e adds
     (e^2 - s^2) log F(z) + ((n-s)^2 - (n-e)^2) log(1 - F(z))."""
-    ranked = _ranked(long, by, value)
+    return _anderson(_ranked(long, by, value), by)
+
+
+def _anderson(ranked: DataFrame, by: str) -> DataFrame:
     n, e = F.col("n").cast("double"), F.col("last").cast("double")
     s, c = e - F.col("c"), F.col("c").cast("double")
     sd = F.sqrt(F.try_divide(F.col("sst"), n - 1))
@@ -169,7 +175,8 @@ def association_verdict(tests: DataFrame, p: str = "p") -> DataFrame:
 
 def normality_verdict(long: DataFrame, by: str = "variable", value: str = "value") -> DataFrame:
     """Both normality tests and the decision (PRJ27): not normal if both p are below 0.05."""
-    both = shapiro_wilk(long, by, value).join(anderson_darling(long, by, value).drop("n"), by)
+    ranked = _ranked(long, by, value)
+    both = _shapiro(ranked, by).join(_anderson(ranked, by).drop("n"), by)
     return both.withColumn("verdict", F.when((F.col("sw_p") < ALPHA) & (F.col("ad_p") < ALPHA), "not normal")
                                        .when(F.col("sw_p").isNotNull() | F.col("ad_p").isNotNull(), "normal"))
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavepanel.operators.clean import as_numbers
 from wavepanel.operators.derive import order_key
 from wavepanel.operators.sizing import bounded
+from wavepanel.session import cut_lineage
 
 
 def melt(df: DataFrame, ids: list[str], values: list[str], name: str = "measure", value: str = "score") -> DataFrame:
-    """Wide -> long (RSH1)."""
-    return df.select(*ids, *[F.col(c).cast("double").alias(c) for c in values]).unpivot(ids, values, name, value)
+    """Wide -> long (RSH1); text that is no number becomes null (PRJ4)."""
+    return as_numbers(df, values).select(*ids, *[F.col(c).cast("double").alias(c) for c in values]).unpivot(ids, values, name, value)
 
 
 def pivot_first(long: DataFrame, row: str, col: str, value: str, levels: list) -> DataFrame:
@@ -53,6 +55,30 @@ def stage_sorted(df: DataFrame, col: str, order: list[str]) -> DataFrame:
 
 def hash_sample(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
     """Reproducible sample of n rows: the n smallest hashes of (key, seed)
-    (SRT5, SRT6). Planned as a per-partition top-n merged into n rows,
-    never a full sort."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in key], F.lit(seed))).limit(n)
+    (SRT5, SRT6), equal hashes by key. The hash is the MD5 of the key's columns
+    and the seed as text, joined by ``|`` (a null adds nothing), so any engine
+    can draw the same rows. Planned as a per-partition top-n merged into n
+    rows, never a full sort."""
+    return df.orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))), *key).limit(n)
+
+
+def observation_order(df: DataFrame, keys: list[str], out: str = "obs") -> DataFrame:
+    """``df`` with each row's place (from 0) in the order of ``keys`` over all
+    rows (WIN8). Rows are dealt by ranges of the whole key, so one entity may
+    fill several ranges; each range is numbered by itself and starts where the
+    ranges before it end. Rows of equal keys are numbered in any order."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written down: a range may be cut elsewhere when computed again
+    dealt = cut_lineage(df.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    # one row a range
+    starts = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1
+    return dealt.join(bounded(starts), "__part").withColumn(out, F.col("__start") + place).drop("__part", "__start")
+
+
+def residual_by_order(df: DataFrame, keys: list[str], residual: str = "residual", block: int = 500) -> DataFrame:
+    """Residual against observation order (WIN8): rows, mean and spread for each ``block`` observations."""
+    places = observation_order(df.filter(F.col(residual).isNotNull()), keys, "__obs")
+    return places.groupBy(F.floor(F.col("__obs") / block).alias("block")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(residual).alias("mean_residual"), F.stddev_samp(residual).alias("sd_residual"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wavepanel.operators.clean import NUMBER_RE, clip_audit, clip_ranges, infer_numeric, null_codes, \
     residual_codes, reverse_code
+from wavepanel.operators.describe import categorical_profile, describe
 from wavepanel.plans.registry import register
 from wavepanel.sources.testdata import ORDERS_PANEL_SQL, RAW_ORDERS_PANEL_SQL, orders_panel, \
     raw_orders_panel, with_cte
@@ -39,6 +40,32 @@ def q_infer_numeric(spark, sf_dir):
     return infer_numeric(null_codes(raw_orders_panel(spark, sf_dir)))
 
 
+RAW_COLS = ["r1", "r2", "r3"]
+_NUMBERS = "\nUNION ALL ".join(f"SELECT '{c}' AS variable, CASE WHEN {_NUM.format(c=c)} THEN TRY_CAST(trim({c}) AS DOUBLE) END AS value FROM raw"
+                               for c in RAW_COLS)
+
+
+@register("coerced_profile", with_cte("""
+SELECT variable, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min,
+       quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, max(value) AS max
+FROM cells GROUP BY variable""", raw=RAW_ORDERS_PANEL_SQL, cells=_NUMBERS))
+def q_coerced_profile(spark, sf_dir):
+    """PRJ4 at the analysis boundary: text columns profiled as numbers, bad text as null."""
+    out = describe(raw_orders_panel(spark, sf_dir), RAW_COLS)
+    return out.select("variable", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "p25", "p50", "p75", "max")
+
+
+@register("trimmed_profile", with_cte("""
+SELECT variable, value, n, round(n / sum(n) OVER (PARTITION BY variable), 6) AS proportion,
+       CAST(row_number() OVER (PARTITION BY variable ORDER BY n DESC, value ASC) AS BIGINT) AS rank
+FROM (SELECT variable, value, count(*) AS n FROM cells WHERE value <> '' GROUP BY variable, value)""",
+    raw=RAW_ORDERS_PANEL_SQL,
+    cells="\nUNION ALL ".join(f"SELECT '{c}' AS variable, trim({c}) AS value FROM raw" for c in RAW_COLS)))
+def q_trimmed_profile(spark, sf_dir):
+    """PRJ22, AGG20: levels of raw text, trimmed, blanks left out."""
+    return categorical_profile(raw_orders_panel(spark, sf_dir), RAW_COLS)
+
+
 def _cells(cols):
     parts = []
     for c in cols:

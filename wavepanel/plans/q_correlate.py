@@ -91,6 +91,16 @@ def q_vif(spark, sf):
     return C.vif(numeric_panel(spark, sf), VIF_COLS, intercept=False)
 
 
+@register("vif_pair", with_cte("""
+SELECT v.variable, round(1 / (1 - g.ab * g.ab / (g.aa * g.bb)), 6) AS vif, false AS high, g.n
+FROM (SELECT sum(m1 * m1) AS aa, sum(m1 * e1) AS ab, sum(e1 * e1) AS bb, count(*) AS n FROM panel
+      WHERE m1 IS NOT NULL AND e1 IS NOT NULL) g, (VALUES ('m1'), ('e1')) v(variable)""", panel=ORDERS_PANEL_SQL))
+def q_vif_pair(spark, sf):
+    """COR6 on two variables, where it is 1 / (1 - r^2) with the uncentred r."""
+    out = C.vif(orders_panel(spark, sf), ["m1", "e1"])
+    return out.select("variable", F.round("vif", 6).alias("vif"), "high", "n")
+
+
 SCALES = {"s1": ["e1", "e2", "e3"], "s2": ["m1", "m2"], "s3": ["e1", "m1", "x1", "x2"]}
 
 

@@ -77,6 +77,25 @@ def q_lmm_paths(spark, sf):
         F.col("term").alias("predictor"), F.lit("composite").alias("outcome"), "coef", "p", "stars")
 
 
+OUTCOMES = ["m1", "m2", "e1", "e2"]
+
+
+@register("lmm_predictor_outcomes")
+def q_lmm_predictor_outcomes(spark, sf):
+    """RSH3: predictor x outcome table of coefficients, four outcomes fitted in one call."""
+    from wavepanel.operators.reshape import pivot_first
+    long = long_values(_stage_panel(spark, sf), OUTCOMES, ids=["entity_id", "visit", "x1", "stage"], name="outcome", value="score")
+    res = M.fit_lmm(long, "score", "entity_id", fixed=["visit", "x1"], factors={"stage": "first"}, model="outcome")
+    return pivot_first(res.coefficients.filter(F.col("term") != "Intercept"), "term", "model", "coef", OUTCOMES)
+
+
+@register("lmm_residual_order")
+def q_lmm_residual_order(spark, sf):
+    """WIN8: marginal residuals of the model against observation order."""
+    from wavepanel.operators.reshape import residual_by_order
+    return residual_by_order(_residuals(spark, sf), ["entity_id", "visit"])
+
+
 @register("lmm_fit_errors")
 def q_lmm_errors(spark, sf):
     """MOD8: RMSE / MAE of fitted values including random effects."""
@@ -138,6 +157,6 @@ def q_lmm_residual_normality(spark, sf):
 
 @register("lmm_residual_bins")
 def q_lmm_residual_bins(spark, sf):
-    """PLT6 / WIN8: residual vs fitted as a 2-D binned density."""
+    """PLT6: residual vs fitted as a 2-D binned density."""
     from wavepanel.operators.plotdata import binned_2d
     return binned_2d(_residuals(spark, sf), "fitted", "residual", 0.25, 0.5)

@@ -75,12 +75,30 @@ def q_sorted(spark, sf):
     return orders_panel(spark, sf).select("entity_id", "visit", "stage", "m1").orderBy("entity_id", "visit")
 
 
-@register("hash_sample")
+@register("hash_sample", with_cte("""
+SELECT entity_id, visit, m1 FROM panel
+ORDER BY md5(concat_ws('|', CAST(entity_id AS VARCHAR), CAST(visit AS VARCHAR), '42')), entity_id, visit LIMIT 500""", **P))
 def q_hash_sample(spark, sf):
     """Reproducible 500-row sample of the panel (the limit is the feature)."""
     return R.hash_sample(orders_panel(spark, sf), 500, ["entity_id", "visit"]).select("entity_id", "visit", "m1")
 
 
+@register("residual_order", with_cte("""
+SELECT CAST(obs // 500 AS BIGINT) AS block, count(*) AS n, round(avg(residual), 6) + 0.0 AS mean_residual,
+       round(stddev_samp(residual), 6) AS sd_residual
+FROM (SELECT row_number() OVER (ORDER BY entity_id, visit) - 1 AS obs, residual FROM (
+        SELECT entity_id, visit, m1 - avg(m1) OVER (PARTITION BY stage) AS residual FROM panel WHERE m1 IS NOT NULL))
+GROUP BY obs // 500""", **P))
+def q_residual_order(spark, sf):
+    """WIN8: residuals of the stage means against observation order."""
+    p = orders_panel(spark, sf).filter(F.col("m1").isNotNull()).select("entity_id", "visit", "stage", "m1")
+    means = p.groupBy("stage").agg(F.avg("m1").alias("mu"))
+    r = p.join(means, "stage").withColumn("residual", F.col("m1") - F.col("mu"))
+    out = R.residual_by_order(r, ["entity_id", "visit"])
+    return out.select("block", "n", (F.round("mean_residual", 6) + 0.0).alias("mean_residual"),
+                      F.round("sd_residual", 6).alias("sd_residual"))
+
+
 @register("coef_rank", with_cte("""
 SELECT var1, var2, r, CAST(row_number() OVER (ORDER BY abs(r) DESC, var1, var2) AS BIGINT) AS rank FROM (
   SELECT 'm1' AS var1, 'e1' AS var2, round(corr(m1, e1), 6) + 0.0 AS r FROM panel

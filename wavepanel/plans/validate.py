@@ -1,7 +1,9 @@
 """Named check registry: ``validate(df, variables, checks)``
 returns one result DataFrame per requested check. Unknown names are reported
 in ``skipped`` rather than silently ignored, and a failing check raises
-(the reference swallowed errors)."""
+(the reference swallowed errors). Correlations and series tests read text
+columns as numbers, null where they are none (PRJ4); distributions profile
+them as categories."""
 
 from __future__ import annotations
 
@@ -14,6 +16,7 @@ from wavepanel.operators import correlate as C
 from wavepanel.operators import describe as D
 from wavepanel.operators import hypothesis as H
 from wavepanel.operators import series as SR
+from wavepanel.operators.clean import as_numbers
 
 
 def _numeric(df: DataFrame, cols: list[str]) -> list[str]:
@@ -38,25 +41,25 @@ def _group_sizes(df, variables, **kw):
 
 
 def _multicollinearity(df, variables, **kw):
-    num = _numeric(df, variables)
-    corr = C.corr_long(df, num)
-    return {"correlation": corr, "high_pairs": C.high_pairs(corr), "vif": C.vif(df, num)}
+    corr = C.corr_long(df, variables)
+    return {"correlation": corr, "high_pairs": C.high_pairs(corr), "vif": C.vif(df, variables)}
 
 
-def _series(df, variables, **kw):
-    series, order = kw["series"], kw["order"]
-    parts = {}
-    for v in _numeric(df, variables):
-        parts[v] = SR.series_tests(df, series, order, v)
-    return parts
+def _series(prefixes: tuple[str, ...]):
+    """The columns of the series tests whose names start with one of ``prefixes``, per variable."""
+    def check(df, variables, **kw):
+        df = as_numbers(df, variables)
+        parts = {v: SR.series_tests(df, kw["series"], kw["order"], v) for v in variables}
+        return {v: t.select("series", "n", *[c for c in t.columns if c.startswith(prefixes)]) for v, t in parts.items()}
+    return check
 
 
 CHECKS: dict[str, Callable[..., dict[str, DataFrame]]] = {
     "distributions": _distributions,
     "group_sizes": _group_sizes,
     "multicollinearity": _multicollinearity,
-    "stationarity": _series,
-    "heteroscedasticity": _series,
+    "stationarity": _series(("adf_", "kpss_")),
+    "heteroscedasticity": _series(("arch_",)),
 }
 
 
