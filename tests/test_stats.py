@@ -61,6 +61,26 @@ def test_corr_long_pairwise_complete(spark):
     assert r.n == 3 and math.isclose(r.r, np.corrcoef([1, 3, 4], [2, 7, 8])[0, 1])
 
 
+def test_corr_of_many_columns_far_off_constant_and_empty(spark):
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 29)) @ rng.normal(size=(29, 29)) + 1e7
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 3] = 0.1
+    names = [f"v{i}" for i in range(29)]
+    rows = [[None if np.isnan(v) else float(v) for v in r] for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(3)
+    want = pd.DataFrame(x, columns=names).corr()
+    got = C.corr_long(df, names).collect()
+    assert len(got) == 29 * 28 // 2
+    for r in got:
+        if "v3" in (r.var1, r.var2):
+            assert r.r is None and r.n > 300
+        else:
+            assert math.isclose(r.r, want.loc[r.var1, r.var2], abs_tol=1e-8)
+    assert [(r.r, r.n) for r in C.corr_long(df.limit(0), ["v0", "v1"]).collect()] == [(None, 0)]
+
+
 def test_little_mcar_matches_numpy(spark):
     p = orders_panel(spark, SF_SMALL)
     cols = ["m1", "m2", "e1"]

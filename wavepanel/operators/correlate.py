@@ -13,12 +13,14 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavepanel.catalog import CORR_CHANGE_CUTS, HIGH_CORRELATION, NETWORK_MIN_ABS_R, NETWORK_STRENGTH_CUTS, VIF_HIGH
 from wavepanel.operators.clean import as_numbers
+from wavepanel.operators.sizing import bounded
 from wavepanel.operators.derive import finite, threshold_label
 
 
@@ -28,28 +30,52 @@ def _pairs(cols: list[str], full: bool):
     return list(itertools.combinations(cols, 2))
 
 
+def pair_sums(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Sums over the rows in which both columns of a pair (i <= j) hold a finite
+    number: n, sx, sy, sxx, syy, sxy, of values less their column's mean. One
+    matrix product an Arrow batch, one partial row a task and pair, added up by
+    Spark: the work of p columns is p^2 flops a row, not p^2 aggregates."""
+    x = as_numbers(df, cols).select(*[finite(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+    mu = np.array([v if v is not None else 0.0 for v in x.agg(*[F.avg(c) for c in x.columns]).first()])
+    i, j = np.triu_indices(len(cols))
+
+    def partial(batches):
+        total = None
+        for pdf in batches:
+            v = pdf.to_numpy(dtype=float)
+            held = np.isfinite(v)
+            v, m = np.where(held, v - mu, 0.0), held.astype(float)
+            s = np.stack([m.T @ m, v.T @ m, (v * v).T @ m, v.T @ v])
+            total = s if total is None else total + s
+        if total is not None:
+            n, first, square, cross = total
+            yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "sx": first[i, j], "sy": first[j, i],
+                                "sxx": square[i, j], "syy": square[j, i], "sxy": cross[i, j]})
+
+    sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    parts = x.mapInPandas(partial, "i int, j int, " + ", ".join(f"{c} double" for c in sums))
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def corr_long(df: DataFrame, cols: list[str], full: bool = False) -> DataFrame:
     """Pairwise-complete correlation matrix in long form (COR1, COR2).
 
     ``full=False`` gives pairs i < j in column order; ``full=True`` all p^2
     ordered pairs including the diagonal. ``r`` is null where undefined
-    (fewer than 2 complete pairs or a constant column).
+    (fewer than 2 complete pairs or a constant column). Values that are no
+    finite number count as missing.
     """
-    df = as_numbers(df, cols)
-    pairs = _pairs(cols, full)
-    uniq = list(dict.fromkeys(tuple(sorted((a, b), key=cols.index)) for a, b in pairs))
-    aggs = []
-    for i, (a, b) in enumerate(uniq):
-        aggs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}"))
-        aggs.append(F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n{i}"))
-    wide = df.agg(*aggs)
-    index = {p: i for i, p in enumerate(uniq)}
-    rows = []
-    for a, b in pairs:
-        i = index[tuple(sorted((a, b), key=cols.index))]
-        rows.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                             finite(F.col(f"r{i}")).alias("r"), F.col(f"n{i}").alias("n")))
-    return wide.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+    pairs = [(a, b, *sorted((cols.index(a), cols.index(b)))) for a, b in _pairs(cols, full)]
+    listed = df.sparkSession.createDataFrame(pairs, "var1 string, var2 string, i int, j int")
+    n = F.col("n")
+    vx, vy = (F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") / n for c in "xy")
+    # what is left of a constant column is rounding
+    varies = (vx > 1e-13 * F.col("sxx")) & (vy > 1e-13 * F.col("syy"))
+    r = F.when((n >= 2) & varies, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy))
+    r = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    sums = pair_sums(df, cols).filter("n > 0").select("i", "j", finite(r).alias("r"), n.cast("bigint").alias("n"))
+    out = listed.join(bounded(sums), ["i", "j"], "left")
+    return out.select("var1", "var2", "r", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def missing_corr(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavepanel.catalog import SIGNIFICANCE_LEVELS
-from wavepanel.operators.sizing import bounded, broadcast_if_small
+from wavepanel.operators.sizing import bounded, level_table
 
 
 def _c(x: str | Column) -> Column:
@@ -98,7 +98,7 @@ def zscore(df: DataFrame, cols: list[str], suffix: str = "_z", by: str | None =
         agg = bounded(df.agg(*stats))
         out = df.crossJoin(agg)
     else:
-        agg = df.groupBy(by).agg(*stats)
+        agg = level_table(df.groupBy(by).agg(*stats))
         out = df.join(agg, by, "left")
     for c in cols:
         mu, s = F.col(f"__mu_{c}"), F.col(f"__sd_{c}")
@@ -155,12 +155,10 @@ def finite(col: str | Column) -> Column:
 
 
 def inverse_frequency(df: DataFrame, col: str, out: str = "weight") -> DataFrame:
-    """Row weight n / n_level (PRJ25). The total is one row (broadcast); the
-    per-level table grows with the column's cardinality, so its join is left
-    to AQE, which broadcasts it only when its measured size is small."""
+    """Row weight n / n_level (PRJ25)."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("__n_level"))
     total = bounded(df.agg(F.count(F.lit(1)).alias("__n_total")))
-    w = broadcast_if_small(counts.crossJoin(total).select(col, (F.col("__n_total") / F.col("__n_level")).alias(out)))
+    w = level_table(counts.crossJoin(total).select(col, (F.col("__n_total") / F.col("__n_level")).alias(out)))
     return df.join(w, col, "left")
 
 

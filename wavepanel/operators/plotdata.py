@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wavepanel.functions import special as S
 from wavepanel.operators.describe import add_quantiles, long_values
 from wavepanel.operators.derive import stars
-from wavepanel.operators.sizing import bounded
+from wavepanel.operators.sizing import bounded, level_table
 
 
 def histogram(df: DataFrame, cols: list[str], bins: int = 30, by: list[str] | None = None) -> DataFrame:
@@ -37,8 +37,9 @@ def kde_from_histogram(hist: DataFrame, grid: int = 50, bandwidth: float | None
         F.sum("n").alias("n_total"), F.min("left").alias("lo"), F.max("right").alias("hi"),
         (F.sum(F.col("n") * (F.col("left") + F.col("right")) / 2) / F.sum("n")).alias("mu"),
         F.sum(F.col("n") * ((F.col("left") + F.col("right")) / 2) ** 2).alias("s2"))
-    sd = F.sqrt(F.greatest(F.col("s2") / F.col("n_total") - F.col("mu") ** 2, F.lit(0.0)))
-    h = F.lit(bandwidth) if bandwidth else 1.06 * sd * F.pow(F.col("n_total"), -0.2)          # Silverman's rule
+    n = F.col("n_total")
+    sd = F.sqrt(F.greatest(F.try_divide(F.col("s2") - n * F.col("mu") ** 2, n - 1), F.lit(0.0)))
+    h = F.lit(bandwidth) if bandwidth else sd * F.pow(n, -0.2)          # Scott's rule in one dimension
     stats = stats.select("variable", "n_total", "lo", "hi", F.greatest(h, F.lit(1e-12)).alias("h"))
     pts = stats.crossJoin(g).select("variable", "n_total", "h",
                                     (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("g") / (grid - 1)).alias("x"))
@@ -74,6 +75,7 @@ def box_stats(df: DataFrame, cols: list[str], by: list[str] | None = None, whisk
     q = q.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     fences = q.select("*", (F.col("q1") - whisker * iqr).alias("__lo"), (F.col("q3") + whisker * iqr).alias("__hi"))
+    fences = level_table(fences)
     j = long.join(fences.select(*keys, "__lo", "__hi"), keys)
     wk = j.groupBy(*keys).agg(
         F.min(F.when(F.col("value") >= F.col("__lo"), F.col("value"))).alias("whisker_lo"),

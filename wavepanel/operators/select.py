@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavepanel.operators.sizing import broadcast_if_small
+from wavepanel.operators.sizing import sized_at_run_time
 
 
 def observed_counts(df: DataFrame, entity: str, measures: list[str]) -> DataFrame:
@@ -56,7 +56,7 @@ def attach_dimension(df: DataFrame, dim: DataFrame, key: str, cols: list[str] |
         dup = d.groupBy(key).count().filter("count > 1").limit(1).count()
         if dup:
             raise ValueError(f"dimension key {key!r} is not unique")
-    return df.join(broadcast_if_small(d), key, "left")
+    return df.join(sized_at_run_time(d), key, "left")
 
 
 def unmatched_entities(joined: DataFrame, key: str, probe: str) -> DataFrame:

@@ -10,6 +10,7 @@ from wavepanel.operators.describe import long_values
 from wavepanel.operators.impute import knn_impute
 from wavepanel.plans.q_impute import ORDER, VARS, _impute_sql
 from wavepanel.plans.registry import register
+from wavepanel.session import cut_lineage
 from wavepanel.sources.testdata import ORDERS_PANEL_SQL, orders_panel, with_cte
 
 PROFILE_COLS = ["m1", "e1", "x1", "age"]
@@ -92,7 +93,7 @@ FROM fences f LEFT JOIN (
     fences="SELECT variable, q1, q3, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM q"))
 def q_iqr_outliers(spark, sf):
     p = orders_panel(spark, sf).select("entity_id", "visit", "order_key", *VARS)
-    imp = knn_impute(p, "entity_id", ORDER, VARS, k=4)
+    imp = cut_lineage(knn_impute(p, "entity_id", ORDER, VARS, k=4))        # read several times
     cand = imp.select(*[F.when(F.col(v).isNull(), F.col(f"{v}_filled")).alias(v) for v in VARS])
     return H.iqr_outliers(imp.select(*VARS), cand, VARS)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wavepanel.operators.impute import imputation_counts, k_sweep, knn_impute
 from wavepanel.plans.registry import register
+from wavepanel.session import cut_lineage
 from wavepanel.sources.testdata import ORDERS_PANEL_SQL, orders_panel, with_cte
 
 VARS = ["m1", "m2", "e1"]
@@ -141,7 +142,7 @@ def q_distribution_shift(spark, sf):
     """AGG17/AGG18: observed vs imputed distribution at 5..95% with percent change."""
     from wavepanel.operators.describe import quantile_shift
     p = orders_panel(spark, sf).select("entity_id", "visit", "order_key", *VARS)
-    imp = knn_impute(p, "entity_id", ORDER, VARS, k=4)
+    imp = cut_lineage(knn_impute(p, "entity_id", ORDER, VARS, k=4))        # read several times
     observed = imp.select(*VARS)
     imputed = imp.select(*[F.when(F.col(v).isNull(), F.col(f"{v}_filled")).alias(v) for v in VARS])
     out = quantile_shift(observed, imputed, VARS, SHIFT_PROBS)

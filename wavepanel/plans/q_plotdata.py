@@ -38,10 +38,21 @@ def q_histogram(spark, sf):
     return h.select("variable", "bin", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"), "n")
 
 
-@register("kde")
+@register("kde", with_cte(f"""
+SELECT p.variable, round(p.x, 6) AS x, round(sum(b.n * exp(-0.5 * ((p.x - b.c) / p.h) ** 2)) / (p.n * p.h * sqrt(2 * pi())), 6) AS density
+FROM (SELECT s.variable, s.n, s.h, s.lo + (s.hi - s.lo) * g.g / 24 AS x FROM spread s, range(25) g(g)) p
+JOIN binned b ON p.variable = b.variable GROUP BY p.variable, p.x, p.n, p.h""", **P, cells=_cells(HIST_COLS),
+    rng="SELECT variable, min(value) AS lo, max(value) AS hi FROM cells GROUP BY variable",
+    binned=f"""SELECT variable, lo + (bin + 0.5) * (hi - lo) / {BINS} AS c, count(*) AS n
+        FROM (SELECT c.variable, r.lo, r.hi, least(floor((c.value - r.lo) / ((r.hi - r.lo) / {BINS})), {BINS - 1}) AS bin
+              FROM cells c JOIN rng r ON c.variable = r.variable) GROUP BY variable, lo, hi, bin""",
+    spread="""SELECT b.variable, r.lo, r.hi, sum(b.n) AS n, power(sum(b.n), -0.2)
+        * sqrt((sum(b.n * b.c * b.c) - sum(b.n * b.c) ** 2 / sum(b.n)) / (sum(b.n) - 1)) AS h
+        FROM binned b JOIN rng r ON b.variable = r.variable GROUP BY b.variable, r.lo, r.hi"""))
 def q_kde(spark, sf):
     h = PD.histogram(orders_panel(spark, sf), HIST_COLS, bins=BINS)
-    return PD.kde_from_histogram(h, grid=25)
+    k = PD.kde_from_histogram(h, grid=25)
+    return k.select("variable", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
 
 
 QQ_POINTS = 19
@@ -113,6 +124,29 @@ def q_forest(spark, sf):
     return PD.forest_rows(coefs, PD.plot_limits(coefs))
 
 
+def _fixed_error(spark, sf):
+    """A coefficient-like table: correlations, each with an SE of 0.1."""
+    c = corr_long(orders_panel(spark, sf), TRI)
+    return c.select(F.concat_ws("~", "var1", "var2").alias("term"), F.col("r").alias("coef"), F.lit(0.1).alias("se"),
+                    F.when(F.col("var1") == "m1", 0.03).otherwise(0.2).alias("p"))
+
+
+@register("forest_rows_fixed", with_cte("""
+SELECT term, round(r, 6) + 0.0 AS coef, round(r - 0.196, 6) + 0.0 AS ci_lo, round(r + 0.196, 6) + 0.0 AS ci_hi,
+       round(greatest(r - 0.196, axis_lo), 6) + 0.0 AS draw_lo, round(least(r + 0.196, axis_hi), 6) + 0.0 AS draw_hi,
+       r - 0.196 < axis_lo AS cut_lo, r + 0.196 > axis_hi AS cut_hi, CASE WHEN term LIKE 'm1~%' THEN '*' ELSE '' END AS stars
+FROM c, (SELECT lo - (hi - lo) * -0.2 AS axis_lo, hi + (hi - lo) * -0.2 AS axis_hi FROM (
+  SELECT least(quantile_cont(e, 0.05), 0.0) AS lo, greatest(quantile_cont(e, 0.95), 0.0) AS hi FROM (
+    SELECT r + 1.96 * 0.1 AS e FROM c UNION ALL SELECT r - 1.96 * 0.1 FROM c)))""", **P,
+    c="\nUNION ALL ".join(f"SELECT '{a}~{b}' AS term, corr({a}, {b}) AS r FROM panel" for a, b in itertools.combinations(TRI, 2))))
+def q_forest_fixed(spark, sf):
+    """PLT5 on that table, the axis drawn narrow so that intervals are cut."""
+    coefs = _fixed_error(spark, sf)
+    out = PD.forest_rows(coefs, PD.plot_limits(coefs, pad=-0.2))
+    return out.select("term", *[(F.round(c, 6) + 0.0).alias(c) for c in ["coef", "ci_lo", "ci_hi", "draw_lo", "draw_hi"]],
+                      "cut_lo", "cut_hi", "stars")
+
+
 @register("plot_limits", with_cte("""
 SELECT round(lo - (hi - lo) * 0.1, 6) AS axis_lo, round(hi + (hi - lo) * 0.1, 6) AS axis_hi FROM (
   SELECT least(quantile_cont(e, 0.05), 0.0) AS lo, greatest(quantile_cont(e, 0.95), 0.0) AS hi FROM (
@@ -120,6 +154,5 @@ SELECT round(lo - (hi - lo) * 0.1, 6) AS axis_lo, round(hi + (hi - lo) * 0.1, 6)
     **P, c="\nUNION ALL ".join(f"SELECT corr({a}, {b}) AS r FROM panel" for a, b in itertools.combinations(TRI, 2))))
 def q_plot_limits(spark, sf):
     """AGG23 on a coefficient-like table: correlations with a fixed SE of 0.1."""
-    c = corr_long(orders_panel(spark, sf), TRI).select(F.col("r").alias("coef"), F.lit(0.1).alias("se"))
-    lim = PD.plot_limits(c)
+    lim = PD.plot_limits(_fixed_error(spark, sf))
     return lim.select(F.round("axis_lo", 6).alias("axis_lo"), F.round("axis_hi", 6).alias("axis_hi"))
