@@ -71,9 +71,15 @@ def test_chunked_series_tests_equal_single_window(spark):
 
 
 def test_auto_chunk_width(spark):
-    from wavepanel.operators.segments import auto_chunk_width
+    from wavepanel.operators.segments import CHUNK, auto_chunk_width, with_chunk
     df = _panel(spark)
     assert auto_chunk_width(df, "e", "t") is None                   # no key above the default budget
+    assert auto_chunk_width(df.withColumn("t", df.t.cast("string")), "e", "t", target_rows=300) is None
+    # a wide key and a dense one: the dense one's rows are spread as well
+    two = spark.range(4000).selectExpr("1 AS e", "CAST(id AS double) AS t").unionByName(
+        spark.range(3900).selectExpr("2 AS e", "CAST(id % 390 AS double) / 100 AS t"))
+    width = auto_chunk_width(two, "e", "t", target_rows=100)
+    assert with_chunk(two, "t", width).groupBy("e", CHUNK).count().agg({"count": "max"}).first()[0] <= 200
     w = auto_chunk_width(df, "e", "t", target_rows=300)             # entity 0 has 1500 rows over t in [0, ~3000]
     assert w is not None and 300 < w < 1000
     from wavepanel.operators.impute import knn_impute

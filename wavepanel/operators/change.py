@@ -18,7 +18,7 @@ DOWN = -1   # decline = negative change
 
 
 def visit_changes(df: DataFrame, entity: str, order: list[str], stage: str,
-                  measures: dict[str, tuple[str, int]], chunk_width: float | None = None) -> DataFrame:
+                  measures: dict[str, tuple[str, int]], chunk_width: float | str | None = "auto") -> DataFrame:
     """Long change-event table.
 
     ``measures`` maps measure column -> (category, direction); direction

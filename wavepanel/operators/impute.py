@@ -89,7 +89,7 @@ def _candidates(df, entity, order, variables, k, chunk_width):
 
 def knn_impute(df: DataFrame, entity: str, order: list[str], variables: list[str], k: int = 4,
                suffix: str = "_imputed", filled_suffix: str | None = "_filled",
-               chunk_width: float | None = None) -> DataFrame:
+               chunk_width: float | str | None = "auto") -> DataFrame:
     """Adds ``{v}_imputed`` (and ``{v}_filled``) for each variable (IMP1, PRJ20).
 
     ``order[0]`` is the numeric position used for distances; the remaining
@@ -117,7 +117,7 @@ def knn_impute(df: DataFrame, entity: str, order: list[str], variables: list[str
 
 
 def k_sweep(df: DataFrame, entity: str, order: list[str], variables: list[str],
-            ks: tuple[int, ...] = (2, 3, 4, 5), chunk_width: float | None = None) -> DataFrame:
+            ks: tuple[int, ...] = (2, 3, 4, 5), chunk_width: float | str | None = "auto") -> DataFrame:
     """Imputed values of originally missing cells for several k from one
     candidate pass, summarised per (variable, k): count, mean, std, median
     (IMP2, AGG22)."""

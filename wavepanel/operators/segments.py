@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = "__chunk"
 
@@ -34,17 +35,18 @@ HOT_ROWS = 2_000_000      # rows one task should hold for one key before the key
 
 def auto_chunk_width(df: DataFrame, key: str, order_col: str, target_rows: int = HOT_ROWS) -> float | None:
     """None when no key holds more than ``target_rows`` rows (the plain
-    per-key window is then fine); otherwise a chunk width (in units of
-    ``order_col``) giving the largest key chunks of about ``target_rows``.
-    One partial aggregate per key, then a max over keys: no key is collected."""
+    per-key window is then fine) or the order is no number or time; otherwise
+    a chunk width (in units of ``order_col``) at which every key's chunks hold
+    about ``target_rows`` on average, the densest key's too. One partial
+    aggregate per key, then a minimum over keys: no key is collected."""
+    if not isinstance(df.schema[order_col].dataType, (T.NumericType, T.TimestampType)):
+        return None
     per = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"),
                               (F.max(F.col(order_col).cast("double")) - F.min(F.col(order_col).cast("double")))
                               .alias("span"))
-    top = per.orderBy(F.col("n").desc()).select("n", "span").first()
-    if top is None or top["n"] <= target_rows:
-        return None
-    span = top["span"] or 0.0
-    return max(span * target_rows / top["n"], 1e-9)
+    hot = per.filter(F.col("n") > target_rows)
+    width = hot.agg(F.min(F.coalesce("span", F.lit(0.0)) * target_rows / F.col("n"))).first()[0]
+    return None if width is None else max(width, 1e-9)
 
 
 def resolve_width(df: DataFrame, key: str, order_col: str, width) -> float | None:
@@ -55,7 +57,9 @@ def resolve_width(df: DataFrame, key: str, order_col: str, width) -> float | Non
 
 
 def with_chunk(df: DataFrame, order_col: str, width: float) -> DataFrame:
-    return df.withColumn(CHUNK, F.floor(F.col(order_col).cast("double") / float(width)).cast("long"))
+    # rows without a place come first, as in a window
+    chunk = F.floor(F.col(order_col).cast("double") / float(width)).cast("long")
+    return df.withColumn(CHUNK, F.coalesce(chunk, F.lit(-2 ** 62)))
 
 
 def chunked_row_number(df: DataFrame, key: str, order: list[str], chunk_col: str, width: float,

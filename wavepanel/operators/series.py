@@ -60,7 +60,7 @@ def _lags(col: str, w, k: int, prefix: str):
 
 
 def prepared(df: DataFrame, series: str, order: list[str], value: str, L: int, K: int,
-             chunk_width: float | None = None) -> DataFrame:
+             chunk_width: float | str | None = "auto") -> DataFrame:
     """Step 1: one window per series (WIN4, WIN5). With ``chunk_width``
     (units of the numeric ``order[0]``) the same columns come from windows per
     (series, order-range chunk) repaired across chunk boundaries, so a series
@@ -392,7 +392,7 @@ def kpss_most_lags(n: int) -> int:
 
 
 def series_tests(df: DataFrame, series: str, order: list[str], value: str, max_lag: int | None = None,
-                 max_autocov: int | None = None, chunk_width: float | None = None) -> DataFrame:
+                 max_autocov: int | None = None, chunk_width: float | str | None = "auto") -> DataFrame:
     """ADF (constant, AIC lag choice, MacKinnon p), KPSS (level, automatic
     bandwidth, p interpolated and clamped to [0.01, 0.10]) and Engle's ARCH
     LM / F test on the demeaned series, one row per series (TST7-TST9).
@@ -437,7 +437,7 @@ def series_tests(df: DataFrame, series: str, order: list[str], value: str, max_l
 
 
 def autocorrelation(df: DataFrame, series: str, order: list[str], value: str, nlags: int = 10,
-                    chunk_width: float | None = None) -> DataFrame:
+                    chunk_width: float | str | None = "auto") -> DataFrame:
     """ACF per series and lag, lags 1..nlags (WIN7): sum r_t r_{t-k} / sum r_t^2
     with r the series-demeaned values. Pure Spark: one window, one aggregate."""
     prep = prepared(df, series, order, value, 0, nlags, chunk_width)
