@@ -112,7 +112,7 @@ def longest_overlap(agree: np.ndarray, share: float) -> tuple[int, int]:
 
 
 def _items(benchmark: DataFrame, item_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(items: item_id, item_hash, words; seeds: hash, item_id, item_hash, item_pos)."""
+    """(items: item_id, item_hash, words; seeds: hash, item_id, item_hash, item_len, item_pos)."""
     slim = benchmark.select(benchmark[item_col].alias("item_id"), text_or_empty(benchmark, text).alias("text"))
     id_type = slim.schema["item_id"].dataType.simpleString()
 
@@ -134,8 +134,8 @@ def _items(benchmark: DataFrame, item_col: str, text: str) -> tuple[DataFrame, D
 
     made = slim.mapInArrow(run, f"item_id {id_type}, item_hash long, words binary, seeds array<struct<hash:long,pos:int>>")
     made = write_shared(made.dropDuplicates(["item_id", "item_hash"]), "benchmark")
-    seeds = made.select("item_id", "item_hash", F.explode("seeds").alias("s")).select(
-        F.col("s.hash").alias("hash"), "item_id", "item_hash", F.col("s.pos").alias("item_pos"))
+    seeds = made.select("item_id", "item_hash", (F.length("words") / 8).cast("int").alias("item_len"), F.explode("seeds").alias("s"))
+    seeds = seeds.select(F.col("s.hash").alias("hash"), "item_id", "item_hash", "item_len", F.col("s.pos").alias("item_pos"))
     return made.select("item_id", "item_hash", "words"), seeds
 
 
@@ -207,9 +207,10 @@ def _verified(placed: DataFrame, min_words: int, min_share: float) -> DataFrame:
                 doc = np.frombuffer(cols["words"][row].as_py(), np.uint64)
                 item = np.frombuffer(cols["item_words"][row].as_py(), np.uint64)
                 shift = cols["shift"][row].as_py()
-                lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-                start, end = longest_overlap(doc[lo + shift:hi + shift] == item[lo:hi], min_share)
-                agree = int((doc[lo + shift + start:lo + shift + end] == item[lo + start:lo + end]).sum())
+                lo = max(0, -shift)
+                same = doc == item[lo:lo + len(doc)]
+                start, end = longest_overlap(same, min_share)
+                agree = int(same[start:end].sum())
                 if end - start >= min_words or agree >= min_share * len(item):
                     keep.append(row)
                     out.append((end - start, agree, lo + shift + start, lo + start, len(item)))
@@ -235,13 +236,17 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, ite
         F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS)).alias("salt"))
     seeds = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     placed = salted.join(seeds, ["hash", "salt"]).select(
-        "id", "text_hash", "item_id", "item_hash", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+        "id", "text_hash", "item_id", "item_hash", "item_len", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     docs_once = hit.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "words") \
         .dropDuplicates(["_id", "_hash"])
-    whole = placed.join(docs_once, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    beside = placed.join(docs_once, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    # of a document only the words beside the item go on, so a long document with many hits stays small
+    shift = F.col("shift")
+    part = F.substring("words", F.greatest(shift, F.lit(0)) * 8 + 1, (F.col("item_len") + F.least(shift, F.lit(0))) * 8)
+    beside = beside.select("id", "text_hash", "item_id", "item_hash", "shift", part.alias("words"))
     items = items.select(F.col("item_id").alias("_item"), F.col("item_hash").alias("_item_hash"),
                          F.col("words").alias("item_words"))
-    whole = whole.join(items, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_hash") == F.col("_item_hash"))) \
+    whole = beside.join(items, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_hash") == F.col("_item_hash"))) \
         .select("id", "text_hash", "item_id", "shift", "words", "item_words")
     return _verified(whole, min_words, min_share)
 
