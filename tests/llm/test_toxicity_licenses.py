@@ -101,6 +101,39 @@ def test_awkward_rows_and_labels(spark, fitted):
     assert toxicity.fit(fixtures.empty(spark), spark.createDataFrame(odd, LABELS)).weights == {}
 
 
+def test_length_alone_is_not_toxic(spark, fitted):
+    docs, labels, _, model = fitted
+    clean = [t for (_, t), (_, _, y) in zip(docs, labels) if not y]
+    rng, texts = random.Random(4), []
+    for n in (20_000, 100_000, 500_000):
+        parts, words = [], 0
+        while words < n:
+            parts.append(rng.choice(clean))
+            words += len(parts[-1].split())
+        at = len(parts) // 3
+        texts += [" ".join(parts), " ".join([*parts[:at], "You zorgface.", *parts[at:]])]
+    df = fixtures.documents(spark, list(enumerate(texts)))
+    rows = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    assert [rows[i].predicted for i in range(6)] == [0, 1] * 3
+    assert all("zorgface" in texts[i][rows[i].worst_start:rows[i].worst_end] for i in (1, 3, 5))
+    assert {r.doc_id for r in toxicity.drop_toxic(df, model).collect()} == {0, 2, 4}
+    unweighted = toxicity.Model(toxicity.START_BIAS, {})
+    assert all(r.predicted == 0 for r in toxicity.score(df, unweighted).collect())
+
+
+def test_neighbouring_sentences_add_up():
+    model = toxicity.Model(-7.0, {"bad": 6.0}, 20)
+
+    def score(text):
+        return model.document_score(np.array(model.logits(text)[1]))
+
+    one, near = score("bad"), score("bad. " + "tree. " * 5 + "bad. bad")
+    assert one == pytest.approx(1 / (1 + math.e)) and near > 0.5
+    for filler in (0, 1, 30, 3000):
+        assert score("tree. " * filler + "bad. bad. bad" + ". tree" * filler) == pytest.approx(1 - (1 - one) ** 3, abs=0.01)
+    assert score("tree. " * 10_000) == score("")
+
+
 def test_sentence_spans():
     text = "One two.. Three!\nfour"
     parts = toxicity.sentences(text)

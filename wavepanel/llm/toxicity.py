@@ -1,11 +1,16 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is a logistic function of
-the weights of its distinct words; the document's score is the noisy-or of its
-sentences, 1 - prod(1 - p). Labels are known for documents only: the weights
-are learned through the noisy-or, so that a sentence comes to stand out if it
-helps to tell toxic documents from others, and offending sentences are located
-by their own scores.
+the weights of its distinct words. Labels are known for documents only: the
+weights are learned through the noisy-or of a document's sentences, 1 - prod(1 -
+p), so that a sentence comes to stand out if it helps to tell toxic documents
+from others, and offending sentences are located by their own scores.
+
+A document's score does not grow with its length alone. The bias, which every
+sentence has, counts once a document, a sentence adds only what its words raise
+it above the bias, and the noisy-or is taken over as many neighbouring
+sentences as the middle fitted document has: the score is that of the worst
+such stretch, at every place of the document.
 
 A word's weight is the sum of the weights of its features: the word and its
 beginnings of 4, 5 and 6 letters. Weights are learned by proximal Adam steps
@@ -34,6 +39,8 @@ START_BIAS = -7.0
 #: Fewest training documents that have a feature.
 LEAST_DOCS = 3
 BEGINNINGS = (4, 5, 6)
+#: Sentences of a stretch, of a model that isn't fitted.
+STRETCH = 20
 CACHE_WORDS = 150_000
 LIMIT = 30.0
 #: Sentences end at . ! ? and line ends; other ASCII marks separate words.
@@ -53,14 +60,15 @@ def features(word: bytes) -> list[str]:
 
 @dataclass
 class Model:
-    """Weights of features, and the bias of a sentence."""
+    """Weights of features, the bias of a sentence, and the sentences of a stretch."""
 
     bias: float
     weights: dict[str, float]
+    stretch: int = STRETCH
     _words: dict[bytes, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {"bias": self.bias, "weights": self.weights, "_words": {}}
+        return {"bias": self.bias, "weights": self.weights, "stretch": self.stretch, "_words": {}}
 
     def weight(self, word: bytes) -> float:
         known = self._words.get(word)
@@ -81,6 +89,15 @@ class Model:
                 out.append(self.bias + sum(map(weight, set(words))))
         return (numbers, out) if out else ([0], [self.bias])
 
+    def document_score(self, logits: np.ndarray) -> float:
+        """The noisy-or of the bias and of what the sentences of the worst stretch
+        have above it; of one sentence, its own score or that of the bias."""
+        least = np.logaddexp(0.0, np.clip(self.bias, -LIMIT, LIMIT))
+        above = np.maximum(0.0, np.logaddexp(0.0, np.clip(logits, -LIMIT, LIMIT)) - least)
+        upto = np.append(0.0, np.cumsum(above))
+        n = min(self.stretch, len(above))
+        return float(-np.expm1(-least - (upto[n:] - upto[:len(upto) - n]).max()))
+
 
 def noisy_or(logits: np.ndarray) -> float:
     return float(-np.expm1(-np.logaddexp(0.0, np.clip(logits, -LIMIT, LIMIT)).sum()))
@@ -201,7 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         moved = weights - move[:-1]
         weights = np.sign(moved) * np.maximum(0.0, np.abs(moved) - rate[:-1] * L1)
         bias -= move[-1]
-    return Model(float(bias), {names[i]: float(weights[i]) for i in np.flatnonzero(weights)})
+    middle = bags.agg(F.median(F.length("sizes") / 4)).first()[0]                     # the sample's rows
+    return Model(float(bias), {names[i]: float(weights[i]) for i in np.flatnonzero(weights)}, max(1, round(middle)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,7 +238,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
             for t in batch.column(2).to_pylist():
                 numbers, logits = model.logits(t)
                 z = np.array(logits)
-                scores.append(round(noisy_or(z), 9))
+                scores.append(round(model.document_score(z), 9))
                 offending.append(int((z >= 0).sum()))
                 spans.append(sentence_span(t, numbers[int(z.argmax())]) if scores[-1] >= 0.5 else (None, None))
             yield pa.RecordBatch.from_arrays(
@@ -275,6 +293,6 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.arrow_udf("double")
     def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([noisy_or(np.array(model.logits(t)[1])) for t in texts.to_pylist()], pa.float64())
+            yield pa.array([model.document_score(np.array(model.logits(t)[1])) for t in texts.to_pylist()], pa.float64())
 
     return docs.filter(F.round(toxic(text_or_empty(docs, text)), 9) < 0.5)
