@@ -52,6 +52,35 @@ def test_longest_overlap(agree):
         assert (start, end) in trimmed
 
 
+@pytest.mark.parametrize("length", (13, 14))
+def test_masks_find_the_shortest_overlaps(length):
+    assert fewest_substitutions(decontaminate.MASKS, length) > length // 5
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from((True, True, True, False)), max_size=50))
+def test_longest_overlap_with_agreeing_ends(agree):
+    start, end = decontaminate.longest_overlap(np.array(agree, bool), 0.8, agreeing_ends=True)
+    spans = [b - a for a in range(len(agree)) for b in range(a + 1, len(agree) + 1)
+             if agree[a] and agree[b - 1] and sum(agree[a:b]) >= 0.8 * (b - a) - 1e-9]
+    assert end - start == max(spans, default=0)
+    assert not spans or agree[start] and agree[end - 1] and sum(agree[start:end]) >= 0.8 * (end - start) - 1e-9
+
+
+def test_overlap_beside_a_padded_stretch(spark):
+    agree = [n % 2 == 0 for n, k in enumerate((12, 8, 6, 1, 3, 1, 2, 7)) for _ in range(k)]
+    item = [f"w{i}" for i in range(40)]
+    doc = [w if a else f"x{i}" for i, (w, a) in enumerate(zip(item, agree))]
+    short = [f"s{i}" for i in range(13)]
+    part = [w if i not in (5, 10) else "other" for i, w in enumerate(short)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join([*short, *(f"t{i}" for i in range(20))]))],
+                                  "item_id long, text string")
+    docs = fixtures.documents(spark, [(1, " ".join(doc)), (2, " ".join(["a", *part, "b"])), (3, " ".join(doc[:32]))])
+    got = sorted(tuple(r) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == [(1, 1, 13, 11, 20, 20, 40, round(11 / 13, 6)), (2, 2, 13, 11, 1, 0, 33, round(11 / 13, 6))]
+    assert [r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()] == [3]
+
+
 def passage(rng, n):
     return [rng.choice(["the", "of", "alpha", "beta", "gamma", "delta"]) + str(rng.randrange(60)) for _ in range(n)]
 

@@ -2,13 +2,13 @@
 
 A mask is a fixed window of word positions, some of which it ignores. The words
 at the other positions are hashed, at every position of every benchmark item
-and every document. With these masks any passage of 15 words or more in which
+and every document. With these masks any passage of 13 words or more in which
 a fifth of the words is replaced still has a hit (tests work it out).
 
 Document hashes are first tried on a bitmap of the benchmark's hashes, whose
 size is bounded; only hits are joined, on the hash. A hit puts an item beside
-the document's words; the longest run of words around it that agrees in at
-least 80 % of its positions is the overlap. An item leaks into a document if
+the document's words; the longest run of words that agrees at both ends and in
+at least 80 % of its positions is the overlap. An item leaks into a document if
 the overlap has 13 words, or the whole item if it is shorter.
 """
 
@@ -88,19 +88,23 @@ def _bit_numbers(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(hashes >> np.uint64(s)) & low for s in (0, (64 - bits) // 2, 64 - bits)]
 
 
-def longest_overlap(agree: np.ndarray, share: float) -> tuple[int, int]:
+def longest_overlap(agree: np.ndarray, share: float, agreeing_ends: bool = False) -> tuple[int, int]:
     """The longest [start, end) in which at least ``share`` agree, less what
-    disagrees at its ends; (0, 0) if nothing agrees."""
+    disagrees at its ends; (0, 0) if nothing agrees. With ``agreeing_ends`` only
+    stretches that agree at both ends are tried, so none is longer than the one
+    found; without, one padded by disagreements can win and then be cut."""
+    padded = agree | (not agreeing_ends)
+    may_start, may_end = [*padded.tolist(), not agreeing_ends], [not agreeing_ends, *padded.tolist()]
     gain = np.where(agree, 1000 - round(1000 * share), -round(1000 * share))
     height = [0, *np.cumsum(gain).tolist()]
     # starts worth trying have a lower height than all before them; ends are tried from the last on
-    starts = [0]
+    starts: list[int] = []
     for i, h in enumerate(height):
-        if h < height[starts[-1]]:
+        if may_start[i] and (not starts or h < height[starts[-1]]):
             starts.append(i)
     start = end = 0
     for j in range(len(height) - 1, -1, -1):
-        while starts and height[starts[-1]] <= height[j]:
+        while may_end[j] and starts and height[starts[-1]] <= height[j]:
             if j - starts[-1] > end - start:
                 start, end = starts[-1], j
             starts.pop()
@@ -209,7 +213,7 @@ def _verified(placed: DataFrame, min_words: int, min_share: float) -> DataFrame:
                 shift = cols["shift"][row].as_py()
                 lo = max(0, -shift)
                 same = doc == item[lo:lo + len(doc)]
-                start, end = longest_overlap(same, min_share)
+                start, end = longest_overlap(same, min_share, agreeing_ends=True)
                 agree = int(same[start:end].sum())
                 if end - start >= min_words or agree >= min_share * len(item):
                     keep.append(row)
