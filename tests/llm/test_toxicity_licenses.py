@@ -205,6 +205,27 @@ def test_repeated_notices_awkward_rows(spark):
     assert licenses.scan_licenses(fixtures.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("notice, name", [
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Licensed under the Eclipse Public License, Version 2.0", "EPL-2.0"),
+    ("Licensed under the Apache License, Version 1.0.", None),
+    ("Licensed under the Example Public License, Version 2.0", None),
+    ("Released under the ISC License.", None),
+    ("Licensed under CC BY 4.0", "CC-BY-4.0"),
+    ("Licensed under CC BY 2.5", "CC-BY-2.5"),
+    ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"),
+    ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    *((text, name) for name, text in licenses.TEMPLATES + licenses.NEIGHBOURS),
+])
+def test_neighbouring_licenses_are_told_apart(notice, name):
+    found = licenses.Scanner(licenses.TEMPLATES + licenses.NEIGHBOURS, licenses.MIN_COVERAGE).scan(f"The first part. {notice}\nMore of the text.")
+    assert [x[0] for x in found] == ([name] if name else [])
+
+
 def test_query_finds_every_notice_of_the_table(spark):
     found = {r.doc_id for r in queries.op10_license_scan(spark, SF_MID).collect()}
     docs = spark.read.parquet(f"{SF_MID}/documents.parquet")

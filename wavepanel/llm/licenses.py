@@ -4,7 +4,8 @@ A template is aligned with a stretch of a text's words: words that occur once
 in both are anchors; the longest increasing subsequence of their places keeps
 the order; the gaps between kept anchors are aligned in the same way, and equal
 words at a gap's ends are matched. Coverage is the share of the template's
-words that are matched.
+words that are matched. The words that name a licence, its version and its
+kind have to be among them, so another licence's notice isn't one of it.
 
 A text is looked at if it has enough of a template's words at all, counted as
 often as the template has them; then every stretch of twice the template's
@@ -47,6 +48,39 @@ TEMPLATES = (
             "granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+CC_KINDS = {"BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-SA": "Attribution-ShareAlike",
+            "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+            "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+#: Notices whose words are almost those of one of the above.
+NEIGHBOURS = (
+    ("EPL-2.0", "Licensed under the Eclipse Public License, Version 2.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+                "option) any later version."),
+    *((name, f"This work is licensed under the GNU {kind} General Public License, version {version}.")
+      for name, kind, version in (("LGPL-2.1", "Lesser", "2.1"), ("LGPL-3.0", "Lesser", "3"), ("AGPL-3.0", "Affero", "3"))),
+    *((name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} "
+             f"General Public License as published by the Free Software Foundation, either version {version} of the License, "
+             "or (at your option) any later version.")
+      for name, kind, version in (("LGPL-2.1", "Lesser", "2.1"), ("LGPL-3.0", "Lesser", "3"), ("AGPL-3.0", "Affero", "3"))),
+    *((f"CC-{kind}-{version}", f"Licensed under CC {kind} {version}.") for kind in CC_KINDS for version in CC_VERSIONS),
+    *((f"CC-{kind}-{version}", f"This work is licensed under a Creative Commons {words} {version} {scope} License.")
+      for kind, words in CC_KINDS.items() for version, scope in CC_VERSIONS.items()),
+    *((f"MPL-{version}", f"This Source Code Form is subject to the terms of the Mozilla Public License, v. {version}.")
+      for version in ("1.0", "1.1")),
+)
+#: Words of a licence's templates that have to be matched, beside the coverage. Versions are left to the neighbours
+#: where all published ones are listed, so that a notice with its version changed is still found.
+NAMING = {
+    "Apache-2.0": ("apache", "2"), "MIT": ("mit",), "EPL-2.0": ("eclipse", "2"),
+    "MPL-1.0": ("mozilla",), "MPL-1.1": ("mozilla",), "MPL-2.0": ("mozilla",),
+    "GPL-2.0": ("gnu", "2"), "GPL-3.0": ("gnu", "3"), "LGPL-2.1": ("gnu", "lesser", "2", "1"),
+    "LGPL-3.0": ("gnu", "lesser", "3"), "AGPL-3.0": ("gnu", "affero", "3"),
+    **{f"CC-{kind}-{version}": ("cc", "by", "nc", "sa", "nd", "creative", "commons", "noncommercial", "sharealike",
+                                "noderivatives") for kind in CC_KINDS for version in CC_VERSIONS},
+}
 WORD = re.compile(r"[0-9A-Za-z_]+")
 #: ASCII other than letters, digits and the underscore separates words; so does what is not ASCII.
 SEPARATORS = bytes(c if chr(c).isalnum() and c < 0x80 or c == 0x5F else 0x20 for c in range(256))
@@ -105,11 +139,13 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     """Templates made ready, and the search in one text."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], min_coverage: float):
+    def __init__(self, templates: tuple[tuple[str, str], ...], min_coverage: float,
+                 naming: dict[str, tuple[str, ...]] = NAMING):
         self.min_coverage = min_coverage
         self.templates = [(name, words) for name, text in templates if (words := words_of(text))]
         self.counts = [Counter(words) for _, words in self.templates]
         self.needed = [min_coverage * len(words) for _, words in self.templates]
+        self.named = [{i for i, w in enumerate(words) if w in naming.get(name, ())} for name, words in self.templates]
         self.known = {w.encode() for c in self.counts for w in c}
 
     def candidates(self, raw: list[bytes]) -> list[int]:
@@ -123,7 +159,7 @@ class Scanner:
     def occurrences(self, words: list[str], k: int) -> list[tuple[int, int, int]]:
         """(first word, last word, matched words) of the template's occurrences,
         which do not overlap."""
-        counts, needed, template = self.counts[k], self.needed[k], self.templates[k][1]
+        counts, needed, named, template = self.counts[k], self.needed[k], self.named[k], self.templates[k][1]
         places = [i for i, w in enumerate(words) if w in counts]
         length, out, inside, have, j, at = STRETCH * len(template), [], Counter(), 0, 0, 0
         for first in places:
@@ -134,7 +170,7 @@ class Scanner:
                 j += 1
             if first >= at and have >= needed:
                 pairs = align(words[first:first + length], template)
-                if len(pairs) >= needed:
+                if len(pairs) >= needed and named.issubset(i for _, i in pairs):
                     out.append((first + pairs[0][0], first + pairs[-1][0], len(pairs)))
                     at = out[-1][1] + 1
             w = words[first]
@@ -162,10 +198,12 @@ class Scanner:
         return sorted(out, key=lambda x: x[1])
 
 
-def scan_licenses(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, min_coverage: float = MIN_COVERAGE,
-                  id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES + NEIGHBOURS,
+                  min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text: str = "text",
+                  naming: dict[str, tuple[str, ...]] = NAMING) -> DataFrame:
     """One row per occurrence of a license notice: id, ``license``, ``start``,
-    ``end`` (code points), ``n_words`` matched, ``coverage`` of the template.
+    ``end`` (code points), ``n_words`` matched, ``coverage`` of the template. Of a
+    license's templates the words that ``naming`` has for it are always matched.
     Null and empty texts have none; repeated rows are each scanned; ids may be
     null."""
     bound_arrow_batches(df.sparkSession)
@@ -173,7 +211,7 @@ def scan_licenses(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLA
     id_type = slim.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, min_coverage)
+        scanner = Scanner(templates, min_coverage, naming)
         for batch in batches:
             row, out = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
