@@ -86,3 +86,21 @@ def test_auto_chunk_width(spark):
     plain = knn_impute(df, "e", ["t", "k"], ["x"], k=3)
     auto = knn_impute(df, "e", ["t", "k"], ["x"], k=3, chunk_width=w)
     assert rows(auto, "e", "t", "k", "x_imputed") == rows(plain, "e", "t", "k", "x_imputed")
+
+
+def test_times_without_zone_and_dates_are_split(spark):
+    from pyspark.sql import functions as F
+
+    from wavepanel.operators.segments import CHUNK, auto_chunk_width, with_chunk
+    from wavepanel.operators.series import autocorrelation
+    df = spark.range(600).select(
+        (F.col("id") % 4 == 0).cast("int").alias("e"), F.col("id").alias("k"), ((F.col("id") * 37) % 11).cast("double").alias("x"),
+        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 1_234_567_890).alias("ts"))
+    for kind in ("timestamp_ntz", "date"):
+        d = df.withColumn("t", F.col("ts").cast(kind))
+        width = auto_chunk_width(d, "e", "t", target_rows=100)
+        assert width and with_chunk(d, "t", width).filter("e = 0").select(CHUNK).distinct().count() >= 4
+        got, plain = (autocorrelation(d, "e", ["t", "k"], "x", 3, chunk_width=w) for w in (width, None))
+        assert rows(got.select("e", "lag", F.round("acf", 9))) == rows(plain.select("e", "lag", F.round("acf", 9)))
+    zoned = auto_chunk_width(df, "e", "ts", target_rows=100)
+    assert abs(auto_chunk_width(df.withColumn("t", F.col("ts").cast("timestamp_ntz")), "e", "t", target_rows=100) - zoned) < 1e-3

@@ -33,17 +33,29 @@ CHUNK = "__chunk"
 HOT_ROWS = 2_000_000      # rows one task should hold for one key before the key is chunked
 
 
+def place(df: DataFrame, col: str) -> Column:
+    """A number, double, in the order of ``col``: times in seconds, dates in days.
+    A time without zone is counted by its own calendar, so no session time zone
+    can reorder it."""
+    kind, c = df.schema[col].dataType, F.col(col)
+    if isinstance(kind, T.TimestampNTZType):
+        return (F.unix_date(c.cast("date")) * F.lit(86400.0) + F.hour(c) * 3600 + F.minute(c) * 60
+                + F.date_part(F.lit("SECOND"), c).cast("double"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    return c.cast("double")
+
+
 def auto_chunk_width(df: DataFrame, key: str, order_col: str, target_rows: int = HOT_ROWS) -> float | None:
     """None when no key holds more than ``target_rows`` rows (the plain
-    per-key window is then fine) or the order is no number or time; otherwise
-    a chunk width (in units of ``order_col``) at which every key's chunks hold
+    per-key window is then fine) or the order is no number, time or date;
+    otherwise a chunk width (in units of ``place``) at which every key's chunks hold
     about ``target_rows`` on average, the densest key's too. One partial
     aggregate per key, then a minimum over keys: no key is collected."""
-    if not isinstance(df.schema[order_col].dataType, (T.NumericType, T.TimestampType)):
+    if not isinstance(df.schema[order_col].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
         return None
-    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"),
-                              (F.max(F.col(order_col).cast("double")) - F.min(F.col(order_col).cast("double")))
-                              .alias("span"))
+    at = place(df, order_col)
+    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), (F.max(at) - F.min(at)).alias("span"))
     hot = per.filter(F.col("n") > target_rows)
     width = hot.agg(F.min(F.coalesce("span", F.lit(0.0)) * target_rows / F.col("n"))).first()[0]
     return None if width is None else max(width, 1e-9)
@@ -58,7 +70,7 @@ def resolve_width(df: DataFrame, key: str, order_col: str, width) -> float | Non
 
 def with_chunk(df: DataFrame, order_col: str, width: float) -> DataFrame:
     # rows without a place come first, as in a window
-    chunk = F.floor(F.col(order_col).cast("double") / float(width)).cast("long")
+    chunk = F.floor(place(df, order_col) / float(width)).cast("long")
     return df.withColumn(CHUNK, F.coalesce(chunk, F.lit(-2 ** 62)))
 
 
@@ -105,8 +117,8 @@ def chunked_lag(df: DataFrame, key: str, order: list[str], cols: list[str], widt
         for c in cols])
 
 
-def _item(c: str, order: list[str]) -> Column:
-    fields = [F.col(order[0]).cast("double").alias("p")]
+def _item(df: DataFrame, c: str, order: list[str]) -> Column:
+    fields = [place(df, order[0]).alias("p")]
     fields += [F.col(o).alias(f"o{i}") for i, o in enumerate(order)]
     fields.append(F.col(c).cast("double").alias("x"))
     return F.when(F.col(c).isNotNull(), F.struct(*fields))
@@ -119,7 +131,7 @@ def chunked_neighbours(df: DataFrame, key: str, order: list[str], cols: list[str
     struct (p, o0.., x) -- the same contract as the single-window form -- plus
     ``__nrows`` and ``__nobs_{c}`` per key."""
     d = with_chunk(df, order[0], width)
-    d = d.select("*", *[_item(c, order).alias(f"__it_{c}") for c in cols])
+    d = d.select("*", *[_item(d, c, order).alias(f"__it_{c}") for c in cols])
     w = Window.partitionBy(key, CHUNK).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(key, CHUNK)

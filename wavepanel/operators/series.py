@@ -89,7 +89,7 @@ def prepared(df: DataFrame, series: str, order: list[str], value: str, L: int, K
 
 
 def _prepared_chunked(df, series, order, value, L, K, width):
-    from wavepanel.operators.segments import CHUNK, chunked_neighbours, chunked_row_number, with_chunk
+    from wavepanel.operators.segments import CHUNK, chunked_neighbours, chunked_row_number, place, with_chunk
     kx = max(L + 1, K, ARCH_MAX_LAGS)
     base = df.select(series, *order, F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
     numbered = chunked_row_number(base, series, order, order[0], width, name="__rn")
@@ -106,7 +106,7 @@ def _prepared_chunked(df, series, order, value, L, K, width):
     wc = Window.partitionBy(series, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j = nb.join(sums, [series, CHUNK])
     j = j.withColumn("__cum", F.sum(F.col("x") - F.col("mu")).over(wc) + F.col("__off"))
-    cur = F.struct(F.col(order[0]).cast("double").alias("p"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    cur = F.struct(place(base, order[0]).alias("p"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
     prev = F.reverse(F.array_sort(F.filter(F.col("__cand_x"), lambda c: c.dropFields("x") < cur)))
     j = j.withColumn("__prev", prev)
     xl = [F.try_element_at(F.col("__prev"), F.lit(i))["x"] for i in range(1, kx + 1)]
