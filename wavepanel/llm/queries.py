@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavepanel.llm import bpe, decontaminate, licenses, pii, sharding, simhash, token_counts, token_files, topk, toxicity
+from wavepanel.llm import (bpe, conversations, decontaminate, licenses, pii, sharding, simhash, token_counts, token_files,
+                           topk, toxicity)
 from wavepanel.llm.common import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -73,9 +74,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(read_table(spark, sf_dir, "conversations"))
+    return conversations.repair(damaged, times="times").digests()
+
+
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (op1_bitsliced_topk, op2_trie_bpe, op3_pii, op4_token_counts, op5_simhash, op6_jump_shards,
-                                      op7_token_files, op8_benchmark_leaks, op9_toxicity, op10_license_scan)}
+                                      op7_token_files, op8_benchmark_leaks, op9_toxicity, op10_license_scan, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
