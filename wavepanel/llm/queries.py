@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavepanel.llm import (bpe, conversations, decontaminate, licenses, pii, sharding, simhash, token_counts, token_files,
+from wavepanel.llm import (bpe, conversations, decontaminate, html_text, licenses, pii, sharding, simhash, token_counts, token_files,
                            topk, toxicity, whitening)
 from wavepanel.llm.common import read_table
 
@@ -74,6 +74,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"), scale=256, count=4)
 
@@ -85,7 +89,8 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (op1_bitsliced_topk, op2_trie_bpe, op3_pii, op4_token_counts, op5_simhash, op6_jump_shards,
-                                      op7_token_files, op8_benchmark_leaks, op9_toxicity, op10_license_scan, op12_embedding_whitening, op13_conversation_repair)}
+                                      op7_token_files, op8_benchmark_leaks, op9_toxicity, op10_license_scan, op11_html_text,
+                                      op12_embedding_whitening, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
