@@ -1,6 +1,8 @@
 """Plain re-statements of what the operators compute, for small inputs."""
 
 import hashlib
+import math
+import re
 import struct
 import zlib
 
@@ -146,3 +148,18 @@ def leaks(docs, items, min_words=13, share=0.8, least=5):
             if best[0]:
                 out[d, i] = best
     return out
+
+
+def noisy_or(logits, bias):
+    """1 - (1 - s(bias)) prod(1 - p), p = max(0, s(z) - s(bias)) / (1 - s(bias))."""
+    s = lambda z: 1 / (1 + math.exp(-z))
+    return 1 - (1 - s(bias)) * math.prod(1 - max(0.0, s(z) - s(bias)) / (1 - s(bias)) for z in logits)
+
+
+def toxicity_score(text, bias, weights):
+    logits = []
+    for sentence in re.split("[.!?\n]", text.lower()):
+        words = {w for w in re.split(r"[\x00-\x2f\x3a-\x5e\x60\x7b-\x7f]+", sentence) if w}
+        logits.append(bias + sum(weights.get(f, 0.0) for w in words
+                                 for f in [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)]))
+    return noisy_or(logits, bias)

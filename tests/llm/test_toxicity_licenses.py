@@ -74,17 +74,51 @@ def test_gradient_is_that_of_the_loss():
     sentence = np.sort(rng.integers(0, 15, 60))
     feats, y, w = rng.integers(0, 9, 60), np.array([0, 1, 0, 1, 1, 0]), rng.normal(0, 0.5, 9)
 
-    def loss(bias, w):
-        z = bias + np.bincount(sentence, weights=w[feats], minlength=15)
-        p = [1 - math.prod(1 - 1 / (1 + math.exp(-z[s])) for s in np.flatnonzero(doc == d)) for d in range(6)]
+    def loss(w):
+        z = -1.0 + np.bincount(sentence, weights=w[feats], minlength=15)
+        p = [brute.noisy_or([z[s] for s in np.flatnonzero(doc == d)], -1.0) for d in range(6)]
         return -sum(math.log(p[d]) if y[d] else math.log(1 - p[d]) for d in range(6))
 
-    g, b = toxicity.gradient(y, feats, sentence, doc, -1.0, w)
+    g = toxicity.gradient(y, feats, sentence, doc, -1.0, w)
     e = 1e-6
-    assert abs((loss(-1 + e, w) - loss(-1 - e, w)) / 2 / e - b) < 1e-4
     for k in range(9):
         step = np.eye(9)[k] * e
-        assert abs((loss(-1.0, w + step) - loss(-1.0, w - step)) / 2 / e - g[k]) < 1e-4
+        assert abs((loss(w + step) - loss(w - step)) / 2 / e - g[k]) < 1e-4
+
+
+def test_scores_equal_the_plain_noisy_or(spark, fitted):
+    """Every document, also with evidence further apart than any other document is long."""
+    docs, labels, _, model = fitted
+    clean = ". ".join(t for (_, t), (_, _, y) in zip(docs, labels) if not y)
+    weak = toxicity.Model(model.bias, {"meh": 6.6, "tree1": -2.0, "bad*": 9.0})
+    texts = [t for _, t in docs] + ["meh", "meh. meh", f"meh. {clean} meh. ", f"meh. {clean} {clean} {clean} tree1 meh. x meh", "badly! good? tree1"]
+    texts += [t or "" for _, t in fixtures.TEXTS]
+    df = fixtures.documents(spark, list(enumerate(texts)))
+    for m in (model, weak):
+        for r in toxicity.score(df, m).collect():
+            want = brute.toxicity_score(texts[r.doc_id], m.bias, m.weights)
+            assert abs(r.score - want) < 1e-6 and r.predicted == (want >= 0.5)
+
+
+def test_distance_between_sentences_does_not_matter(fitted):
+    model = toxicity.Model(-7.0, {"meh": 6.6})
+    scores = [model.document_score(np.array(model.logits("A meh. " + "Some fine words. " * n + "Meh.")[1])) for n in (0, 30, 3000)]
+    assert scores[0] > 0.5 and max(scores) - min(scores) < 1e-12
+
+
+def test_features_that_chance_explains_have_no_weight():
+    n, k = np.array([3, 3, 40, 40, 9, 30]), np.array([3, 1, 40, 5, 9, 12])
+    assert toxicity.telling(n, k, 0.12).tolist() == [True, False, True, False, True, True]
+    many = np.full(100_000, 3)
+    assert not toxicity.telling(many, many, 0.12).any()
+
+
+def test_copies_do_not_count_as_evidence(spark):
+    docs = [(i, "The rare zyxw stood here. More of it. ") for i in range(40)]
+    docs += [(100 + i, f"words number{i} are plain grubhead{'s' * (i % 2)}.") for i in range(40)] + [(200 + i, f"plain number{i}.") for i in range(200)]
+    labels = [(i, 1, int(i < 140)) for i, _ in docs]
+    model = toxicity.fit(fixtures.documents(spark, docs), spark.createDataFrame(labels, LABELS))
+    assert "grubh*" in model.weights and not {"zyxw", "rare", "stood"} & set(model.weights)
 
 
 def test_awkward_rows_and_labels(spark, fitted):
@@ -117,12 +151,12 @@ def test_length_alone_is_not_toxic(spark, fitted):
     assert [rows[i].predicted for i in range(6)] == [0, 1] * 3
     assert all("zorgface" in texts[i][rows[i].worst_start:rows[i].worst_end] for i in (1, 3, 5))
     assert {r.doc_id for r in toxicity.drop_toxic(df, model).collect()} == {0, 2, 4}
-    unweighted = toxicity.Model(toxicity.START_BIAS, {})
+    unweighted = toxicity.Model(toxicity.BIAS, {})
     assert all(r.predicted == 0 for r in toxicity.score(df, unweighted).collect())
 
 
 def test_neighbouring_sentences_add_up():
-    model = toxicity.Model(-7.0, {"bad": 6.0}, 20)
+    model = toxicity.Model(-7.0, {"bad": 6.0})
 
     def score(text):
         return model.document_score(np.array(model.logits(text)[1]))

@@ -1,21 +1,21 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of
-the weights of its distinct words. Labels are known for documents only: the
-weights are learned through the noisy-or of a document's sentences, 1 - prod(1 -
-p), so that a sentence comes to stand out if it helps to tell toxic documents
-from others, and offending sentences are located by their own scores.
-
-A document's score does not grow with its length alone. The bias, which every
-sentence has, counts once a document, a sentence adds only what its words raise
-it above the bias, and the noisy-or is taken over as many neighbouring
-sentences as the middle fitted document has: the score is that of the worst
-such stretch, at every place of the document.
+A document is a bag of sentences. With z the bias and the weights of a sentence's
+distinct words, its score is p = max(0, s(z) - s(bias)) / (1 - s(bias)), s the
+logistic function: a sentence without evidence has none. Labels are known for
+documents only. A document's score is the noisy-or 1 - (1 - s(bias)) prod(1 - p)
+over all its sentences, wherever they stand, the bias being the chance that a
+document without evidence is toxic; it counts once, so length alone adds nothing.
+The weights are learned through this same score, so that a sentence comes to
+stand out if it helps to tell toxic documents from others, and offending
+sentences are located by their own scores.
 
 A word's weight is the sum of the weights of its features: the word and its
-beginnings of 4, 5 and 6 letters. Weights are learned by proximal Adam steps
-with an L1 penalty. The training documents, a bounded sample, are a table of
-features in the shared folder; each step is a Spark job that sums gradients.
+beginnings of 4, 5 and 6 letters. Features whose share of toxic documents could be
+chance have none, else they would add up in long clean texts. Weights are
+not negative, and learned by proximal Adam steps with an L1 penalty. The training
+documents, a bounded sample, are a table of features in the shared folder; each
+step is a Spark job that sums gradients.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +36,11 @@ from wavepanel.llm.common import bound_arrow_batches, text_or_empty, write_share
 TRAIN_ROWS = 20_000
 TRAIN_PARTS = 6
 STEPS, RATE, L1 = 60, 0.3, 2e-4
-START_BIAS = -7.0
+#: Logit of a sentence without evidence.
+BIAS = -7.0
 #: Fewest training documents that have a feature.
 LEAST_DOCS = 3
 BEGINNINGS = (4, 5, 6)
-#: Sentences of a stretch, of a model that isn't fitted.
-STRETCH = 20
 CACHE_WORDS = 150_000
 LIMIT = 30.0
 #: Sentences end at . ! ? and line ends; other ASCII marks separate words.
@@ -60,15 +60,14 @@ def features(word: bytes) -> list[str]:
 
 @dataclass
 class Model:
-    """Weights of features, the bias of a sentence, and the sentences of a stretch."""
+    """Weights of features, and the bias of a sentence."""
 
     bias: float
     weights: dict[str, float]
-    stretch: int = STRETCH
     _words: dict[bytes, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {"bias": self.bias, "weights": self.weights, "stretch": self.stretch, "_words": {}}
+        return {"bias": self.bias, "weights": self.weights, "_words": {}}
 
     def weight(self, word: bytes) -> float:
         known = self._words.get(word)
@@ -90,17 +89,20 @@ class Model:
         return (numbers, out) if out else ([0], [self.bias])
 
     def document_score(self, logits: np.ndarray) -> float:
-        """The noisy-or of the bias and of what the sentences of the worst stretch
-        have above it; of one sentence, its own score or that of the bias."""
-        least = np.logaddexp(0.0, np.clip(self.bias, -LIMIT, LIMIT))
-        above = np.maximum(0.0, np.logaddexp(0.0, np.clip(logits, -LIMIT, LIMIT)) - least)
-        upto = np.append(0.0, np.cumsum(above))
-        n = min(self.stretch, len(above))
-        return float(-np.expm1(-least - (upto[n:] - upto[:len(upto) - n]).max()))
+        """The noisy-or of the bias and of all sentences."""
+        return float(-np.expm1(-softplus(self.bias) - evidence(logits, self.bias).sum()))
 
+    def sentence_score(self, logit: float) -> float:
+        return float(-np.expm1(-evidence(np.array([logit]), self.bias)[0]))
 
-def noisy_or(logits: np.ndarray) -> float:
-    return float(-np.expm1(-np.logaddexp(0.0, np.clip(logits, -LIMIT, LIMIT)).sum()))
+
+def softplus(z):
+    return np.logaddexp(0.0, np.clip(z, -LIMIT, LIMIT))
+
+
+def evidence(logits: np.ndarray, bias: float) -> np.ndarray:
+    """-log(1 - p) of each sentence: what its words raise it above the bias."""
+    return np.maximum(0.0, softplus(logits) - softplus(bias))
 
 
 def held_out(id_col: Column) -> Column:
@@ -124,12 +126,41 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, la
         .select("text", "y", F.xxhash64("_id").alias("_order"))
 
 
-def _document_features(rows: DataFrame) -> DataFrame:
+def _sentence_key(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)
+
+
+def _feature_counts(rows: DataFrame) -> DataFrame:
+    """(feature, n, k): documents and toxic documents that have it. A sentence that
+    several documents share counts for the first of them, so copies of a document add nothing."""
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list({_sentence_key(s) for s in sentences(t) if s}) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["_order", "keys"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list({f for s in sentences(t) for w in s for f in features(w)}) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["f"])
-    return rows.select("text").mapInArrow(run, "f array<string>").select(F.explode("f").alias("feature"))
+            found = []
+            for text, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                own = set(own)
+                found.append(list({f for s in sentences(text) if s and _sentence_key(s) in own for w in s for f in features(w)}))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["y", "f"])
+
+    each = rows.select("text", "_order").mapInArrow(keys, "_order long, keys array<long>").select("_order", F.explode("keys").alias("key"))
+    own = each.groupBy("key").agg(F.min("_order").alias("_order")).groupBy("_order").agg(F.collect_list("key").alias("own"))
+    return rows.join(own, "_order").select("text", "y", "own").mapInArrow(run, "y int, f array<string>") \
+        .select("y", F.explode("f").alias("feature")).groupBy("feature") \
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("k"))
+
+
+def telling(n: np.ndarray, k: np.ndarray, rate: float) -> np.ndarray:
+    """Features that are in toxic documents more often than about one of so many
+    features would be by chance (n KL(k/n, rate) at least the logarithm of their
+    number)."""
+    share = k / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(k > 0, k * np.log(share / rate), 0.0) + np.where(k < n, (n - k) * np.log((1 - share) / (1 - rate)), 0.0)
+    return (share > rate) & (gain >= np.log(max(2, len(n))))
 
 
 def _bags(rows: DataFrame, numbers: dict[str, int]) -> DataFrame:
@@ -157,22 +188,22 @@ def _bags(rows: DataFrame, numbers: dict[str, int]) -> DataFrame:
 
 
 def gradient(y: np.ndarray, feats: np.ndarray, sentence: np.ndarray, doc: np.ndarray, bias: float,
-             weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """Gradients (weights, bias) of the summed log loss of the noisy-or."""
+             weights: np.ndarray) -> np.ndarray:
+    """Gradient of the summed log loss of the documents' scores by the weights."""
     z = np.clip(bias + np.bincount(sentence, weights=weights[feats], minlength=len(doc)), -LIMIT, LIMIT)
-    soft = np.logaddexp(0.0, z)
-    clean = np.exp(-np.bincount(doc, weights=soft, minlength=len(y)))         # chance that no sentence is toxic
-    toxic = np.clip(1.0 - clean, 1e-9, 1.0)
-    by_z = np.exp(z - soft) * np.where(y[doc] == 1, -(1.0 - toxic[doc]) / toxic[doc], 1.0)
-    return np.bincount(feats, weights=by_z[sentence], minlength=len(weights)), float(by_z.sum())
+    total = softplus(bias) + np.bincount(doc, weights=evidence(z, bias), minlength=len(y))
+    toxic = np.clip(-np.expm1(-total), 1e-9, 1.0)
+    slope = np.where(z >= bias, np.exp(z - softplus(z)), 0.0)                 # at the bias, words may yet rise
+    by_z = slope * np.where(y[doc] == 1, -(1.0 - toxic[doc]) / toxic[doc], 1.0)
+    return np.bincount(feats, weights=by_z[sentence], minlength=len(weights))
 
 
-def _step(bags: DataFrame, bias: float, weights: np.ndarray) -> tuple[np.ndarray, float]:
+def _step(bags: DataFrame, bias: float, weights: np.ndarray) -> np.ndarray:
     packed = weights.astype("<f4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(packed, "<f4").astype(np.float64)
-        total, by_bias = np.zeros(len(w)), 0.0
+        total = np.zeros(len(w))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -180,16 +211,13 @@ def _step(bags: DataFrame, bias: float, weights: np.ndarray) -> tuple[np.ndarray
             feats = np.concatenate([np.frombuffer(x, "<i4") for x in batch.column(1).to_pylist()])
             doc = np.repeat(np.arange(len(sizes)), [len(s) for s in sizes])
             each = np.concatenate(sizes)
-            g, b = gradient(np.array(batch.column(0).to_pylist()), feats, np.repeat(np.arange(len(each)), each), doc, bias, w)
-            total, by_bias = total + g, by_bias + b
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary()), pa.array([by_bias])],
-                                         names=["g", "b"])
+            total += gradient(np.array(batch.column(0).to_pylist()), feats, np.repeat(np.arange(len(each)), each), doc, bias, w)
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["g"])
 
-    total, by_bias = np.zeros(len(weights)), 0.0
-    for row in bags.mapInArrow(run, "g binary, b double").collect():       # one small vector for each of TRAIN_PARTS
+    total = np.zeros(len(weights))
+    for row in bags.mapInArrow(run, "g binary").collect():                 # one small vector for each of TRAIN_PARTS
         total += np.frombuffer(row.g, "<f4")
-        by_bias += row.b
-    return total, by_bias
+    return total
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -202,24 +230,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                           .sortWithinPartitions("_order", "text"), "toxicity-sample")
     n, n_toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if n_toxic in (0, n):
-        return Model(START_BIAS, {})
-    counted = _document_features(sample).groupBy("feature").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_DOCS)
-    names = sorted(counted.select("feature").toArrow()["feature"].to_pylist())        # bounded by the sample
+        return Model(BIAS, {})
+    counted = _feature_counts(sample).filter(F.col("n") >= LEAST_DOCS).toArrow()       # bounded by the sample
+    kept = telling(counted["n"].to_numpy(), counted["k"].to_numpy(), n_toxic / n)
+    names = sorted(counted["feature"].filter(pa.array(kept)).to_pylist())
+    if not names:
+        return Model(BIAS, {})
     bags = write_shared(_bags(sample, {f: i for i, f in enumerate(names)}).repartition(TRAIN_PARTS), "toxicity-bags") \
         .coalesce(TRAIN_PARTS)
-    weights, bias = np.zeros(len(names)), START_BIAS
-    mean, square = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    weights, mean, square = (np.zeros(len(names)) for _ in range(3))
     for step in range(1, steps + 1):
-        by_weights, by_bias = _step(bags, bias, weights)
-        g = np.append(by_weights, by_bias) / n
+        g = _step(bags, BIAS, weights) / n
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         rate = RATE / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
-        move = rate * mean / (1 - 0.9 ** step)
-        moved = weights - move[:-1]
-        weights = np.sign(moved) * np.maximum(0.0, np.abs(moved) - rate[:-1] * L1)
-        bias -= move[-1]
-    middle = bags.agg(F.median(F.length("sizes") / 4)).first()[0]                     # the sample's rows
-    return Model(float(bias), {names[i]: float(weights[i]) for i in np.flatnonzero(weights)}, max(1, round(middle)))
+        weights = np.maximum(0.0, weights - rate * (mean / (1 - 0.9 ** step) + L1))
+    return Model(BIAS, {names[i]: float(weights[i]) for i in np.flatnonzero(weights)})
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,7 +252,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     (1 from 0.5 on), ``n_offending`` sentences with a score of their own from 0.5
     on, and where the worst sentence of a toxic document stands (``worst_start``,
     ``worst_end``, code points; else null). A null text counts as empty; an empty
-    text has the score of an empty sentence."""
+    text has the score of the bias. Texts may be of any length, repeated rows are
+    each returned, of equally bad sentences the first is named, and an empty table gives no rows."""
     bound_arrow_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].alias("_id"), held_out(docs[id_col]).alias("_held"), text_or_empty(docs, text).alias("_text"))
     id_type = slim.schema["_id"].dataType.simpleString()
@@ -261,7 +287,8 @@ def sentence_span(text: str, number: int) -> tuple[int, int]:
 
 def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id",
                         text: str = "text") -> DataFrame:
-    """(id, start, end, score) of each sentence whose own score is ``least`` or more."""
+    """(id, start, end, score) of each sentence whose own score is ``least`` or more;
+    none for null and empty texts and empty tables."""
     bound_arrow_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].alias("_id"), text_or_empty(docs, text).alias("_text"))
     id_type = slim.schema["_id"].dataType.simpleString()
@@ -272,7 +299,7 @@ def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5, id_co
             for i, t in enumerate(batch.column(1).to_pylist()):
                 numbers, logits = model.logits(t)
                 for number, z in zip(numbers, logits):
-                    p = noisy_or(np.array([z]))
+                    p = model.sentence_score(z)
                     if p >= least:
                         a, b = sentence_span(t, number)
                         row.append(i)
@@ -287,7 +314,8 @@ def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5, id_co
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents whose score is below 0.5, all columns as they are."""
+    """The documents whose score is below 0.5, all columns as they are. Null and
+    empty texts stay, repeated rows stay or go together; an empty table stays empty."""
     bound_arrow_batches(docs.sparkSession)
 
     @F.arrow_udf("double")
