@@ -58,7 +58,7 @@ def test_chunked_series_tests_equal_single_window(spark):
     ev = event_series(spark, SF_SMALL).withColumn("t_us", F.unix_micros(F.col("t").cast("timestamp")))
     plain = {r.series: r for r in series_tests(ev, "series_id", ["t_us", "event_id"], "value").collect()}
     chunked = {r.series: r for r in series_tests(ev, "series_id", ["t_us", "event_id"], "value",
-                                                 chunk_width=86_400_000_000 / 4).collect()}
+                                                 block_rows=3).collect()}
     assert plain.keys() == chunked.keys()
     for sid, a in plain.items():
         b = chunked[sid]
@@ -100,7 +100,7 @@ def test_times_without_zone_and_dates_are_split(spark):
         d = df.withColumn("t", F.col("ts").cast(kind))
         width = auto_chunk_width(d, "e", "t", target_rows=100)
         assert width and with_chunk(d, "t", width).filter("e = 0").select(CHUNK).distinct().count() >= 4
-        got, plain = (autocorrelation(d, "e", ["t", "k"], "x", 3, chunk_width=w) for w in (width, None))
+        got, plain = (autocorrelation(d, "e", ["t", "k"], "x", 3, block_rows=w) for w in (40, 10_000))
         assert rows(got.select("e", "lag", F.round("acf", 9))) == rows(plain.select("e", "lag", F.round("acf", 9)))
     zoned = auto_chunk_width(df, "e", "ts", target_rows=100)
     assert abs(auto_chunk_width(df.withColumn("t", F.col("ts").cast("timestamp_ntz")), "e", "t", target_rows=100) - zoned) < 1e-3

@@ -1,31 +1,36 @@
 """Per-series time-series tests (TST7-TST9, WIN4-WIN7).
 
 The reference ran these on one stacked column in file order; here each test
-runs per series (``partitionBy(series).orderBy(time)``), the single-series
-case being a series key with one value.
+runs per series, ordered by its order columns, the single-series case being a
+series key with one value.
 
 Plan, all series at once:
 
-1. one window per series: position, level / difference / squared lags
-   (WIN4), running sum of the demeaned values (WIN5);
-2. one grouped aggregate of cross products, bucketed by position
-   ``b = least(pos, B)``: the sample of a regression that needs its first L
-   rows dropped is then the suffix sum over buckets >= L;
-3. ``applyInPandas`` per series on those <= B+1 bucket rows (bounded by
-   construction, not by the series length): the small OLS fits, lag choice
-   and table look-ups of ADF, KPSS and ARCH-LM, and ACF / PACF (WIN7).
+1. the values of each series are packed in order (``blocks``), a series of any
+   length spread over as many tasks as it needs;
+2. an Arrow pass sums lag products: of the centred values for every lag the
+   KPSS bandwidth may take, of the differences and of values with differences
+   for the ADF lags, of the squared values for ARCH, and the running sum (WIN4,
+   WIN5). A long series gives one small row of sums a chunk, added up in order;
+3. from these sums and the first and last values, the cross products of any
+   regression sample follow: those of one lag difference differ only by terms
+   at the ends. So a row a series (bounded by its number of lags, not by its length) finishes the regressions.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavepanel.functions import special as S
+from wavepanel.operators.blocks import BLOCK_ROWS, chunks, key_field, ordered_blocks, whole_keys
+from wavepanel.operators.clean import as_numbers
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the published tables for identical results.
@@ -49,404 +54,326 @@ KPSS_P = [0.10, 0.05, 0.025, 0.01]
 
 MIN_SERIES = 10        # shorter series get null statistics (TST11)
 ARCH_MAX_LAGS = 10
+#: Chunks of a series whose sums are added up first, before those of the whole series.
+TOGETHER = 64
 
 
 def adf_max_lag(n: int) -> int:
     return max(0, min(n // 2 - 2, int(math.ceil(12.0 * (n / 100.0) ** 0.25))))
 
 
-def _lags(col: str, w, k: int, prefix: str):
-    return [F.lag(col, j).over(w).alias(f"{prefix}{j}") for j in range(1, k + 1)]
+def kpss_most_lags(n: int) -> int:
+    """The automatic bandwidth of a series of ``n`` values unless its long-run
+    variance all but vanishes, and the lags that it is worked out from."""
+    covlags = int(n ** (2.0 / 9.0))
+    return max(covlags, math.ceil(1.1447 * covlags ** (2.0 / 3.0) * n ** (1.0 / 3.0)), 1)
 
 
-def prepared(df: DataFrame, series: str, order: list[str], value: str, L: int, K: int,
-             chunk_width: float | str | None = "auto") -> DataFrame:
-    """Step 1: one window per series (WIN4, WIN5). With ``chunk_width``
-    (units of the numeric ``order[0]``) the same columns come from windows per
-    (series, order-range chunk) repaired across chunk boundaries, so a series
-    holding a large share of the rows is split over many tasks."""
-    if chunk_width == "auto":
-        from wavepanel.operators.segments import resolve_width
-        chunk_width = resolve_width(df, series, order[0], chunk_width)
-    if chunk_width:
-        return _prepared_chunked(df, series, order, value, L, K, chunk_width)
-    w = Window.partitionBy(series).orderBy(*order)
-    whole = Window.partitionBy(series)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    base = df.select(series, *order, F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    s1 = base.select(series, *order, "x",
-                     (F.row_number().over(w) - 1).alias("pos"),
-                     F.count(F.lit(1)).over(whole).alias("n"),
-                     F.avg("x").over(whole).alias("mu"),
-                     F.lag("x", 1).over(w).alias("xl"))
-    s1 = s1.withColumn("dx", F.col("x") - F.col("xl")).withColumn("r", F.col("x") - F.col("mu")) \
-           .withColumn("a", F.col("r") * F.col("r"))
-    # the level enters the regressions less its mean: with a constant fitted the results are the same, and the sums of
-    # products keep their digits
-    return s1.select(series, "pos", "n", "x", (F.col("xl") - F.col("mu")).alias("xl"), "dx", "r", "a",
-                     F.sum("r").over(run).alias("cum"),
-                     *_lags("dx", w, L, "dl"), *_lags("r", w, K, "rl"), *_lags("a", w, ARCH_MAX_LAGS, "al"))
-
-
-def _prepared_chunked(df, series, order, value, L, K, width):
-    from wavepanel.operators.segments import CHUNK, chunked_neighbours, chunked_row_number, place, with_chunk
-    kx = max(L + 1, K, ARCH_MAX_LAGS)
-    base = df.select(series, *order, F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    numbered = chunked_row_number(base, series, order, order[0], width, name="__rn")
-    nb = chunked_neighbours(numbered, series, order, ["x"], kx, width)
-    # per-series count and mean, and the running sum of x, from chunk sums
-    sums = with_chunk(base, order[0], width).groupBy(series, CHUNK).agg(
-        F.count(F.lit(1)).alias("__c"), F.sum("x").alias("__s"))
-    ws = Window.partitionBy(series)
-    before = Window.partitionBy(series).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(series, CHUNK, "__c", "__s", F.sum("__c").over(ws).alias("n"),
-                       (F.sum("__s").over(ws) / F.sum("__c").over(ws)).alias("mu"))
-    sums = sums.select(series, CHUNK, "n", "mu", F.coalesce(F.sum(F.col("__s") - F.col("__c") * F.col("mu")).over(before),
-                                                            F.lit(0.0)).alias("__off"))
-    wc = Window.partitionBy(series, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = nb.join(sums, [series, CHUNK])
-    j = j.withColumn("__cum", F.sum(F.col("x") - F.col("mu")).over(wc) + F.col("__off"))
-    cur = F.struct(place(base, order[0]).alias("p"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
-    prev = F.reverse(F.array_sort(F.filter(F.col("__cand_x"), lambda c: c.dropFields("x") < cur)))
-    j = j.withColumn("__prev", prev)
-    xl = [F.try_element_at(F.col("__prev"), F.lit(i))["x"] for i in range(1, kx + 1)]
-    pos = (F.col("__rn") - 1).alias("pos")
-    out = j.select(series, pos, "n", "x", "mu", "__cum", *[c.alias(f"__xl{i}") for i, c in enumerate(xl, 1)])
-    r = F.col("x") - F.col("mu")
-    return out.select(
-        series, "pos", "n", "x", (F.col("__xl1") - F.col("mu")).alias("xl"), (F.col("x") - F.col("__xl1")).alias("dx"),
-        r.alias("r"), (r * r).alias("a"), F.col("__cum").alias("cum"),
-        *[(F.col(f"__xl{j_}") - F.col(f"__xl{j_ + 1}")).alias(f"dl{j_}") for j_ in range(1, L + 1)],
-        *[(F.col(f"__xl{j_}") - F.col("mu")).alias(f"rl{j_}") for j_ in range(1, K + 1)],
-        *[((F.col(f"__xl{j_}") - F.col("mu")) ** 2).alias(f"al{j_}") for j_ in range(1, ARCH_MAX_LAGS + 1)])
-
-
-def gram_buckets(prep: DataFrame, series: str, L: int, K: int) -> DataFrame:
-    """Step 2: cross products per (series, position bucket)."""
-    B = max(L + 2, ARCH_MAX_LAGS + 1)
-    z = ["dx", "one", "xl", *[f"dl{j}" for j in range(1, L + 1)]]          # ADF: y, const, level, lags
-    h = ["a", "one", *[f"al{j}" for j in range(1, ARCH_MAX_LAGS + 1)]]     # ARCH: y, const, lags
-
-    def c(name):
-        return F.lit(1.0) if name == "one" else F.coalesce(F.col(name), F.lit(0.0))
-
-    aggs = [F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")]
-    aggs += [F.sum(c(z[i]) * c(z[j])).alias(f"z_{i}_{j}") for i in range(len(z)) for j in range(i, len(z))]
-    aggs += [F.sum(c(h[i]) * c(h[j])).alias(f"h_{i}_{j}") for i in range(len(h)) for j in range(i, len(h))]
-    aggs += [F.sum(F.col("r") * c(f"rl{j}") if j else F.col("r") * F.col("r")).alias(f"ac_{j}") for j in range(K + 1)]
-    aggs.append(F.sum(F.col("cum") * F.col("cum")).alias("cum2"))
-    return prep.groupBy(series, F.least(F.col("pos"), F.lit(B)).alias("b")).agg(*aggs)
-
-
-def _sym(row_sums: pd.Series, prefix: str, d: int) -> np.ndarray:
-    g = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            g[i, j] = g[j, i] = row_sums[f"{prefix}_{i}_{j}"]
+# ---- lag sums (WIN4, WIN5) ---------------------------------------------------
+
+Lags = Callable[[int], tuple[int, int, int]]
+#: ``ac`` of values, ``dc`` of differences, ``xc`` of a value with later differences, ``bc`` of squares less their mean;
+#: ``run``: rows, sum, and the running sum's sum and sum of squares, then the sum of ``b``; the first and last values.
+SUMS = T.StructType([T.StructField("n", T.LongType()), *(T.StructField(c, T.ArrayType(T.DoubleType()))
+                                                        for c in ("ac", "dc", "xc", "bc", "run", "first", "last"))])
+
+
+def kpss_lags(n: int, ac: np.ndarray) -> int | None:
+    """The automatic bandwidth; null if the long-run variance it divides by is zero."""
+    covlags = int(n ** (2.0 / 9.0))
+    j = np.arange(1, covlags + 1)
+    s0 = ac[0] / n + ac[j].sum() / (n / 2.0)
+    s1 = (j * ac[j]).sum() / (n / 2.0)
+    return min(int(1.1447 * ((s1 / s0) ** 2) ** (1.0 / 3.0) * n ** (1.0 / 3.0)), n - 1) if s0 else None
+
+
+def chunk_sums(r: np.ndarray, own: int, at_start: bool, mean_square: float, lags: tuple[int, int, int],
+               all_lags: bool = False) -> list[np.ndarray]:
+    """Lag products of the places from ``own`` on with those before them. With
+    ``all_lags`` (a whole series of enough values) those of any KPSS bandwidth."""
+    def products(left: np.ndarray, right: np.ndarray, most: int, least: int) -> np.ndarray:
+        out = np.zeros(most + 1)
+        for j in range(min(most, len(r) - 1) + 1):
+            i = max(own, j + least)
+            if i < len(r):
+                out[j] = left[i:] @ right[i - j:len(r) - j]
+        return out
+
+    k, l, p = lags
+    d = np.diff(r, prepend=r[:1])
+    before = np.concatenate((r[:1], r[:-1]))
+    b = r * r - mean_square
+    one = 1 if at_start else 0                                              # the first value of all has no difference
+    run = np.cumsum(r[own:])
+    edge = l + 2 + ARCH_MAX_LAGS
+    ac = products(r, r, k, 0)
+    wanted = kpss_lags(len(r), ac) if all_lags else None
+    if wanted is not None and wanted > k:
+        ac = products(r, r, wanted, 0)
+    return [ac, products(d, d, l, one), products(before, d, l, one), products(b, b, p, 0),
+            np.array([len(run), run[-1], run.sum(), run @ run, b[own:].sum()]), r[:edge] if at_start else r[:0], r[-edge:]]
+
+
+def add_sums(parts: list[list]) -> list[np.ndarray]:
+    """The sums of consecutive chunks; running sums go on from one to the next."""
+    out = [np.asarray(x, float) for x in parts[0]]
+    for part in parts[1:]:
+        part = [np.asarray(x, float) for x in part]
+        for i in range(4):
+            out[i] = out[i] + part[i]
+        n, total, first, second, b = out[4]
+        m, more, s1, s2, b2 = part[4]
+        out[4] = np.array([n + m, total + more, first + s1 + m * total, second + s2 + 2 * total * s1 + m * total * total, b + b2])
+        out[6] = part[6]
+    return out
+
+
+def _sums_batch(keys: pa.Array, chunk: list[int] | None, rows: list[tuple[int, list]]) -> pa.RecordBatch:
+    columns = [keys] + ([pa.array(chunk, pa.int64())] if chunk is not None else [])
+    columns.append(pa.array([n for n, _ in rows], pa.int64()))
+    columns += [pa.array([s[i].tolist() for _, s in rows], pa.list_(pa.float64())) for i in range(7)]
+    return pa.RecordBatch.from_arrays(columns, names=["key", *(["chunk"] if chunk is not None else []), *SUMS.names])
+
+
+def lag_sums(df: DataFrame, series: str, order: list[str], value: str, lags: Lags, block_rows: int = BLOCK_ROWS,
+             kpss: bool = False) -> DataFrame:
+    """(key, n, sums) of each series; ``lags(n)``: most lags of values, differences and
+    squares; with ``kpss`` a series of one chunk has as many as its bandwidth takes."""
+    blocks = ordered_blocks(as_numbers(df, [value]), series, order, value, block_rows)
+    schema = T.StructType([key_field(blocks), *SUMS.fields])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for n, low, mean, square, raw in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+                rows.append((n, chunk_sums(np.frombuffer(raw) - (mean - low), 0, True, square / n, lags(n), kpss and n >= MIN_SERIES)))
+            yield _sums_batch(batch.column(0), None, rows)
+
+    def before(n: int) -> int:
+        k, l, p = lags(n)
+        return max(k, l + 2 + ARCH_MAX_LAGS, p) + 1
+
+    def one_chunk(table: pa.Table) -> pa.Table:
+        pieces = sorted((at, low, raw) for at, low, raw in zip(*(table[c].to_pylist() for c in ("at", "low", "values"))))
+        n, mean, square, chunk = (table[c][0].as_py() for c in ("total", "mean", "square", "chunk"))
+        r = np.concatenate([np.frombuffer(raw) - (mean - low) for _, low, raw in pieces])
+        own = chunk * max(block_rows, 2 * before(n)) - pieces[0][0]
+        return pa.Table.from_batches([_sums_batch(table["key"].combine_chunks()[:1], [chunk],
+                                                  [(n, chunk_sums(r, own, pieces[0][0] == 0, square / n, lags(n),
+                                                                  kpss and MIN_SERIES <= n == len(r)))])])
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        parts = list(zip(*(table[c].to_pylist() for c in SUMS.names[1:])))
+        return pa.Table.from_batches([_sums_batch(table["key"].combine_chunks()[:1], [table["chunk"][0].as_py()],
+                                                  [(table["n"][0].as_py(), add_sums(parts))])])
+
+    numbered = T.StructType([schema[0], T.StructField("chunk", T.LongType()), *SUMS.fields])
+    each = chunks(blocks, before, block_rows).groupBy("key", "chunk").applyInArrow(one_chunk, numbered)
+    some = each.groupBy("key", F.floor(F.col("chunk") / TOGETHER)).applyInArrow(add, numbered)
+    split = some.groupBy("key").applyInArrow(add, numbered).drop("chunk")
+    return whole_keys(blocks).select("key", "n", "low", "mean", "square", "values").mapInArrow(whole, schema).unionByName(split)
+
+
+# ---- tests (TST7-TST9) -------------------------------------------------------
+
+def _sample_products(full: np.ndarray, first: np.ndarray, last: np.ndarray, start: int, least: int) -> np.ndarray:
+    """G[i, j] = sum over t >= start of v(t - i) v(t - j), i, j up to the lags of
+    ``full``, from the products over the whole series less those at its ends.
+    ``first``/``last`` hold the values there; ``least`` is the first place that counts."""
+    m = len(full)
+    g = np.zeros((m, m))
+    for d in range(m):
+        i = np.arange(m - d)
+        # head: u from d + least to start - i - 1; tail: the last i places
+        u = np.arange(d + least, start)
+        head = np.concatenate(([0.0], np.cumsum(first[u] * first[u - d]))) if len(u) else np.zeros(1)
+        upto = np.clip(start - i - d - least, 0, len(head) - 1)
+        tail = np.concatenate(([0.0], np.cumsum((last[d:] * last[:len(last) - d])[::-1]))) if d < len(last) else np.zeros(1)
+        row = full[d] - head[upto] - tail[np.minimum(i, len(tail) - 1)]
+        g[i, i + d] = g[i + d, i] = row
     return g
 
 
-def _ols(g: np.ndarray, idx: list[int], n: float):
-    """OLS of column 0 on columns idx from a Gram matrix: (beta, ssr, inv)."""
-    xx = g[np.ix_(idx, idx)]
-    xy = g[idx, 0]
-    inv = np.linalg.pinv(xx)
-    beta = inv @ xy
-    ssr = float(g[0, 0] - beta @ xy)
-    return beta, max(ssr, 0.0), inv
-
-
-def _adf(buckets: pd.DataFrame, n: int, L: int):
-    maxlag = min(adf_max_lag(n), L)
-    zdim = L + 3
-
-    def gram_from(start):
-        sub = buckets[buckets["b"] >= start]
-        return _sym(sub.sum(), "z", zdim), int(sub["rows"].sum())
-
-    g, m = gram_from(maxlag + 1)
-    best = None
-    for lag in range(0, maxlag + 1):
-        idx = [1, 2] + list(range(3, 3 + lag))
-        _, ssr, _ = _ols(g, idx, m)
-        if ssr <= 0:
-            continue
-        k = len(idx)
-        aic = m * (math.log(2 * math.pi) + math.log(ssr / m) + 1) + 2 * k
-        if best is None or aic < best[0] - 1e-12:
-            best = (aic, lag)
-    if best is None:
-        return None
-    lag = best[1]
-    g2, m2 = gram_from(lag + 1)
-    idx = [2] + list(range(3, 3 + lag)) + [1]
-    beta, ssr, inv = _ols(g2, idx, m2)
-    dof = m2 - len(idx)
-    if dof <= 0 or ssr <= 0:
-        return None
-    se = math.sqrt(ssr / dof * inv[0, 0])
-    stat = beta[0] / se
+def _solve(g: np.ndarray, y: int, x: list[int]) -> tuple[np.ndarray, float, np.ndarray]:
+    """OLS of variable ``y`` on ``x`` from cross products: (beta, ssr, inverse)."""
+    scale = np.sqrt(np.maximum(np.diag(g)[x], 1e-300))
+    inverse = np.linalg.pinv(g[np.ix_(x, x)] / np.outer(scale, scale), hermitian=True) / np.outer(scale, scale)
+    beta = inverse @ g[x, y]
+    return beta, max(float(g[y, y] - beta @ g[x, y]), 0.0), inverse
+
+
+def adf_products(n: int, lag: int, start: int, s: dict[str, np.ndarray]) -> np.ndarray:
+    """Cross products of (dx, dx lagged 1..lag, 1, x one back) over the places from ``start`` on."""
+    first, last = s["first"], s["last"]
+    d_first, d_last = np.diff(first, prepend=first[:1]), np.diff(last)
+    g = np.zeros((lag + 3, lag + 3))
+    g[:lag + 1, :lag + 1] = _sample_products(s["dc"][:lag + 1], d_first, d_last, start, 1)
+    i = np.arange(lag + 1)
+    m = n - start
+    sums = last[-1 - i] - first[start - 1 - i]
+    head = np.array([first[j:start - 1] @ d_first[1:start - j] if start - 1 > j else 0.0 for j in i])
+    cross = s["xc"][:lag + 1] - head
+    x_sum = s["run"][1] - first[:start - 1].sum() - last[-1]
+    x_square = s["ac"][0] - first[:start - 1] @ first[:start - 1] - last[-1] ** 2
+    one, x = lag + 1, lag + 2
+    g[one, :lag + 1] = g[:lag + 1, one] = sums
+    g[x, :lag + 1] = g[:lag + 1, x] = cross
+    g[one, one], g[x, x], g[one, x], g[x, one] = m, x_square, x_sum, x_sum
+    return g
+
+
+def _adf(n: int, max_lag: int, s: dict[str, np.ndarray]) -> dict:
+    """ADF with a constant; AIC over the lags on the common sample, then the own sample."""
+    most, first = min(adf_max_lag(n), max_lag), s["first"]
+    if n - most - 1 <= 0:
+        return {}
+    m = n - most - 1
+    g = adf_products(n, most, most + 1, s)
+    # one factorisation gives the residual sum of squares of every number of lags
+    order = [most + 1, most + 2, *range(1, most + 1), 0]
+    scale = np.sqrt(np.maximum(np.diag(g)[order], 1e-300))
+    left = g[np.ix_(order, order)] / np.outer(scale, scale)
+    size = len(order)
+    ssr = np.zeros(size)
+    for c in range(size - 1):                                               # pivots in order, aliased ones skipped
+        if left[c, c] > 1e-13:
+            left[c + 1:, c + 1:] -= np.outer(left[c + 1:, c], left[c, c + 1:]) / left[c, c]
+        ssr[c + 1] = left[-1, -1] * scale[-1] ** 2
+    best, lag = np.inf, None
+    for p in range(most + 1):
+        if ssr[p + 2] > 0:
+            aic = m * (math.log(2 * math.pi) + math.log(ssr[p + 2] / m) + 1) + 2 * (p + 2)
+            if aic < best - 1e-12:
+                best, lag = aic, p
+    if lag is None:
+        return {}
+    g = adf_products(n, lag, lag + 1, s)
+    m = n - lag - 1
+    beta, rest, inverse = _solve(g, 0, [lag + 2, *range(1, lag + 1), lag + 1])
+    dof = m - lag - 2
+    if dof <= 0 or rest <= 0 or inverse[0, 0] <= 0:
+        return {}
+    stat = float(beta[0] / math.sqrt(rest / dof * inverse[0, 0]))
     if stat > ADF_TAU_MAX:
         p = 1.0
     elif stat < ADF_TAU_MIN:
         p = 0.0
     else:
-        coef = ADF_SMALLP if stat <= ADF_TAU_STAR else ADF_LARGEP
-        p = S.norm_cdf(sum(c * stat ** i for i, c in enumerate(coef)))
-    crit = {k: sum(c / m2 ** i for i, c in enumerate(v)) for k, v in ADF_CRIT.items()}
-    return stat, p, lag, m2, crit
-
-
-def _kpss(tot: pd.Series, n: int, K: int):
-    ac = [float(tot[f"ac_{j}"]) for j in range(K + 1)]
-    covlags = int(n ** (2.0 / 9.0))
-    if covlags > K:
-        return None
-    s0 = ac[0] / n + sum(ac[i] / (n / 2.0) for i in range(1, covlags + 1))
-    s1 = sum(i * ac[i] / (n / 2.0) for i in range(1, covlags + 1))
-    gamma = 1.1447 * ((s1 / s0) ** 2) ** (1.0 / 3.0) if s0 else 0.0
-    lags = min(int(gamma * n ** (1.0 / 3.0)), n - 1)
-    if lags > K:
-        return None
-    s_hat = (ac[0] + 2 * sum(ac[i] * (1 - i / (lags + 1.0)) for i in range(1, lags + 1))) / n
-    eta = float(tot["cum2"]) / (n * n)
-    stat = eta / s_hat
-    return stat, float(np.interp(stat, KPSS_CRIT, KPSS_P)), lags
-
-
-def _arch(buckets: pd.DataFrame, n: int):
-    nl = min(ARCH_MAX_LAGS, n // 5)
-    if nl < 1:
-        return None
-    sub = buckets[buckets["b"] >= nl].sum()
-    g = _sym(sub, "h", ARCH_MAX_LAGS + 2)
-    m = int(sub["rows"])
-    idx = [1] + list(range(2, 2 + nl))
-    _, ssr, _ = _ols(g, idx, m)
-    ybar = g[0, 1] / m
-    tss = g[0, 0] - m * ybar * ybar
-    if tss <= 0:
-        return None
-    r2 = 1 - ssr / tss
-    lm = m * r2
-    dof = m - nl - 1
-    f = (r2 / nl) / ((1 - r2) / dof) if dof > 0 and r2 < 1 else None
-    return lm, S.chi2_sf(lm, nl), f, (S.f_sf(f, nl, dof) if f is not None else None), nl
-
-
-TEST_SCHEMA = ("series long, n long, adf_stat double, adf_p double, adf_lag int, adf_nobs long, "
+        p = S.norm_cdf(sum(c * stat ** i for i, c in enumerate(ADF_SMALLP if stat <= ADF_TAU_STAR else ADF_LARGEP)))
+    crit = {f"adf_crit_{k[:-1]}": sum(c / m ** i for i, c in enumerate(v)) for k, v in ADF_CRIT.items()}
+    return {"adf_stat": stat, "adf_p": float(p), "adf_lag": lag, "adf_nobs": m, **crit}
+
+
+def _kpss(n: int, s: dict[str, np.ndarray]) -> dict:
+    """KPSS (level) with the automatic bandwidth. A series of several chunks has none
+    if the rule, dividing by a long-run variance of almost zero, runs off to more lags than were summed."""
+    ac = s["ac"]
+    lags = kpss_lags(n, ac)
+    if lags is None or lags >= len(ac):
+        return {}
+    i = np.arange(1, lags + 1)
+    long_run = (ac[0] + 2 * (ac[i] * (1 - i / (lags + 1.0))).sum()) / n
+    if not long_run:
+        return {}
+    stat = float(s["run"][3] / (n * n) / long_run)
+    return {"kpss_stat": stat, "kpss_p": float(np.interp(stat, KPSS_CRIT, KPSS_P)), "kpss_lags": lags}
+
+
+def _arch(n: int, most: int, s: dict[str, np.ndarray]) -> dict:
+    """Engle's LM and F test on the squares of the demeaned values."""
+    p = min(most, n // 5)
+    if p < 1 or not s["ac"][0]:
+        return {}
+    mean = s["ac"][0] / n
+    first, last = s["first"] ** 2 - mean, s["last"] ** 2 - mean
+    g = np.zeros((p + 2, p + 2))
+    g[:p + 1, :p + 1] = _sample_products(s["bc"][:p + 1], first, last, p, 0)
+    sums = [s["run"][4] - first[:p - i].sum() - (last[-i:].sum() if i else 0.0) for i in range(p + 1)]
+    m = n - p
+    g[p + 1, :p + 1] = g[:p + 1, p + 1] = sums
+    g[p + 1, p + 1] = m
+    _, ssr, _ = _solve(g, 0, [p + 1, *range(1, p + 1)])
+    total = g[0, 0] - sums[0] ** 2 / m
+    if total <= 0:
+        return {}
+    r2 = 1 - ssr / total
+    dof = m - p - 1
+    f = (r2 / p) / ((1 - r2) / dof) if dof > 0 and r2 < 1 else None
+    return {"arch_lm": m * r2, "arch_lm_p": float(S.chi2_sf(m * r2, p)), "arch_f": f,
+            "arch_f_p": None if f is None else float(S.f_sf(f, p, dof)), "arch_lags": p}
+
+
+TEST_SCHEMA = ("n long, adf_stat double, adf_p double, adf_lag int, adf_nobs long, "
                "adf_crit_1 double, adf_crit_5 double, adf_crit_10 double, kpss_stat double, kpss_p double, "
                "kpss_lags int, arch_lm double, arch_lm_p double, arch_f double, arch_f_p double, arch_lags int")
-TEST_COLS = [c.split()[0] for c in TEST_SCHEMA.split(", ")]
-
-
-def _dense(pdf: pd.DataFrame, series: str, B: int):
-    """Rows (series, bucket) of one batch -> per-series arrays with suffix
-    sums over buckets: suf[s, b] = sum of bucket rows >= b."""
-    ids, inv = np.unique(pdf[series].to_numpy(), return_inverse=True)
-    b = pdf["b"].to_numpy().astype(int)
-    cols = [c for c in pdf.columns if c not in (series, "b", "n")]
-    vals = pdf[cols].to_numpy(dtype=float)
-    dense = np.zeros((len(ids), B + 2, len(cols)))
-    dense[inv, b, :] = vals
-    suf = np.cumsum(dense[:, ::-1, :], axis=1)[:, ::-1, :]
-    n = np.zeros(len(ids), dtype=int)
-    n[inv] = pdf["n"].to_numpy()
-    return ids, n, {c: i for i, c in enumerate(cols)}, suf
-
-
-def _sym_batch(vec: np.ndarray, col: dict, prefix: str, d: int) -> np.ndarray:
-    g = np.zeros(vec.shape[:-1] + (d, d))
-    for i in range(d):
-        for j in range(i, d):
-            g[..., i, j] = g[..., j, i] = vec[..., col[f"{prefix}_{i}_{j}"]]
-    return g
 
 
-def _ols_batch(g: np.ndarray, idx: list[int]):
-    xx = g[:, idx][:, :, idx]
-    xy = g[:, idx, 0]
-    inv = np.linalg.pinv(xx)
-    beta = np.einsum("sij,sj->si", inv, xy)
-    ssr = g[:, 0, 0] - np.einsum("si,si->s", beta, xy)
-    return beta, np.maximum(ssr, 0.0), inv
-
-
-def _finish_batch(pdf: pd.DataFrame, series: str, L: int, K: int) -> pd.DataFrame:
-    B = max(L + 2, ARCH_MAX_LAGS + 1)
-    ids, n, col, suf = _dense(pdf, series, B)
-    S_ = len(ids)
-    out = {c: np.full(S_, np.nan) for c in TEST_COLS}
-    out["series"], out["n"] = ids, n
-    ok = n >= MIN_SERIES
-    rows_at = suf[:, :, col["rows"]]
-    # ADF: AIC over 0..maxlag lagged differences on the common sample, then refit
-    maxlag = np.array([min(adf_max_lag(int(v)), L) for v in n])
-    start = np.clip(maxlag + 1, 0, B)
-    zsum = suf[np.arange(S_), start]
-    g = _sym_batch(zsum, col, "z", L + 3)
-    m = rows_at[np.arange(S_), start]
-    best_aic = np.full(S_, np.inf)
-    best_lag = np.zeros(S_, dtype=int)
-    for lag in range(0, L + 1):
-        use = ok & (lag <= maxlag)
-        if not use.any():
-            continue
-        idx = [1, 2] + list(range(3, 3 + lag))
-        _, ssr, _ = _ols_batch(g[use], idx)
-        mm = m[use]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            aic = mm * (math.log(2 * math.pi) + np.log(ssr / mm) + 1) + 2 * len(idx)
-        aic = np.where(ssr > 0, aic, np.inf)
-        cur = best_aic[use]
-        better = aic < cur - 1e-12
-        sel = np.where(use)[0][better]
-        best_aic[sel] = aic[better]
-        best_lag[sel] = lag
-    for lag in np.unique(best_lag[ok & np.isfinite(best_aic)]):
-        sel = np.where(ok & np.isfinite(best_aic) & (best_lag == lag))[0]
-        st = np.clip(lag + 1, 0, B)
-        g2 = _sym_batch(suf[sel, st], col, "z", L + 3)
-        m2 = rows_at[sel, st]
-        idx = [2] + list(range(3, 3 + lag)) + [1]
-        beta, ssr, inv = _ols_batch(g2, idx)
-        dof = m2 - len(idx)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            stat = beta[:, 0] / np.sqrt(ssr / dof * inv[:, 0, 0])
-        good = (dof > 0) & (ssr > 0)
-        for k, s_i in enumerate(sel):
-            if not good[k]:
-                continue
-            t = float(stat[k])
-            if t > ADF_TAU_MAX:
-                p = 1.0
-            elif t < ADF_TAU_MIN:
-                p = 0.0
-            else:
-                coef = ADF_SMALLP if t <= ADF_TAU_STAR else ADF_LARGEP
-                p = S.norm_cdf(sum(c * t ** i for i, c in enumerate(coef)))
-            T = float(m2[k])
-            out["adf_stat"][s_i], out["adf_p"][s_i], out["adf_lag"][s_i], out["adf_nobs"][s_i] = t, p, lag, T
-            for key, name in (("1%", "adf_crit_1"), ("5%", "adf_crit_5"), ("10%", "adf_crit_10")):
-                out[name][s_i] = sum(c / T ** i for i, c in enumerate(ADF_CRIT[key]))
-    # KPSS with the automatic bandwidth
-    ac = suf[:, 0, [col[f"ac_{j}"] for j in range(K + 1)]]
-    cum2 = suf[:, 0, col["cum2"]]
-    for s_i in np.where(ok)[0]:
-        nn = int(n[s_i])
-        covlags = int(nn ** (2.0 / 9.0))
-        if covlags > K:
-            continue
-        a = ac[s_i]
-        s0 = a[0] / nn + np.sum(a[1:covlags + 1]) / (nn / 2.0)
-        s1 = np.sum(np.arange(1, covlags + 1) * a[1:covlags + 1]) / (nn / 2.0)
-        gamma = 1.1447 * ((s1 / s0) ** 2) ** (1.0 / 3.0) if s0 else 0.0
-        lags = min(int(gamma * nn ** (1.0 / 3.0)), nn - 1)
-        if lags > K:
-            continue
-        i = np.arange(1, lags + 1)
-        s_hat = (a[0] + 2 * np.sum(a[1:lags + 1] * (1 - i / (lags + 1.0)))) / nn
-        stat = cum2[s_i] / (nn * nn) / s_hat
-        out["kpss_stat"][s_i], out["kpss_p"][s_i] = stat, float(np.interp(stat, KPSS_CRIT, KPSS_P))
-        out["kpss_lags"][s_i] = lags
-    # ARCH LM on the squared demeaned series
-    nl_all = np.minimum(ARCH_MAX_LAGS, n // 5)
-    for nl in np.unique(nl_all[ok]):
-        if nl < 1:
-            continue
-        sel = np.where(ok & (nl_all == nl))[0]
-        gh = _sym_batch(suf[sel, nl], col, "h", ARCH_MAX_LAGS + 2)
-        mm = rows_at[sel, nl]
-        _, ssr, _ = _ols_batch(gh, [1] + list(range(2, 2 + nl)))
-        ybar = gh[:, 0, 1] / mm
-        tss = gh[:, 0, 0] - mm * ybar * ybar
-        for k, s_i in enumerate(sel):
-            if tss[k] <= 0:
-                continue
-            r2 = 1 - ssr[k] / tss[k]
-            lm = mm[k] * r2
-            dof = mm[k] - nl - 1
-            f = (r2 / nl) / ((1 - r2) / dof) if dof > 0 and r2 < 1 else np.nan
-            out["arch_lm"][s_i], out["arch_lm_p"][s_i] = lm, S.chi2_sf(lm, nl)
-            out["arch_f"][s_i] = f
-            out["arch_f_p"][s_i] = S.f_sf(f, nl, dof) if np.isfinite(f) else np.nan
-            out["arch_lags"][s_i] = nl
-    res = pd.DataFrame(out)[TEST_COLS]
-    for c in ("adf_lag", "kpss_lags", "arch_lags"):
-        res[c] = res[c].astype("Int32")
-    res["adf_nobs"] = res["adf_nobs"].astype("Int64")
-    return res
-
-
-def longest_series(df: DataFrame, series: str, value: str) -> int:
-    """Values of the longest series (one partial aggregate)."""
-    n = df.filter(F.col(value).isNotNull()).groupBy(series).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return n or 0
-
-
-def kpss_most_lags(n: int) -> int:
-    """The automatic bandwidth of a series of ``n`` values unless its long-run
-    variance all but vanishes, and the lags that it is worked out from."""
-    covlags = int(n ** (2.0 / 9.0))
-    return max(covlags, math.ceil(1.1447 * covlags ** (2.0 / 3.0) * n ** (1.0 / 3.0)), 1)
+def finish(n: int, sums: list, max_lag: int, arch_lags: int) -> dict:
+    """All tests of a series from its sums."""
+    if n < MIN_SERIES:
+        return {}
+    s = {c: np.asarray(x, float) for c, x in zip(SUMS.names[1:], sums)}
+    return _adf(n, max_lag, s) | _kpss(n, s) | _arch(n, arch_lags, s)
 
 
 def series_tests(df: DataFrame, series: str, order: list[str], value: str, max_lag: int | None = None,
-                 max_autocov: int | None = None, chunk_width: float | str | None = "auto") -> DataFrame:
+                 arch_lags: int = ARCH_MAX_LAGS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """ADF (constant, AIC lag choice, MacKinnon p), KPSS (level, automatic
     bandwidth, p interpolated and clamped to [0.01, 0.10]) and Engle's ARCH
     LM / F test on the demeaned series, one row per series (TST7-TST9).
-    Series shorter than 10 values get null statistics (TST11). The lags that
-    are gathered follow from the longest series, so that each series has its
-    own full lag search and bandwidth; ``max_lag`` and ``max_autocov`` set
-    them by hand. KPSS is null only where the bandwidth rule runs off to more
-    lags than that, when the long-run variance it divides by is almost zero.
-
-    Finishing: the bucket rows are hash-partitioned by series and sorted, then
-    ``mapInPandas`` solves the small regressions of every series in an Arrow
-    batch at once; a series cut by a batch boundary is carried to the next
-    batch, so memory is bounded by the batch size.
-    """
-    if max_lag is None or max_autocov is None:
-        n = longest_series(df, series, value)
-        max_lag = adf_max_lag(n) if max_lag is None else max_lag
-        max_autocov = kpss_most_lags(n) if max_autocov is None else max_autocov
-    L, K = max_lag, max_autocov
-    grams = gram_buckets(prepared(df, series, order, value, L, K, chunk_width), series, L, K)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = grams.repartition(parts, series).sortWithinPartitions(series, "b")
-
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            last = pdf[series].iloc[-1]
-            tail = pdf[series] == last
-            carry = pdf[tail]
-            done = pdf[~tail]
-            if not done.empty:
-                yield _finish_batch(done, series, L, K)
-        if carry is not None and not carry.empty:
-            yield _finish_batch(carry, series, L, K)
-
-    kind = df.schema[series].dataType.simpleString()
-    return ordered.mapInPandas(run, TEST_SCHEMA.replace("series long", f"series {kind}", 1))
+    Series shorter than 10 values get null statistics (TST11); a constant one too.
+    Each series has its own full lag search and bandwidth; ``max_lag`` and
+    ``arch_lags`` (up to 10) set the most lags by hand. Text is read as numbers;
+    what is no number, null or NaN has no place in a series."""
+    top = (1 << 30) if max_lag is None else max_lag
+
+    def lags(n: int) -> tuple[int, int, int]:
+        return kpss_most_lags(n), min(adf_max_lag(n), top), ARCH_MAX_LAGS
+
+    sums = lag_sums(df, series, order, value, lags, block_rows, True)
+    schema = T.StructType([T.StructField("series", sums.schema["key"].dataType), *T.StructType.fromDDL(TEST_SCHEMA).fields])
+    types = [pa.int32() if f.dataType == T.IntegerType() else pa.int64() if f.dataType == T.LongType() else pa.float64() for f in schema[2:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [finish(n, s, top, arch_lags) for n, *s in zip(*(batch.column(i).to_pylist() for i in range(1, 9)))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array([r.get(c) for r in rows], t) for c, t in zip(schema.names[2:], types))],
+                names=schema.names)
+
+    return sums.mapInArrow(run, schema)
+
+
+def _autocorrelations(df: DataFrame, series: str, order: list[str], value: str, nlags: int, block_rows: int) -> DataFrame:
+    """(series, rho): autocorrelations of lags 0 to ``nlags``."""
+    sums = lag_sums(df, series, order, value, lambda n: (nlags, 0, 0), block_rows)
+    return sums.select(F.col("key").alias(series), F.transform("ac", lambda c: F.try_divide(c, F.col("ac")[0])).alias("rho"))
 
 
 def autocorrelation(df: DataFrame, series: str, order: list[str], value: str, nlags: int = 10,
-                    chunk_width: float | str | None = "auto") -> DataFrame:
+                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """ACF per series and lag, lags 1..nlags (WIN7): sum r_t r_{t-k} / sum r_t^2
-    with r the series-demeaned values. Pure Spark: one window, one aggregate."""
-    prep = prepared(df, series, order, value, 0, nlags, chunk_width)
-    sums = prep.groupBy(series).agg(*[
-        F.sum(F.col("r") * (F.coalesce(F.col(f"rl{j}"), F.lit(0.0)) if j else F.col("r"))).alias(f"ac_{j}")
-        for j in range(nlags + 1)])
-    return sums.select(series, F.explode(F.array(*[
-        F.struct(F.lit(j).alias("lag"), F.try_divide(F.col(f"ac_{j}"), F.col("ac_0")).alias("acf"))
-        for j in range(1, nlags + 1)])).alias("a")).select(series, "a.lag", "a.acf")
+    with r the series-demeaned values; null for a constant series."""
+    rho = _autocorrelations(df, series, order, value, nlags, block_rows)
+    return rho.select(series, F.posexplode(F.slice("rho", 2, nlags)).alias("lag", "acf")) \
+        .select(series, (F.col("lag") + 1).alias("lag"), "acf")
+
+
+def running_squares(df: DataFrame, series: str, order: list[str], value: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(series, n, total, cum_sum, cum_square): sum of the demeaned values, and of
+    their running sum and its squares (WIN5)."""
+    sums = lag_sums(df, series, order, value, lambda n: (0, 0, 0), block_rows)
+    return sums.select(F.col("key").alias(series), "n", F.col("run")[1].alias("total"), F.col("run")[2].alias("cum_sum"),
+                       F.col("run")[3].alias("cum_square"))
+
+
+def lag_products(df: DataFrame, series: str, order: list[str], value: str, nlags: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(series, lag, levels, differences, mixed): sums of lag products (WIN4), of the
+    demeaned values, of their differences, and of the value before with the lagged difference."""
+    sums = lag_sums(df, series, order, value, lambda n: (nlags, nlags, 0), block_rows)
+    return sums.select(F.col("key").alias(series), F.posexplode(F.arrays_zip("ac", "dc", "xc")).alias("lag", "s")) \
+        .select(series, "lag", F.col("s.ac").alias("levels"), F.col("s.dc").alias("differences"), F.col("s.xc").alias("mixed"))
 
 
 def series_points(df: DataFrame, series: str, order: list[str], value: str, bucket: int | None = None) -> DataFrame:
@@ -460,32 +387,29 @@ def series_points(df: DataFrame, series: str, order: list[str], value: str, buck
         F.min("pos").alias("first_pos"), F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
 
 
-def acf_pacf(df: DataFrame, series: str, order: list[str], value: str, nlags: int = 10) -> DataFrame:
+def partial_autocorrelations(rho: Column, nlags: int) -> Column:
+    """Durbin-Levinson as a fold over the autocorrelations (element 0 is lag 0): an
+    array of (lag, pacf). The state holds the coefficients of the last order."""
+    def step(state: Column, k: Column) -> Column:
+        phi = state["phi"]
+        number = k.cast("double") * 0                                       # a typed zero for the sums
+        dot = lambda xs, ys: F.aggregate(F.zip_with(xs, ys, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        past = F.slice(rho, 2, F.greatest(k - 1, F.lit(0)))
+        new = F.try_divide(F.get(rho, k) - dot(phi, F.reverse(past)), 1.0 - dot(phi, past)) + number
+        kept = F.zip_with(phi, F.reverse(phi), lambda a, b: a - new * b)
+        return F.struct(F.concat(kept, F.array(new)).alias("phi"), F.concat(state["out"], F.array(new)).alias("out"))
+
+    empty = F.array().cast("array<double>")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(nlags)), F.struct(empty.alias("phi"), empty.alias("out")), step,
+                       lambda state: state["out"])
+
+
+def acf_pacf(df: DataFrame, series: str, order: list[str], value: str, nlags: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Autocorrelations (biased autocovariance / variance) and partial
-    autocorrelations by Durbin-Levinson, lags 1..nlags, per series (WIN7)."""
-    prep = prepared(df, series, order, value, 0, nlags)
-    sums = prep.groupBy(series).agg(F.first("n").alias("n"), *[
-        F.sum(F.col("r") * (F.coalesce(F.col(f"rl{j}"), F.lit(0.0)) if j else F.col("r"))).alias(f"ac_{j}")
-        for j in range(nlags + 1)])
-
-    kind = df.schema[series].dataType.simpleString()
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, r in pdf.iterrows():
-            c = np.array([r[f"ac_{j}"] for j in range(nlags + 1)], dtype=float)
-            rho = c / c[0] if c[0] else np.full(nlags + 1, np.nan)
-            phi_prev = np.array([])
-            for k in range(1, nlags + 1):
-                if k == 1:
-                    phi = np.array([rho[1]])
-                else:
-                    num = rho[k] - phi_prev @ rho[1:k][::-1]
-                    den = 1 - phi_prev @ rho[1:k]
-                    pk = num / den if den else np.nan
-                    phi = np.append(phi_prev - pk * phi_prev[::-1], pk)
-                rows.append((r[series], k, float(rho[k]), float(phi[-1])))
-                phi_prev = phi
-        return pd.DataFrame(rows, columns=["series", "lag", "acf", "pacf"])
-
-    return sums.groupBy(series).applyInPandas(finish, f"series {kind}, lag int, acf double, pacf double")
+    autocorrelations by Durbin-Levinson, lags 1..nlags, per series (WIN7). Both
+    are null for a constant series; a partial one is null from where the recursion divides by zero."""
+    rho = _autocorrelations(df, series, order, value, nlags, block_rows)
+    both = rho.select(F.col(series).alias("series"), F.slice("rho", 2, nlags).alias("acf"),
+                      partial_autocorrelations(F.col("rho"), nlags).alias("pacf"))
+    return both.select("series", F.posexplode(F.arrays_zip("acf", "pacf")).alias("lag", "a")) \
+        .select("series", (F.col("lag") + 1).alias("lag"), "a.acf", "a.pacf")

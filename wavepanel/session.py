@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +67,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executors, unlike a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_shared(df: DataFrame, stem: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back:
+    what follows survives lost executors, and reads the columns it needs."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
