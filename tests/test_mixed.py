@@ -11,6 +11,26 @@ from wavepanel.operators import mixed as M
 from wavepanel.sources.testdata import orders_panel
 
 
+def dense_reml(y: np.ndarray, X: np.ndarray, groups: np.ndarray, Z: np.ndarray, gamma: np.ndarray):
+    """Reference dense GLS profile REML at a fixed G ."""
+    n, p = X.shape
+    Vinv_blocks, logdet = [], 0.0
+    V = np.zeros((n, n))
+    for g in np.unique(groups):
+        idx = np.where(groups == g)[0]
+        Zi = Z[idx]
+        V[np.ix_(idx, idx)] = np.eye(len(idx)) + Zi @ gamma @ Zi.T
+    Vinv = np.linalg.inv(V)
+    _, logdet = np.linalg.slogdet(V)
+    xwx = X.T @ Vinv @ X
+    beta = np.linalg.solve(xwx, X.T @ Vinv @ y)
+    r = y - X @ beta
+    r2 = float(r @ Vinv @ r)
+    s2 = r2 / (n - p)
+    m2ll = logdet + np.linalg.slogdet(xwx)[1] + (n - p) * (math.log(s2) + math.log(2 * math.pi) + 1.0)
+    return m2ll, beta, s2
+
+
 def _synthetic(spark, slope_sd=0.3, seed=11):
     rng = np.random.default_rng(seed)
     rows = []
@@ -39,7 +59,7 @@ def test_reml_matches_dense_gls_and_is_optimal(spark, slope):
     res = M.fit_lmm(df, "y", "e", fixed=["v", "x"], factors={"g": "a"}, slope=slope)
     fit = res.fits["model"]
     y, X, groups, Z = _dense_inputs(df, slope)
-    m2ll, beta, s2 = M.dense_reml(y, X, groups, Z, fit["gamma"])
+    m2ll, beta, s2 = dense_reml(y, X, groups, Z, fit["gamma"])
     assert math.isclose(m2ll, fit["m2ll"], rel_tol=1e-10)
     assert np.allclose(beta, fit["beta"], atol=1e-8) and math.isclose(s2, fit["s2"], rel_tol=1e-8)
     q = Z.shape[1]
@@ -47,7 +67,7 @@ def test_reml_matches_dense_gls_and_is_optimal(spark, slope):
         for d in (1e-3, -1e-3):
             th = np.array(fit["theta"], dtype=float)
             th[i] += d
-            assert M.dense_reml(y, X, groups, Z, M._gamma(th, q))[0] >= m2ll - 1e-7
+            assert dense_reml(y, X, groups, Z, M._gamma(th, q))[0] >= m2ll - 1e-7
     assert fit["converged"]
     # the random intercept is clearly non-zero in this design
     assert fit["gamma"][0, 0] * fit["s2"] > 0.5
@@ -163,3 +183,21 @@ def test_no_rows_and_text_numbers(spark):
         spark.createDataFrame([(1, 0.0, 0.0, "a", "junk")], "e long, v double, x double, g string, y string"))
     a = M.fit_lmm(text, "y", "e", fixed=["v"]).fits["model"]
     assert np.allclose(a["beta"], M.fit_lmm(df, "y", "e", fixed=["v"]).fits["model"]["beta"], atol=1e-8)
+
+
+def test_the_mode_is_that_of_all_rows(spark):
+    rows = [(i % 7, float(i % 3), "often", None) for i in range(60)] + [(i % 7, float(i % 3), "a" if i % 3 else "b", float(i * i % 11)) for i in range(40)]
+    rows += [(i % 7, 1.0, "often", float(i)) for i in range(5)]
+    res = M.fit_lmm(spark.createDataFrame(rows, "e long, x double, g string, y double"), "y", "e", ["x"], {"g": "mode"})
+    assert res.terms == ["Intercept", "g[T.a]", "g[T.b]", "x"]
+
+
+@pytest.mark.parametrize("max_patterns", [20_000, 0])
+def test_given_covariance_is_not_searched_for(spark, max_patterns):
+    df = _synthetic(spark)
+    free = M.fit_lmm(df, "y", "e", ["v", "x"], {"g": "a"}, slope="v")
+    held = M.fit_lmm(df, "y", "e", ["v", "x"], {"g": "a"}, slope="v", covariance=free.fits["model"]["gamma"].tolist(), max_patterns=max_patterns)
+    assert held.fits["model"]["m2ll"] == pytest.approx(free.fits["model"]["m2ll"], rel=1e-12)
+    assert held.fits["model"]["beta"] == pytest.approx(free.fits["model"]["beta"], rel=1e-9)
+    other = M.fit_lmm(df, "y", "e", ["v", "x"], {"g": "a"}, slope="v", covariance=[[1.0, 0.1], [0.1, 0.5]])
+    assert other.fits["model"]["m2ll"] > free.fits["model"]["m2ll"]

@@ -83,17 +83,19 @@ class Design:
 
 
 def build_design(df: DataFrame, fixed: list[str], factors: dict[str, object] | None, outcome: str | None = None,
-                 slope: str | None = None) -> Design:
+                 slope: str | None = None, every_row: DataFrame | None = None) -> Design:
     """Intercept, treatment-coded factors (reference level omitted; MOD2,
     PRJ18) and numeric covariates, in that order. A factor's reference may be
-    a level, ``'mode'`` (most frequent, smallest on ties; AGG19) or
+    a level, ``'mode'`` (most frequent in ``every_row``, smallest on ties; AGG19) or
     ``'first'`` (alphabetical)."""
     terms, exprs = ["Intercept"], [F.lit(1.0)]
     counts = factor_level_counts(df, list((factors or {}).keys()))
+    modes = [c for c, ref in (factors or {}).items() if ref == "mode"]
+    all_counts = factor_level_counts(every_row, modes) if every_row is not None else counts
     for col, ref in (factors or {}).items():
         levels = [lv for lv, _ in counts[col]]
         if ref == "mode" and levels:
-            ref = min(counts[col], key=lambda t: (-t[1], t[0]))[0]
+            ref = min(all_counts[col], key=lambda t: (-t[1], t[0]))[0]
         elif (ref == "first" or ref is None) and levels:
             ref = levels[0]
         for lv in levels:
@@ -357,10 +359,14 @@ def _search(q: int, max_rounds: int = 40, h: float = 1e-4):
     return theta, best, False
 
 
-def _fit_all(models: dict, q: int, scale: float, sums_of) -> dict:
+def _fit_all(models: dict, q: int, scale: float, sums_of, given: np.ndarray | None = None) -> dict:
     """Run the searches of all models in step. ``models``: name -> (xx, kept
     columns, rows); ``sums_of`` maps name -> candidate covariances to the sums
-    of each (name, place)."""
+    of each (name, place). A ``given`` covariance is taken without a search."""
+    if given is not None:
+        sums = sums_of({m: [given] for m in models})
+        best = {m: _profile(sums[m, 0], *model) for m, model in models.items()}
+        return {m: (given, b, b[1] is not None) for m, b in best.items()}
     searches = {m: _search(q) for m in models}
     asked = {m: next(s) for m, s in searches.items()}
     found = {}
@@ -400,14 +406,16 @@ class LmmResult:
 
 def fit_lmm(df: DataFrame, outcome: str, entity: str, fixed: list[str] | None = None,
             factors: dict[str, object] | None = None, slope: str | None = None,
-            model: str | None = None, max_patterns: int = 20_000) -> LmmResult:
+            model: str | None = None, max_patterns: int = 20_000,
+            covariance: list[list[float]] | None = None) -> LmmResult:
     """Fit one LMM per value of ``model`` (or a single model) by REML.
 
     ``fixed``: numeric covariates; ``factors``: {column: reference level or
     'mode'/'first'}; ``slope``: column of the random slope (None = random
     intercept only). Text in a numeric column is read as a number, null where
     it is none; rows with a null in any used column are dropped (listwise,
-    PRJ21).
+    PRJ21), but a factor's mode is that of all rows. ``covariance`` gives the random
+    effects' covariance over the residual variance, which is then not searched for.
 
     ``max_patterns`` bounds the pattern table brought to the driver (about
     4(p+1)^2 doubles a pattern); beyond it each batch of candidates is summed
@@ -417,7 +425,12 @@ def fit_lmm(df: DataFrame, outcome: str, entity: str, fixed: list[str] | None =
     numeric = list(dict.fromkeys([outcome, *fixed, *([slope] if slope else [])]))
     need = [*numeric, entity, *list((factors or {}).keys()), *([model] if model else [])]
     base = as_numbers(df, numeric).dropna(subset=list(dict.fromkeys(need)))
-    design = build_design(base, fixed, factors, outcome, slope)
+    design = build_design(base, fixed, factors, outcome, slope, df)
+    given = None
+    if covariance is not None:
+        # u0 + u1 v = (u0 + c u1) + u1 (v - c)
+        shift = np.array([[1.0]]) if not slope else np.array([[1.0, design.slope_centre], [0.0, 1.0]])
+        given = shift @ np.array(covariance, float) @ shift.T
     q, p = 2 if slope else 1, len(design.terms)
     P = p + 1
     ent = entity_stats(_rows(base, outcome, design, entity, slope, model), P, q)
@@ -427,13 +440,13 @@ def fit_lmm(df: DataFrame, outcome: str, entity: str, fixed: list[str] | None =
         ent = cut_lineage(ent)
         total = _totals(ent, P)
         found = _fit_all({m: t[:3] for m, t in total.items()}, q, design.slope_scale,
-                         lambda asked: _entity_sums(ent, asked, P, q))
+                         lambda asked: _entity_sums(ent, asked, P, q), given)
     else:
         tables = {m: _assemble(rs.reset_index(drop=True), P, q) for m, rs in pats.groupby("__model")}
         total = {m: (t.xx, _independent(t.xx[:p, :p]), int(t.c @ t.n_i), int(t.c.sum()), int(t.n_i.min()), int(t.n_i.max()))
                  for m, t in sorted(tables.items())}
         found = _fit_all({m: t[:3] for m, t in total.items()}, q, design.slope_scale,
-                         lambda asked: {(m, i): _pattern_sums(tables[m], g) for m, gs in asked.items() for i, g in enumerate(gs)})
+                         lambda asked: {(m, i): _pattern_sums(tables[m], g) for m, gs in asked.items() for i, g in enumerate(gs)}, given)
     fits = {m: _finish(found[m], t, design, q) for m, t in sorted(total.items())}
     spark = df.sparkSession
     return LmmResult(_coef_table(spark, fits, design.terms), _variance_table(spark, fits, q),
@@ -589,25 +602,5 @@ def marginal_residuals(df: DataFrame, result: LmmResult, model: str, outcome: st
     return df.select("*", pred.alias("fitted"), (F.col(outcome) - pred).alias("residual"))
 
 
-def dense_reml(y: np.ndarray, X: np.ndarray, groups: np.ndarray, Z: np.ndarray, gamma: np.ndarray):
-    """Reference dense GLS profile REML at a fixed G (for tests only)."""
-    n, p = X.shape
-    Vinv_blocks, logdet = [], 0.0
-    V = np.zeros((n, n))
-    for g in np.unique(groups):
-        idx = np.where(groups == g)[0]
-        Zi = Z[idx]
-        V[np.ix_(idx, idx)] = np.eye(len(idx)) + Zi @ gamma @ Zi.T
-    Vinv = np.linalg.inv(V)
-    _, logdet = np.linalg.slogdet(V)
-    xwx = X.T @ Vinv @ X
-    beta = np.linalg.solve(xwx, X.T @ Vinv @ y)
-    r = y - X @ beta
-    r2 = float(r @ Vinv @ r)
-    s2 = r2 / (n - p)
-    m2ll = logdet + np.linalg.slogdet(xwx)[1] + (n - p) * (math.log(s2) + _LOG2PI + 1.0)
-    return m2ll, beta, s2
-
-
 __all__ = ["fit_lmm", "LmmResult", "blups", "fit_errors", "marginal_residuals", "predict_fixed",
-           "dense_reml", "build_design", "entity_stats", "pattern_stats"]
+           "build_design", "entity_stats", "pattern_stats"]
