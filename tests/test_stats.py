@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
@@ -258,3 +259,27 @@ def test_normality_tests_use_every_row(spark, monkeypatch):
         assert math.isclose(ad[k].a2, plain_anderson(x), rel_tol=1e-6, abs_tol=1e-7), k
     assert abs(sw["weights"].w - 0.78881) < 1e-5 and abs(sw["weights"].sw_p - 0.006704) < 1e-6
     assert H.shapiro_wilk(df.limit(0)).count() == 0 == H.anderson_darling(df.limit(0)).count()
+
+
+def test_quantiles_of_awkward_values(spark):
+    """Infinities, spread over many orders of magnitude, all within one narrow band, NaN, weights."""
+    from wavepanel.operators.describe import exact_quantiles
+    rng = np.random.default_rng(4)
+    groups = {"wide": np.concatenate([10.0 ** rng.uniform(-300, 300, 900), -10.0 ** rng.uniform(-300, 300, 900)]),
+              "narrow": np.concatenate([1000 + rng.normal(size=3000) * 1e-9, [1e300]]), "halves": np.array([-1e308, 1e308, 0.0]),
+              "infinite": np.concatenate([rng.normal(size=50), [np.inf] * 30, [-np.inf] * 30]), "same": np.full(40, 5.0), "big": np.arange(20_000) * 1.0}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("same", None), ("same", float("nan")), ("none", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(4)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.77, 0.999, 1.0]
+    got = {r.g: r.q for r in exact_quantiles(df, ["g"], "x", probs).collect()}
+    assert got.keys() == groups.keys()
+    for k, x in groups.items():
+        if k == "infinite":
+            assert got[k][0] == -np.inf and got[k][-1] == np.inf and math.isclose(got[k][3], np.median(x))
+            continue
+        assert got[k] == pytest.approx(np.quantile(x, probs).tolist(), rel=1e-12, abs=1e-300), k
+    weighted = spark.createDataFrame([(1.0, 3), (2.0, 1), (9.0, 6)], "x double, c long")
+    assert exact_quantiles(weighted, [], "x", [0.5, 0.25], weight="c").first().q == [9.0, 1.25]
+    from wavepanel.operators.describe import group_stats
+    r = group_stats(spark.createDataFrame([(None, v) for v in (1.0, 2.0, 3.0, float("nan"))], "g string, x double"), ["g"], ["x"]).first()
+    assert (r.n, r["mean"], r["median"]) == (3, 2.0, 2.0)

@@ -12,21 +12,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavepanel.catalog import BALANCE_RATIO
-from wavepanel.operators.clean import as_numbers
+from wavepanel.operators.clean import number
 from wavepanel.operators.derive import trimmed_nonblank
 from wavepanel.operators.sizing import bounded
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs, name: str = "q") -> DataFrame:
+#: Ranges that each narrowing pass cuts a group's remaining values into, and passes.
+QUANTILE_RANGES, NARROWINGS = 4096, 2
+
+
+def _same(left: list[str], right: list[str]) -> list:
+    return [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)]
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs, name: str = "q", weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation per group, one definition at
-    every size: (by, array of the quantiles). Values are counted first (partial
-    aggregate), the counts run up in value order, and the values at the two
-    places around each quantile are picked. No buffer holds a group: the window
-    works over a group's distinct values on sorted, spillable rows."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    group = Window.partitionBy(*by)
-    placed = counts.select(*by, "__v", "__c", F.sum("__c").over(group.orderBy("__v")).alias("__end"),
-                           F.sum("__c").over(group).alias("__n"))
+    every size: (by, array of the quantiles); nulls and NaN are missing. Values are
+    counted first (partial aggregate). Each narrowing pass cuts the values of a
+    group into ranges between their smallest and largest, adds up the ranges and
+    keeps those that hold one of the asked places; what is left is cut again. Only
+    the last ranges are sorted. No window works over more than the ranges of a group
+    or the values of one of the last ranges. ``weight``: column of how often a row counts."""
+    counts = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))) \
+        .groupBy(*by, F.col(value).alias("__v")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__c"))
     places = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("__n") - 1)).alias("at"))
                        for i, p in enumerate(probs)])
 
@@ -34,6 +42,29 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs, name: str =
         return (place >= F.col("__end") - F.col("__c")) & (place < F.col("__end"))
 
     held = F.filter(places, lambda s: here(F.floor(s["at"])) | here(F.ceil(s["at"])))
+    finite = F.when(F.abs(F.col("__v").cast("double")) < float("inf"), F.col("__v").cast("double"))
+    # the ranges so far: a group as a whole, its rows before it and in all
+    keys = list(by)
+    ranges = counts.groupBy(*by).agg(F.min(finite).alias("__lo"), F.max(finite).alias("__hi"), F.sum("__c").alias("__n"),
+                                     F.lit(0).cast("long").alias("__before"))
+    rows = counts
+    for level in range(NARROWINGS):
+        v, lo, hi = F.col("__v").cast("double"), F.col("__lo"), F.col("__hi")
+        cut = F.least(F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * QUANTILE_RANGES), F.lit(QUANTILE_RANGES - 1))
+        part = F.when(v == float("inf"), QUANTILE_RANGES).when(v == float("-inf"), -1).when(lo == hi, 0).otherwise(cut).cast("int")
+        named = ranges.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__lo", "__hi", "__n", "__before")
+        inside = rows.join(named, _same(keys, [f"__k{i}" for i in range(len(keys))]), "inner") if keys else rows.crossJoin(bounded(named))
+        inside = inside.select(*keys, "__v", "__c", "__n", "__before", part.alias(f"__part{level}"))
+        keys.append(f"__part{level}")
+        group = Window.partitionBy(*keys[:-1])
+        sums = inside.groupBy(*keys).agg(F.sum("__c").alias("__c"), F.min(finite).alias("__lo"), F.max(finite).alias("__hi"),
+                                         F.first("__n").alias("__n"), F.first("__before").alias("__before"))
+        ends = sums.withColumn("__end", F.col("__before") + F.sum("__c").over(group.orderBy(keys[-1])))
+        ranges = ends.filter(F.size(held) > 0).select(*keys, "__lo", "__hi", "__n", (F.col("__end") - F.col("__c")).alias("__before"))
+        rows = inside.select(*keys, "__v", "__c")
+    named = ranges.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n", "__before")
+    left = rows.join(named, _same(keys, [f"__k{i}" for i in range(len(keys))]), "inner")
+    placed = left.select(*by, "__v", "__c", "__n", (F.col("__before") + F.sum("__c").over(Window.partitionBy(*keys).orderBy("__v"))).alias("__end"))
     hits = placed.select(*by, "__v", "__c", "__end", F.explode(held).alias("s"))
     at, lo, hi = F.col("s.at"), F.floor("s.at"), F.ceil("s.at")
     ends = hits.groupBy(*by, F.col("s.i").alias("__i")).agg(
@@ -46,9 +77,10 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs, name: str =
     return ends.groupBy(*by).agg(listed.alias(name))
 
 
-def add_quantiles(stats: DataFrame, df: DataFrame, by: list[str], value: str, probs, name: str = "__q") -> DataFrame:
+def add_quantiles(stats: DataFrame, df: DataFrame, by: list[str], value: str, probs, name: str = "__q",
+                  weight: str | None = None) -> DataFrame:
     """``stats`` (one row per group of ``df``) with the array of its exact quantiles; null for a group without values."""
-    q = exact_quantiles(df, by, value, probs, name)
+    q = exact_quantiles(df, by, value, probs, name, weight)
     q = q.select(*[F.col(b).alias(f"__k{i}") for i, b in enumerate(by)], name)
     same = [F.col(b).eqNullSafe(F.col(f"__k{i}")) for i, b in enumerate(by)]
     return stats.join(q, same, "left").drop(*[f"__k{i}" for i in range(len(by))])
@@ -57,10 +89,9 @@ def add_quantiles(stats: DataFrame, df: DataFrame, by: list[str], value: str, pr
 def long_values(df: DataFrame, cols: list[str], ids: list[str] | None = None,
                 name: str = "variable", value: str = "value", cast: str | None = "double") -> DataFrame:
     """Wide -> long (RSH1) keeping ``ids``; values cast to one type. Text that
-    is to be a number and is none becomes null (PRJ4)."""
+    is to be a number and is none, and NaN, become null (PRJ4)."""
     ids = ids or []
-    df = as_numbers(df, cols) if cast == "double" else df
-    vals = [F.col(c).cast(cast).alias(c) if cast else F.col(c) for c in cols]
+    vals = [(number(df, c) if cast == "double" else F.col(c).cast(cast)).alias(c) if cast else F.col(c) for c in cols]
     return df.select(*ids, *vals).unpivot(ids, cols, name, value)
 
 
@@ -149,7 +180,8 @@ def mean_se(long: DataFrame, by: list[str], value: str = "value", z: float = 1.9
 
 
 def mean_median_count(df: DataFrame, by: str, col: str, digits: int = 3) -> DataFrame:
-    """Rounded mean, median and count per group (AGG12)."""
+    """Rounded mean, median and count per group (AGG12); NaN and text that is no number are missing."""
+    df = df.withColumn(col, number(df, col))
     out = df.groupBy(by).agg(F.bround(F.avg(col), digits).alias("mean"), F.count(col).alias("n"))
     return add_quantiles(out, df, [by], col, [0.5]).select(by, "mean", F.bround(F.col("__q")[0], digits).alias("median"), "n")
 

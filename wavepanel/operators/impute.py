@@ -27,6 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavepanel.operators.clean import as_numbers
+from wavepanel.operators.describe import add_quantiles
+from wavepanel.operators.sizing import bounded
+
 
 def _item(v: str, order: list[str]) -> Column:
     fields = [F.col(order[0]).cast("double").alias("p")]
@@ -97,6 +101,7 @@ def knn_impute(df: DataFrame, entity: str, order: list[str], variables: list[str
     run per (entity, order-range chunk) with boundary halos, so an entity of
     any size is split across tasks (identical results).
     """
+    df = as_numbers(df, variables)
     cand = _candidates(df, entity, order, variables, k, chunk_width)
     pos = F.col(order[0]).cast("double")
     cand = cand.select("*", *[F.when(F.col(v).isNull(), _sorted_candidates(F.col(f"__cand_{v}"), pos, len(order)))
@@ -122,6 +127,7 @@ def k_sweep(df: DataFrame, entity: str, order: list[str], variables: list[str],
     candidate pass, summarised per (variable, k): count, mean, std, median
     (IMP2, AGG22)."""
     k_max = max(ks)
+    df = as_numbers(df, variables)
     cand = _candidates(df, entity, order, variables, k_max, chunk_width)
     pos = F.col(order[0]).cast("double")
     # only missing cells are summarised; sort each one's candidates once for all k
@@ -138,9 +144,15 @@ def k_sweep(df: DataFrame, entity: str, order: list[str], variables: list[str],
             cells.append(F.struct(F.lit(v).alias("variable"), F.lit(k).alias("k"),
                                   F.when(touched, val).alias("value")))
     long = cand.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter(F.col("value").isNotNull())
-    return long.groupBy("variable", "k").agg(
-        F.count(F.lit(1)).alias("n_imputed"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.median("value").alias("median"))
+    # imputed values are whole numbers, so few: counted once, and all statistics are taken of the counts
+    keys = ["variable", "k"]
+    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
+    means = counts.groupBy(*keys).agg(F.sum("c").alias("n_imputed"), (F.sum(F.col("c") * F.col("value")) / F.sum("c")).alias("mean"))
+    away = counts.join(bounded(means), keys).groupBy(*keys, "n_imputed", "mean") \
+        .agg(F.sum(F.col("c") * (F.col("value") - F.col("mean")) ** 2).alias("ss"))
+    std = F.when(F.col("n_imputed") > 1, F.sqrt(F.col("ss") / (F.col("n_imputed") - 1)))
+    out = add_quantiles(away.select(*keys, "n_imputed", "mean", std.alias("std")), counts, keys, "value", [0.5], weight="c")
+    return out.select(*keys, "n_imputed", "mean", "std", F.col("__q")[0].alias("median"))
 
 
 def imputation_counts(df: DataFrame, variables: list[str], suffix: str = "_imputed",

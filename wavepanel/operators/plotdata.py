@@ -67,7 +67,8 @@ def qq_points(df: DataFrame, cols: list[str], points: int = 99) -> DataFrame:
 
 
 def box_stats(df: DataFrame, cols: list[str], by: list[str] | None = None, whisker: float = 1.5) -> DataFrame:
-    """Five-number summary with Tukey whiskers per variable and group (PLT3)."""
+    """Five-number summary with Tukey whiskers per variable and group, rows
+    without a group being one (PLT3)."""
     by = by or []
     long = long_values(df, cols, ids=by).filter(F.col("value").isNotNull())
     keys = [*by, "variable"]
@@ -76,12 +77,15 @@ def box_stats(df: DataFrame, cols: list[str], by: list[str] | None = None, whisk
     iqr = F.col("q3") - F.col("q1")
     fences = q.select("*", (F.col("q1") - whisker * iqr).alias("__lo"), (F.col("q3") + whisker * iqr).alias("__hi"))
     fences = level_table(fences)
-    j = long.join(fences.select(*keys, "__lo", "__hi"), keys)
+    named = [f"__k{i}" for i in range(len(keys))]
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named)]
+    j = long.join(fences.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], "__lo", "__hi"), same)
     wk = j.groupBy(*keys).agg(
         F.min(F.when(F.col("value") >= F.col("__lo"), F.col("value"))).alias("whisker_lo"),
         F.max(F.when(F.col("value") <= F.col("__hi"), F.col("value"))).alias("whisker_hi"),
         F.count_if((F.col("value") < F.col("__lo")) | (F.col("value") > F.col("__hi"))).alias("n_outliers"))
-    return fences.drop("__lo", "__hi").join(wk, keys)
+    wk = wk.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], "whisker_lo", "whisker_hi", "n_outliers")
+    return fences.drop("__lo", "__hi").join(wk, same).drop(*named)
 
 
 def plot_limits(coefs: DataFrame, by: list[str] | None = None, pct: float = 95, z: float = 1.96,

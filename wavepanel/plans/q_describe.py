@@ -155,6 +155,26 @@ def q_group_stats(spark, sf):
     return rounded(out, ["mean", "std", "median"])
 
 
+GAPS = f"""SELECT * REPLACE (CASE WHEN order_key % 7 <> 0 THEN stage END AS stage, CASE WHEN order_key % 5 <> 0 THEN m1 END AS m1)
+FROM ({ORDERS_PANEL_SQL})"""
+
+
+def panel_with_gaps(spark, sf):
+    """The panel with rows without a stage, and NaN among the values."""
+    return orders_panel(spark, sf).withColumns({
+        "stage": F.when(F.col("order_key") % 7 != 0, F.col("stage")),
+        "m1": F.when(F.col("order_key") % 5 != 0, F.col("m1")).otherwise(F.lit(float("nan")))})
+
+
+@register("group_stats_gaps", with_cte("""
+SELECT stage, measure, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+       round(median(value), 6) AS median, min(value) AS min, max(value) AS max
+FROM long GROUP BY stage, measure""", panel=GAPS, long=_long_sql(["m1", "m2", "e1"])))
+def q_group_stats_gaps(spark, sf):
+    """AGG10 with NaN among the values and rows without a stage."""
+    return rounded(D.group_stats(panel_with_gaps(spark, sf), ["stage"], ["m1", "m2", "e1"]), ["mean", "std", "median"])
+
+
 @register("mean_se", with_cte("""
 SELECT stage, measure, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(*)), 6) AS se,
        count(value) AS n_valid, count(*) AS n_rows, round(1.96 * stddev_samp(value) / sqrt(count(*)), 6) AS ci_half
@@ -185,13 +205,13 @@ def q_mean_of_means(spark, sf):
                       F.col("sample_size").cast("bigint").alias("sample_size"))
 
 
-def _describe_sql(cols):
+def _describe_sql(cols, panel=ORDERS_PANEL_SQL):
     return with_cte("""
 SELECT variable, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
        min(value) AS min, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
        round(quantile_cont(value, 0.75), 6) AS p75, max(value) AS max
 FROM (""" + "\nUNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS value FROM panel"
-                                 for c in cols) + ") GROUP BY variable", **P)
+                                 for c in cols) + ") GROUP BY variable", panel=panel)
 
 
 DESCRIBE_COLS = ["m1", "m2", "e1", "x1", "age"]
@@ -203,6 +223,12 @@ def q_describe(spark, sf):
     return rounded(out, ["mean", "std", "p25", "p50", "p75"])
 
 
+@register("describe_gaps", _describe_sql(DESCRIBE_COLS, GAPS))
+def q_describe_gaps(spark, sf):
+    """AGG17 with NaN among the values."""
+    return rounded(D.describe(panel_with_gaps(spark, sf), DESCRIBE_COLS), ["mean", "std", "p25", "p50", "p75"])
+
+
 @register("mode_by_stage", with_cte("""
 SELECT stage, arg_min(e1, [-n, e1]) AS mode, max(n) AS n FROM (
   SELECT stage, e1, count(*) AS n FROM panel WHERE e1 IS NOT NULL GROUP BY stage, e1) GROUP BY stage""", **P))

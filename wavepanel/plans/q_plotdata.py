@@ -10,6 +10,7 @@ from wavepanel.functions import special as S
 from wavepanel.operators import plotdata as PD
 from wavepanel.operators.correlate import corr_long
 from wavepanel.operators.describe import long_values, null_rate_by
+from wavepanel.plans.q_describe import GAPS, panel_with_gaps
 from wavepanel.plans.registry import register
 from wavepanel.sources.testdata import ORDERS_PANEL_SQL, orders_panel, with_cte
 
@@ -76,19 +77,29 @@ def q_qq(spark, sf):
     return q.select("variable", "p", *[F.round(c, 6).alias(c) for c in ["theoretical", "sample", "standardized"]])
 
 
-@register("box_stats", with_cte("""
+def _box_sql(panel: str) -> str:
+    return with_cte("""
 SELECT q.stage, q.variable, q.n, q.q1, q.median, q.q3,
        min(CASE WHEN c.value >= q.q1 - 1.5 * (q.q3 - q.q1) THEN c.value END) AS whisker_lo,
        max(CASE WHEN c.value <= q.q3 + 1.5 * (q.q3 - q.q1) THEN c.value END) AS whisker_hi,
        CAST(count_if(c.value < q.q1 - 1.5 * (q.q3 - q.q1) OR c.value > q.q3 + 1.5 * (q.q3 - q.q1)) AS BIGINT) AS n_outliers
-FROM cells c JOIN q ON c.stage = q.stage AND c.variable = q.variable
-GROUP BY q.stage, q.variable, q.n, q.q1, q.median, q.q3""", **P, cells=_cells(["m1", "x1"], ids="stage"),
-    q="""SELECT stage, variable, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
-                quantile_cont(value, 0.75) AS q3 FROM cells GROUP BY stage, variable"""))
+FROM cells c JOIN q ON c.stage IS NOT DISTINCT FROM q.stage AND c.variable = q.variable
+GROUP BY q.stage, q.variable, q.n, q.q1, q.median, q.q3""", panel=panel, cells=_cells(["m1", "x1"], ids="stage"),
+                    q="""SELECT stage, variable, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+                quantile_cont(value, 0.75) AS q3 FROM cells GROUP BY stage, variable""")
+
+
+@register("box_stats", _box_sql(ORDERS_PANEL_SQL))
 def q_box(spark, sf):
     return PD.box_stats(orders_panel(spark, sf), ["m1", "x1"], by=["stage"])
 
 
+@register("box_stats_gaps", _box_sql(GAPS))
+def q_box_gaps(spark, sf):
+    """PLT3 with NaN among the values and rows without a stage, which are a group."""
+    return PD.box_stats(panel_with_gaps(spark, sf), ["m1", "x1"], by=["stage"])
+
+
 @register("binned_2d", with_cte("""
 SELECT floor(m1 / 2.0) * 2.0 AS x_left, floor(x1 / 10.0) * 10.0 AS y_left, count(*) AS n
 FROM panel WHERE m1 IS NOT NULL AND x1 IS NOT NULL GROUP BY floor(m1 / 2.0), floor(x1 / 10.0)""", **P))
