@@ -103,6 +103,33 @@ def test_read_panel_multi_file(spark, tmp_path):
     assert rows(dim, "PID", "DEGREE") == [(1.0, 3.0), (2.0, None)]
 
 
+def test_many_files_are_one_scan(spark, tmp_path):
+    for v in range(1, 61):
+        (tmp_path / f"w_timestamp_{v}.tsv").write_text(f"id{v}\tx y{v}\tnote{v}\n{v}\t{v / 2}\t\"a\tb\"\n\n{v}\t\tz\n")
+    (tmp_path / "empty_timestamp_99.tsv").write_text("")
+    df = read_panel(spark, str(tmp_path))
+    assert df.columns == ["id", "x y", "note", "source_visit"] and df.count() == 120
+    assert rows(df.filter("source_visit = 7")) == [(7.0, None, "z", 7), (7.0, 3.5, "a\tb", 7)] or \
+        sorted(map(str, rows(df.filter("source_visit = 7")))) == sorted(map(str, [(7.0, 3.5, "a\tb", 7), (7.0, None, "z", 7)]))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [value") <= 2 and "Union" not in plan
+    assert read_panel(spark, str(tmp_path), visits=[3, 5]).count() == 4
+    with pytest.raises(ValueError, match="no visit files"):
+        read_panel(spark, str(tmp_path), visits=[1000])
+    (tmp_path / "w_timestamp_61.tsv").write_text("a\ta61\n1\t2\n")
+    with pytest.raises(ValueError, match="both map"):
+        read_panel(spark, str(tmp_path))
+
+
+def test_written_rows_are_counted_and_none_raises(spark, tmp_path):
+    from wavepanel.sources.io import write_rows
+    df = spark.range(10).selectExpr("id", "id % 2 AS g")
+    assert write_rows(df, str(tmp_path / "t"), partition_by=["g"]) == 10
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 10
+    with pytest.raises(ValueError, match="no rows"):
+        write_rows(df.filter("id < 0"), str(tmp_path / "none"))
+
+
 def test_row_mean_and_pair_mean(spark):
     df = spark.createDataFrame([(None, None, None), (2.0, None, None), (1.0, 2.0, 4.0)], "a double, b double, c double")
     out = df.select(D.row_mean(["a", "b", "c"]).alias("m"), D.pair_mean("a", "b").alias("p")).collect()

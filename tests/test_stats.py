@@ -283,3 +283,21 @@ def test_quantiles_of_awkward_values(spark):
     from wavepanel.operators.describe import group_stats
     r = group_stats(spark.createDataFrame([(None, v) for v in (1.0, 2.0, 3.0, float("nan"))], "g string, x double"), ["g"], ["x"]).first()
     assert (r.n, r["mean"], r["median"]) == (3, 2.0, 2.0)
+
+
+def test_little_mcar_of_awkward_columns(spark):
+    """Constant, collinear, text, all-null and no rows: defined results, and what they add to nothing."""
+    rng = np.random.default_rng(3)
+    rows = [(float(a) if rng.random() < 0.8 else None, float(a + b) if rng.random() < 0.7 else None, 4.0, str(round(b, 3)) if rng.random() < 0.9 else "?", None)
+            for a, b in rng.normal(size=(300, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, constant double, words string, none double")
+    plain = H.little_mcar(df.select("a", "b", F.expr("try_cast(words AS double)").alias("words")), ["a", "b", "words"]).first()
+    odd = H.little_mcar(df, ["a", "b", "constant", "words", "none"]).first()
+    assert odd == plain and plain.dof > 0 and 0 <= plain.p <= 1
+    twice = H.little_mcar(df.withColumn("a2", F.col("a") * 2), ["a", "a2", "b", "words"]).first()
+    assert twice.dof == plain.dof and math.isclose(twice.d2, plain.d2, rel_tol=1e-6)
+    for cols in (["constant"], ["none"], ["constant", "none"]):
+        r = H.little_mcar(df, cols).first()
+        assert (r.d2, r.dof, r.p, r.verdict) == (0.0, 0, None, None)
+    r = H.little_mcar(df.limit(0), ["a", "b"]).first()
+    assert (r.d2, r.dof, r.p, r.n_patterns) == (0.0, 0, None, 0)

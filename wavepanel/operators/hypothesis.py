@@ -12,6 +12,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from wavepanel.functions import special as S
 from wavepanel.functions import udfs as U
 from wavepanel.functions.formulas import ANDERSON_P, DAGOSTINO, DAGOSTINO_TEMPS, SHAPIRO_COEF, SHAPIRO_Z, \
     apply_steps
+from wavepanel.operators.clean import number
 from wavepanel.operators.derive import threshold_label
 from wavepanel.operators.describe import add_quantiles, exact_quantiles, long_values
 from wavepanel.operators.sizing import bounded
@@ -27,6 +29,8 @@ from wavepanel.session import cut_lineage
 
 #: Ranges into which the distinct values of a variable are cut for ranking.
 RANK_RANGES = 256
+#: Directions with less than this share of the largest eigenvalue count as determined by the others.
+MCAR_RANK = 1e-10
 
 
 def numeric_profile(df: DataFrame, cols: list[str], min_n: int = 8) -> DataFrame:
@@ -181,44 +185,53 @@ def normality_verdict(long: DataFrame, by: str = "variable", value: str = "value
                                        .when(F.col("sw_p").isNotNull() | F.col("ad_p").isNotNull(), "normal"))
 
 
-def little_mcar(df: DataFrame, cols: list[str], max_patterns: int = 100_000) -> DataFrame:
+def little_mcar(df: DataFrame, cols: list[str]) -> DataFrame:
     """Little's MCAR test (TST6).
 
-    Per missingness pattern (bit mask of the null columns, at most 2^p
-    groups) the row count and observed-variable means are one grouped
-    aggregate; global means and pairwise-complete covariances are one more
-    aggregate. The p x p solves per pattern run on the driver over those
-    small tables: d2 = sum_j n_j (mu_j - mu)' S_j^-1 (mu_j - mu),
-    df = sum_j p_j - p. ``verdict``: missing completely at random if p is above 0.05.
+    Per missingness pattern (at most 2^p groups) the row count and
+    observed-variable means are one grouped aggregate; global means and
+    pairwise-complete covariances are one more. The patterns are solved where
+    they are, with the p x p covariances at hand: d2 = sum_j n_j (mu_j - mu)' S_j^+
+    (mu_j - mu), df = sum_j rank(S_j) - rank(S). Columns without variance or
+    without values take no part, and what other columns determine counts once, so
+    any input has a result: p is null without degrees of freedom. Text is read as
+    numbers; what is none, and NaN, is missing. ``verdict``: missing completely at random if p is above 0.05.
     """
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    mask = sum((F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(cols)), F.lit(0))
-    pats = x.withColumn("__mask", mask).groupBy("__mask").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols]).limit(max_patterns + 1).collect()
-    if len(pats) > max_patterns:
-        raise ValueError(f"more than {max_patterns} missingness patterns; test fewer columns at once")
-    aggs = [F.avg(c).alias(f"mu_{i}") for i, c in enumerate(cols)]
-    aggs += [F.covar_samp(a, b).alias(f"cv_{i}_{j}")
-             for (i, a), (j, b) in itertools.combinations_with_replacement(enumerate(cols), 2)]
-    g = x.agg(*aggs).first()
+    x = df.select(*[number(df, c).alias(f"x{i}") for i, c in enumerate(cols)])
     p = len(cols)
-    mu = np.array([g[f"mu_{i}"] for i in range(p)], dtype=float)
-    cov = np.zeros((p, p))
-    for i, j in itertools.combinations_with_replacement(range(p), 2):
-        cov[i, j] = cov[j, i] = g[f"cv_{i}_{j}"] if g[f"cv_{i}_{j}"] is not None else np.nan
-    d2, pj = 0.0, 0
-    for r in pats:
-        obs = [i for i in range(p) if not (int(r["__mask"]) >> i) & 1]
-        pj += len(obs)
-        if not obs:
-            continue
-        diff = np.array([r[cols[i]] for i in obs], dtype=float) - mu[obs]
-        sub = cov[np.ix_(obs, obs)]
-        d2 += r["n"] * float(diff @ np.linalg.solve(sub, diff))
-    dof = pj - p
-    pval = S.chi2_sf(d2, dof) if dof > 0 else None
+    aggs = [F.avg(f"x{i}").alias(f"mu_{i}") for i in range(p)]
+    aggs += [F.covar_samp(f"x{i}", f"x{j}").alias(f"cv_{i}_{j}") for i, j in itertools.combinations_with_replacement(range(p), 2)]
+    g = x.agg(*aggs).first()
+    use = [i for i in range(p) if g[f"cv_{i}_{i}"] is not None and g[f"cv_{i}_{i}"] > 0]
+    scale = np.array([math.sqrt(g[f"cv_{i}_{i}"]) for i in use])
+    mu = np.array([g[f"mu_{i}"] for i in use], dtype=float)
+    pair = lambda i, j: g[f"cv_{min(i, j)}_{max(i, j)}"] or 0.0
+    corr = np.array([[pair(i, j) for j in use] for i in use], dtype=float).reshape(len(use), len(use)) / np.outer(scale, scale)
+    means = [f"m{i}" for i in use]
+
+    def solve(batches):
+        for pdf in batches:
+            mat, n = pdf[means].to_numpy(float), pdf["n"].to_numpy(float)
+            d2, rank = np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
+            for r, row in enumerate(mat):
+                obs = np.flatnonzero(~np.isnan(row))
+                if len(obs):
+                    sub = corr[np.ix_(obs, obs)]
+                    away = (row[obs] - mu[obs]) / scale[obs]
+                    d2[r] = n[r] * (away @ np.linalg.pinv(sub, rcond=MCAR_RANK, hermitian=True) @ away)
+                    rank[r] = np.linalg.matrix_rank(sub, tol=MCAR_RANK * np.abs(sub).sum(axis=1).max(), hermitian=True)
+            yield pd.DataFrame({"d2": d2, "rank": rank})
+
+    pats = x.groupBy(*[F.col(f"x{i}").isNull().alias(f"g{i}") for i in range(p)]).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in use])
+    total = pats.select("n", *means).mapInPandas(solve, "d2 double, rank long").agg(
+        F.sum("d2").alias("d2"), F.sum("rank").alias("rank"), F.count(F.lit(1)).alias("n")).first()
+    whole = int(np.linalg.matrix_rank(corr, tol=MCAR_RANK * np.abs(corr).sum(axis=1).max(), hermitian=True)) if use else 0
+    dof = int(total["rank"] or 0) - whole if total["n"] else 0
+    d2 = float(total["d2"] or 0.0)
     return df.sparkSession.createDataFrame(
-        [(float(d2), int(dof), pval, len(pats))], "d2 double, dof bigint, p double, n_patterns bigint").withColumn(
+        [(d2, max(dof, 0), S.chi2_sf(d2, dof) if dof > 0 else None, total["n"])],
+        "d2 double, dof bigint, p double, n_patterns bigint").withColumn(
         "verdict", F.when(F.col("p") > ALPHA, "MCAR").when(F.col("p").isNotNull(), "not MCAR"))
 
 

@@ -118,6 +118,20 @@ def q_missing_association(spark, sf):
     return H.association_verdict(tests).select("variable", "dof", "n", "verdict")
 
 
+@register("little_mcar_pair", with_cte("""
+SELECT round(sum(d), 6) AS d2, CAST(2 AS BIGINT) AS dof, round(exp(-sum(d) / 2), 6) AS p, CAST(count(*) AS BIGINT) AS n_patterns,
+       CASE WHEN exp(-sum(d) / 2) > 0.05 THEN 'MCAR' ELSE 'not MCAR' END AS verdict
+FROM (SELECT CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN n * (va * pow(b - mb, 2) + vb * pow(a - ma, 2) - 2 * c * (a - ma) * (b - mb)) / (va * vb - c * c)
+                  WHEN a IS NOT NULL THEN n * pow(a - ma, 2) / va WHEN b IS NOT NULL THEN n * pow(b - mb, 2) / vb ELSE 0 END AS d
+      FROM (SELECT count(*) AS n, avg(m1) AS a, avg(m2) AS b FROM panel GROUP BY m1 IS NULL, m2 IS NULL),
+           (SELECT avg(m1) AS ma, avg(m2) AS mb, var_samp(m1) AS va, var_samp(m2) AS vb, covar_samp(m1, m2) AS c FROM panel))""",
+                                        panel=ORDERS_PANEL_SQL))
+def q_little_mcar_pair(spark, sf):
+    """TST6 on two variables, which has a closed form."""
+    out = H.little_mcar(orders_panel(spark, sf), ["m1", "m2"])
+    return out.select(F.round("d2", 6).alias("d2"), "dof", F.round("p", 6).alias("p"), "n_patterns", "verdict")
+
+
 @register("little_mcar")
 def q_little_mcar(spark, sf):
     return H.little_mcar(orders_panel(spark, sf), ["m1", "m2", "e1", "e2", "e3"])

@@ -48,4 +48,4 @@ def _load() -> None:
 
 
 QUERY_MODULES = ["q_change", "q_clean", "q_describe", "q_impute", "q_correlate", "q_hypothesis",
-                 "q_mixed", "q_series", "q_plotdata", "q_reshape", "q_derive"]
+                 "q_mixed", "q_series", "q_plotdata", "q_reshape", "q_derive", "q_sources"]
