@@ -15,6 +15,7 @@ from wavepanel.catalog import BALANCE_RATIO
 from wavepanel.operators.clean import number
 from wavepanel.operators.derive import trimmed_nonblank
 from wavepanel.operators.sizing import bounded
+from wavepanel.session import write_shared
 
 
 #: Ranges that each narrowing pass cuts a group's remaining values into, and passes.
@@ -35,6 +36,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs, name: str =
     or the values of one of the last ranges. ``weight``: column of how often a row counts."""
     counts = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))) \
         .groupBy(*by, F.col(value).alias("__v")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__c"))
+    # the passes read the counts again: written once, so that nothing before them is worked out anew
+    counts = write_shared(counts, "counts")
     places = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("__n") - 1)).alias("at"))
                        for i, p in enumerate(probs)])
 

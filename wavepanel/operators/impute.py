@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from wavepanel.operators.clean import as_numbers
 from wavepanel.operators.describe import add_quantiles
 from wavepanel.operators.sizing import bounded
+from wavepanel.session import write_shared
 
 
 def _item(v: str, order: list[str]) -> Column:
@@ -146,7 +147,7 @@ def k_sweep(df: DataFrame, entity: str, order: list[str], variables: list[str],
     long = cand.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter(F.col("value").isNotNull())
     # imputed values are whole numbers, so few: counted once, and all statistics are taken of the counts
     keys = ["variable", "k"]
-    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
+    counts = write_shared(long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c")), "imputed-counts")
     means = counts.groupBy(*keys).agg(F.sum("c").alias("n_imputed"), (F.sum(F.col("c") * F.col("value")) / F.sum("c")).alias("mean"))
     away = counts.join(bounded(means), keys).groupBy(*keys, "n_imputed", "mean") \
         .agg(F.sum(F.col("c") * (F.col("value") - F.col("mean")) ** 2).alias("ss"))
