@@ -163,3 +163,18 @@ def toxicity_score(text, bias, weights):
         logits.append(bias + sum(weights.get(f, 0.0) for w in words
                                  for f in [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)]))
     return noisy_or(logits, bias)
+
+
+def common_subsequence(a, b) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b, 1):
+            row[j] = before[j - 1] + 1 if x == y else max(before[j], row[j - 1])
+    return row[-1]
+
+
+def noticed(words, template, coverage) -> bool:
+    """Whether any stretch of twice the template's length covers enough of it."""
+    return any(common_subsequence(words[i:i + 2 * len(template)], template) >= coverage * len(template) - 1e-9
+               for i in range(len(words)))

@@ -216,7 +216,9 @@ def test_planted_notices(spark):
             name, body = licenses.TEMPLATES[k]
             notice = body.split()
             if d % 2 and len(notice) > 8:
-                notice[rng.randrange(len(notice))] = "changed"
+                # the words that name a licence have to be matched
+                naming = set(licenses.NAMING.get(name, ()))
+                notice[rng.choice([i for i, w in enumerate(notice) if not naming & set(licenses.words_of(w))])] = "changed"
             words = [*words[:at], "é.", *notice, ".é", *words[at:]]
             expected.append((d, name))
         docs.append((d, "\n".join(words)))
@@ -260,6 +262,74 @@ def test_neighbouring_licenses_are_told_apart(notice, name):
     assert [x[0] for x in found] == ([name] if name else [])
 
 
+def scanner():
+    return licenses.Scanner(licenses.TEMPLATES + licenses.NEIGHBOURS, licenses.MIN_COVERAGE)
+
+
+@pytest.mark.parametrize("name, body", [t for t in licenses.TEMPLATES if len(licenses.words_of(t[1])) > 12])
+def test_changed_notices_side_by_side_are_one_row_each(name, body):
+    rng = random.Random(name)
+    naming = licenses.NAMING.get(name, ())
+    for n in (1, 2, 3, 9):
+        copies = []
+        for _ in range(n):
+            words = body.split()
+            free = [i for i, w in enumerate(words) if not set(licenses.words_of(w)) & set(naming)]
+            for i in rng.sample(free, 1 + len(words) // 30):
+                words[i] = rng.choice(["changed", "other words", "of"])
+            copies.append(" ".join(words))
+        text = "\n".join(copies)
+        found = scanner().scan(text)
+        assert [x[0] for x in found] == [name] * n
+        at = 0
+        for copy, (_, start, end, _, _) in zip(copies, found):
+            shared = min(end, at + len(copy)) - max(start, at)
+            assert shared >= 0.7 * len(copy) and end - start <= 1.1 * len(copy)
+            at += len(copy) + 1
+
+
+def test_short_notices_with_a_changed_first_word():
+    for line, name in (("Distributed under the Apache License, Version 2.0. ", "Apache-2.0"), ("Provided under the MIT License. ", "MIT")):
+        for n in (1, 2, 3, 20):
+            assert [x[0] for x in scanner().scan(line * n)] == [name] * n
+
+
+def test_bodies_tell_licences_apart():
+    for name in ("MIT", "MIT-0", "BSD-2-Clause", "BSD-3-Clause"):
+        body = max((t for n, t in licenses.TEMPLATES if n == name), key=len)
+        assert [x[0] for x in scanner().scan(f"Copyright 2020 A. Person\n\n{body}\n\nMore text.")] == [name]
+
+
+WORDS = ["w", "x", "y", "z"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(WORDS), max_size=30), st.lists(st.sampled_from(WORDS), min_size=1, max_size=8))
+def test_common_lengths_equal_brute_force(words, template):
+    masks = {w: sum(1 << i for i, x in enumerate(template) if x == w) for w in template}
+    got = licenses.common_lengths(words, masks, len(template))
+    assert got == [brute.common_subsequence(words[:i + 1], template) for i in range(len(words))]
+    assert len(licenses._subsequence(words, template)) == brute.common_subsequence(words, template)
+
+
+def test_against_the_coverage_of_every_stretch():
+    rng, body = random.Random(3), "the work is under the licence of the maker and the work stays under it".split()
+    one = licenses.Scanner((("L", " ".join(body)),), 0.8, {})
+    hits = 0
+    for _ in range(300):
+        words = [rng.choice(["the", "of", "lorem", "ipsum", "work"]) for _ in range(20)]
+        notice = [w for w in body if rng.random() > 0.1]
+        if rng.random() < 0.7:
+            words[7:7] = [rng.choice(["lorem", w]) if rng.random() < 0.2 else w for w in notice]
+        expected = brute.noticed(words, body, 0.8)
+        found = one.scan(" ".join(words))
+        assert all(coverage >= 0.8 for *_, coverage in found) and (expected or not found)
+        hits += expected
+        # an alignment by anchors can fall a word short of the longest common subsequence
+        assert found or not expected or not brute.noticed(words, body, 0.8 + 1 / len(body))
+    assert hits > 50
+
+
 def test_query_finds_every_notice_of_the_table(spark):
     found = {r.doc_id for r in queries.op10_license_scan(spark, SF_MID).collect()}
     docs = spark.read.parquet(f"{SF_MID}/documents.parquet")

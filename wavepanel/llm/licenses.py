@@ -3,14 +3,18 @@
 A template is aligned with a stretch of a text's words: words that occur once
 in both are anchors; the longest increasing subsequence of their places keeps
 the order; the gaps between kept anchors are aligned in the same way, and equal
-words at a gap's ends are matched. Coverage is the share of the template's
-words that are matched. The words that name a licence, its version and its
-kind have to be among them, so another licence's notice isn't one of it.
+words at a gap's ends are matched. A gap whose common words all repeat has no
+anchors; its longest common subsequence is taken. Coverage is the share of the
+template's words that are matched. The words that name a licence, its version
+and its kind have to be among them, so another licence's notice isn't one of it.
 
 A text is looked at if it has enough of a template's words at all, counted as
-often as the template has them; then every stretch of twice the template's
-length that has enough of them is aligned, from left to right. Both tests are
-necessary for the coverage asked for, so nothing is lost by them.
+often as the template has them. Then, from every word of the template, the
+longest common subsequence with the template is counted along a stretch of twice
+its length. Both tests are necessary for the coverage asked for, so nothing is
+lost by them. Of the stretches that pass, the one that differs least from the
+template (words on either side that are not matched) is an occurrence: notices
+side by side, changed or not, are one each.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,22 +34,39 @@ from wavepanel.llm.common import bound_arrow_batches, text_or_empty
 MIN_COVERAGE = 0.8
 #: Stretch of text that a template may take up, in times its own words.
 STRETCH = 2
-#: Wordings of public license notices.
+#: Wordings of public license notices. A sentence that two licences share names both; their bodies tell them apart.
+MIT_GRANT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+             "documentation files (the \"Software\"), to deal in the Software without restriction")
+MIT_RIGHTS = (", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+              "copies of the Software, and to permit persons to whom the Software is furnished to do so")
+MIT_CONDITION = (", subject to the following conditions: The above copyright notice and this permission notice shall be included "
+                 "in all copies or substantial portions of the Software.")
+MIT_WARRANTY = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+                "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.")
+BSD_GRANT = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+             "that the following conditions are met")
+BSD_CLAUSES = (": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+               "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+               "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.")
+BSD_ENDORSEMENT = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                   "products derived from this software without specific prior written permission.")
 TEMPLATES = (
+    ("MIT", f"{MIT_GRANT}{MIT_RIGHTS}{MIT_CONDITION} {MIT_WARRANTY}"),
+    ("MIT-0", f"{MIT_GRANT}{MIT_RIGHTS}. {MIT_WARRANTY}"),
+    ("BSD-2-Clause", f"{BSD_GRANT}{BSD_CLAUSES}"),
+    ("BSD-3-Clause", f"{BSD_GRANT}{BSD_CLAUSES} {BSD_ENDORSEMENT}"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
                    "compliance with the License."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-            "documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("MIT OR MIT-0", MIT_GRANT),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
                 "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
                 "option) any later version."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-                     "that the following conditions are met"),
+    ("BSD-2-Clause OR BSD-3-Clause", BSD_GRANT),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
             "granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -55,6 +78,7 @@ CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unp
 #: Notices whose words are almost those of one of the above.
 NEIGHBOURS = (
     ("EPL-2.0", "Licensed under the Eclipse Public License, Version 2.0."),
+    ("MIT-0", "Released under the MIT No Attribution License."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
                 "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
@@ -74,7 +98,7 @@ NEIGHBOURS = (
 #: Words of a licence's templates that have to be matched, beside the coverage. Versions are left to the neighbours
 #: where all published ones are listed, so that a notice with its version changed is still found.
 NAMING = {
-    "Apache-2.0": ("apache", "2"), "MIT": ("mit",), "EPL-2.0": ("eclipse", "2"),
+    "Apache-2.0": ("apache", "2"), "MIT": ("mit", "substantial"), "MIT-0": ("mit", "attribution"), "BSD-3-Clause": ("endorse",), "EPL-2.0": ("eclipse", "2"),
     "MPL-1.0": ("mozilla",), "MPL-1.1": ("mozilla",), "MPL-2.0": ("mozilla",),
     "GPL-2.0": ("gnu", "2"), "GPL-3.0": ("gnu", "3"), "LGPL-2.1": ("gnu", "lesser", "2", "1"),
     "LGPL-3.0": ("gnu", "lesser", "3"), "AGPL-3.0": ("gnu", "affero", "3"),
@@ -110,6 +134,39 @@ def _increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
+def common_lengths(a: list[str], masks: dict[str, int], n: int) -> list[int]:
+    """Length of the longest common subsequence of each prefix of ``a`` with a
+    template of ``n`` words, of which ``masks`` has the places of every word as
+    bits: a zero bit of ``row`` is a place where the length grows."""
+    whole = (1 << n) - 1
+    row, out, length = whole, [], 0
+    for w in a:
+        here = row & masks.get(w, 0)
+        if here:
+            row = ((row + here) | (row - here)) & whole
+            length = n - row.bit_count()
+        out.append(length)
+    return out
+
+
+def _subsequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Places (in ``a``, in ``b``) of matched words, increasing in both."""
     matched: list[tuple[int, int]] = []
@@ -129,6 +186,8 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         once = [(i, place[w]) for i, w in enumerate(a[a0:a1], a0) if w in place]
         anchors = [once[i] for i in _increasing([j for _, j in once])]
         if not anchors:
+            if in_a.keys() & in_b.keys():
+                matched += [(a0 + i, b0 + j) for i, j in _subsequence(a[a0:a1], b[b0:b1])]
             continue
         matched += anchors
         edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
@@ -136,16 +195,39 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+class Spans:
+    """Spans that do not overlap, in order."""
+
+    def __init__(self) -> None:
+        self.firsts: list[int] = []
+        self.lasts: list[int] = []
+
+    def free(self, first: int, last: int) -> bool:
+        i = bisect_left(self.lasts, first)
+        return i == len(self.firsts) or self.firsts[i] > last
+
+    def add(self, first: int, last: int) -> bool:
+        """Whether the span overlaps none of the earlier ones; it then is one of them."""
+        if not self.free(first, last):
+            return False
+        i = bisect_left(self.lasts, first)
+        self.firsts.insert(i, first)
+        self.lasts.insert(i, last)
+        return True
+
+
 class Scanner:
     """Templates made ready, and the search in one text."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], min_coverage: float,
                  naming: dict[str, tuple[str, ...]] = NAMING):
-        self.min_coverage = min_coverage
         self.templates = [(name, words) for name, text in templates if (words := words_of(text))]
         self.counts = [Counter(words) for _, words in self.templates]
-        self.needed = [min_coverage * len(words) for _, words in self.templates]
+        self.least = [ceil(min_coverage * len(words) - 1e-9) for _, words in self.templates]
         self.named = [{i for i, w in enumerate(words) if w in naming.get(name, ())} for name, words in self.templates]
+        self.naming = [{words[i] for i in named} for (_, words), named in zip(self.templates, self.named)]
+        self.masks = [{w: sum(1 << i for i, x in enumerate(words) if x == w) for w in c}
+                      for (_, words), c in zip(self.templates, self.counts)]
         self.known = {w.encode() for c in self.counts for w in c}
 
     def candidates(self, raw: list[bytes]) -> list[int]:
@@ -154,29 +236,67 @@ class Scanner:
         if not have:
             return []
         words = {w.decode() for w in have}
-        return [k for k, c in enumerate(self.counts) if sum(n for w, n in c.items() if w in words) >= self.needed[k]]
+        return [k for k, c in enumerate(self.counts) if sum(n for w, n in c.items() if w in words) >= self.least[k]]
 
-    def occurrences(self, words: list[str], k: int) -> list[tuple[int, int, int]]:
-        """(first word, last word, matched words) of the template's occurrences,
-        which do not overlap."""
-        counts, needed, named, template = self.counts[k], self.needed[k], self.named[k], self.templates[k][1]
+    def stretches(self, words: list[str], k: int, first: int) -> list[tuple[int, int]]:
+        """(words that at least differ, length) of the stretches from ``first`` on
+        with the naming words and a long enough common subsequence, those that
+        differ least first."""
+        n, counts, least = len(self.templates[k][1]), self.counts[k], self.least[k]
+        stretch = words[first:first + STRETCH * n]
+        if not self.naming[k].issubset(stretch):
+            return []
+        named = max((stretch.index(w) for w in self.naming[k]), default=-1)
+        return sorted((n + end - 2 * c, end) for end, c in enumerate(common_lengths(stretch, self.masks[k], n), 1)
+                      if c >= least and end > named and stretch[end - 1] in counts)
+
+    def starts(self, words: list[str], k: int) -> Iterator[int]:
+        """Places after which a stretch has enough of the template's words."""
+        counts, least = self.counts[k], self.least[k]
         places = [i for i, w in enumerate(words) if w in counts]
-        length, out, inside, have, j, at = STRETCH * len(template), [], Counter(), 0, 0, 0
+        length, inside, have, j = STRETCH * len(self.templates[k][1]), Counter(), 0, 0
         for first in places:
             while j < len(places) and places[j] < first + length:
                 w = words[places[j]]
                 inside[w] += 1
                 have += inside[w] <= counts[w]
                 j += 1
-            if first >= at and have >= needed:
-                pairs = align(words[first:first + length], template)
-                if len(pairs) >= needed and named.issubset(i for _, i in pairs):
-                    out.append((first + pairs[0][0], first + pairs[-1][0], len(pairs)))
-                    at = out[-1][1] + 1
+            if have >= least:
+                yield first
             w = words[first]
             have -= inside[w] <= counts[w]
             inside[w] -= 1
-        return out
+
+    def occurrences(self, words: list[str], k: int) -> list[tuple[int, int, int]]:
+        """(first word, last word, matched words) of the template's occurrences,
+        which do not overlap: of those that do, the one that differs least
+        stands, the first one of equals. Stretches wait in the order of what they
+        differ by at least, and are aligned only when their turn comes."""
+        template, named = self.templates[k][1], self.named[k]
+        waiting: list[tuple[int, int, int, tuple[int, int, int] | None]] = []
+
+        def wait(first: int, rank: int) -> None:
+            ends = self.stretches(words, k, first)
+            if rank < len(ends):
+                heappush(waiting, (ends[rank][0], first, rank, None))
+
+        for first in self.starts(words, k):
+            wait(first, 0)
+        taken, out = Spans(), []
+        while waiting:
+            _, first, rank, aligned = heappop(waiting)
+            if aligned:
+                if taken.add(*aligned[:2]):
+                    out.append(aligned)
+            elif taken.free(first, first):
+                end = self.stretches(words, k, first)[rank][1]
+                if taken.free(first, first + end - 1):
+                    pairs = align(words[first:first + end], template)
+                    if len(pairs) >= self.least[k] and named.issubset(i for _, i in pairs):
+                        heappush(waiting, (len(template) + end - 2 * len(pairs), first, rank,
+                                           (first + pairs[0][0], first + pairs[-1][0], len(pairs))))
+                wait(first, rank + 1)
+        return sorted(out)
 
     def scan(self, text: str) -> list[tuple[str, int, int, int, float]]:
         """(license, start, end, matched words, coverage); where occurrences of
@@ -189,11 +309,9 @@ class Scanner:
         words = [text[a:b].lower() for a, b in spans]
         found = [(-n, -n / len(self.templates[k][1]), first, last, k) for k in chosen
                  for first, last, n in self.occurrences(words, k)]
-        taken: list[tuple[int, int]] = []
-        out = []
+        taken, out = Spans(), []
         for n, coverage, first, last, k in sorted(found):
-            if all(last < a or first > b for a, b in taken):
-                taken.append((first, last))
+            if taken.add(first, last):
                 out.append((self.templates[k][0], spans[first][0], spans[last][1], -n, round(-coverage, 6)))
         return sorted(out, key=lambda x: x[1])
 
@@ -204,8 +322,10 @@ def scan_licenses(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLA
     """One row per occurrence of a license notice: id, ``license``, ``start``,
     ``end`` (code points), ``n_words`` matched, ``coverage`` of the template. Of a
     license's templates the words that ``naming`` has for it are always matched.
-    Null and empty texts have none; repeated rows are each scanned; ids may be
-    null."""
+    Null and empty texts have none, an empty table gives no rows; repeated rows
+    are each scanned; ids may be null. Very long texts are scanned whole. Where
+    templates overlap, the one with most matched words stands, of equals the one
+    with the higher coverage, then the first in the text, then the first listed."""
     bound_arrow_batches(df.sparkSession)
     slim = df.select(df[id_col].alias("_id"), text_or_empty(df, text).alias("_text"))
     id_type = slim.schema["_id"].dataType.simpleString()
