@@ -84,6 +84,18 @@ def test_shards(spark, monkeypatch):
     assert sharding.shard_documents(fixtures.empty(spark)).count() == 0
 
 
+def test_rows_equal_in_everything_are_no_hot_bucket(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 64)
+    texts = [(5, "the same")] * 1000 + [(None, None)] * 300 + [(i, f"text {i}") for i in range(200)]
+    rows = sharding.shard_documents(fixtures.documents(spark, texts)).collect()
+    check_shards(rows)
+    assert len(rows) == 1500
+    hot = sorted(r.slot for r in rows if r["size"] == 9 and r.doc_id == 5)
+    assert len(hot) == 1000 and hot[-1] - hot[0] == 999
+    again = sharding.shard_documents(fixtures.documents(spark, texts).repartition(7)).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, again))
+
+
 def test_shards_of_the_table(spark):
     import xxhash
     rows = queries.op6_jump_shards(spark, SF_SMALL).collect()

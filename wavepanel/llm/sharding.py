@@ -61,21 +61,32 @@ def shard_documents(df: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     (bucket, id, checksum, size), where the bucket is a hash of these three:
     the count of each (shard, bucket) gives where a bucket's slots begin, and
     rows are numbered within a bucket only, so no task holds a whole shard.
+    Rows equal in all three differ in nothing that is returned: they are counted
+    before any shuffle, and given their slots in runs of ``BUCKET_ROWS``, so a
+    row that is repeated any number of times is no hot bucket. Null and empty
+    texts and very long ones are sized like others; an empty table gives no rows.
     """
     body = text_or_empty(df, text)
     sized = df.select(df[id_col].alias(id_col), (F.octet_length(body) + 1).cast("long").alias("size"),
                       F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
     key = F.xxhash64(F.col(id_col))
+    what = [id_col, "size", "text_crc32"]
     # written once: the counts and the slots must see the same rows, and the texts are read only here
-    rows = write_shared(sized.select("*", jump_shard(key, shards).alias("shard"),
-                                     jump_shard(key, shards + 1).alias("grown_shard")), "shards")
+    rows = write_shared(sized.groupBy(*what).agg(F.count(F.lit(1)).alias("_n")).select(
+        "*", jump_shard(key, shards).alias("shard"), jump_shard(key, shards + 1).alias("grown_shard")), "shards")
     n_buckets = max(1, -(-rows.count() // BUCKET_ROWS))
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "text_crc32", "size"), F.lit(n_buckets)))
-    counts = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_all"))
     earlier = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    starts = counts.select("shard", "_bucket", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_start"))
     in_bucket = W.partitionBy("shard", "_bucket").orderBy(id_col, "text_crc32", "size")
-    numbered = rows.withColumn("_row", F.row_number().over(in_bucket) - 1)
-    return numbered.join(starts, ["shard", "_bucket"]).select(
-        id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("_start") + F.col("_row")).cast("long").alias("slot"), "grown_shard")
+    numbered = rows.withColumn("_first", F.sum("_n").over(in_bucket.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))
+    placed = numbered.join(starts, ["shard", "_bucket"]).withColumn("_first", F.col("_start") + F.col("_first"))
+    last = F.col("_first") + F.col("_n") - 1
+    runs = placed.select(*what, "shard", "grown_shard", last.alias("_last"),
+                         F.explode(F.sequence("_first", last, F.lit(BUCKET_ROWS).cast("long"))).alias("_from"))
+    # the runs of one row are dealt out; a row by itself is a run of one
+    runs = runs.repartition("shard", "_from")
+    to = F.least(F.col("_last"), F.col("_from") + BUCKET_ROWS - 1)
+    return runs.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard",
+                       F.explode(F.sequence("_from", to)).alias("slot"), "grown_shard")
