@@ -45,7 +45,7 @@ def test_chunked_row_number(spark):
     from pyspark.sql import functions as F
     df = _panel(spark)
     plain = df.withColumn("rn", F.row_number().over(Window.partitionBy("e").orderBy("t", "k")))
-    chunked = chunked_row_number(df, "e", ["t", "k"], "t", 16, name="rn")
+    chunked = chunked_row_number(df, "e", ["t", "k"], 16, name="rn")
     assert rows(chunked, "e", "t", "k", "rn") == rows(plain, "e", "t", "k", "rn")
 
 
@@ -70,37 +70,62 @@ def test_chunked_series_tests_equal_single_window(spark):
                 assert math.isclose(x, y, rel_tol=1e-8, abs_tol=1e-10), (sid, f, x, y)
 
 
-def test_auto_chunk_width(spark):
-    from wavepanel.operators.segments import CHUNK, auto_chunk_width, with_chunk
+def test_only_hot_keys_are_chunked(spark):
+    from wavepanel.operators.segments import Rows, auto_rows, resolve_width
     df = _panel(spark)
-    assert auto_chunk_width(df, "e", "t") is None                   # no key above the default budget
-    assert auto_chunk_width(df.withColumn("t", df.t.cast("string")), "e", "t", target_rows=300) is None
-    # a wide key and a dense one: the dense one's rows are spread as well
-    two = spark.range(4000).selectExpr("1 AS e", "CAST(id AS double) AS t").unionByName(
-        spark.range(3900).selectExpr("2 AS e", "CAST(id % 390 AS double) / 100 AS t"))
-    width = auto_chunk_width(two, "e", "t", target_rows=100)
-    assert with_chunk(two, "t", width).groupBy("e", CHUNK).count().agg({"count": "max"}).first()[0] <= 200
-    w = auto_chunk_width(df, "e", "t", target_rows=300)             # entity 0 has 1500 rows over t in [0, ~3000]
-    assert w is not None and 300 < w < 1000
-    from wavepanel.operators.impute import knn_impute
-    plain = knn_impute(df, "e", ["t", "k"], ["x"], k=3)
-    auto = knn_impute(df, "e", ["t", "k"], ["x"], k=3, chunk_width=w)
-    assert rows(auto, "e", "t", "k", "x_imputed") == rows(plain, "e", "t", "k", "x_imputed")
+    assert auto_rows(df, "e") is None                               # no key above the default budget
+    assert auto_rows(df.limit(0), "e") is None
+    assert auto_rows(df, "e", target_rows=300) == Rows(300) == auto_rows(df.withColumn("e", df.e.cast("string")), "e", 300)
+    assert resolve_width(df, "e", "auto") is None and resolve_width(df, "e", 7.0) == 7.0
+
+
+def _one_place(spark):
+    """Keys all of whose rows share one place, one key without a place, rows without a key."""
+    rnd = random.Random(8)
+    data = [(e, t, k, rnd.choice("ABC"), None if rnd.random() < 0.3 else float(rnd.randint(0, 12)), None if rnd.random() < 0.9 else 2.0)
+            for e, t in ((1, 5), (2, 9), (3, None), (None, 4)) for k in range(400 if e != 2 else 11)]
+    rnd.shuffle(data)
+    return spark.createDataFrame(data, "e long, t long, k long, s string, x double, y double")
+
+
+def test_rows_that_share_a_place_are_split(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from wavepanel.operators.segments import CHUNK, Rows, row_chunks
+    for df in (_one_place(spark), _panel(spark)):
+        order = ["t", "k"]
+        sizes = row_chunks(df, "e", order, 50).groupBy("e", CHUNK).count()
+        assert sizes.agg(F.max("count")).first()[0] <= 150                     # ranges come from a sample
+        plain = df.withColumn("rn", F.row_number().over(Window.partitionBy("e").orderBy(*order)))
+        assert rows(chunked_row_number(df, "e", order, Rows(50), name="rn"), "e", "t", "k", "rn") == rows(plain, "e", "t", "k", "rn")
+        m = {"x": ("down", DOWN), "y": ("up", UP)}
+        cols = ["e", "t", "k", "last_stage", "measure", "change", "flagged"]
+        assert rows(visit_changes(df, "e", order, "s", m, chunk_width=Rows(50)), *cols) == \
+            rows(visit_changes(df, "e", order, "s", m, chunk_width=None), *cols)
+        cols = ["e", "t", "k", "x_imputed", "y_imputed", "x_filled", "y_filled"]
+        placed = df.filter("t IS NOT NULL")
+        assert rows(knn_impute(placed, "e", order, ["x", "y"], k=4, chunk_width=Rows(50)), *cols) == \
+            rows(knn_impute(placed, "e", order, ["x", "y"], k=4, chunk_width=None), *cols)
+    text = _one_place(spark).withColumn("t", F.lit("one day"))                  # an order that is no number
+    assert rows(chunked_row_number(text, "e", ["t", "k"], Rows(50), name="rn"), "e", "k", "rn") == \
+        rows(text.withColumn("rn", F.row_number().over(Window.partitionBy("e").orderBy("t", "k"))), "e", "k", "rn")
 
 
 def test_times_without_zone_and_dates_are_split(spark):
     from pyspark.sql import functions as F
 
-    from wavepanel.operators.segments import CHUNK, auto_chunk_width, with_chunk
+    from wavepanel.operators.segments import CHUNK, place, with_chunk
     from wavepanel.operators.series import autocorrelation
     df = spark.range(600).select(
         (F.col("id") % 4 == 0).cast("int").alias("e"), F.col("id").alias("k"), ((F.col("id") * 37) % 11).cast("double").alias("x"),
         F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 1_234_567_890).alias("ts"))
     for kind in ("timestamp_ntz", "date"):
         d = df.withColumn("t", F.col("ts").cast(kind))
-        width = auto_chunk_width(d, "e", "t", target_rows=100)
-        assert width and with_chunk(d, "t", width).filter("e = 0").select(CHUNK).distinct().count() >= 4
+        ends = d.agg(F.max(place(d, "t")) - F.min(place(d, "t"))).first()[0]
+        assert with_chunk(d, "t", ends / 6).filter("e = 0").select(CHUNK).distinct().count() >= 4
         got, plain = (autocorrelation(d, "e", ["t", "k"], "x", 3, block_rows=w) for w in (40, 10_000))
         assert rows(got.select("e", "lag", F.round("acf", 9))) == rows(plain.select("e", "lag", F.round("acf", 9)))
-    zoned = auto_chunk_width(df, "e", "ts", target_rows=100)
-    assert abs(auto_chunk_width(df.withColumn("t", F.col("ts").cast("timestamp_ntz")), "e", "t", target_rows=100) - zoned) < 1e-3
+    zoned = df.agg(F.max(place(df, "ts")) - F.min(place(df, "ts"))).first()[0]
+    ntz = df.withColumn("t", F.col("ts").cast("timestamp_ntz"))
+    assert abs(ntz.agg(F.max(place(ntz, "t")) - F.min(place(ntz, "t"))).first()[0] - zoned) < 1e-3

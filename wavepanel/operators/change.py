@@ -13,32 +13,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavepanel.operators.segments import Rows, chunked_lag, resolve_width
+
 UP = 1      # worsening = positive change
 DOWN = -1   # decline = negative change
 
 
 def visit_changes(df: DataFrame, entity: str, order: list[str], stage: str,
-                  measures: dict[str, tuple[str, int]], chunk_width: float | str | None = "auto") -> DataFrame:
+                  measures: dict[str, tuple[str, int]], chunk_width: float | str | Rows | None = "auto") -> DataFrame:
     """Long change-event table.
 
     ``measures`` maps measure column -> (category, direction); direction
     ``DOWN`` flags a change < 0, ``UP`` a change > 0.
     Returns (entity, <order...>, last_stage, measure, category, change, flagged).
 
-    With ``chunk_width`` (in units of ``order[0]``) the lags run per
+    With ``chunk_width`` (``Rows`` or a number in units of ``order[0]``) the lags run per
     (entity, order-range chunk) with the chunk boundaries repaired from
     per-chunk last rows, and the last stage is a ``max_by`` aggregate joined
     back, so no task holds a whole entity (identical results).
     """
     names = list(measures)
-    if chunk_width == "auto":
-        from wavepanel.operators.segments import resolve_width
-        chunk_width = resolve_width(df, entity, order[0], chunk_width)
+    chunk_width = resolve_width(df, entity, chunk_width)
     if chunk_width:
-        from wavepanel.operators.segments import chunked_lag
         lagged = chunked_lag(df.select(entity, *order, *names), entity, order, names, chunk_width)
         last = df.groupBy(entity).agg(F.max_by(stage, F.struct(*[F.col(o) for o in order])).alias("last_stage"))
-        wide = lagged.join(last, entity).select(
+        last = last.withColumnRenamed(entity, "__entity")
+        wide = lagged.join(last, F.col(entity).eqNullSafe(F.col("__entity"))).select(
             entity, *order, "last_stage", *[(F.col(m) - F.col(f"__lag_{m}")).alias(m) for m in names])
     else:
         w = Window.partitionBy(entity).orderBy(*order)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from wavepanel.operators.clean import as_numbers
 from wavepanel.operators.describe import add_quantiles
+from wavepanel.operators.segments import Rows, chunked_neighbours, resolve_width
 from wavepanel.operators.sizing import bounded
 from wavepanel.session import write_shared
 
@@ -83,24 +84,23 @@ def _knn_value(ranked: Column, n_obs: Column, k: int) -> Column:
 
 
 def _candidates(df, entity, order, variables, k, chunk_width):
-    if chunk_width == "auto":
-        from wavepanel.operators.segments import resolve_width
-        chunk_width = resolve_width(df, entity, order[0], chunk_width)
+    chunk_width = resolve_width(df, entity, chunk_width)
     if chunk_width:
-        from wavepanel.operators.segments import chunked_neighbours
         return chunked_neighbours(df, entity, order, variables, k, chunk_width)
     return _with_candidates(df, entity, order, variables, k)
 
 
 def knn_impute(df: DataFrame, entity: str, order: list[str], variables: list[str], k: int = 4,
                suffix: str = "_imputed", filled_suffix: str | None = "_filled",
-               chunk_width: float | str | None = "auto") -> DataFrame:
+               chunk_width: float | str | Rows | None = "auto") -> DataFrame:
     """Adds ``{v}_imputed`` (and ``{v}_filled``) for each variable (IMP1, PRJ20).
 
     ``order[0]`` is the numeric position used for distances; the remaining
-    order columns only break ties. With ``chunk_width`` the candidate windows
+    order columns only break ties. Candidates are the k observed rows before and
+    the k after a row in that order. With ``chunk_width`` the candidate windows
     run per (entity, order-range chunk) with boundary halos, so an entity of
-    any size is split across tasks (identical results).
+    any size is split across tasks, also if its rows share one position
+    (``segments.Rows``); results are identical.
     """
     df = as_numbers(df, variables)
     cand = _candidates(df, entity, order, variables, k, chunk_width)
@@ -123,7 +123,7 @@ def knn_impute(df: DataFrame, entity: str, order: list[str], variables: list[str
 
 
 def k_sweep(df: DataFrame, entity: str, order: list[str], variables: list[str],
-            ks: tuple[int, ...] = (2, 3, 4, 5), chunk_width: float | str | None = "auto") -> DataFrame:
+            ks: tuple[int, ...] = (2, 3, 4, 5), chunk_width: float | str | Rows | None = "auto") -> DataFrame:
     """Imputed values of originally missing cells for several k from one
     candidate pass, summarised per (variable, k): count, mean, std, median
     (IMP2, AGG22)."""

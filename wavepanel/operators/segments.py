@@ -3,8 +3,11 @@
 A window partitioned by entity puts every row of an entity in one task; an
 entity holding a third of the data would make one enormous task. The chunked
 forms below partition by (entity, chunk), where ``chunk`` is a contiguous range
-of the numeric order column (``floor(order / width)``), and repair the chunk
-boundaries from small per-chunk summaries:
+of the rows in order: with ``Rows(n)`` of about n rows, cut on the whole order
+key, so that rows of one key that share one place (all on one date) are split as
+well; with a number of that width of the first order column
+(``floor(order / width)``). The chunk boundaries are repaired from small
+per-chunk summaries:
 
 * ``chunked_lag``: lag-1 of columns; the first row of a chunk takes the last
   row of the previous non-empty chunk (``max_by`` per chunk, ``lag`` over the
@@ -23,13 +26,23 @@ joins back to the rows are on (entity, chunk), which has no hot key.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavepanel.session import write_shared
+
 CHUNK = "__chunk"
 
 
+@dataclass(frozen=True)
+class Rows:
+    """Chunks of about ``n`` rows."""
+    n: int
+
+
 HOT_ROWS = 2_000_000      # rows one task should hold for one key before the key is chunked
 
 
@@ -46,26 +59,30 @@ def place(df: DataFrame, col: str) -> Column:
     return c.cast("double")
 
 
-def auto_chunk_width(df: DataFrame, key: str, order_col: str, target_rows: int = HOT_ROWS) -> float | None:
-    """None when no key holds more than ``target_rows`` rows (the plain
-    per-key window is then fine) or the order is no number, time or date;
-    otherwise a chunk width (in units of ``place``) at which every key's chunks hold
-    about ``target_rows`` on average, the densest key's too. One partial
-    aggregate per key, then a minimum over keys: no key is collected."""
-    if not isinstance(df.schema[order_col].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return None
-    at = place(df, order_col)
-    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), (F.max(at) - F.min(at)).alias("span"))
-    hot = per.filter(F.col("n") > target_rows)
-    width = hot.agg(F.min(F.coalesce("span", F.lit(0.0)) * target_rows / F.col("n"))).first()[0]
-    return None if width is None else max(width, 1e-9)
+def auto_rows(df: DataFrame, key: str, target_rows: int = HOT_ROWS) -> Rows | None:
+    """None when no key holds more than ``target_rows`` rows, else chunks of that
+    size. One partial aggregate per key; no key is collected."""
+    largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return Rows(target_rows) if largest is not None and largest > target_rows else None
+
+
+def resolve_width(df: DataFrame, key: str, width: float | str | Rows | None) -> float | Rows | None:
+    """``width`` may be None (plain window), a number, ``Rows`` or ``"auto"``."""
+    return auto_rows(df, key, HOT_ROWS) if width == "auto" else width
 
 
-def resolve_width(df: DataFrame, key: str, order_col: str, width) -> float | None:
-    """``width`` may be None (plain window), a number, or ``"auto"``."""
-    if width == "auto":
-        return auto_chunk_width(df, key, order_col)
-    return width
+def in_chunks(df: DataFrame, key: str, order: list[str], width: float | Rows) -> DataFrame:
+    """``df`` with the chunk of each row, numbered upwards in the order of a key."""
+    return row_chunks(df, key, order, width.n) if isinstance(width, Rows) else with_chunk(df, order[0], width)
+
+
+def row_chunks(df: DataFrame, key: str, order: list[str], rows: int) -> DataFrame:
+    """Rows dealt by ranges of (key, order), one range a chunk. Written to the
+    shared folder, as ranges come from a sample and all readers of a chunk must
+    see the same one; rows equal in key and order share a chunk."""
+    n_chunks = max(1, -(-df.count() // rows))
+    dealt = df.repartitionByRange(n_chunks, *[F.col(c) for c in (key, *order)])
+    return write_shared(dealt.withColumn(CHUNK, F.spark_partition_id().cast("long")), "chunks")
 
 
 def with_chunk(df: DataFrame, order_col: str, width: float) -> DataFrame:
@@ -74,19 +91,24 @@ def with_chunk(df: DataFrame, order_col: str, width: float) -> DataFrame:
     return df.withColumn(CHUNK, F.coalesce(chunk, F.lit(-2 ** 62)))
 
 
-def chunked_row_number(df: DataFrame, key: str, order: list[str], chunk_col: str, width: float,
+def _beside(rows: DataFrame, summary: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of their (key, chunk) in ``summary``; rows without a key are one key."""
+    side = summary.withColumnsRenamed({key: "__k", CHUNK: "__c"})
+    return rows.join(side, F.col(key).eqNullSafe(F.col("__k")) & (F.col(CHUNK) == F.col("__c")), "left").drop("__k", "__c")
+
+
+def chunked_row_number(df: DataFrame, key: str, order: list[str], width: float | Rows,
                        name: str = "row_number") -> DataFrame:
     """``row_number() over (partition by key order by order)`` computed as the
     local row number inside (key, chunk) plus the row count of the key's
-    earlier chunks (a running sum over the chunk counts). ``chunk_col`` is the
-    numeric column the chunks are cut on; it must be the leading sort key."""
-    d = with_chunk(df, chunk_col, width)
+    earlier chunks (a running sum over the chunk counts)."""
+    d = in_chunks(df, key, order, width)
     w = Window.partitionBy(key, CHUNK).orderBy(*order)
     local = d.withColumn("__rn", F.row_number().over(w))
     counts = d.groupBy(key, CHUNK).agg(F.count(F.lit(1)).alias("__cnt"))
     before = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, CHUNK, F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"))
-    j = local.join(offsets, [key, CHUNK])
+    j = _beside(local, offsets, key)
     return j.select(*df.columns, (F.col("__rn") + F.col("__off")).alias(name))
 
 
@@ -100,18 +122,18 @@ def chunk_totals(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
                       *[F.sum(f"__n_{c}").over(whole).alias(f"__nobs_{c}") for c in cols])
 
 
-def chunked_lag(df: DataFrame, key: str, order: list[str], cols: list[str], width: float,
+def chunked_lag(df: DataFrame, key: str, order: list[str], cols: list[str], width: float | Rows,
                 prefix: str = "__lag_") -> DataFrame:
     """Adds ``{prefix}{c}`` = value of ``c`` on the previous row of the key
     in ``order`` (exactly ``lag(c)`` over partitionBy(key).orderBy(order))."""
-    d = with_chunk(df, order[0], width)
+    d = in_chunks(df, key, order, width)
     w = Window.partitionBy(key, CHUNK).orderBy(*order)
     inner = d.select("*", F.row_number().over(w).alias("__rn"),
                      *[F.lag(c).over(w).alias(f"__in_{c}") for c in cols])
     last = d.groupBy(key, CHUNK).agg(F.max_by(F.struct(*[F.col(c) for c in cols]),
                                               F.struct(*[F.col(o) for o in order])).alias("__last"))
     prev = last.select(key, CHUNK, F.lag("__last").over(Window.partitionBy(key).orderBy(CHUNK)).alias("__prev"))
-    j = inner.join(prev, [key, CHUNK], "left")
+    j = _beside(inner, prev, key)
     return j.select(*df.columns, CHUNK, *[
         F.when(F.col("__rn") == 1, F.col("__prev")[c]).otherwise(F.col(f"__in_{c}")).alias(f"{prefix}{c}")
         for c in cols])
@@ -125,12 +147,12 @@ def _item(df: DataFrame, c: str, order: list[str]) -> Column:
 
 
 def chunked_neighbours(df: DataFrame, key: str, order: list[str], cols: list[str], k: int,
-                       width: float) -> DataFrame:
-    """Adds ``__cand_{c}``: an array holding (at least) the k previous and k
-    next non-null items of ``c`` around each row within its key, each item a
+                       width: float | Rows) -> DataFrame:
+    """Adds ``__cand_{c}``: an array holding the k previous and k next
+    non-null items of ``c`` around each row within its key, each item a
     struct (p, o0.., x) -- the same contract as the single-window form -- plus
     ``__nrows`` and ``__nobs_{c}`` per key."""
-    d = with_chunk(df, order[0], width)
+    d = in_chunks(df, key, order, width)
     d = d.select("*", *[_item(d, c, order).alias(f"__it_{c}") for c in cols])
     w = Window.partitionBy(key, CHUNK).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -160,11 +182,17 @@ def chunked_neighbours(df: DataFrame, key: str, order: list[str], cols: list[str
 
     halos = summ.select(key, CHUNK)
     for c in cols:
-        halos = halos.join(_halo(summ, key, c, k), [key, CHUNK], "left")
+        halos = _beside(halos, _halo(summ, key, c, k), key)
     totals = chunk_totals(d, key, cols)
-    j = inner.join(halos, [key, CHUNK], "left").join(totals, [key, CHUNK], "left")
-    out = [F.concat(F.col(f"__in_{c}"), F.coalesce(F.col(f"__before_{c}"), F.array()),
-                    F.coalesce(F.col(f"__after_{c}"), F.array())).alias(f"__cand_{c}") for c in cols]
+    j = _beside(_beside(inner, halos, key), totals, key)
+    out = []
+    for c in cols:
+        inside = F.col(f"__in_{c}")
+        before, after = (F.coalesce(F.col(f"__{side}_{c}"), F.array()) for side in ("before", "after"))
+        # what a chunk lacks of the k before and the k after, so that the items are those of one window
+        lack, lack_after = (F.lit(k) - F.size(F.filter(F.slice(inside, at, k), lambda x: x.isNotNull())) for at in (1, k + 1))
+        out.append(F.concat(inside, F.slice(before, F.greatest(F.size(before) - lack + 1, F.lit(1)), lack),
+                            F.slice(after, F.lit(1), lack_after)).alias(f"__cand_{c}"))
     return j.select(*df.columns, CHUNK, "__nrows", *[f"__nobs_{c}" for c in cols], *out)
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from wavepanel.functions import special as S
 from wavepanel.operators.blocks import BLOCK_ROWS, chunks, key_field, ordered_blocks, whole_keys
 from wavepanel.operators.clean import as_numbers
+from wavepanel.operators.segments import Rows, chunked_row_number, resolve_width
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the published tables for identical results.
@@ -376,11 +377,17 @@ def lag_products(df: DataFrame, series: str, order: list[str], value: str, nlags
         .select(series, "lag", F.col("s.ac").alias("levels"), F.col("s.dc").alias("differences"), F.col("s.xc").alias("mixed"))
 
 
-def series_points(df: DataFrame, series: str, order: list[str], value: str, bucket: int | None = None) -> DataFrame:
+def series_points(df: DataFrame, series: str, order: list[str], value: str, bucket: int | None = None,
+                  chunk_width: float | str | Rows | None = "auto") -> DataFrame:
     """Series in row order for plotting (PLT10); with ``bucket`` the points
-    are averaged over consecutive blocks of that many rows."""
-    w = Window.partitionBy(series).orderBy(*order)
-    pts = df.select(series, (F.row_number().over(w) - 1).alias("pos"), F.col(value).cast("double").alias("value"))
+    are averaged over consecutive blocks of that many rows. A series too long
+    for a task is numbered in chunks (``segments``)."""
+    chunk_width = resolve_width(df, series, chunk_width)
+    if chunk_width:
+        numbered = chunked_row_number(df, series, order, chunk_width, name="__rn")
+    else:
+        numbered = df.withColumn("__rn", F.row_number().over(Window.partitionBy(series).orderBy(*order)))
+    pts = numbered.select(series, (F.col("__rn") - 1).alias("pos"), F.col(value).cast("double").alias("value"))
     if not bucket:
         return pts
     return pts.groupBy(series, F.floor(F.col("pos") / bucket).alias("block")).agg(

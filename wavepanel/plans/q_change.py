@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from wavepanel.operators.change import DOWN, UP, decline_rates, entities_per_stage, last_stage, visit_changes
 from wavepanel.operators.derive import pair_mean
+from wavepanel.operators.segments import Rows, auto_rows
 from wavepanel.operators.select import keep_entities
 from wavepanel.plans.registry import register
-from wavepanel.sources.testdata import ORDERS_PANEL_SQL, orders_panel, with_cte
+from wavepanel.sources.testdata import ORDERS_PANEL_SQL, orders_panel, table, with_cte
 
 CHANGE_MEASURES = {"m_avg": ("down", DOWN), "e1": ("up", UP), "e2": ("up", UP), "e3": ("up", UP)}
 
@@ -20,22 +21,13 @@ def decline_slice(spark, sf_dir):
     Skew-aware: one small aggregate checks the largest customer; only if it
     exceeds the per-task row budget are the visit numbering and the lags
     switched to their chunked forms (``decline_rates_chunked`` forces them)."""
-    from pyspark.sql import functions as F
-
-    from wavepanel.operators.segments import HOT_ROWS, auto_chunk_width
-    from wavepanel.sources.testdata import table
     # one check on the source: the panel never has more rows per entity than orders
-    days = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("entity_id"),
-        F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).alias("__day"))
-    chunk_days = auto_chunk_width(days, "entity_id", "__day")
-    p = orders_panel(spark, sf_dir, chunk_days=chunk_days)
-    hot = chunk_days is not None
+    chunks = auto_rows(table(spark, sf_dir, "orders").select("o_custkey"), "o_custkey")
+    p = orders_panel(spark, sf_dir, chunk_days=chunks)
+    hot = chunks is not None
     kept = keep_entities(p, "entity_id", ["m1", "m2"], min_obs=2, method="join" if hot else "window")
     kept = kept.withColumn("m_avg", pair_mean("m1", "m2"))
-    # visits are consecutive integers per entity, so HOT_ROWS visits hold at most HOT_ROWS rows
-    changes = visit_changes(kept, "entity_id", ["visit"], "stage", CHANGE_MEASURES,
-                            chunk_width=float(HOT_ROWS) if hot else None)
+    changes = visit_changes(kept, "entity_id", ["visit"], "stage", CHANGE_MEASURES, chunk_width=chunks)
     return decline_rates(changes)
 
 
@@ -106,3 +98,18 @@ def q_decline_chunked(spark, sf_dir):
     kept = kept.withColumn("m_avg", pair_mean("m1", "m2"))
     changes = visit_changes(kept, "entity_id", ["visit"], "stage", CHANGE_MEASURES, chunk_width=3)
     return decline_rates(changes)
+
+
+@register("changes_at_one_place", with_cte("""
+SELECT last_stage, measure, count(*) AS n, round(sum(change), 6) AS total, CAST(sum(CASE WHEN change * sign > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_flagged
+FROM (SELECT stage AS last_stage, 'm1' AS measure, -1 AS sign, m1 - lag(m1) OVER w AS change FROM panel WINDOW w AS (PARTITION BY stage ORDER BY stage_code, order_key)
+      UNION ALL
+      SELECT stage, 'e1', 1, e1 - lag(e1) OVER w FROM panel WINDOW w AS (PARTITION BY stage ORDER BY stage_code, order_key))
+WHERE change IS NOT NULL GROUP BY last_stage, measure""", panel=ORDERS_PANEL_SQL))
+def q_changes_at_one_place(spark, sf_dir):
+    """Adjacent-row changes of five hot keys (the stages) all of whose rows share one place of the
+    leading order column, in chunks of rows (WIN1)."""
+    p = orders_panel(spark, sf_dir)
+    out = visit_changes(p, "stage", ["stage_code", "order_key"], "stage", {"m1": ("m", DOWN), "e1": ("e", UP)}, chunk_width=Rows(1000))
+    return out.groupBy("last_stage", "measure").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("change"), 6).alias("total"),
+                                                    F.sum("flagged").alias("n_flagged"))

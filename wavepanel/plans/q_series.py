@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wavepanel.operators import series as SR
+from wavepanel.operators.segments import Rows
 from wavepanel.plans.registry import register
 from wavepanel.sources.testdata import EVENT_SERIES_SQL, event_series, with_cte
 
@@ -153,17 +154,30 @@ def q_series_arch(spark, sf):
     return out.select("series", "n", F.round("arch_lm", 5).alias("arch_lm"), F.round("arch_f", 5).alias("arch_f"))
 
 
-@register("series_points", with_cte("""
+_POINTS_SQL = with_cte("""
 SELECT series_id, CAST(floor(pos / 10) AS BIGINT) AS block, min(pos) AS first_pos, round(avg(value), 6) AS value,
        count(*) AS n
 FROM (SELECT series_id, value, row_number() OVER (PARTITION BY series_id ORDER BY t, event_id) - 1 AS pos FROM ev)
-GROUP BY series_id, floor(pos / 10)""", ev=EVENT_SERIES_SQL))
-def q_series_points(spark, sf):
-    out = SR.series_points(event_series(spark, sf), "series_id", ORDER, "value", bucket=10)
+GROUP BY series_id, floor(pos / 10)""", ev=EVENT_SERIES_SQL)
+
+
+def _points(spark, sf, chunk_width):
+    out = SR.series_points(event_series(spark, sf), "series_id", ORDER, "value", bucket=10, chunk_width=chunk_width)
     return out.select("series_id", F.col("block").cast("bigint").alias("block"),
                       F.col("first_pos").cast("bigint").alias("first_pos"), F.round("value", 6).alias("value"), "n")
 
 
+@register("series_points", _POINTS_SQL)
+def q_series_points(spark, sf):
+    return _points(spark, sf, "auto")
+
+
+@register("series_points_chunked", _POINTS_SQL)
+def q_series_points_chunked(spark, sf):
+    """Points numbered in chunks of rows: the plan of a series too long for a task (PLT10)."""
+    return _points(spark, sf, Rows(1000))
+
+
 @register("series_acf_chunked", _acf_sql())
 def q_series_acf_chunked(spark, sf):
     out = SR.autocorrelation(event_series(spark, sf), "series_id", ORDER, "value", NLAGS, block_rows=SMALL_BLOCKS)

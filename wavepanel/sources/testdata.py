@@ -46,9 +46,9 @@ def _holed(key: Column, mul: int, off: int, below: int, value: Column,
     return F.when(hole, F.lit(None).cast("double")).otherwise(value)
 
 
-def orders_panel(spark: SparkSession, sf_dir: str, chunk_days: int | None = None) -> DataFrame:
-    """``chunk_days``: number the visits per (customer, date-range chunk) and
-    add the earlier chunks' counts, so a customer with a huge share of the
+def orders_panel(spark: SparkSession, sf_dir: str, chunk_days=None) -> DataFrame:
+    """``chunk_days``: number the visits per (customer, chunk of that many days,
+    or of that many rows if it is ``segments.Rows``) and add the earlier chunks' counts, so a customer with a huge share of the
     orders is numbered by many tasks (identical visit numbers)."""
     # Alias the entity key before the window so the hash partitioning on
     # ``entity_id`` is visible to every later per-entity window/aggregate.
@@ -56,16 +56,10 @@ def orders_panel(spark: SparkSession, sf_dir: str, chunk_days: int | None = None
         "o_orderkey", F.col("o_custkey").alias("entity_id"), "o_orderdate", "o_orderpriority",
         "o_orderstatus", "o_totalprice")
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
-    if chunk_days == "auto":
-        from wavepanel.operators.segments import auto_chunk_width
-        day = o.select("entity_id", F.datediff(F.col("o_orderdate").cast("date"),
-                                               F.lit("1970-01-01").cast("date")).alias("__day"))
-        chunk_days = auto_chunk_width(day, "entity_id", "__day")
     if chunk_days:
         from wavepanel.operators.segments import chunked_row_number
         o = o.withColumn("__day", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")))
-        o = chunked_row_number(o, "entity_id", ["__day", "o_orderdate", "o_orderkey"], "__day", chunk_days,
-                               name="__rn")
+        o = chunked_row_number(o, "entity_id", ["__day", "o_orderdate", "o_orderkey"], chunk_days, name="__rn")
         visit = (F.col("__rn") - 1).cast("bigint")
     else:
         w = Window.partitionBy("entity_id").orderBy("o_orderdate", "o_orderkey")
