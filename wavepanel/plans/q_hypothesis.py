@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavepanel.functions.formulas import DAGOSTINO, sql_steps
+from wavepanel.functions.formulas import ANDERSON_P, DAGOSTINO, sql_steps
 from wavepanel.operators import hypothesis as H
 from wavepanel.operators.describe import long_values
 from wavepanel.operators.impute import knn_impute
+from wavepanel.plans.normality_sql import anderson_sql, shapiro_sql
 from wavepanel.plans.q_impute import ORDER, VARS, _impute_sql
 from wavepanel.plans.registry import register
 from wavepanel.session import cut_lineage
@@ -101,14 +102,40 @@ def q_iqr_outliers(spark, sf):
 NORMALITY_COLS = ["m1", "e1", "x1"]
 
 
-@register("shapiro_wilk")
+_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS value FROM panel WHERE {c} IS NOT NULL"
+                            for c in NORMALITY_COLS)
+
+
+@register("shapiro_wilk", with_cte(shapiro_sql(_CELLS), panel=ORDERS_PANEL_SQL))
 def q_shapiro(spark, sf):
-    return H.shapiro_wilk(long_values(orders_panel(spark, sf), NORMALITY_COLS))
+    out = H.shapiro_wilk(long_values(orders_panel(spark, sf), NORMALITY_COLS))
+    return out.select("variable", "n", F.round("w", 6).alias("w"), F.round("sw_p", 6).alias("sw_p"))
 
 
-@register("anderson_darling")
+@register("anderson_darling", with_cte(f"""
+SELECT variable, n, a2, round({dict(ANDERSON_P)["ad_p"]}, 6) AS ad_p
+FROM (SELECT *, {dict(ANDERSON_P)["a2_adj"]} AS a2_adj FROM ({anderson_sql(_CELLS)}) AS a) AS a""", panel=ORDERS_PANEL_SQL))
 def q_anderson(spark, sf):
-    return H.anderson_darling(long_values(orders_panel(spark, sf), NORMALITY_COLS))
+    out = H.anderson_darling(long_values(orders_panel(spark, sf), NORMALITY_COLS))
+    return out.select("variable", "n", F.round("a2", 6).alias("a2"), F.round("ad_p", 6).alias("ad_p"))
+
+
+#: Means over customers of one remainder: sums of many values, nearer to normal than the scales themselves.
+COHORTS = 97
+_BY_COHORT = f"""SELECT stage AS variable, avg(age) AS value FROM panel WHERE age IS NOT NULL AND stage IS NOT NULL
+  GROUP BY stage, entity_id % {COHORTS}"""
+
+
+@register("normality_of_means", with_cte(f"""
+SELECT w.variable, w.n, w.w, w.sw_p, a.a2
+FROM ({shapiro_sql(_BY_COHORT)}) AS w JOIN ({anderson_sql(_BY_COHORT)}) AS a ON w.variable = a.variable""", panel=ORDERS_PANEL_SQL))
+def q_normality_of_means(spark, sf):
+    """TST3 and TST4 of cohort means by stage, whose p are no mere zeros."""
+    panel = orders_panel(spark, sf).filter("age IS NOT NULL AND stage IS NOT NULL")
+    means = panel.groupBy(F.col("stage").alias("variable"), F.col("entity_id") % COHORTS).agg(F.avg("age").alias("value"))
+    shapiro, anderson = H.shapiro_wilk(means), H.anderson_darling(means)
+    return shapiro.join(anderson.select("variable", "a2"), "variable").select(
+        "variable", "n", F.round("w", 6).alias("w"), F.round("sw_p", 6).alias("sw_p"), F.round("a2", 6).alias("a2"))
 
 
 @register("missing_association", f"SELECT variable, dof, n, CASE WHEN p < 0.05 THEN 'associated' ELSE 'not associated' END AS verdict FROM ({_chi_sql()})")
