@@ -32,6 +32,24 @@ def test_top_k_against_brute_force(spark):
     check(spark, vectors, 20)
 
 
+def test_columns_named_like_the_operators_own(spark):
+    rng = random.Random(2)
+    vectors = [(i, [float(np.float32(rng.gauss(0, 1))) for _ in range(4)]) for i in range(70)]
+    df = spark.createDataFrame([(i, v, -i, "x", [1], 3) for i, v in vectors],
+                               "vec_id long, embedding array<float>, id long, block string, comps array<int>, task int")
+    got = topk.top_k(df, F.col("id") % 20 == 0, k=5, scale=64).collect()
+    assert sorted(tuple(r) for r in got) == brute.top_k(vectors, 5, 64)
+
+
+def test_index_holds_slices():
+    comps = np.random.default_rng(3).integers(-70, 70, (130, 5))
+    low, maps, bits = topk.slices_of(comps)
+    assert maps.shape == (5, bits, 3) and bits == 8
+    both = topk._with_complements(maps.astype("<u8").tobytes(), 5, bits)
+    back = sum((np.unpackbits(both[:, 0, b].copy().view(np.uint8), axis=1, bitorder="little")[:, :130].astype(int) << b for b in range(bits)))
+    assert (back.T + low == comps).all() and (both[:, 1] == ~both[:, 0]).all()
+
+
 def test_top_k_of_few_and_of_no_rows(spark):
     check(spark, [(0, [0.5]), (1, [0.25]), (20, [0.25])], 20)
     check(spark, [(0, [0.5])], 20)

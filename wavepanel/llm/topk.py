@@ -2,6 +2,7 @@
 
 Index: the vectors are dealt to blocks. In a block, each attribute is stored as
 offset binary numbers, one bitmap over the block's rows for each bit (slice).
+The slices are made once and written to the shared folder; the search reads them.
 
 Search: a query's score is a sum of attributes times small integers, so it is
 a sum of slices, shifted by the bits of the query's components. Slices of equal
@@ -34,6 +35,7 @@ from wavepanel.llm.common import write_shared
 #: Vectors of an index block, queries of a batch, and batches that one task works off, about.
 BLOCK_ROWS, BATCH_ROWS, TASK_BATCHES = 16_384, 256, 8
 PACKED = "block long, dims int, ids binary, comps binary"
+INDEX = "block long, dims int, bits int, ids binary, low binary, slices binary"
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -73,20 +75,38 @@ def pack(rows: DataFrame, n_blocks: int, dims: int) -> DataFrame:
 
 
 def slices_of(comps: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Offsets (dims), bitmaps (dims, 2, bits, words) and bits of a block; the
-    second half of the bitmaps are complements."""
+    """Offsets (dims), bitmaps (dims, bits, words) and bits of a block."""
     n, dims = comps.shape
     low = comps.min(axis=0)
     shifted = (comps - low).T
     bits = max(1, int(shifted.max(initial=0)).bit_length())
     words = -(-n // 64)
-    out = np.zeros((dims, 2, bits, words * 8), np.uint8)
+    out = np.zeros((dims, bits, words * 8), np.uint8)
     for b in range(bits):
         raw = np.packbits(((shifted >> b) & 1).astype(np.uint8), axis=1, bitorder="little")
-        out[:, 0, b, :raw.shape[1]] = raw
-    maps = out.view(np.uint64)
-    maps[:, 1] = ~maps[:, 0]
-    return low, maps, bits
+        out[:, b, :raw.shape[1]] = raw
+    return low, out.view(np.uint64), bits
+
+
+def index_of(rows: DataFrame, n_blocks: int, dims: int) -> DataFrame:
+    """The bit-sliced index, a row a block: ids (ascending), offsets, slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                low, maps, bits = slices_of(_matrix(row["comps"], row["dims"]))
+                cells = (row["block"], row["dims"], bits, row["ids"], low.astype("<i8").tobytes(), maps.astype("<u8").tobytes())
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([c], kind) for c, kind in zip(cells, kinds)],
+                                                 names=["block", "dims", "bits", "ids", "low", "slices"])
+
+    return write_shared(pack(rows, n_blocks, dims).mapInArrow(run, INDEX), "topk-index")
+
+
+def _with_complements(raw: bytes, dims: int, bits: int) -> np.ndarray:
+    """Bitmaps (dims, 2, bits, words): the slices and their complements."""
+    maps = np.frombuffer(raw, "<u8").reshape(dims, bits, -1)
+    return np.stack((maps, ~maps), axis=1)
 
 
 def sum_slices(columns: list[np.ndarray], maps: np.ndarray) -> list[np.ndarray]:
@@ -176,7 +196,8 @@ def _search(k: int):
         if index.num_rows and queries.num_rows:
             dims = index["dims"][0].as_py()
             ids = np.frombuffer(index["ids"][0].as_py(), "<i8")
-            low, maps, bits = slices_of(_matrix(index["comps"][0].as_py(), dims))
+            bits, low = index["bits"][0].as_py(), np.frombuffer(index["low"][0].as_py(), "<i8")
+            maps = _with_complements(index["slices"][0].as_py(), dims, bits)
             for row in range(queries.num_rows):
                 qids = np.frombuffer(queries["ids"][row].as_py(), "<i8")
                 for qid, query in zip(qids.tolist(), _matrix(queries["comps"][row].as_py(), dims)):
@@ -198,6 +219,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col:
     Candidates are all rows of another id. Of query rows that share an id, the
     first vector in array order asks; as candidates, repeated rows each count.
     Shorter vectors count as ending in zeros. An empty table gives no rows.
+    Other columns of ``df``, whatever their names, take no part.
     """
     rows = write_shared(quantised(df, scale, id_col, vec_col), "topk-rows")
     asking = rows.filter(is_query).groupBy("id").agg(F.min("comps").alias("comps"))
@@ -205,7 +227,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col:
                                   F.count_distinct(F.when(is_query, F.col("id")))).first()
     n_blocks, n_batches = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n_queries // BATCH_ROWS))
     n_tasks = -(-n_batches // TASK_BATCHES)
-    index = pack(rows, n_blocks, max(1, dims)).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(n_tasks - 1))))
+    index = index_of(rows, n_blocks, max(1, dims)).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(n_tasks - 1))))
     batches = pack(asking, n_batches, max(1, dims)).withColumn("task", (F.col("block") % n_tasks).cast("int")) \
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
     found = index.groupBy("block", "task").cogroup(batches.groupBy("block", "task")) \
