@@ -76,3 +76,18 @@ def test_qq_points_monotone(spark):
     q = sorted((r.p, r.theoretical, r.sample) for r in PD.qq_points(p, ["age"], points=9).collect())
     assert all(a[1] < b[1] and a[2] <= b[2] for a, b in zip(q, q[1:]))
     assert math.isclose(q[4][1], 0.0, abs_tol=1e-12)                  # median of the grid
+
+
+def test_long_tables_are_ranked_in_chunks(spark):
+    from wavepanel.operators.plotdata import ranked
+    df = spark.range(700).selectExpr("IF(id % 50 = 0, NULL, (id * 37) % 701 - 350.5) AS v", "id")
+    for desc in (True, False):
+        for abs_value in (True, False):
+            plain, chunked = (ranked(df, "v", desc, abs_value=abs_value, task_rows=n) for n in (1000, 60))
+            key = lambda rows: {r.id: r["rank"] for r in rows if r.v is not None}
+            got, expected = chunked.collect(), plain.collect()
+            assert sorted(r["rank"] for r in got) == list(range(1, 701)) and chunked.columns == ["v", "id", "rank"]
+            if not abs_value:
+                assert key(got) == key(expected)
+            order = lambda rows: [None if r.v is None else abs(r.v) if abs_value else r.v for r in sorted(rows, key=lambda r: r["rank"])]
+            assert order(got) == order(expected)

@@ -57,3 +57,13 @@ def test_streaming_ingest_cleans_and_resumes(spark, tmp_path):
     ingest(spark, str(src), out, ck, **kw).awaitTermination()        # resumes: only the new file is read
     got = rows(spark.read.parquet(out), "ID", "X", "Y", "visit_from_file")
     assert got == sorted([(1.0, None, 3.0, 0), (1.0, 0.0, None, 1), (2.0, 50.0, None, 0)], key=none_safe)
+
+
+def test_series_checks_share_their_tests(spark, monkeypatch):
+    from wavepanel.operators import series
+    calls = []
+    tests = series.series_tests
+    monkeypatch.setattr(series, "series_tests", lambda *a, **kw: calls.append(a[3]) or tests(*a, **kw))
+    res = validate(event_series(spark, SF_SMALL), ["value"], ["stationarity", "heteroscedasticity"], series="series_id", order=["t", "event_id"])
+    assert calls == ["value"]
+    assert {r.series for r in res["stationarity.value"].collect()} == {r.series for r in res["heteroscedasticity.value"].collect()}

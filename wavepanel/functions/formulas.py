@@ -1,10 +1,7 @@
 """Closed-form test statistics as SQL expression text.
 
 Each formula is a list of ``(column, expression)`` steps over columns
-computed earlier. ``apply_steps`` runs them in Spark (``F.expr``) and
-``sql_steps`` nests them as SQL for DuckDB, so the Spark query and its
-oracle evaluate literally the same formula. Only functions common to both
-dialects are used (sqrt, ln, exp, power, abs, sign, CASE).
+computed earlier, which ``apply_steps`` runs in Spark (``F.expr``).
 """
 
 from __future__ import annotations
@@ -19,13 +16,6 @@ def apply_steps(df: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
     return df
 
 
-def sql_steps(inner: str, steps: list[tuple[str, str]]) -> str:
-    sql = inner
-    for name, expr in steps:
-        sql = f"SELECT *, {expr} AS {name} FROM ({sql})"
-    return sql
-
-
 # D'Agostino-Pearson K^2 from n, biased skewness g1 and biased excess
 # kurtosis g2 (skewness test of D'Agostino 1970, kurtosis test of
 # Anscombe & Glynn 1983, as combined by D'Agostino & Pearson 1973).

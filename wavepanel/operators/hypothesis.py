@@ -24,11 +24,13 @@ from wavepanel.functions.formulas import ANDERSON_P, DAGOSTINO, DAGOSTINO_TEMPS,
 from wavepanel.operators.clean import number
 from wavepanel.operators.derive import threshold_label
 from wavepanel.operators.describe import add_quantiles, exact_quantiles, long_values
-from wavepanel.operators.sizing import bounded
+from wavepanel.operators.sizing import bounded, sized_at_run_time
 from wavepanel.session import cut_lineage
 
 #: Ranges into which the distinct values of a variable are cut for ranking.
 RANK_RANGES = 256
+#: Groups up to which their cuts and sums (some 10 KB a group) are broadcast.
+RANK_GROUPS = 1000
 #: Directions with less than this share of the largest eigenvalue count as determined by the others.
 MCAR_RANK = 1e-10
 
@@ -72,8 +74,7 @@ def _ranked(long: DataFrame, by: str, value: str) -> DataFrame:
     """Distinct values of each group with their ranks: by, x, c (rows of that
     value), last (rank of the last of them), n, mean, sst (squares about the
     mean). All rows take part; nulls and NaN do not. Values are counted first
-    and cut into ranges, so ranking a group is spread over many tasks; the
-    groups (variables) are few."""
+    and cut into ranges, so ranking a group is spread over many tasks."""
     v = F.col(value).cast("double")
     counts = cut_lineage(long.filter(v.isNotNull() & ~F.isnan(v)).groupBy(F.col(by).alias("__by"), v.alias("x"))
                              .agg(F.count(F.lit(1)).alias("c")))
@@ -82,15 +83,16 @@ def _ranked(long: DataFrame, by: str, value: str) -> DataFrame:
         F.percentile_approx("x", [i / RANK_RANGES for i in range(1, RANK_RANGES)]).alias("__cuts"))
     # written down, as an approximate percentile may differ when computed again
     whole = cut_lineage(whole.select("__by", "n", (F.col("__s") / F.col("n")).alias("mean"), "__cuts"))
+    small = bounded if whole.count() <= RANK_GROUPS else sized_at_run_time
     part = F.size(F.filter("__cuts", lambda cut: cut < F.col("x")))
     d = F.col("x") - F.col("mean")
-    rows = counts.join(bounded(whole), "__by").select("__by", "x", "c", "n", "mean", part.alias("__part"), (F.col("c") * d * d).alias("__ss"))
+    rows = counts.join(small(whole), "__by").select("__by", "x", "c", "n", "mean", part.alias("__part"), (F.col("c") * d * d).alias("__ss"))
     parts = rows.groupBy("__by", "__part").agg(F.sum("c").alias("__pc"), F.sum("__ss").alias("__pss"))
     group = Window.partitionBy("__by")
     before = parts.select("__by", "__part", F.sum("__pss").over(group).alias("sst"),
                           (F.sum("__pc").over(group.orderBy("__part")) - F.col("__pc")).alias("__before"))
     inner = Window.partitionBy("__by", "__part").orderBy("x")
-    out = rows.join(bounded(before), ["__by", "__part"])
+    out = rows.join(small(before), ["__by", "__part"])
     return out.select(F.col("__by").alias(by), "x", "c", "n", "mean", "sst",
                       (F.col("__before") + F.sum("c").over(inner)).alias("last"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wavepanel.functions import special as S
 from wavepanel.operators.describe import add_quantiles, long_values
 from wavepanel.operators.derive import stars
+from wavepanel.operators.segments import HOT_ROWS, auto_rows, chunked_row_number
 from wavepanel.operators.sizing import bounded, level_table
 
 
@@ -130,9 +131,15 @@ def lower_triangle(corr_full: DataFrame, order: list[str]) -> DataFrame:
 
 
 def ranked(df: DataFrame, value: str, desc: bool = True, by: list[str] | None = None,
-           abs_value: bool = False, name: str = "rank") -> DataFrame:
-    """Rank column by (|value|) (SRT3, SRT4); bounded result tables only."""
+           abs_value: bool = False, name: str = "rank", task_rows: int = HOT_ROWS) -> DataFrame:
+    """Rank column by (|value|) (SRT3, SRT4), missing values last if the largest
+    come first. A table of more than ``task_rows`` rows is ranked in chunks (``segments``)."""
     key = F.abs(F.col(value)) if abs_value else F.col(value)
-    key = key.desc() if desc else key.asc()
-    w = Window.partitionBy(*by).orderBy(key) if by else Window.orderBy(key)
-    return df.withColumn(name, F.row_number().over(w))
+    if by:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(key.desc() if desc else key.asc())))
+    chunks = auto_rows(df.select(F.lit(1).alias("__all")), "__all", task_rows)
+    if chunks is None:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(key.desc() if desc else key.asc())))
+    # ascending in both: what is missing, then the key
+    keyed = df.withColumns({"__all": F.lit(1), "__none": key.isNull() == F.lit(desc), "__key": -key if desc else key})
+    return chunked_row_number(keyed, "__all", ["__none", "__key"], chunks, name=name).drop("__all", "__none", "__key")

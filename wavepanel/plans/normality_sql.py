@@ -1,4 +1,4 @@
-"""Normality tests as plain SQL, for the oracles of TST3 and TST4.
+"""Normality tests as plain SQL, for the oracles of TST2, TST3 and TST4.
 
 The library ranks distinct values and sums the weights of their ranks in
 Arrow batches; here every row has its rank and its own normal score. The normal
@@ -91,3 +91,17 @@ JOIN (SELECT variable, value, ln({normal_cdf("z")}) AS below, ln({normal_cdf("(-
               ON c.variable = s.variable)) AS f
   ON r.variable = f.variable AND r.value = f.value
 GROUP BY r.variable"""
+
+
+def dagostino_sql(moments: str) -> str:
+    """``moments`` (n, g1, g2, ...) with ``k2``, the sum of the squared normal scores of skewness (D'Agostino) and
+    kurtosis (Anscombe and Glynn), each by its mean, variance and third moment under normality."""
+    skewness = f"""SELECT *, sqrt(6 * (n - 2) / ((n + 1) * (n + 3))) AS sd1,
+        sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS omega,
+        3 * (n - 1) / (n + 1) AS mean2, sqrt(24 * n * (n - 2) * (n - 3) / ((n + 3) * (n + 5))) / (n + 1) AS sd2,
+        6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS third
+      FROM ({moments}) WHERE n >= 8"""
+    scores = f"""SELECT *, asinh(g1 / sd1 * sqrt((omega - 1) / 2)) / sqrt(ln(omega) / 2) AS z1,
+        6 + 8 / third * (2 / third + sqrt(1 + pow(2 / third, 2))) AS a, (g2 + 3 - mean2) / sd2 AS x FROM ({skewness})"""
+    return f"""SELECT *, z1 * z1 + pow(1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4)))), 2) * 9 * a / 2 AS k2
+      FROM ({scores})"""

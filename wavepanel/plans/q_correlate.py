@@ -6,8 +6,10 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from wavepanel.catalog import VIF_HIGH
 from wavepanel.operators import correlate as C
 from wavepanel.operators.impute import knn_impute
+from wavepanel.plans.elimination_sql import vif_sql
 from wavepanel.plans.q_impute import ORDER, VARS, _impute_sql
 from wavepanel.plans.registry import register
 from wavepanel.session import cut_lineage
@@ -87,9 +89,11 @@ def q_corr_shift(spark, sf):
 VIF_COLS = ["m1", "e1", "e2", "x1", "age", "qty", "disc"]
 
 
-@register("vif")
+@register("vif", with_cte(f"SELECT variable, round(vif, 6) AS vif, vif > {VIF_HIGH} AS high, n FROM ({vif_sql(VIF_COLS, 'np')})",
+                          np=NUMERIC_PANEL_SQL))
 def q_vif(spark, sf):
-    return C.vif(numeric_panel(spark, sf), VIF_COLS, intercept=False)
+    out = C.vif(numeric_panel(spark, sf), VIF_COLS, intercept=False)
+    return out.select("variable", F.round("vif", 6).alias("vif"), "high", "n")
 
 
 @register("vif_pair", with_cte("""

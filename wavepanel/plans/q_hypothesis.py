@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavepanel.functions.formulas import ANDERSON_P, DAGOSTINO, sql_steps
+from wavepanel.functions.formulas import ANDERSON_P
 from wavepanel.operators import hypothesis as H
 from wavepanel.operators.describe import long_values
 from wavepanel.operators.impute import knn_impute
-from wavepanel.plans.normality_sql import anderson_sql, shapiro_sql
+from wavepanel.plans.elimination_sql import little_sql
+from wavepanel.plans.normality_sql import anderson_sql, dagostino_sql, shapiro_sql
 from wavepanel.plans.q_impute import ORDER, VARS, _impute_sql
 from wavepanel.plans.registry import register
 from wavepanel.session import cut_lineage
@@ -26,7 +27,7 @@ def _profile_sql():
         avg(power(l.value - s.mu, 4)) / power(avg(power(l.value - s.mu, 2)), 2) - 3 AS g2
       FROM ({cells}) l JOIN (SELECT variable, avg(value) AS mu FROM ({cells}) GROUP BY variable) s
         ON l.variable = s.variable GROUP BY l.variable"""
-    body = sql_steps(moments, DAGOSTINO)
+    body = f"SELECT *, exp(-k2 / 2) AS k2_p FROM ({dagostino_sql(moments)})"
     return with_cte(f"""
 SELECT variable, CAST(n AS BIGINT) AS n, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std,
        round(g1, 6) + 0.0 AS skewness, round(g2, 6) + 0.0 AS kurtosis,
@@ -159,6 +160,10 @@ def q_little_mcar_pair(spark, sf):
     return out.select(F.round("d2", 6).alias("d2"), "dof", F.round("p", 6).alias("p"), "n_patterns", "verdict")
 
 
-@register("little_mcar")
+MCAR_COLS = ["m1", "m2", "e1", "e2", "e3"]
+
+
+@register("little_mcar", with_cte(little_sql(MCAR_COLS, "panel"), panel=ORDERS_PANEL_SQL))
 def q_little_mcar(spark, sf):
-    return H.little_mcar(orders_panel(spark, sf), ["m1", "m2", "e1", "e2", "e3"])
+    out = H.little_mcar(orders_panel(spark, sf), MCAR_COLS)
+    return out.select(F.round("d2", 6).alias("d2"), "dof", F.round("p", 6).alias("p"), "n_patterns", "verdict")

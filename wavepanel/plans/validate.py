@@ -17,6 +17,7 @@ from wavepanel.operators import describe as D
 from wavepanel.operators import hypothesis as H
 from wavepanel.operators import series as SR
 from wavepanel.operators.clean import as_numbers
+from wavepanel.session import write_shared
 
 
 def _numeric(df: DataFrame, cols: list[str]) -> list[str]:
@@ -48,8 +49,11 @@ def _multicollinearity(df, variables, **kw):
 def _series(prefixes: tuple[str, ...]):
     """The columns of the series tests whose names start with one of ``prefixes``, per variable."""
     def check(df, variables, **kw):
-        df = as_numbers(df, variables)
-        parts = {v: SR.series_tests(df, kw["series"], kw["order"], v) for v in variables}
+        parts = kw["shared"].get("series")
+        if parts is None:                          # both kinds of check read the same tests
+            numbers = as_numbers(df, variables)
+            parts = kw["shared"]["series"] = {
+                v: write_shared(SR.series_tests(numbers, kw["series"], kw["order"], v), "series-tests") for v in variables}
         return {v: t.select("series", "n", *[c for c in t.columns if c.startswith(prefixes)]) for v, t in parts.items()}
     return check
 
@@ -68,6 +72,7 @@ def validate(df: DataFrame, variables: list[str], checks: list[str], **kw) -> di
     ``skipped`` list of unknown check names under key ``"skipped"``."""
     results: dict = {}
     skipped = []
+    kw = {**kw, "shared": {}}
     for name in checks:
         fn = CHECKS.get(name)
         if fn is None:
