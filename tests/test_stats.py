@@ -293,7 +293,10 @@ def test_little_mcar_of_awkward_columns(spark):
     df = spark.createDataFrame(rows, "a double, b double, constant double, words string, none double")
     plain = H.little_mcar(df.select("a", "b", F.expr("try_cast(words AS double)").alias("words")), ["a", "b", "words"]).first()
     odd = H.little_mcar(df, ["a", "b", "constant", "words", "none"]).first()
-    assert odd == plain and plain.dof > 0 and 0 <= plain.p <= 1
+    # sums of doubles may differ in the last digit with the order of the tasks
+    assert math.isclose(odd.d2, plain.d2, rel_tol=1e-12) and math.isclose(odd.p, plain.p, rel_tol=1e-12)
+    assert (odd.dof, odd.n_patterns, odd.verdict) == (plain.dof, plain.n_patterns, plain.verdict)
+    assert plain.dof > 0 and 0 <= plain.p <= 1
     twice = H.little_mcar(df.withColumn("a2", F.col("a") * 2), ["a", "a2", "b", "words"]).first()
     assert twice.dof == plain.dof and math.isclose(twice.d2, plain.d2, rel_tol=1e-6)
     for cols in (["constant"], ["none"], ["constant", "none"]):
