@@ -132,7 +132,7 @@ def leaks(docs, items, min_words=13, share=0.8, least=5):
                 agree = [doc[k + shift] == item[k] for k in range(lo, hi)]
                 n_agree = sum(agree)
                 # the longest stretch with the share, by all stretches
-                if n_agree >= least:
+                if n_agree >= share * least - 1e-9:         # no item is shorter
                     for a in range(len(agree)):
                         for b in range(len(agree), a, -1):
                             got = sum(agree[a:b])

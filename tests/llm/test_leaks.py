@@ -115,7 +115,7 @@ def test_operator_against_brute_force(spark):
     assert set(got) <= set(expected)
     whole = dict(items)
     for key, (agree, words) in expected.items():
-        # parts of items with words replaced may be too short for any mask
+        # parts of long items with words replaced may be too short for any mask
         if key not in got:
             assert words < 15 and agree < words and agree < len(whole[key[1]].split())
     assert len(got) > 30 and sum(got[k] == expected[k] for k in got) >= 0.9 * len(got)
@@ -134,6 +134,40 @@ def test_repeated_and_null_rows(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", range(5, 13))
+def test_masks_find_every_copy_of_a_short_item(length):
+    least = next(n for n in range(length + 1) if n >= 0.8 * length - 1e-9)
+    assert fewest_substitutions(decontaminate.MASKS + decontaminate.SHORT_MASKS, length) > length - least
+
+
+def test_short_items_with_any_word_replaced(spark):
+    items, docs = [], []
+    for length in (5, 6, 7, 8, 10, 12):
+        words = [f"i{length}w{n}" for n in range(length)]
+        items.append((length, " ".join(words)))
+        for n in range(length):
+            copy = [*words[:n], "other", *words[n + 1:]]
+            docs.append((100 * length + n, " ".join(["before", *copy, "after"])))
+            if length >= 10:
+                copy[(n + 4) % length] = "other"
+                docs.append((100 * length + 50 + n, " ".join(copy)))
+        docs.append((100 * length + 90, " ".join(["other", *words[1:3], "other", "other", *words[5:]][:length])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(fixtures.documents(spark, docs), bench).collect()}
+    assert got == set(brute.leaks(docs, items)) and len(got) >= 48
+
+
+def test_very_long_text(spark):
+    rng = random.Random(5)
+    item = passage(rng, 20)
+    text = " ".join([*(f"n{i % 977}" for i in range(40_000)), *replaced(rng, item, 3), *(f"m{i % 991}" for i in range(40_000))])
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "five words of no text")], "item_id long, text string")
+    docs = fixtures.documents(spark, [(1, text), (2, text.replace("n5 ", "z ")), (3, "word " * 60_000), (4, "x" * 300_000)])
+    got = decontaminate.leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1)} and all(r.doc_word >= 40_000 for r in got)
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {3, 4}
+
+
 def test_query_on_the_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]

@@ -3,7 +3,9 @@
 A mask is a fixed window of word positions, some of which it ignores. The words
 at the other positions are hashed, at every position of every benchmark item
 and every document. With these masks any passage of 13 words or more in which
-a fifth of the words is replaced still has a hit (tests work it out).
+a fifth of the words is replaced still has a hit; items of fewer words have
+shorter masks as well, with which a copy of the whole item always has one
+(tests work both out).
 
 Document hashes are first tried on a bitmap of the benchmark's hashes, whose
 size is bounded; only hits are joined, on the hash. A hit puts an item beside
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from wavepanel.llm.common import bound_arrow_batches, text_or_empty, write_shared
 
 MASKS = ("11111", "1110101", "10010111")
+#: Beside these, for items that are shorter than an overlap. Documents are tried on them only if there are such items.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
 #: Words of an overlap, share of them that agree, and fewest words of an item that takes part.
 MIN_WORDS, MIN_SHARE, MIN_ITEM = 13, 0.8, 5
 #: The bitmap has 256 bits for each of the benchmark's hashes, within these powers of two (2 to 16 MB). A fuller
@@ -115,8 +119,8 @@ def longest_overlap(agree: np.ndarray, share: float, agreeing_ends: bool = False
     return start, end
 
 
-def _items(benchmark: DataFrame, item_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(items: item_id, item_hash, words; seeds: hash, item_id, item_hash, item_len, item_pos)."""
+def _items(benchmark: DataFrame, item_col: str, text: str, min_words: int) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
+    """(items: item_id, item_hash, words; seeds: hash, item_id, item_hash, item_len, item_pos; masks used)."""
     slim = benchmark.select(benchmark[item_col].alias("item_id"), text_or_empty(benchmark, text).alias("text"))
     id_type = slim.schema["item_id"].dataType.simpleString()
 
@@ -126,7 +130,7 @@ def _items(benchmark: DataFrame, item_col: str, text: str) -> tuple[DataFrame, D
             rows = [(i, w) for i, w in rows if len(w) >= MIN_ITEM]
             found = []
             for _, words in rows:
-                each = [seed_hashes(words, m) for m in MASKS]
+                each = [seed_hashes(words, m) for m in MASKS + (SHORT_MASKS if len(words) < min_words else ())]
                 found.append([{"hash": h, "pos": p} for hashes in each
                               for p, h in enumerate(hashes.view(np.int64).tolist())])
             yield pa.RecordBatch.from_arrays(
@@ -140,7 +144,8 @@ def _items(benchmark: DataFrame, item_col: str, text: str) -> tuple[DataFrame, D
     made = write_shared(made.dropDuplicates(["item_id", "item_hash"]), "benchmark")
     seeds = made.select("item_id", "item_hash", (F.length("words") / 8).cast("int").alias("item_len"), F.explode("seeds").alias("s"))
     seeds = seeds.select(F.col("s.hash").alias("hash"), "item_id", "item_hash", "item_len", F.col("s.pos").alias("item_pos"))
-    return made.select("item_id", "item_hash", "words"), seeds
+    masks = MASKS if seeds.filter(F.col("item_len") < min_words).isEmpty() else MASKS + SHORT_MASKS
+    return made.select("item_id", "item_hash", "words"), seeds, masks
 
 
 def _bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
@@ -158,7 +163,7 @@ def _bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def _hits(docs: DataFrame, bitmap: np.ndarray, bits: int, id_col: str, text: str) -> DataFrame:
+def _hits(docs: DataFrame, masks: tuple[str, ...], bitmap: np.ndarray, bits: int, id_col: str, text: str) -> DataFrame:
     """Documents with hits: id, text_hash, words, hits (hash, position)."""
     body = text_or_empty(docs, text)
     slim = docs.select(docs[id_col].alias("id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
@@ -173,7 +178,7 @@ def _hits(docs: DataFrame, bitmap: np.ndarray, bits: int, id_col: str, text: str
             ends = np.cumsum(sizes)
             doc_of = np.repeat(np.arange(len(each)), sizes)
             rows, hashes, places = [], [], []
-            for mask in MASKS:
+            for mask in masks:
                 found = seed_hashes(words, mask)
                 at = np.arange(len(found))
                 for number in _bit_numbers(found, bits):
@@ -231,9 +236,9 @@ def _verified(placed: DataFrame, min_words: int, min_share: float) -> DataFrame:
 def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, item_col: str, item_text: str,
               min_words: int, min_share: float) -> DataFrame:
     bound_arrow_batches(docs.sparkSession)
-    items, seeds = _items(benchmark, item_col, item_text)
+    items, seeds, masks = _items(benchmark, item_col, item_text, min_words)
     bitmap, bits = _bitmap(seeds)
-    hit = write_shared(_hits(docs, bitmap, bits, id_col, text), "hits")
+    hit = write_shared(_hits(docs, masks, bitmap, bits, id_col, text), "hits")
     # a passage in many documents makes a hot hash: its hits are salted, the benchmark's few rows repeated
     salted = hit.select("id", "text_hash", F.explode("hits").alias("h")).select(
         "id", "text_hash", F.col("h.hash").alias("hash"), F.col("h.pos").alias("pos"),
@@ -263,8 +268,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     ``similarity`` (n_agree / n_words).
 
     Words are runs of letters, digits and underscores, in lower case. Null and
-    empty texts have none; items of fewer than five words take no part. Repeated
-    rows give one row; ids may be null.
+    empty texts have none; items of fewer than five words take no part. Texts of
+    any length are compared whole. Repeated rows give one row; ids may be null.
+    Of equally long overlaps the first in the document, then in the item, is
+    named. Empty tables on either side give no rows.
     """
     found = _overlaps(docs, benchmark, id_col, text, item_col, item_text, min_words, min_share)
     best = found.groupBy("id", "item_id").agg(F.max(F.struct(
@@ -275,7 +282,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents into which no benchmark item leaked, all columns as they are."""
+    """The documents into which no benchmark item leaked, all columns as they are.
+    Null and empty texts and rows without id stay (unless their text leaks), repeated
+    rows stay or go together; an empty table stays empty, an empty benchmark drops nothing."""
     found = _overlaps(docs, benchmark, id_col, text, "item_id", "text", MIN_WORDS, MIN_SHARE) \
         .select(F.col("id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("_id"),
