@@ -219,6 +219,7 @@ def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text: str =
     (digests of the ids and of the text decoded from them) and, if asked, the
     ``ids`` themselves. A null text counts as empty and has no tokens; null and
     repeated ids are kept as they are; ``keep`` names columns passed through.
+    Texts of any length are encoded whole; an empty table gives no rows.
     """
     bound_arrow_batches(df.sparkSession)
     keep = keep or []

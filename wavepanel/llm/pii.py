@@ -172,7 +172,8 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     """One row per input row: id, ``n_email``, ``n_ip``, ``n_card``, ``n_phone``,
     ``base_sha256`` (digest of the listed spans of these four kinds), ``spans``
     (all spans, listed), ``found`` (all spans with scores). A null text counts
-    as empty and has no spans; null and repeated ids are kept as they are."""
+    as empty and has no spans; null and repeated ids are kept as they are.
+    Texts of any length are searched whole; an empty table gives no rows."""
     slim = df.select(df[id_col], text_or_empty(df, text).alias("_text"))
     out = with_spans(slim, slim["_text"], "found")
     base = [k.name for k in KINDS if k.base]
@@ -189,7 +190,8 @@ def redact(df: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataF
     """The input with each found span replaced by its kind in angle brackets, and
     ``n_chars`` (if there is such a column) counted anew. Spans that overlap are
     replaced together, under the kind of the one that starts first (of those, the
-    longest). Texts without spans, null ones too, stay as they are."""
+    longest). Texts without spans, null ones too, stay as they are.
+    Rows without id and repeated rows are treated like others; an empty table stays empty."""
     spans = free_name(df, "_spans")
     found = with_spans(df, text_or_empty(df, text), spans)
     body = F.col(f"`{text}`")

@@ -146,7 +146,9 @@ def near_duplicates(df: DataFrame, shingle: int = 3, max_bits: int = 3, id_col:
     """One row per input row: id, ``fingerprint`` (16 lowercase hex digits),
     ``component_id`` (smallest id of all documents reachable by links, itself
     included; null if none of them has an id). Null and empty texts have
-    fingerprint zero and link like any other."""
+    fingerprint zero and link like any other.
+    Texts of any length are fingerprinted whole, repeated rows
+    are each returned, and an empty table gives no rows."""
     rows, groups = groups_of(df, shingle, max_bits, id_col, text)
     return rows.join(groups, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -155,7 +157,8 @@ def near_duplicates(df: DataFrame, shingle: int = 3, max_bits: int = 3, id_col:
 
 def keep_one(df: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The input with one row of each group of near-duplicates: that of the
-    smallest id (then text hash; rows without id come last)."""
+    smallest id (then text hash; rows without id come last).
+    Null and empty texts are one group; an empty table stays empty."""
     _, groups = groups_of(df, shingle, max_bits, id_col, text)
     kept = groups.select(F.col("first.id").alias("_kept_id"), F.col("first.text_hash").alias("_kept_hash")).distinct()
     row, key = F.struct(*[df[c] for c in df.columns]).alias("row"), F.xxhash64(text_or_empty(df, text)).alias("_hash")

@@ -73,7 +73,8 @@ def loaded(path: str) -> PieceCounter:
 def token_counts(df: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, ``n_bytes`` (UTF-8), ``n_tokens``,
     ``over_limit`` (more than ``limit`` tokens). A null text counts as empty:
-    no bytes, no tokens. Null and repeated ids are kept as they are."""
+    no bytes, no tokens. Null and repeated ids are kept as they are.
+    Texts of any length count whole, in slices; an empty table gives no rows."""
     bound_arrow_batches(df.sparkSession)
     slim = df.select(df[id_col], text_or_empty(df, text).alias("_text"))
     id_type = slim.schema.fields[0].dataType.simpleString()

@@ -174,7 +174,8 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, id_col: str =
                       path: str | None = None) -> str:
     """Encode every text (null: empty), append ``end_id`` to each, and write the
     ids in ascending order of (id, text); null ids come first. Returns the path
-    of the files. Repeated rows are written as often as they come."""
+    of the files. Repeated rows are written as often as they come.
+    Texts of any length are encoded whole; an empty table gives no documents."""
     spark = df.sparkSession
     bound_arrow_batches(spark)
     path = path or shared_path(spark, "token-files")
