@@ -56,5 +56,5 @@ def little_sql(cols: list[str], source: str) -> str:
         form = quadratic_form(rows, {(i, j): f"s_{i}_{j}" for i in seen for j in seen if i <= j}, {i: f"d_{i}" for i in seen}, "q")
         parts.append(f"SELECT n * q AS d2, {len(seen)} AS k FROM ({form})")
     total = f"SELECT sum(d2) AS d2, CAST(sum(k) - {len(cols)} AS BIGINT) AS dof, count(*) AS n_patterns FROM ({' UNION ALL '.join(parts)})"
-    return f"""SELECT round(d2, 6) AS d2, dof, round(p, 6) AS p, n_patterns, CASE WHEN p > 0.05 THEN 'MCAR' ELSE 'not MCAR' END AS verdict
+    return f"""SELECT round(d2, 6) AS d2, dof, round(greatest(p, 0), 6) + 0.0 AS p, n_patterns, CASE WHEN p > 0.05 THEN 'MCAR' ELSE 'not MCAR' END AS verdict
 FROM (SELECT *, {chi2_tail("d2", "dof")} AS p FROM ({total}))"""

@@ -59,7 +59,7 @@ def shapiro_sql(cells: str) -> str:
     (Royston's published polynomials)."""
     m = normal_quantile("p")
     return f"""
-SELECT variable, n, round(w, 6) AS w, round(1 - {normal_cdf("z")}, 6) AS sw_p FROM (
+SELECT variable, n, round(w, 6) AS w, round(greatest(1 - {normal_cdf("z")}, 0), 6) + 0.0 AS sw_p FROM (
   SELECT variable, n, w, (ln(1 - w) - ({_poly([-1.5861, -0.31082, -0.083751, 0.0038915], "ln(n)")}))
                          / exp({_poly([-0.4803, -0.082676, 0.0030302], "ln(n)")}) AS z FROM (
     SELECT c.variable, any_value(c.n) AS n, power(sum(value * CASE
