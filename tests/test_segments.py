@@ -112,6 +112,23 @@ def test_rows_that_share_a_place_are_split(spark):
         rows(text.withColumn("rn", F.row_number().over(Window.partitionBy("e").orderBy("t", "k"))), "e", "k", "rn")
 
 
+def test_chunks_are_cut_inside_a_few_ranges(spark):
+    """The sample that finds the ranges goes through the driver, so their number must not be that of the chunks."""
+    from pyspark.sql import functions as F
+
+    from wavepanel.operators.segments import CHUNK, row_chunks
+    # one key in four, rows in pairs of one place, the last 300 all at one place
+    df = spark.range(9_000, numPartitions=5).select(
+        (F.col("id") % 4 == 0).cast("int").alias("e"), F.least(F.floor(F.col("id") / 8), F.lit(1087)).alias("t"), "id")
+    cut = row_chunks(df, "e", ["t"], 20)
+    assert len(cut.inputFiles()) <= 4
+    sizes = cut.groupBy("e", CHUNK).agg(F.count("t").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).orderBy("e", CHUNK).collect()
+    assert len(sizes) >= 400 and sum(r.n for r in sizes) == 9_000
+    assert max(r.n for r in sizes if r.b < 1087) <= 28                           # rows of one place share a chunk
+    for r, after in zip(sizes, sizes[1:]):
+        assert r.e < after.e or r.b < after.a
+
+
 def test_times_without_zone_and_dates_are_split(spark):
     from pyspark.sql import functions as F
 

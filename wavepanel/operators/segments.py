@@ -44,6 +44,7 @@ class Rows:
 
 
 HOT_ROWS = 2_000_000      # rows one task should hold for one key before the key is chunked
+RANGE_ROWS = 200_000      # rows dealt to one task, which cuts them into chunks
 
 
 def place(df: DataFrame, col: str) -> Column:
@@ -77,12 +78,18 @@ def in_chunks(df: DataFrame, key: str, order: list[str], width: float | Rows) ->
 
 
 def row_chunks(df: DataFrame, key: str, order: list[str], rows: int) -> DataFrame:
-    """Rows dealt by ranges of (key, order), one range a chunk. Written to the
+    """Rows dealt by ranges of (key, order), each range cut in order into chunks of ``rows`` rows;
+    a range holds many chunks, so the sample that finds the ranges stays small. Written to the
     shared folder, as ranges come from a sample and all readers of a chunk must
     see the same one; rows equal in key and order share a chunk."""
-    n_chunks = max(1, -(-df.count() // rows))
-    dealt = df.repartitionByRange(n_chunks, *[F.col(c) for c in (key, *order)])
-    return write_shared(dealt.withColumn(CHUNK, F.spark_partition_id().cast("long")), "chunks")
+    n_ranges = max(1, -(-df.count() // max(rows, RANGE_ROWS)))
+    by = [F.col(c) for c in (key, *order)]
+    # number of the range in the upper bits, place in it in the lower
+    dealt = df.repartitionByRange(n_ranges, *by).sortWithinPartitions(*by).withColumn(CHUNK, F.monotonically_increasing_id())
+    first = F.min(CHUNK).over(Window.partitionBy(*by))                      # dealt and sorted so already: no shuffle
+    within = F.col(CHUNK).bitwiseAND(F.lit((1 << 33) - 1))
+    cut = dealt.withColumn(CHUNK, first).withColumn(CHUNK, F.col(CHUNK) - within % F.lit(rows))
+    return write_shared(cut, "chunks")
 
 
 def with_chunk(df: DataFrame, order_col: str, width: float) -> DataFrame:
