@@ -201,3 +201,24 @@ def test_given_covariance_is_not_searched_for(spark, max_patterns):
     assert held.fits["model"]["beta"] == pytest.approx(free.fits["model"]["beta"], rel=1e-9)
     other = M.fit_lmm(df, "y", "e", ["v", "x"], {"g": "a"}, slope="v", covariance=[[1.0, 0.1], [0.1, 0.5]])
     assert other.fits["model"]["m2ll"] > free.fits["model"]["m2ll"]
+
+
+def test_many_patterns_take_one_entity_table(spark, monkeypatch):
+    """The entity table is made once and kept; patterns too many for the driver are counted, not summed."""
+    calls, real = [], M.pattern_stats
+    monkeypatch.setattr(M, "pattern_stats", lambda *a: calls.append(a) or real(*a))
+    df = _synthetic(spark)
+    fit = lambda **kw: M.fit_lmm(df, "y", "e", fixed=["v", "x"], factors={"g": "a"}, slope="v", **kw)
+    many = fit(max_patterns=0)
+    assert not calls and many.entity_table.inputFiles()
+    few = fit()
+    assert len(calls) == 1 and few.entity_table.inputFiles()
+    assert many.fits["model"]["beta"] == pytest.approx(few.fits["model"]["beta"], rel=1e-6)
+    P, gams = 5, [np.array([[0.4, -0.1], [-0.1, 0.2]]), np.diag([-1.0, 0.0]), np.diag([2.0, 0.0])]
+    pats = M._assemble(real(few.entity_table, P, 2).toPandas(), P, 2)
+    got = M._entity_sums(many.entity_table, {"model": gams}, P, 2)
+    for i, gam in enumerate(gams):
+        log, low, t = M._pattern_sums(pats, gam)
+        assert got["model", i][:2] == pytest.approx((log, low))
+        if low > 0:
+            assert got["model", i][2] == pytest.approx(t, rel=1e-9, abs=1e-9)

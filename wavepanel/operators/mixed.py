@@ -39,7 +39,8 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ from wavepanel.functions import special as S
 from wavepanel.operators.clean import as_numbers
 from wavepanel.operators.derive import stars
 from wavepanel.operators.sizing import bounded
-from wavepanel.session import cut_lineage
+from wavepanel.session import write_shared
 
 _LOG2PI = math.log(2 * math.pi)
 
@@ -243,28 +244,45 @@ def _pattern_sums(pat: _Patterns, gam: np.ndarray):
 
 def _entity_sums(ent: DataFrame, asked: dict[str, list[np.ndarray]], P: int, q: int) -> dict:
     """The same sums for the candidates of every model from the entity table:
-    one partial sum a task and candidate, added up by Spark."""
+    one partial sum a task and candidate, added up by Spark. The products of the
+    A_i rows are made once for all candidates, whose weights then sum them as one matrix product."""
     upper = np.triu_indices(P)
+    k, m = upper
+    pairs = [(a, b) for a in range(q) for b in range(a, q)]
 
     def partial(batches):
         sums: dict = {}
-        for pdf in batches:
-            for m, part in pdf.groupby("__model"):
-                A = [part[[f"a{a}_{k}" for k in range(P)]].to_numpy(dtype=float) for a in range(q)]
-                n, sv, svv = (part[c].to_numpy(dtype=float) for c in ("n_i", "sv", "svv"))
-                for i, gam in enumerate(asked.get(m, ())):
-                    det, w = _weights(gam, n, sv, svv)
-                    low = float(det.min())
-                    log = float(np.log(det).sum()) if low > 0 else 0.0
-                    t = sum((A[a] * w[a][b][:, None]).T @ A[b] for a in range(q) for b in range(q))[upper]
-                    old = sums.get((m, i))
-                    sums[m, i] = (log, low, t) if old is None else (old[0] + log, min(old[1], low), old[2] + t)
-        if sums:
-            yield pd.DataFrame([(m, i, log, low, t.tolist()) for (m, i), (log, low, t) in sums.items()],
-                               columns=["model", "cid", "logdet", "mindet", "t"])
+        for batch in batches:
+            models = pc.dictionary_encode(batch.column(0))
+            which, names = models.indices.to_numpy(zero_copy_only=False), models.dictionary.to_pylist()
+            table = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+            for at, name in enumerate(names):
+                part = table[which == at]
+                n, sv, svv = part[:, 0], part[:, 1], part[:, 2]
+                A = [part[:, 3 + a * P:3 + (a + 1) * P] for a in range(q)]
+                # G M^-1 is symmetric, so one weight goes with both cross products
+                products = [A[a][:, k] * A[b][:, m] + (A[b][:, k] * A[a][:, m] if a != b else 0.0) for a, b in pairs]
+                logs, lows = [], []
+                weights = np.empty((len(pairs), len(asked[name]), len(part)))
+                with np.errstate(all="ignore"):                             # a candidate without a likelihood
+                    for i, gam in enumerate(asked[name]):
+                        det, w = _weights(gam, n, sv, svv)
+                        lows.append(float(det.min()))
+                        logs.append(float(np.log(det).sum()) if lows[i] > 0 else 0.0)
+                        for j, (a, b) in enumerate(pairs):
+                            weights[j, i] = w[a][b]
+                    t = sum(w @ o for w, o in zip(weights, products))
+                old = sums.get(name)
+                new = (np.array(logs), np.array(lows), t)
+                sums[name] = new if old is None else (old[0] + new[0], np.minimum(old[1], new[1]), old[2] + t)
+        rows = [(name, i, log[i], low[i], t[i].tolist()) for name, (log, low, t) in sums.items() for i in range(len(log))]
+        if rows:
+            kinds = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)],
+                                             names=["model", "cid", "logdet", "mindet", "t"])
 
     cols = ["__model", "n_i", "sv", "svv", *[f"a{a}_{k}" for a in range(q) for k in range(P)]]
-    parts = ent.filter(F.col("__model").isin(list(asked))).select(*cols).mapInPandas(
+    parts = ent.filter(F.col("__model").isin(list(asked))).select(*cols).mapInArrow(
         partial, "model string, cid int, logdet double, mindet double, t array<double>")
     rows = parts.groupBy("model", "cid").agg(
         F.sum("logdet").alias("logdet"), F.min("mindet").alias("mindet"),
@@ -433,15 +451,14 @@ def fit_lmm(df: DataFrame, outcome: str, entity: str, fixed: list[str] | None =
         given = shift @ np.array(covariance, float) @ shift.T
     q, p = 2 if slope else 1, len(design.terms)
     P = p + 1
-    ent = entity_stats(_rows(base, outcome, design, entity, slope, model), P, q)
-    pats = pattern_stats(ent, P, q).limit(max_patterns + 1).toPandas()
-    if len(pats) > max_patterns:
-        # the table is read once a batch, so it is kept in the shared folder
-        ent = cut_lineage(ent)
+    # read to count the patterns and then once a batch, or for their sums, so it is kept in the shared folder
+    ent = write_shared(entity_stats(_rows(base, outcome, design, entity, slope, model), P, q), "entities")
+    if ent.select("__model", "n_i", "sv", "svv").distinct().limit(max_patterns + 1).count() > max_patterns:
         total = _totals(ent, P)
         found = _fit_all({m: t[:3] for m, t in total.items()}, q, design.slope_scale,
                          lambda asked: _entity_sums(ent, asked, P, q), given)
     else:
+        pats = pattern_stats(ent, P, q).toPandas()
         tables = {m: _assemble(rs.reset_index(drop=True), P, q) for m, rs in pats.groupby("__model")}
         total = {m: (t.xx, _independent(t.xx[:p, :p]), int(t.c @ t.n_i), int(t.c.sum()), int(t.n_i.min()), int(t.n_i.max()))
                  for m, t in sorted(tables.items())}
