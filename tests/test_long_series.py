@@ -113,3 +113,17 @@ def test_partial_autocorrelations_stay_in_the_jvm(spark):
     assert SR.acf_pacf(df.limit(0), "key", ["t"], "x").collect() == []
     plan = SR.acf_pacf(df, "key", ["t"], "x")._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan
+
+
+def test_short_chunks_are_summed_in_a_few_batches_and_passes(spark):
+    """No Python group a chunk, no second Python pass for the tests, few rows as Python numbers at once."""
+    df = spark.range(6_000, numPartitions=3).select((F.col("id") % 90).alias("key"), F.col("id").alias("t"), ((F.col("id") * 7919) % 103).alias("x"))
+    out = SR.series_tests(df, "key", ["t"], "x", block_rows=8)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("MapInArrow") == 5         # whole; dealt, units, groups, keys
+    assert SR.series_tests(df, "key", ["t"], "x")._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 5
+    plain = {r.series: r for r in SR.series_tests(df, "key", ["t"], "x").collect()}
+    got = out.collect()
+    assert len(got) == len(plain) == 90
+    for r in got:
+        assert [*r] == [None if x is None else pytest.approx(x, rel=1e-6, abs=1e-9) for x in plain[r.series]]
