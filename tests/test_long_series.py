@@ -127,3 +127,10 @@ def test_short_chunks_are_summed_in_a_few_batches_and_passes(spark):
     assert len(got) == len(plain) == 90
     for r in got:
         assert [*r] == [None if x is None else pytest.approx(x, rel=1e-6, abs=1e-9) for x in plain[r.series]]
+
+
+def test_rows_are_taken_in_slices():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 5 + [None] * 3 + [2] * 992), pa.array([[0.5]] * 1000)], names=["key", "s"])
+    assert [b.num_rows for b in SR._slices([batch, batch])] == [256, 256, 256, 232] * 2
+    assert [(k.to_pylist(), len(rows)) for k, rows in SR._runs([batch], 1)] == [([1], 5), ([None], 3), ([2], 992)]
